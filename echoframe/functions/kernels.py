@@ -269,19 +269,15 @@ class ShiftedBetaPrime(BetaPrime):
 
 
 @dataclass(frozen=True)
-class HRFDoubleGamma5(Kernel):
-    """Main gamma response minus ``c`` times an undershoot gamma response."""
+class DoubleGamma(Kernel):
+    """Main gamma response minus ``c`` times an undershoot gamma response.
 
-    alpha_main: float = 6.0
-    alpha_undershoot: float = 16.0
-    beta_main: float = 1.0
-    beta_undershoot: float = 1.0
-    c: float = 1.0 / 6.0
-    bounds = {"alpha_main": (0.0, None), "alpha_undershoot": (0.0, None), "beta_main": (0.0, None),
-              "beta_undershoot": (0.0, None)}
+    Subclasses differ in which of the five numbers they leave free.
+    """
 
     def parts(self) -> tuple[float, float, float, float, float]:
-        return self.alpha_main, self.alpha_undershoot, self.beta_main, self.beta_undershoot, self.c
+        """Main and undershoot shapes, main and undershoot rates, ``c``."""
+        raise NotImplementedError
 
     def shape(self, x, m):
         a1, a2, b1, b2, c = self.parts()
@@ -296,53 +292,61 @@ class HRFDoubleGamma5(Kernel):
 
 
 @dataclass(frozen=True)
-class HRFDoubleGamma1(HRFDoubleGamma5):
+class HRFDoubleGamma1(DoubleGamma):
     beta: float = 1.0
-
-    @property
-    def params(self):
-        return {"beta": self.beta}
+    bounds = {"beta": (0.0, None)}
 
     def parts(self):
         return 6.0, 16.0, self.beta, self.beta, 1.0 / 6.0
 
 
 @dataclass(frozen=True)
-class HRFDoubleGamma2(HRFDoubleGamma5):
+class HRFDoubleGamma2(DoubleGamma):
     alpha: float = 6.0
     beta: float = 1.0
-
-    @property
-    def params(self):
-        return {"alpha": self.alpha, "beta": self.beta}
+    bounds = {"alpha": (0.0, None), "beta": (0.0, None)}
 
     def parts(self):
         return self.alpha, self.alpha + 10.0, self.beta, self.beta, 1.0 / 6.0
 
 
 @dataclass(frozen=True)
-class HRFDoubleGamma3(HRFDoubleGamma2):
-    @property
-    def params(self):
-        return {"alpha": self.alpha, "beta": self.beta, "c": self.c}
+class HRFDoubleGamma3(DoubleGamma):
+    alpha: float = 6.0
+    beta: float = 1.0
+    c: float = 1.0 / 6.0
+    bounds = {"alpha": (0.0, None), "beta": (0.0, None)}
 
     def parts(self):
         return self.alpha, self.alpha + 10.0, self.beta, self.beta, self.c
 
 
 @dataclass(frozen=True)
-class HRFDoubleGamma4(HRFDoubleGamma5):
+class HRFDoubleGamma4(DoubleGamma):
+    alpha_main: float = 6.0
+    alpha_undershoot: float = 16.0
     beta: float = 1.0
-
-    @property
-    def params(self):
-        return {"alpha_main": self.alpha_main, "alpha_undershoot": self.alpha_undershoot,
-                "beta": self.beta, "c": self.c}
+    c: float = 1.0 / 6.0
+    bounds = {"alpha_main": (0.0, None), "alpha_undershoot": (0.0, None), "beta": (0.0, None)}
 
     def parts(self):
         return self.alpha_main, self.alpha_undershoot, self.beta, self.beta, self.c
 
 
+@dataclass(frozen=True)
+class HRFDoubleGamma5(DoubleGamma):
+    alpha_main: float = 6.0
+    alpha_undershoot: float = 16.0
+    beta_main: float = 1.0
+    beta_undershoot: float = 1.0
+    c: float = 1.0 / 6.0
+    bounds = {"alpha_main": (0.0, None), "alpha_undershoot": (0.0, None), "beta_main": (0.0, None),
+              "beta_undershoot": (0.0, None)}
+
+    def parts(self):
+        return self.alpha_main, self.alpha_undershoot, self.beta_main, self.beta_undershoot, self.c
+
+
 @dataclass(frozen=True)
 class LCG(Kernel):
     """Linear combination of Gaussians: centres, widths and amplitudes.

@@ -25,7 +25,7 @@ _FLOATING = ("double", "float")
 
 def finite(df: DataFrame, name: str) -> Column:
     """True where the value is neither null, NaN nor infinite; non-numeric values count if not null."""
-    c = F.col(name)
+    c = F.col(f"`{name}`")
     kind = df.schema[name].dataType.typeName()
     if kind in _FLOATING:
         return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
@@ -34,14 +34,14 @@ def finite(df: DataFrame, name: str) -> Column:
 
 def known(df: DataFrame, name: str) -> Column:
     """True where the value is neither null nor NaN."""
-    c = F.col(name)
+    c = F.col(f"`{name}`")
     if df.schema[name].dataType.typeName() in _FLOATING:
         return c.isNotNull() & ~F.isnan(c)
     return c.isNotNull()
 
 
 def zero_filled(df: DataFrame, name: str) -> Column:
-    return F.when(finite(df, name), F.col(name).cast("double")).otherwise(0.0)
+    return F.when(finite(df, name), F.col(f"`{name}`").cast("double")).otherwise(0.0)
 
 
 def mask_and_fill(df: DataFrame, names: Sequence[str], suffix: str = "_mask") -> DataFrame:
@@ -174,7 +174,7 @@ def product(df: DataFrame, names: Sequence[str]) -> Column:
     """Row product that skips missing factors."""
     out = None
     for n in names:
-        factor = F.coalesce(F.nanvl(F.col(n).cast("double"), F.lit(None).cast("double")), F.lit(1.0))
+        factor = F.coalesce(F.nanvl(F.col(f"`{n}`").cast("double"), F.lit(None).cast("double")), F.lit(1.0))
         out = factor if out is None else out * factor
     return out
 

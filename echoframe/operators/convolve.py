@@ -109,7 +109,7 @@ def convolve_exponential(
     y = Y.select(
         *keys, (F.col(response_time).cast("double") + SIMULTANEOUS).alias("_t"),
         F.lit(1).alias("_kind"), F.lit(0.0).alias("_v"),
-        F.struct(*[F.col(c) for c in y_cols]).alias("_y"),
+        F.struct(*[F.col(f"`{c}`") for c in y_cols]).alias("_y"),
     )
     both = x.unionByName(y, allowMissingColumns=True).withColumn(
         "_span", F.floor(F.col("_t") / span))

@@ -29,6 +29,7 @@ from echoframe.operators.series import (
     SIMULTANEOUS,
     choose_layout,
     lay_out,
+    prefix_sum,
     with_halo,
 )
 
@@ -70,9 +71,9 @@ def window_arrays(
     layout = choose_layout([X, Y], series, layout, at_most)
 
     known = [F.col(s).isNotNull() for s in series]
-    event = F.struct(F.col(time).cast("double").alias("time"), *[F.col(v) for v in values])
+    event = F.struct(F.col(time).cast("double").alias("time"), *[_q(v) for v in values])
     by_itself = len(tie) == 1 and X.schema[tie[0]].dataType.typeName() in ("long", "integer", "short")
-    ties = F.col(tie[0]).cast("long") if by_itself else F.xxhash64(*[F.col(c) for c in tie or values or [time]])
+    ties = F.col(tie[0]).cast("long") if by_itself else F.xxhash64(*[_q(c) for c in tie or values or [time]])
     events = X.where(_all(known)).where(F.col(time).isNotNull()).select(
         *series,
         F.col(time).cast("double").alias("_t"),
@@ -89,8 +90,8 @@ def window_arrays(
         *series,
         (at + shift).alias("_t"),
         F.lit(1 if behind else -1).alias("_kind"),
-        (F.xxhash64(*[F.col(c) for c in y_cols]) if layout == "blocks" else F.lit(0).cast("long")).alias("_tie"),
-        F.struct(*[F.col(c) for c in y_cols]).alias("_y"),
+        (F.xxhash64(*[_q(c) for c in y_cols]) if layout == "blocks" else F.lit(0).cast("long")).alias("_tie"),
+        F.struct(*[_q(c) for c in y_cols]).alias("_y"),
     )
     both = events.unionByName(responses, allowMissingColumns=True)
 
@@ -129,10 +130,9 @@ def window_arrays(
             F.when(F.col("_kind") == 0, F.array(own, own + 1)).otherwise(F.array(own))
         ).alias("_chunk"),
     )
-    fields = ["time", *values]
     ranked = F.when(F.col("_kind") == 0, F.struct(
         F.col("_x.time").alias("time"), F.col("_n").alias("rank"),
-        *[F.col(f"_x.{v}").alias(v) for v in fields[1:]]))
+        *[F.col("_x").getField(v).alias(v) for v in values]))
     chunk = Window.partitionBy(*group, "_chunk").orderBy("_n").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.select("*", F.collect_list(ranked).over(chunk).alias("_c")).where("_kind != 0")
@@ -145,6 +145,10 @@ def window_arrays(
     return out
 
 
+def _q(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
 def _all(conds: Sequence[Column]) -> Column:
     out = F.lit(True)
     for c in conds:
@@ -158,11 +162,43 @@ def pairs(windowed: DataFrame, response_time: str = "time", window: str = WINDOW
     gen = F.explode_outer if keep_empty else F.explode
     rest = [c for c in windowed.columns if c != window]
     event = windowed.schema[window].dataType.elementType.names
+    rest = [_q(c) for c in rest]
     long = windowed.select(*rest, gen(window).alias("_e"))
     return long.select(
         *rest,
         F.col("_e.time").alias("event_time"),
         (F.col(response_time).cast("double") - F.col("_e.time")).alias("t_delta"),
         F.col("_e.rank").alias("event_rank"),
-        *[F.col(f"_e.{v}").alias(v) for v in event if v not in ("time", "rank")],
+        *[F.col("_e").getField(v).alias(v) for v in event if v not in ("time", "rank")],
+    )
+
+
+def window_counts(X: DataFrame, Y: DataFrame, series: Sequence[str], cutoff: float | None = None,
+                  time: str = "time", response_time: str | None = None, **layout) -> DataFrame:
+    """Events at or before each response (``n_before``) and those within ``cutoff`` of it (``n_within``).
+
+    A response enters a running count twice, at both ends of its range; no window is expanded.
+    """
+    response_time = response_time or time
+    y_cols = list(Y.columns)
+    known = _all([F.col(s).isNotNull() for s in series])
+    events = X.where(known).select(
+        *series, F.col(time).cast("double").alias("_t"), F.lit(0).alias("_kind"), F.lit(1).alias("_one"))
+    at = F.col(response_time).cast("double")
+    ends = [F.struct((at + SIMULTANEOUS).alias("_t"), F.lit(1).alias("_kind"))]
+    if cutoff:
+        ends.append(F.struct((at - F.lit(float(cutoff))).alias("_t"), F.lit(-1).alias("_kind")))
+    marks = Y.select(*series, F.struct(*[_q(c) for c in y_cols]).alias("_y"),
+                     F.explode(F.array(*ends)).alias("_e"))
+    marks = marks.select(*series, "_e.*", F.lit(0).alias("_one"), "_y")
+    both = events.unionByName(marks, allowMissingColumns=True)
+    ran = prefix_sum(both, series, ["_t", "_kind"], {"_n": F.col("_one")}, **layout).where("_kind != 0")
+    # Both ends of a response meet again; identical responses are counted and restored.
+    joined = ran.groupBy("_y").agg(
+        F.max(F.when(F.col("_kind") == 1, F.col("_n"))).alias("n_before"),
+        F.max(F.when(F.col("_kind") == -1, F.col("_n"))).alias("_lower"),
+        F.sum(F.when(F.col("_kind") == 1, 1)).alias("_copies"),
     )
+    joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return joined.select("_y.*", "n_before",
+                         (F.col("n_before") - F.coalesce("_lower", F.lit(0))).alias("n_within"))
