@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 # Smallest argument a logarithm of a model term may see.
 LOG_FLOOR = 1e-12
 STATISTICAL = ("c", "z", "s")
-_NESTED = re.compile(r"^\s*([A-Za-z0-9_]+?)\.?\((.+)\)\s*$")
+_NESTED = re.compile(r"^\s*([A-Za-z_]\w*(?:\.\d+)?)\.?\((.+)\)\s*$")
 _CONSTANT = re.compile(r"^(add|subtract|multiply|divide|pow)(\d+(?:[._]\d+)?)$")
 _FLOATING = ("double", "float")
 

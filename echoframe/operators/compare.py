@@ -56,12 +56,20 @@ def f1(df: DataFrame, obs: str, pred: str) -> DataFrame:
     )
 
 
+def common_models(tables: Sequence[DataFrame], model: str = "model") -> DataFrame:
+    """Names present in every experiment."""
+    out = tables[0].select(model)
+    for t in tables[1:]:
+        out = out.intersect(t.select(model))
+    return out.distinct()
+
+
 def correlations(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
     """Pearson r of every pair (a, b), all in one aggregation, kept within [-1, 1]."""
     pairs = [(a, b) for a in left for b in right]
     cells = [
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                 F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.corr(a, b))).alias("r"))
+                 F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.corr(f"`{a}`", f"`{b}`"))).alias("r"))
         for a, b in pairs
     ]
     return df.agg(F.array(*cells).alias("_c")).select(F.explode("_c").alias("_c")).select("_c.*")

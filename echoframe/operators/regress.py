@@ -58,18 +58,20 @@ def gram(df: DataFrame, columns: Sequence[str] | dict[str, Column], weight: str
     k = len(names)
     flat = df.select(*_doubles({f"_{i}": c for i, c in enumerate(exprs.values())}),
                      *([F.col(weight).cast("double").alias("_w")] if weight else []))
-    flat = flat.where(" and ".join(f"_{i} is not null and not isnan(_{i})" for i in range(k)))
+    # Incomplete rows are blanked inside the aggregates: a filter would be pushed below the projection
+    # and compute every (possibly costly) column a second time.
+    complete = F.expr(" and ".join(f"_{i} is not null and not isnan(_{i})" for i in range(k)))
+    x = [F.when(complete, F.col(f"_{i}")) for i in range(k)]
     if weight is None:
-        aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(f"_{i}").alias(f"m{i}") for i in range(k)]
-        aggs += [F.covar_pop(f"_{i}", f"_{j}").alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
+        aggs = [F.count(x[0]).alias("n")] + [F.avg(x[i]).alias(f"m{i}") for i in range(k)]
+        aggs += [F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
         row = flat.agg(*aggs).first()
         mean = np.array([row[f"m{i}"] for i in range(k)], dtype=float)
         cov = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
         return Gram(names, float(row["n"]), mean, cov)
-    w = F.col("_w")
-    aggs = [F.sum(w).alias("n")] + [F.sum(w * F.col(f"_{i}")).alias(f"m{i}") for i in range(k)]
-    aggs += [F.sum(w * F.col(f"_{i}") * F.col(f"_{j}")).alias(f"c{i}_{j}")
-             for i in range(k) for j in range(i, k)]
+    w = F.when(complete, F.col("_w"))
+    aggs = [F.sum(w).alias("n")] + [F.sum(w * x[i]).alias(f"m{i}") for i in range(k)]
+    aggs += [F.sum(w * x[i] * x[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
     row = flat.agg(*aggs).first()
     n = row["n"]
     mean = np.array([row[f"m{i}"] for i in range(k)]) / n
@@ -294,14 +296,24 @@ class MixedFit:
 
     def predict(self, df: DataFrame, into: str = "pred") -> DataFrame:
         """Population prediction plus the level's deviations; an unseen level gets none."""
-        eff = self.effects.withColumnRenamed(self.level, "_level")
-        joined = df.join(eff, df[self.level] == eff["_level"], "left")
+        names = [f"ranef_{r}" for r in self.random]
+        joined = lookup_effects(df, self.effects, self.level, names)
         pred = linear_predictor(self.fixed, self.intercept)
-        for name in self.random:
-            b = F.coalesce(F.col(f"`ranef_{name}`"), F.lit(0.0))
+        for name, col in zip(self.random, names):
+            b = F.col(f"`{col}`")
             pred = pred + (b if name == "intercept" else b * F.col(f"`{name}`").cast("double"))
-        keep = [F.col(f"`{c}`") for c in df.columns]
-        return joined.select(*keep, pred.alias(into))
+        return joined.select(*[F.col(f"`{c}`") for c in df.columns], pred.alias(into))
+
+
+def lookup_effects(df: DataFrame, effects: DataFrame, level: str, names: Sequence[str]) -> DataFrame:
+    """Attach the effects of each row's level, 0 where the level is unknown.
+
+    A plain left join: the optimiser broadcasts a small level table and splits skewed levels.
+    """
+    eff = effects.select(F.col(level).alias("_level"), *[F.col(f"`{n}`") for n in names])
+    joined = df.join(eff, df[level] == eff["_level"], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns],
+                         *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(n) for n in names])
 
 
 def level_statistics(df: DataFrame, features: Sequence[str], response: str, level: str) -> DataFrame:
@@ -428,16 +440,17 @@ class KernelFit:
 def candidate_scores(windowed: DataFrame, window: str, response: str, value: str,
                      candidates: dict[str, Kernel], response_time: str = "time") -> DataFrame:
     """Fit quality of several kernels for one predictor, all in one pass over the windows."""
-    feats = {n: weighted_sum(window, response_time, value, k) for n, k in candidates.items()}
-    table = windowed.select(F.col(response).cast("double").alias("_y"), *[c.alias(n) for n, c in feats.items()])
-    aggs = []
-    for n in feats:
-        aggs.append(F.struct(
+    feats = [weighted_sum(window, response_time, value, k).alias(f"_f{i}") for i, k in enumerate(candidates.values())]
+    table = windowed.select(F.col(response).cast("double").alias("_y"), *feats)
+    aggs = [
+        F.struct(
             F.lit(n).alias("candidate"),
-            F.regr_r2("_y", n).alias("r2"),
-            F.regr_slope("_y", n).alias("slope"),
-            F.regr_intercept("_y", n).alias("intercept"),
-        ))
+            F.regr_r2("_y", f"_f{i}").alias("r2"),
+            F.regr_slope("_y", f"_f{i}").alias("slope"),
+            F.regr_intercept("_y", f"_f{i}").alias("intercept"),
+        )
+        for i, n in enumerate(candidates)
+    ]
     return table.agg(F.array(*aggs).alias("_a")).select(F.explode("_a").alias("_a")).select("_a.*")
 
 
@@ -577,15 +590,14 @@ def fit_kernels(
 def kernels_by_level(windowed: DataFrame, window: str, response: str, value: str, level: str,
                      candidates: dict[str, Kernel], response_time: str = "time") -> DataFrame:
     """By-level kernel shapes: the best of a grid for each level, in one aggregation."""
-    feats = {n: weighted_sum(window, response_time, value, k) for n, k in candidates.items()}
-    table = windowed.select(level, F.col(response).cast("double").alias("_y"),
-                            *[c.alias(n) for n, c in feats.items()])
+    feats = [weighted_sum(window, response_time, value, k).alias(f"_f{i}") for i, k in enumerate(candidates.values())]
+    table = windowed.select(level, F.col(response).cast("double").alias("_y"), *feats)
     scored = table.groupBy(level).agg(
         F.count(F.lit(1)).alias("n"),
-        F.array(*[F.struct(F.coalesce(F.regr_r2("_y", n), F.lit(-1.0)).alias("r2"),
+        F.array(*[F.struct(F.coalesce(F.regr_r2("_y", f"_f{i}"), F.lit(-1.0)).alias("r2"),
                            F.lit(-i).alias("order"), F.lit(n).alias("candidate"),
-                           F.regr_slope("_y", n).alias("slope"))
-                  for i, n in enumerate(feats)]).alias("_all"),
+                           F.regr_slope("_y", f"_f{i}").alias("slope"))
+                  for i, n in enumerate(candidates)]).alias("_all"),
     )
     return scored.select(level, "n", F.array_max("_all").alias("_b")).select(
         level, "n", "_b.candidate", "_b.r2", "_b.slope")
