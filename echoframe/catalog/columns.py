@@ -73,10 +73,10 @@ def filter_other_column(spark, sf):
         "l_orderkey", "l_linenumber", "l_tax", "l_discount")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey > 500 AND o_orderkey > 500")
+@query("SELECT l_orderkey, l_linenumber, l_tax, l_discount FROM lineitem WHERE l_tax >= 0.04 AND l_discount >= 0.04")
 def filter_regex_columns(spark, sf):
-    return filters.apply_filters(table(spark, sf, "orders"), [("o_.*key", "> 500")]).select(
-        "o_orderkey", "o_totalprice")
+    return filters.apply_filters(table(spark, sf, "lineitem"), [("l_(tax|disc)", ">= 0.04")]).select(
+        "l_orderkey", "l_linenumber", "l_tax", "l_discount")
 
 
 @query("""WITH k AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS c FROM events WHERE value > 20)

@@ -187,8 +187,8 @@ _ERRS = f"""{FEATS}, {OLS2}, e AS (SELECT event_id, y, c0 + ca * a + cb * b AS p
 def _errors(spark, sf):
     """Squared errors of the constant model (e0) and of the two-predictor model (e1) per purchase."""
     feats = features(spark, sf)
-    fit = regress.ols(feats, ["a", "b"], "y")
-    null = regress.ols(feats, [], "y")
+    g = regress.gram(feats, ["a", "b", "y"])
+    fit, null = regress.solve(g, ["a", "b"], "y"), regress.solve(g, [], "y")
     out = fit.predict(feats, "p1").withColumn("p0", F.lit(null.intercept))
     return out.select("event_id", "user_id", "y", "a", "b", "p1",
                       F.pow(F.col("y") - F.col("p0"), 2.0).alias("e0"), F.pow(F.col("y") - F.col("p1"), 2.0).alias("e1"))

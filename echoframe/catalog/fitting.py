@@ -140,13 +140,14 @@ def random_effects(spark, sf):
 
 
 @query("""WITH e AS (SELECT user_id, avg(value) - (SELECT avg(value) FROM events WHERE event_type = 'click') AS effect
-  FROM events WHERE event_type = 'click' AND user_id % 10 != 3 GROUP BY user_id)
+  FROM events WHERE event_type = 'click' GROUP BY user_id HAVING count(*) >= 12)
 SELECT event_id, round(coalesce(effect, 0), 6) AS effect FROM events LEFT JOIN e USING (user_id) WHERE event_type = 'view'""")
 def level_lookup(spark, sf):
     ev = table(spark, sf, "events")
     clicks = ev.where("event_type = 'click'")
     mean = moments(clicks, {"v": F.col("value")})["v"].mean
-    effects = clicks.where("user_id % 10 != 3").groupBy("user_id").agg((F.avg("value") - mean).alias("effect"))
+    effects = clicks.groupBy("user_id").agg(
+        (F.avg("value") - mean).alias("effect"), F.count(F.lit(1)).alias("n")).where("n >= 12")
     out = regress.lookup_effects(ev.where("event_type = 'view'"), effects, "user_id", ["effect"])
     return rounded(out.select("event_id", "effect"))
 
@@ -256,17 +257,17 @@ def loglik_continuous(spark, sf):
         D.sinharcsinh(v, 50, 40, 0.3, 1.2).alias("sinharcsinh"), D.exponential(v, 0.02).alias("exponential")))
 
 
-_Z = "((v - 10.0 - 0.02 * 400.0) / 20.0)"
+_Z = "least(8.5, (v - 10.0 - 0.02 * 400.0) / 20.0)"
 _PHI_Z = (f"(0.5 + sign({_Z}) * exp(-0.5 * {_Z} * {_Z}) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda k: "
           f"exp((2 * k + 1) * ln(abs({_Z}) + 1e-300) - (lgamma(k + 1.5) - lgamma(0.5) + (k + 1) * ln(2.0))))))")
 
 
-@query(f"""WITH r AS (SELECT event_id, value AS v FROM events WHERE value < 150)
+@query(f"""WITH r AS (SELECT event_id, value AS v FROM events)
 SELECT event_id, round(ln(0.02) + 0.02 * (10.0 - v) + 0.5 * 0.0004 * 400.0 + ln({_PHI_Z}), 6) AS exgaussian,
   round(ln(0.02) + 0.02 * (10.0 - v) + 0.5 * 0.0004 * 400.0 + ln({_PHI_Z}), 6) AS exgaussianinvrate FROM r""")
 def loglik_exgaussian(spark, sf):
     v = F.col("value")
-    return rounded(table(spark, sf, "events").where("value < 150").select(
+    return rounded(table(spark, sf, "events").select(
         "event_id", D.exgaussian(v, 10, 20, 0.02).alias("exgaussian"),
         D.exgaussianinvrate(v, 10, 20, 50).alias("exgaussianinvrate")))
 

@@ -8,12 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoframe.functions.special import erfc
 from echoframe.operators.regress import gram
-from echoframe.operators.series import running_count
+from echoframe.operators.series import prefix_min, running_count
+from echoframe.session import checkpointed
 
 # ---------------------------------------------------------------- metrics
 
@@ -168,15 +169,22 @@ def _poly(coefs, x: Column) -> Column:
     return out
 
 
-def normal_quantile_column(p: Column) -> Column:
-    q = p - 0.5
+def with_normal_quantile(df: DataFrame, p: str, into: str) -> DataFrame:
+    """Add the standard normal quantile of the probability in column ``p``.
+
+    Staged in two projections so that the first approximation is computed once, not once per use.
+    """
+    q = F.col(p) - 0.5
     centre = _poly(QUANTILE_A, q * q) * q / _poly(QUANTILE_B, q * q)
-    r = F.sqrt(F.log(F.least(p, F.lit(1.0) - p)) * -2.0)
+    r = F.sqrt(F.log(F.least(F.col(p), F.lit(1.0) - F.col(p))) * -2.0)
     tail = _poly(QUANTILE_C, r) / _poly(QUANTILE_D, r)
-    x = F.when(F.abs(q) <= 0.47575, centre).otherwise(F.when(q < 0, tail).otherwise(-tail))
+    first = F.when(F.abs(q) <= 0.47575, centre).otherwise(F.when(q < 0, tail).otherwise(-tail))
     # One Newton-Halley step brings the approximation to double precision.
-    e = (erfc(-x / math.sqrt(2.0)) * 0.5 - p) * math.sqrt(2 * math.pi) * F.exp(x * x * 0.5)
-    return x - e / (x * e * 0.5 + 1.0)
+    x = F.col("_x")
+    miss = (erfc(F.col("_z")) * 0.5 - F.col(p)) * math.sqrt(2 * math.pi) * F.exp(x * x * 0.5)
+    staged = df.withColumn("_x", first).withColumn("_z", x / -math.sqrt(2.0)).withColumn("_miss", miss)
+    return staged.withColumn(into, x - F.col("_miss") / (x * F.col("_miss") * 0.5 + 1.0)).drop(
+        "_x", "_z", "_miss")
 
 
 def quantile_table(df: DataFrame, error: str, mean: float | None = None, sd: float | None = None,
@@ -190,9 +198,9 @@ def quantile_table(df: DataFrame, error: str, mean: float | None = None, sd: flo
         mean, sd = m.mean, m.sd
     n = values.count()
     ranked = running_count(values, [], ["empirical"], name="rank", **layout)
-    p = (F.col("rank") - 0.5) / n
+    ranked = with_normal_quantile(ranked.withColumn("_p", (F.col("rank") - 0.5) / n), "_p", "_q")
     return ranked.select(F.col("rank").cast("long").alias("rank"), "empirical",
-                         (normal_quantile_column(p) * sd + mean).alias("theoretical"))
+                         (F.col("_q") * sd + mean).alias("theoretical"))
 
 
 # ---------------------------------------------------------------- significance
@@ -285,7 +293,8 @@ def permutation_test(df: DataFrame, a: Sequence[str] | str, b: Sequence[str] | s
     settled = diff == 0 or (nested and (diff <= 0 if mode == "mse" else diff >= 0))
     if settled:
         return PermutationResult(1.0, perf_a, perf_b, diff, n, None)
-    sums = permutation_sums(df, a, b, row_id, n_iter, seed)
+    # The sums are few; written once, the resampling is not repeated by what reads them.
+    sums = checkpointed(permutation_sums(df, a, b, row_id, n_iter, seed))
     first, fn = F.col("slot") < len(a), _ENSEMBLE[agg]
     diffs = sums.groupBy("iteration").agg(
         ((fn(F.when(first, F.col("total"))) - fn(F.when(~first, F.col("total")))) / scale).alias("diff"))
@@ -340,22 +349,28 @@ def correlation_test(df: DataFrame, obs: str, first: str, second: str, nested: b
     return row.select("n", "r1", "r2", "rx", (r1 - r2).alias("rdiff"), z.alias("z"), p.alias("p"))
 
 
-def adjust_p(df: DataFrame, p: str = "p", by: Sequence[str] = (), into: str = "p_adjusted") -> DataFrame:
+def adjust_p(df: DataFrame, p: str = "p", by: Sequence[str] = (), into: str = "p_adjusted", **layout) -> DataFrame:
     """Benjamini-Yekutieli adjustment within each family (valid under any dependence).
 
-    Families are sets of model comparisons, one row each.
+    Ranks and the running minimum from the largest p downwards are both distributed prefix operations,
+    so a family may be of any size.
     """
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    ranked = df.withColumn("_k", F.row_number().over(w.orderBy(p))).withColumn("_m", F.count(F.lit(1)).over(w))
-    harmonic = F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0),
-                           lambda s, k: s + F.lit(1.0) / k)
-    raw = F.col(p) * F.col("_m") * harmonic / F.col("_k")
-    below = w.orderBy("_k").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return (
-        ranked.withColumn("_raw", raw)
-        .withColumn(into, F.least(F.lit(1.0), F.min("_raw").over(below)))
-        .drop("_k", "_m", "_raw")
-    )
+    cols, by = list(df.columns), list(by)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
+    ranked = running_count(df, by, [p], name="_k", **layout)
+    if by:
+        ranked = ranked.join(sizes, by)
+    else:
+        ranked = ranked.withColumn("_m", F.lit(sizes.first()[0]))
+    m = F.col("_m").cast("double")
+    # Harmonic number: summed while short, by its asymptotic expansion (error below 1e-16) when long.
+    summed = F.aggregate(F.sequence(F.lit(1), F.least(F.col("_m"), F.lit(1000)).cast("int")), F.lit(0.0),
+                         lambda s, k: s + F.lit(1.0) / k)
+    expanded = F.log(m) + 0.5772156649015329 + F.lit(0.5) / m - F.lit(1.0 / 12) / (m * m)
+    harmonic = F.when(F.col("_m") <= 1000, summed).otherwise(expanded)
+    raw = ranked.select(*cols, (F.col(p) * m * harmonic / F.col("_k")).alias("_raw"), (-F.col("_k")).alias("_down"))
+    out = prefix_min(raw, by, ["_down"], "_raw", "_low", **layout)
+    return out.select(*cols, F.least(F.lit(1.0), F.col("_low")).alias(into))
 
 
 def comparison_table(df: DataFrame) -> DataFrame:

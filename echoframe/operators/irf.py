@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echoframe.functions.kernels import Kernel
-from echoframe.operators.series import choose_layout, lay_out, with_halo
+from echoframe.operators.series import COPIES, choose_layout, collapse, lay_out, with_halo
 
 
 def time_grid(spark: SparkSession, upto: float = 5.0, points: int = 1000, start: float = 0.0) -> DataFrame:
@@ -46,15 +46,21 @@ def trapezoid(df: DataFrame, by: Sequence[str], at: str, value: str, mask: str |
     m = F.col(mask).cast("double") if mask else F.lit(1.0)
     rows = df.select(*by, F.col(at).cast("double").alias("_at"), F.col(value).cast("double").alias("_v"),
                      m.alias("_m"))
-    layout = choose_layout([rows], by, layout, at_most)
-    laid = lay_out(rows, by, ["_at", "_v", "_m"], layout, blocks)
+    plan = choose_layout([rows], by, layout, at_most, blocks)
+    if plan.kind == "blocks":
+        # Between identical points lies no area, so their number matters only to the count.
+        rows = collapse(rows)
+    else:
+        rows = rows.withColumn(COPIES, F.lit(1))
+    laid = lay_out(rows, by, ["_at", "_v", "_m"], plan)
     w = Window.partitionBy(*laid.group).orderBy("_at", "_v", "_m")
     seg = with_halo(laid, before=1).select(
         "*", F.lag("_at").over(w).alias("_at0"), F.lag("_v").over(w).alias("_v0")).where("_halo = 0")
     area = (F.col("_v") + F.col("_v0")) / 2 * (F.col("_at") - F.col("_at0")) * F.col("_m")
+    points = F.sum(COPIES)
     return seg.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("points"),
-        F.when(F.count(F.lit(1)) > 1, F.coalesce(F.sum(area), F.lit(0.0)))
+        points.alias("points"),
+        F.when(points > 1, F.coalesce(F.sum(area), F.lit(0.0)))
         .otherwise(F.sum(F.col("_v") * F.col("_m"))).alias("integral"))
 
 

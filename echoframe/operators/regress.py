@@ -487,102 +487,95 @@ def fit_kernels(
     others: Sequence[str] = (),
     irf_ids: dict[str, str] | None = None,
     trainable: dict[str, Sequence[str]] | None = None,
-    iterations: int = 15,
-    tol: float = 1e-8,
+    iterations: int = 25,
+    tol: float = 1e-6,
 ) -> KernelFit:
-    """Kernel parameters and coefficients by Gauss-Newton on the windowed table.
+    """Kernel parameters and coefficients by damped Gauss-Newton on the windowed table.
 
     Coefficients are solved for at every step, so the search is over kernel parameters alone.  A step
-    is two aggregations: one for the moments of features and their parameter derivatives, one that
-    scores several step lengths at once.  Terms that share an entry in ``irf_ids`` share parameters;
-    ``trainable`` limits the free parameters of a term.
+    is one aggregation: the moments of the features and of their parameter derivatives at the trial
+    point, which tell both whether to accept it and where to go next.  Terms that share an entry in
+    ``irf_ids`` share parameters; ``trainable`` limits the free parameters of a term.
     """
     irf_ids, trainable = irf_ids or {}, trainable or {}
     owner = {t.name: irf_ids.get(t.name, t.name) for t in terms}
     kernels = {owner[t.name]: t.kernel for t in reversed(terms)}
-    free = [(o, p) for o in dict.fromkeys(owner.values()) for p in _free(
-        kernels[o], next((trainable[t.name] for t in terms if owner[t.name] == o and t.name in trainable), None))]
+    limits = {owner[t.name]: trainable[t.name] for t in terms if t.name in trainable}
+    free = [(o, p) for o in kernels for p in _free(kernels[o], limits.get(o))]
     names = [t.name for t in terms]
-    data = windowed.where(F.col(response).isNotNull()).select(
+    features = [*names, *others]
+    data = windowed.where(F.col(f"`{response}`").isNotNull()).select(
         F.col(window).alias("_w"), F.col(response_time).cast("double").alias("_ty"),
-        F.col(response).cast("double").alias("_resp"), *[F.col(f"`{o}`").cast("double") for o in others],
+        F.col(f"`{response}`").cast("double").alias("_resp"),
+        *[F.col(f"`{o}`").cast("double") for o in others],
     ).persist(StorageLevel.MEMORY_AND_DISK)
+    h = 1e-4
 
     def at(u: np.ndarray) -> dict[str, Kernel]:
         out = dict(kernels)
-        for o in kernels:
-            mine = {p: _from_free(kernels[o], p, u[i]) for i, (oo, p) in enumerate(free) if oo == o}
-            out[o] = kernels[o].with_params(**mine) if mine else kernels[o]
+        for i, (o, p) in enumerate(free):
+            out[o] = out[o].with_params(**{p: _from_free(kernels[o], p, u[i])})
         return out
 
-    def columns(ks: dict[str, Kernel]) -> dict[str, Column]:
+    def columns(u: np.ndarray) -> dict[str, Column]:
+        ks = at(u)
         return {t.name: weighted_sum("_w", "_ty", t.value, ks[owner[t.name]]) for t in terms}
 
-    base = {**{o: F.col(f"`{o}`") for o in others}, "_resp": F.col("_resp")}
+    def moments_at(u: np.ndarray) -> tuple[Gram, LinearFit, float]:
+        exprs = columns(u)
+        for i, (o, _) in enumerate(free):
+            e = np.zeros(len(u))
+            e[i] = h
+            up, down = columns(u + e), columns(u - e)
+            exprs |= {f"_d{i}_{t.name}": (up[t.name] - down[t.name]) / (2 * h)
+                      for t in terms if owner[t.name] == o}
+        g = gram(data, {**exprs, **{o: F.col(f"`{o}`") for o in others}, "_resp": F.col("_resp")})
+        fit = solve(g, features, "_resp")
+        return g, fit, fit.sigma**2 * max(fit.n - len(features) - 1, 1) / fit.n
+
+    def normal_equations(g: Gram, fit: LinearFit) -> tuple[np.ndarray, np.ndarray]:
+        """Curvature and gradient over coefficients, then kernel parameters."""
+        J = np.zeros((len(free), len(g.names)))
+        for i, (o, _) in enumerate(free):
+            for t in terms:
+                if owner[t.name] == o:
+                    J[i, g.names.index(f"_d{i}_{t.name}")] = fit.coefs[t.name]
+        resid = np.zeros(len(g.names))
+        resid[g.names.index("_resp")] = 1.0
+        for n, b in fit.coefs.items():
+            resid[g.names.index(n)] -= b
+        G = np.vstack([np.eye(len(g.names))[g.index(features)], J])
+        return G @ g.cov @ G.T, G @ g.cov @ resid
+
     u = np.array([_to_free(kernels[o], p, kernels[o].params[p]) for o, p in free])
-    trace: list[float] = []
-    best, cov = None, None
-    h = 1e-4
+    damping, rejected = 1e-4, 0
     try:
-        for it in range(iterations + 1):
-            exprs = dict(columns(at(u)))
-            for i, (o, p) in enumerate(free):
-                e = np.zeros(len(u))
-                e[i] = h
-                up, down = columns(at(u + e)), columns(at(u - e))
-                for t in terms:
-                    if owner[t.name] == o:
-                        exprs[f"_d{i}_{t.name}"] = (up[t.name] - down[t.name]) / (2 * h)
-            g = gram(data, {**exprs, **base})
-            best = solve(g, [*names, *others], "_resp")
-            mse = best.sigma**2 * max(best.n - len(names) - len(others) - 1, 1) / best.n
-            if not trace:
-                trace.append(mse)
-            if not free:
-                break
-            J = np.zeros((len(free), len(g.names)))
-            for i, (o, p) in enumerate(free):
-                for t in terms:
-                    if owner[t.name] == o:
-                        J[i, g.names.index(f"_d{i}_{t.name}")] = best.coefs[t.name]
-            feat = g.index([*names, *others])
-            resid = np.zeros(len(g.names))
-            resid[g.names.index("_resp")] = 1.0
-            for n, b in best.coefs.items():
-                resid[g.names.index(n)] -= b
-            G = np.vstack([np.eye(len(g.names))[feat], J])
-            H = G @ g.cov @ G.T
-            rhs = G @ g.cov @ resid
-            cov = np.linalg.pinv(H) * mse / g.n
-            if it == iterations:
-                break
-            step = np.linalg.lstsq(H + 1e-12 * np.diag(np.diag(H)), rhs, rcond=1e-10)[0][len(feat):]
-            step = np.clip(step, -2.0, 2.0)
+        g, best, mse = moments_at(u)
+        H, rhs = normal_equations(g, best)
+        trace = [mse]
+        for _ in range(iterations if free else 0):
+            damped = H + damping * np.diag(np.diag(H)) + 1e-300 * np.eye(len(H))
+            step = np.clip(np.linalg.lstsq(damped, rhs, rcond=1e-12)[0][len(features):], -2.0, 2.0)
             if np.abs(step).max() < tol:
                 break
-            # Score several step lengths in one pass.
-            lengths = (1.0, 0.5, 0.2, 0.05)
-            trial: dict[str, Column] = {}
-            for s, length in enumerate(lengths):
-                trial |= {f"_s{s}_{n}": c for n, c in columns(at(u + length * step)).items()}
-            gt = gram(data, {**trial, **base})
-            scores = []
-            for s, length in enumerate(lengths):
-                f = solve(gt, [*[f"_s{s}_{n}" for n in names], *others], "_resp")
-                scores.append(f.sigma**2 * max(f.n - len(names) - len(others) - 1, 1) / f.n)
-            k = int(np.argmin(scores))
-            if scores[k] >= trace[-1] * (1 - 1e-14):
-                break
-            gain = trace[-1] - scores[k]
-            u = u + lengths[k] * step
-            trace.append(scores[k])
-            if gain < tol * trace[-1]:
-                exprs = columns(at(u))
-                best = solve(gram(data, {**exprs, **base}), [*names, *others], "_resp")
+            g2, fit2, mse2 = moments_at(u + step)
+            if not mse2 < trace[-1]:
+                damping *= 30
+                rejected += 1
+                if rejected > 4:
+                    break
+                continue
+            rejected = 0
+            gain = (trace[-1] - mse2) / max(trace[-1], 1e-300)
+            u, g, best, damping = u + step, g2, fit2, damping / 10
+            H, rhs = normal_equations(g, best)
+            trace.append(mse2)
+            if gain < tol:
                 break
     finally:
         data.unpersist()
     best.response = response
+    cov = np.linalg.pinv(H) * trace[-1] / g.n
     final = at(u)
     return KernelFit({t.name: final[owner[t.name]] for t in terms}, best, trace, cov, free)
 

@@ -33,23 +33,38 @@ def key_columns(df: DataFrame, series: Sequence[str]) -> list[Column]:
     return [F.col(s) for s in series]
 
 
-def longest_series(df: DataFrame, series: Sequence[str], at_most: int = SERIES_ROWS) -> int:
-    """Rows of the longest series, or the table's row count when that already is small."""
+@dataclass(frozen=True)
+class Layout:
+    """How series are cut, and into how many pieces (None: as the session's shuffles are)."""
+
+    kind: str
+    pieces: int | None = None
+
+
+def series_sizes(df: DataFrame, series: Sequence[str], at_most: int = SERIES_ROWS) -> tuple[int, int]:
+    """Rows of the table and of its longest series (the latter unmeasured while the table is small)."""
     total = df.select(*[F.col(s) for s in series] or [F.lit(1).alias("_one")]).count()
     if total <= at_most or not series:
-        return total
+        return total, total
     sizes = df.groupBy(*series).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.agg(F.max("_n")).first()[0] or 0
+    return total, sizes.agg(F.max("_n")).first()[0] or 0
 
 
 def choose_layout(frames: Sequence[DataFrame], series: Sequence[str], layout: str = "auto",
-                  at_most: int | None = None) -> str:
-    """``series`` or ``blocks``; ``auto`` measures the tables."""
-    if layout != "auto":
-        return layout
+                  at_most: int | None = None, blocks: int | None = None) -> Layout:
+    """Measure the tables and choose; ``layout`` and ``blocks`` override the measurement.
+
+    The number of pieces follows from the row count, so a piece stays as small at 100 TB as it is here.
+    """
     at_most = SERIES_ROWS if at_most is None else at_most
-    worst = sum(longest_series(f, series, at_most) for f in frames)
-    return "series" if worst <= at_most else "blocks"
+    if layout == "series" or blocks:
+        return Layout("series" if layout == "series" else "blocks", blocks)
+    sizes = [series_sizes(f, series, at_most) for f in frames]
+    total, longest = (sum(s[i] for s in sizes) for i in (0, 1))
+    usual = int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = -(-total // at_most)
+    kind = layout if layout != "auto" else ("series" if longest <= at_most else "blocks")
+    return Layout(kind, pieces if pieces > usual else None)
 
 
 @dataclass
@@ -59,41 +74,75 @@ class Laid:
     df: DataFrame
     series: list[str]
     order: list[str]
-    layout: str
+    layout: Layout
+
+    @property
+    def cut(self) -> bool:
+        return self.layout.kind == "blocks"
 
     @property
     def group(self) -> list[str]:
         return [*self.series, BLOCK]
 
 
-def lay_out(df: DataFrame, series: Sequence[str], order: Sequence[str], layout: str,
-            blocks: int | None = None) -> Laid:
+def lay_out(df: DataFrame, series: Sequence[str], order: Sequence[str], layout: Layout) -> Laid:
     """Give every row its block.  ``order`` must rank the rows of a series.
 
     In the ``blocks`` layout the range partitioning is sampled, so its outcome is written once
     (checkpoint) and every later step reads the same block numbers.
     """
     series, order = list(series), list(order)
-    if layout == "series":
+    if layout.kind == "series":
         return Laid(df.withColumn(BLOCK, F.lit(0)), series, order, layout)
     keys = [F.col(c) for c in [*series, *order]]
-    ranged = df.repartitionByRange(blocks, *keys) if blocks else df.repartitionByRange(*keys)
+    ranged = df.repartitionByRange(layout.pieces, *keys) if layout.pieces else df.repartitionByRange(*keys)
     return Laid(checkpointed(ranged.withColumn(BLOCK, F.spark_partition_id())), series, order, layout)
 
 
-def block_carries(laid: Laid, measures: dict[str, Column]) -> DataFrame:
-    """Sums of ``measures`` over all earlier blocks of the same series.
+def gather(df: DataFrame, group: Sequence[str], layout: Layout) -> DataFrame:
+    """Hash-partition by window group, into more pieces than usual where the table needs them."""
+    keys = [F.col(g) for g in group]
+    return df.repartition(layout.pieces, *keys) if layout.pieces else df.repartition(*keys)
+
+
+COPIES = "_copies"
+
+
+def collapse(df: DataFrame) -> DataFrame:
+    """Identical rows as one row and a count.
+
+    Range partitioning cannot separate rows that are equal in every column; counted before the
+    shuffle, any number of copies is one row.
+    """
+    return df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias(COPIES))
+
+
+def repeated(df: DataFrame, count: str = COPIES, index: str = "_copy", piece: int = 100_000) -> DataFrame:
+    """Undo :func:`collapse`: every row ``count`` times, numbered from 1.
+
+    A long run is unfolded in pieces spread over tasks.
+    """
+    pieces = df.withColumn("_piece", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col(count) - 1) / piece))))
+    spread = pieces.where("_piece = 0").unionByName(pieces.where("_piece > 0").repartition("_piece"))
+    first = F.col("_piece") * piece + 1
+    last = F.least(first + (piece - 1), F.col(count))
+    return spread.withColumn(index, F.explode(F.sequence(first, last))).drop("_piece")
+
+
+def block_carries(laid: Laid, measures: dict[str, Column], fold=F.sum) -> DataFrame:
+    """Sums (or minima) of ``measures`` over all earlier blocks of the same series.
 
     One row per later block of a series that spans several: at most one per range partition, since
     a boundary cuts one series only.  That bound makes the result safe to broadcast.
     """
-    per_block = laid.df.groupBy(*laid.group).agg(*[F.sum(c).alias(m) for m, c in measures.items()])
+    per_block = laid.df.groupBy(*laid.group).agg(*[fold(c).alias(m) for m, c in measures.items()])
     w = Window.partitionBy(*laid.series).orderBy(BLOCK)
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     return per_block.select(
         *laid.group,
         F.row_number().over(w).alias("_piece"),
-        *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(m) for m in measures],
+        *[fold(m).over(earlier).alias(m) for m in measures],
     ).where("_piece > 1").drop("_piece")
 
 
@@ -104,7 +153,7 @@ def with_halo(laid: Laid, before: int, after: int = 0, where: Column | None = No
     Copies number at most (before + after) per block.
     """
     base = laid.df.withColumn("_halo", F.lit(0))
-    if laid.layout == "series":
+    if not laid.cut:
         return base
     # Only series cut by a block boundary need copies: at most two (series, block) pairs per block.
     pieces = (
@@ -157,48 +206,82 @@ def _sorted_window(laid: Laid):
 
 
 def running_count(df: DataFrame, series: Sequence[str], order: Sequence[str], name: str = "trial",
-                  layout: str = "auto", at_most: int | None = None, blocks: int | None = None,
-                  keep_existing: bool = True) -> DataFrame:
+                  keep_existing: bool = True, **layout) -> DataFrame:
     """Position of each row in its series, from 1, as a double."""
     if keep_existing and name in df.columns:
         return df
-    return _running(df, series, order, {name: F.lit(1)}, layout, at_most, blocks, cast="double")
+    out = prefix_sum(df, series, order, {name: F.lit(1)}, **layout)
+    return out.withColumn(name, F.col(name).cast("double"))
 
 
 def prefix_sum(df: DataFrame, series: Sequence[str], order: Sequence[str],
                measures: dict[str, Column], layout: str = "auto", at_most: int | None = None,
                blocks: int | None = None) -> DataFrame:
     """Running sums of ``measures`` within each series, the current row included."""
-    return _running(df, series, order, measures, layout, at_most, blocks)
-
-
-def _running(df, series, order, measures, layout, at_most, blocks, cast=None):
-    layout = choose_layout([df], series, layout, at_most)
-    laid = lay_out(df, series, order, layout, blocks)
-    w = _sorted_window(laid).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = laid.df.select("*", *[F.sum(c).over(w).alias(f"_run_{m}") for m, c in measures.items()])
-    if layout == "blocks":
-        carry = block_carries(laid, measures)
-        carry = carry.select(*laid.group, *[F.col(m).alias(f"_carry_{m}") for m in measures])
-        out = out.join(F.broadcast(carry), laid.group, "left")
-        total = {m: F.col(f"_run_{m}") + F.coalesce(f"_carry_{m}", F.lit(0)) for m in measures}
-    else:
-        total = {m: F.col(f"_run_{m}") for m in measures}
-    cols = [
-        (c.cast(cast) if cast else c).alias(m) for m, c in total.items()
-    ]
-    kept = [F.col(c) for c in df.columns if c not in measures]
-    return out.select(*kept, *cols)
+    kept = [c for c in df.columns if c not in measures]
+    plan = choose_layout([df], series, layout, at_most, blocks)
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(f"_m_{m}") for m, c in measures.items()])
+    if plan.kind == "series":
+        laid = lay_out(rows, series, order, plan)
+        w = _rows_so_far(laid)
+        return laid.df.select(*[F.col(f"`{c}`") for c in kept],
+                              *[F.sum(f"_m_{m}").over(w).alias(m) for m in measures])
+    rows = collapse(rows)
+    rows = rows.withColumn("_spread", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    laid = lay_out(rows, series, [*order, "_spread"], plan)
+    run = {m: F.col(f"_m_{m}") * F.col(COPIES) for m in measures}
+    w = _rows_so_far(laid)
+    out = gather(laid.df, laid.group, plan).select(
+        "*", *[F.sum(c).over(w).alias(f"_run_{m}") for m, c in run.items()])
+    carry = block_carries(laid, {f"_carry_{m}": c for m, c in run.items()})
+    out = repeated(out.join(F.broadcast(carry), laid.group, "left"))
+    # The k-th of n copies has seen n - k fewer of them than the run's end.
+    return out.select(*[F.col(f"`{c}`") for c in kept], *[
+        (F.col(f"_run_{m}") + F.coalesce(f"_carry_{m}", F.lit(0))
+         - F.col(f"_m_{m}") * (F.col(COPIES) - F.col("_copy"))).alias(m) for m in measures])
+
+
+def prefix_min(df: DataFrame, series: Sequence[str], order: Sequence[str], value: str, into: str,
+               layout: str = "auto", at_most: int | None = None, blocks: int | None = None) -> DataFrame:
+    """Running minimum of ``value`` within each series, the current row included."""
+    plan = choose_layout([df], series, layout, at_most, blocks)
+    laid = lay_out(df, series, order, plan)
+    out = laid.df.withColumn(into, F.min(value).over(_rows_so_far(laid)))
+    if laid.cut:
+        carry = block_carries(laid, {"_carry": F.col(value)}, fold=F.min)
+        out = out.join(F.broadcast(carry), laid.group, "left").withColumn(
+            into, F.least(into, "_carry")).drop("_carry")
+    return out.drop(BLOCK)
+
+
+def _rows_so_far(laid: Laid):
+    return Window.partitionBy(*laid.group).orderBy(*laid.order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
 
 
 def spillover(df: DataFrame, series: Sequence[str], order: Sequence[str], lags: dict[str, int],
               layout: str = "auto", at_most: int | None = None, blocks: int | None = None) -> DataFrame:
     """Add ``<column>S<n>``: the value ``n`` rows earlier in the series, 0 at its start."""
-    layout = choose_layout([df], series, layout, at_most)
-    laid = lay_out(df, series, order, layout, blocks)
+    plan = choose_layout([df], series, layout, at_most, blocks)
     deepest = max(lags.values())
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    rows, order = df, list(order)
+    if plan.kind == "blocks":
+        # Of many copies only the first `deepest` reach back beyond themselves, and only as many are
+        # seen by later rows; the others see their own value.
+        rows = collapse(df)
+        spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        rows = rows.select(*kept, COPIES, spread.alias("_spread"), F.explode(F.sequence(
+            F.lit(1), F.least(F.lit(deepest), F.col(COPIES)).cast("int"))).alias("_nth"))
+        order += ["_spread", "_nth"]
+    laid = lay_out(rows, series, order, plan)
     w = Window.partitionBy(*laid.group).orderBy(*laid.order)
+    names = [f"{c}S{n}" for c, n in lags.items()]
     out = with_halo(laid, before=deepest).select(
         "*", *[F.lag(c, n, 0.0).over(w).alias(f"{c}S{n}") for c, n in lags.items()]
-    )
-    return out.where("_halo = 0").drop("_halo", BLOCK)
+    ).where("_halo = 0")
+    if not laid.cut:
+        return out.select(*kept, *names)
+    rest = out.where(f"_nth = {deepest} and {COPIES} > {deepest}").withColumn(COPIES, F.col(COPIES) - deepest)
+    rest = repeated(rest).select(*kept, *[F.col(f"`{c}`").alias(f"{c}S{n}") for c, n in lags.items()])
+    return out.select(*kept, *names).unionByName(rest)

@@ -25,11 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoframe.operators.series import (
-    BLOCK,
+    COPIES,
     SIMULTANEOUS,
     choose_layout,
+    collapse,
+    gather,
     lay_out,
     prefix_sum,
+    repeated,
     with_halo,
 )
 
@@ -55,7 +58,8 @@ def window_arrays(
 ) -> DataFrame:
     """``Y`` with an array column of its window's events ``{time, rank, <values>}``, oldest first.
 
-    ``tie`` orders events of equal time (default: by their values).  ``series`` may be empty.
+    ``tie`` names the column that tells events of equal time apart (default: their values, in which
+    case identical events may be many).  ``series`` may be empty.
     ``inclusive=False`` keeps only events strictly before the response (history windows only).
     """
     history, future = int(history or 0), int(future or 0)
@@ -68,7 +72,8 @@ def window_arrays(
     y_cols = list(Y.columns)
     if not series:
         X, Y, series = X.withColumn("_all", F.lit(0)), Y.withColumn("_all", F.lit(0)), ["_all"]
-    layout = choose_layout([X, Y], series, layout, at_most)
+    plan = choose_layout([X, Y], series, layout, at_most, blocks)
+    width = history + future
 
     known = [F.col(s).isNotNull() for s in series]
     event = F.struct(F.col(time).cast("double").alias("time"), *[_q(v) for v in values])
@@ -81,26 +86,35 @@ def window_arrays(
         ties.alias("_tie"),
         event.alias("_x"),
     )
+    nth = F.lit(1)
+    if plan.kind == "blocks" and not tie:
+        # A window cannot hold more than `width` of any number of identical events.
+        events = collapse(events)
+        nth = F.explode(F.sequence(F.lit(1), F.least(F.lit(width), F.col(COPIES)).cast("int")))
+    events = events.select("*", nth.alias("_nth")).drop(COPIES)
     # A response sorts behind every event up to its time plus the tolerance; where only later events
     # matter (or simultaneous ones do not), it sorts before the events of its own time.
     behind = inclusive and history > 0
     shift = (SIMULTANEOUS if behind else -SIMULTANEOUS) if inclusive else 0.0
     at = F.col(response_time).cast("double")
+    if plan.kind == "blocks":
+        Y = collapse(Y)
     responses = Y.select(
         *series,
         (at + shift).alias("_t"),
         F.lit(1 if behind else -1).alias("_kind"),
-        (F.xxhash64(*[_q(c) for c in y_cols]) if layout == "blocks" else F.lit(0).cast("long")).alias("_tie"),
-        F.struct(*[_q(c) for c in y_cols]).alias("_y"),
+        (F.xxhash64(*[_q(c) for c in y_cols]) if plan.kind == "blocks" else F.lit(0).cast("long")).alias("_tie"),
+        F.lit(1).alias("_nth"),
+        F.struct(*[_q(c) for c in Y.columns if c in y_cols or c == COPIES]).alias("_y"),
     )
     both = events.unionByName(responses, allowMissingColumns=True)
 
-    laid = lay_out(both, series, ["_t", "_kind", "_tie"], layout, blocks)
+    laid = lay_out(both, series, ["_t", "_kind", "_tie", "_nth"], plan)
     rows = with_halo(laid, max(history, future), future, where=F.col("_kind") == 0)
     group = laid.group
 
-    rows = rows.repartition(*[F.col(g) for g in group])
-    ordered = Window.partitionBy(*group).orderBy("_t", "_kind", "_tie")
+    rows = gather(rows, group, plan)
+    ordered = Window.partitionBy(*group).orderBy(*laid.order)
     is_event = F.when(F.col("_kind") == 0, 1).otherwise(0)
     counts = [F.sum(is_event).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("_n")]
     if future and history:
@@ -113,7 +127,6 @@ def window_arrays(
     rows = rows.select("*", *counts).where("_kind = 0 or _halo = 0")
 
     # The rank range (lo, hi] a response wants, and the chunk that covers it.
-    width = history + future
     lo, hi = F.col("_n") - history, F.col("_n")
     if future:
         last = F.sum(is_event).over(Window.partitionBy(*group)).alias("_events")
@@ -139,6 +152,9 @@ def window_arrays(
 
     wanted = F.filter("_c", lambda e: (e["rank"] > F.col("_lo")) & (e["rank"] <= F.col("_hi")))
     out = rows.select("_y.*", wanted.alias(into))
+    if plan.kind == "blocks":
+        out = repeated(out)
+    out = out.select(*[_q(c) for c in y_cols], into)
     if cutoff:
         out = out.withColumn(into, F.filter(into, lambda e: F.abs(
             F.col(response_time).cast("double") - e["time"]) <= F.lit(float(cutoff))))

@@ -163,12 +163,15 @@ class Model:
         if learn_kernels:
             kernels = compiled.learn(self.responses[0])
             compiled = compiled.with_kernels(kernels)
-        table = compiled.features().persist(StorageLevel.MEMORY_AND_DISK)
+        table = compiled.features()
+        several = len(self.responses) > 1
+        if several:
+            table = table.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            g = {r: gram(table.where(F.col(f"`{r}`").isNotNull()), [*compiled.features_of, r])
-                 for r in self.responses}
+            g = {r: gram(table, [*compiled.features_of, r]) for r in self.responses}
         finally:
-            table.unpersist()
+            if several:
+                table.unpersist()
         fits = {r: solve(g[r], list(compiled.features_of), r, self.intercept, l2, l1) for r in self.responses}
         return FittedModel(self, compiled, fits, g, kernels)
 
