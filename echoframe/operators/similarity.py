@@ -9,7 +9,7 @@ from echoframe.operators.windows import WINDOW
 
 
 def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0),
                        lambda s, v: s + v)
 
 
@@ -25,18 +25,22 @@ def similarity_pairs(windowed: DataFrame, vector: str, kind: str, into: str | No
     distance; where they are not finite the value is 0.
     """
     into = into or kind
-    rest = [c for c in windowed.columns if c != window]
-    base = F.get(F.col(window), F.size(window) - 1)[vector]
-    long = windowed.select(*rest, base.alias("_base"), F.explode(window).alias("_e"))
-    a, b = F.col("_base"), F.col(f"_e.{vector}")
+    kept = [F.col(f"`{c}`") for c in windowed.columns if c != window]
+    # The latest vector (and its norm) is worked out once per window, then carried to its events.
+    as_doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
+    base = windowed.select(*kept, window, as_doubles(F.element_at(window, -1)[vector]).alias("_base"))
     if kind == "cosdist2D":
-        scale = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
-        value = F.when(scale != 0, _dot(a, b) / F.nullif(scale, F.lit(0.0)))
+        base = base.withColumn("_norm", F.sqrt(_dot(F.col("_base"), F.col("_base"))))
+    long = base.withColumn("_e", F.explode(window)).withColumn("_v", as_doubles(F.col("_e")[vector]))
+    a, b = F.col("_base"), F.col("_v")
+    if kind == "cosdist2D":
+        long = long.withColumn("_dot", _dot(a, b)).withColumn("_scale", F.sqrt(_dot(b, b)) * F.col("_norm"))
+        value = F.when(F.col("_scale") != 0, F.col("_dot") / F.col("_scale"))
     elif kind == "eucldist2D":
-        value = F.sqrt(F.aggregate(
-            F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2.0)),
-            F.lit(0.0), lambda s, v: s + v))
+        gap = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+        long = long.withColumn("_gap", gap)
+        value = F.sqrt("_gap")
     else:
         raise ValueError(f"unknown pairwise predictor {kind!r}")
-    return long.select(*rest, F.col("_e.time").alias("event_time"), F.col("_e.rank").alias("event_rank"),
-                       _or_zero(value).alias(into))
+    return long.select(*kept, F.col("_e.time").alias("event_time"),
+                       F.col("_e.rank").alias("event_rank"), _or_zero(value).alias(into))

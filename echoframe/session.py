@@ -17,6 +17,8 @@ def build_session(master: str | None = None, app: str = "echoframe", **conf: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Plans here are built from many small columns; recording a call site for each is costly.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
