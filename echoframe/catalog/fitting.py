@@ -376,9 +376,9 @@ def irf_manipulations(spark, sf):
     """A step of one standard deviation from the mean, twelve hours after the event."""
     X, _ = inputs(spark, sf)
     fit = regress.ols(features(spark, sf), ["a", "b"], "y")
-    m = moments(X, {"v": F.col("value")})["v"]
+    steps, refs, _ = irf.manipulation_settings(X, ["value"], "mean")
     out = irf.manipulations(spark.range(1), fit.coefs, {"a": EXP, "b": GAM}, 12.0,
-                            {"a": m.sd, "b": m.sd}, {"a": m.mean, "b": m.mean})
+                            {k: steps["value"] for k in "ab"}, {k: refs["value"] for k in "ab"})
     return rounded(out)
 
 

@@ -233,7 +233,7 @@ def permutation_sums(df: DataFrame, a: Sequence[str], b: Sequence[str], row_id:
     Tasks keep running sums, one row per (iteration, column), so nothing of size rows x iterations
     exists anywhere.  The shuffle of a row is a function of its id, the iteration and the seed.
     """
-    cells = [*a, *b]
+    cells = [f"_c{i}" for i in range(len(a) + len(b))]
     c = len(cells)
     pair = c == 2
 
@@ -263,7 +263,7 @@ def permutation_sums(df: DataFrame, a: Sequence[str], b: Sequence[str], row_id:
             "total": sums.ravel(),
         })
 
-    keyed = df.select(*[F.col(x).cast("double").alias(x) for x in cells], F.col(row_id).cast("long").alias("_key"))
+    keyed = df.select(*[F.col(f"`{x}`").cast("double").alias(n) for x, n in zip([*a, *b], cells)], F.col(row_id).cast("long").alias("_key"))
     return (
         keyed.mapInPandas(step, "iteration int, slot int, total double")
         .groupBy("iteration", "slot").agg(F.sum("total").alias("total"))
@@ -284,7 +284,9 @@ def permutation_test(df: DataFrame, a: Sequence[str] | str, b: Sequence[str] | s
     a, b = ([a] if isinstance(a, str) else list(a)), ([b] if isinstance(b, str) else list(b))
     if mode not in ("mse", "loglik", "corr") or n_tails not in (1, 2):
         raise ValueError(f"unknown mode {mode!r} or tails {n_tails!r}")
-    row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(c).cast("double")).alias(c) for c in [*a, *b]]).first()
+    columns = list(dict.fromkeys([*a, *b]))
+    row = df.agg(F.count(F.lit(1)).alias("_n"),
+                 *[F.sum(F.col(f"`{c}`").cast("double")).alias(c) for c in columns]).first()
     n = row["_n"]
     scale = {"mse": n, "loglik": 1, "corr": n - 1}[mode]
     fold = getattr(np, agg)

@@ -83,6 +83,30 @@ def surface(spark: SparkSession, value_range: tuple[float, float], upto: float,
         ((F.col("x") - F.lit(reference)) * kernel.column(F.col("t")) * F.lit(coef)).alias("effect"))
 
 
+def manipulation_settings(df: DataFrame, names: Sequence[str], reference: str | float = 0.0,
+                          indicators: Sequence[str] = (), span: float = 0.9
+                          ) -> tuple[dict[str, float], dict[str, float], dict[str, tuple[float, float]]]:
+    """Steps, references and axis ranges from training data, in one pass.
+
+    A step is one standard deviation; the reference is 0 or the mean; an axis covers the central
+    ``span`` of the values.  Indicators always refer to 0 and step by 1.
+    """
+    low, high = (1 - span) / 2, (1 + span) / 2
+    aggs = []
+    for i, n in enumerate(names):
+        c = F.col(f"`{n}`").cast("double")
+        aggs += [F.stddev_samp(c).alias(f"sd{i}"), F.avg(c).alias(f"m{i}"),
+                 F.percentile_approx(c, [low, high], 100_000).alias(f"q{i}")]
+    row = df.agg(*aggs).first()
+    steps, refs, ranges = {}, {}, {}
+    for i, n in enumerate(names):
+        flag = n in indicators
+        steps[n] = 1.0 if flag else row[f"sd{i}"]
+        refs[n] = 0.0 if flag or reference != "mean" else row[f"m{i}"]
+        ranges[n] = tuple(row[f"q{i}"])
+    return steps, refs, ranges
+
+
 def manipulations(df: DataFrame, coefs: dict[str, float], kernels: dict[str, Kernel], t: float,
                   steps: dict[str, float], references: dict[str, float]) -> DataFrame:
     """Response at delay ``t`` when each predictor moves by its step from its reference."""

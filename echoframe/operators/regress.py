@@ -425,6 +425,58 @@ def mixed(df: DataFrame, features: Sequence[str], response: str, level: str,
                     list(random), table, level, trace)
 
 
+@dataclass
+class CrossedFit:
+    """Several grouping factors; each fit explains what the others leave over."""
+
+    response: str
+    fits: dict[str, MixedFit]
+
+    @property
+    def fixed(self) -> MixedFit:
+        return list(self.fits.values())[-1]
+
+    def predict(self, df: DataFrame, into: str = "pred") -> DataFrame:
+        last = self.fixed
+        out = last.predict(df, into)
+        for level, f in self.fits.items():
+            if f is not last:
+                out = _with_offset(out, f, into, into)
+        return out
+
+
+def _with_offset(df: DataFrame, fit: MixedFit, base: str, into: str, sign: int = 1) -> DataFrame:
+    """``base`` plus (or minus) the deviations of each row's level."""
+    names = [f"ranef_{r}" for r in fit.random]
+    joined = lookup_effects(df, fit.effects, fit.level, names)
+    shift = F.lit(0.0)
+    for r, n in zip(fit.random, names):
+        shift = shift + (F.col(f"`{n}`") if r == "intercept" else F.col(f"`{n}`") * F.col(f"`{r}`").cast("double"))
+    value = F.col(f"`{base}`").cast("double") + shift * sign
+    kept = [F.col(f"`{c}`") for c in df.columns if c != into]
+    return joined.select(*kept, value.alias(into))
+
+
+def crossed(df: DataFrame, features: Sequence[str], response: str, random: dict[str, Sequence[str]],
+            cycles: int = 3, **kw) -> CrossedFit:
+    """Crossed grouping factors by backfitting: one factor at a time on the response less the others.
+
+    Every cycle reads the rows once per factor; only per-level statistics are kept between.
+    """
+    fits: dict[str, MixedFit] = {}
+    for _ in range(cycles if len(random) > 1 else 1):
+        for level, names in random.items():
+            rest = df.withColumn("_left", F.col(f"`{response}`").cast("double"))
+            for other, f in fits.items():
+                if other != level:
+                    rest = _with_offset(rest, f, "_left", "_left", -1)
+            fit = mixed(rest, features, "_left", level, names, **kw)
+            fit.effects = checkpointed(fit.effects)
+            fits.pop(level, None)
+            fits[level] = fit
+    return CrossedFit(response, fits)
+
+
 # ---------------------------------------------------------------- kernel shapes
 
 

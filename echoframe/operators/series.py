@@ -41,12 +41,16 @@ class Layout:
     pieces: int | None = None
 
 
-def series_sizes(df: DataFrame, series: Sequence[str], at_most: int = SERIES_ROWS) -> tuple[int, int]:
-    """Rows of the table and of its longest series (the latter unmeasured while the table is small)."""
-    total = df.select(*[F.col(s) for s in series] or [F.lit(1).alias("_one")]).count()
+def series_sizes(frames: Sequence[DataFrame], series: Sequence[str], at_most: int = SERIES_ROWS) -> tuple[int, int]:
+    """Rows of the tables together, and of the longest series (unmeasured while the total is small)."""
+    keys = None
+    for f in frames:
+        k = f.select(*[F.col(s) for s in series] or [F.lit(1).alias("_one")])
+        keys = k if keys is None else keys.unionByName(k)
+    total = keys.count()
     if total <= at_most or not series:
         return total, total
-    sizes = df.groupBy(*series).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = keys.groupBy(*series).agg(F.count(F.lit(1)).alias("_n"))
     return total, sizes.agg(F.max("_n")).first()[0] or 0
 
 
@@ -59,8 +63,7 @@ def choose_layout(frames: Sequence[DataFrame], series: Sequence[str], layout: st
     at_most = SERIES_ROWS if at_most is None else at_most
     if layout == "series" or blocks:
         return Layout("series" if layout == "series" else "blocks", blocks)
-    sizes = [series_sizes(f, series, at_most) for f in frames]
-    total, longest = (sum(s[i] for s in sizes) for i in (0, 1))
+    total, longest = series_sizes(frames, series, at_most)
     usual = int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = -(-total // at_most)
     kind = layout if layout != "auto" else ("series" if longest <= at_most else "blocks")

@@ -21,6 +21,7 @@ from echoframe.functions.transforms import (
     Moments,
     add_responses,
     apply_ops,
+    composite_key,
     dummies,
     levels,
     matching,
@@ -33,8 +34,10 @@ from echoframe.operators.convolve import Conv, Source, convolve
 from echoframe.operators.filters import apply_filters, valid_responses
 from echoframe.operators.partition import ablation_family
 from echoframe.operators.regress import (
+    CrossedFit,
     Gram,
     LinearFit,
+    crossed,
     fit_kernels,
     gram,
     linear_predictor,
@@ -49,6 +52,7 @@ class C:
     ``impulse``: a column, a transform such as ``z(log(x))``, a product ``a:b``, or ``re(pattern)``.
     A column of the response table (or a bare predictor) enters at the response itself.
     Terms with one ``coef_id`` share a coefficient; terms with one ``irf_id`` share kernel parameters.
+    ``ran`` names a grouping factor (``a:b`` for a composite) by which the coefficient varies.
     """
 
     impulse: str
@@ -69,6 +73,7 @@ class Model:
     cutoff: float | None = None
     products: Sequence[tuple[str, ...]] = ()
     intercept: bool = True
+    random_intercepts: Sequence[str] = ()
     filters: Sequence[tuple[str, str]] = ()
     time: str = "time"
     tie: Sequence[str] = ()
@@ -154,6 +159,25 @@ class Model:
     def ablations(self, ablatable: Sequence[str]) -> dict[str, tuple[str, ...]]:
         return ablation_family(self.name, ablatable)
 
+    def fit_mixed(self, X, Y: DataFrame, response: str | None = None, **kw) -> CrossedFit:
+        """Fixed effects with by-level intercepts and coefficients, on one convolved table."""
+        response = response or self.responses[0]
+        Y = self.prepared(Y)
+        random: dict[str, list[str]] = {g: ["intercept"] for g in self.random_intercepts}
+        for g in dict.fromkeys([*random, *[t.ran for t in self.terms if t.ran]]):
+            if g not in Y.columns:
+                Y = Y.withColumn(g, composite_key(g.split(":")))
+        compiled = self.compile(X, Y)
+        for t in self.terms:
+            if t.ran:
+                mine = [f for f, p in compiled.predictor_of.items() if p in (t.impulse, t.coef_id)]
+                random[t.ran] = [*random.get(t.ran, []), *mine]
+        table = compiled.features().persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return crossed(table, list(compiled.features_of), response, random, **kw)
+        finally:
+            table.unpersist()
+
     def fit(self, X, Y: DataFrame, learn_kernels: bool = False, l1=0.0, l2=0.0) -> "FittedModel":
         response_stats: dict[str, Moments] = {}
         stats: dict = {"response": response_stats}
