@@ -1,7 +1,7 @@
 """Convolution: kernel-weighted sums of windowed events, one column per term.
 
-All terms of a source share one event window per response, and each term is a fold over that array:
-no exploded pairs, no join back, no shuffle beyond the one that built the windows.
+All terms of a source share one event window per response and one pass over it: no join back, no
+shuffle beyond the one that brought events and responses together.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from echoframe.functions.kernels import DiracDelta, Kernel, check_causal
 from echoframe.functions.transforms import zero_filled
 from echoframe.operators.series import SIMULTANEOUS, prefix_sum
-from echoframe.operators.windows import WINDOW, window_arrays
+from echoframe.operators.windows import WINDOW, window_arrays, window_sums
 
 
 @dataclass(frozen=True)
@@ -65,6 +65,11 @@ def convolve(
         check_causal([t.kernel for t in src.terms if not isinstance(t.kernel, DiracDelta)], future)
         values = list(dict.fromkeys(t.value for t in src.terms))
         X = src.X.withColumns({v: zero_filled(src.X, v) for v in values})
+        if not keep_windows:
+            Y = window_sums(
+                X, Y, series, {t.name: (t.value, t.kernel.column) for t in src.terms}, history, future,
+                cutoff, response_time=response_time, time=src.time, tie=src.tie, **window_args)
+            continue
         into = WINDOW if len(sources) == 1 else f"{WINDOW}{i}"
         Y = window_arrays(
             X, Y, series, values, history, future, cutoff, time=src.time,
@@ -73,8 +78,6 @@ def convolve(
         Y = Y.withColumns({
             t.name: weighted_sum(into, response_time, t.value, t.kernel) for t in src.terms
         })
-        if not keep_windows:
-            Y = Y.drop(into)
     return Y
 
 

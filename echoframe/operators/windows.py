@@ -10,7 +10,8 @@ Plan, one shuffle of the two tables and none of the windows:
 2. A running event count gives each event its rank and each response the rank range it wants.
 3. Ranks are cut into chunks as long as a window.  An event goes to its own chunk and the next, so
    any rank range lies within the chunk of its end, which holds at most two windows of events.
-4. The chunk's events are attached to the responses of the same chunk and cut to the range.
+4. The chunk's events are attached to the responses of the same chunk and cut to the range
+   (:func:`window_arrays`), or unfolded and summed on the spot (:func:`window_sums`).
 
 Steps 2-4 share the partitioning of step 1.  No group grows with the data: blocks have a bounded
 number of rows, chunks a bounded number of events.
@@ -19,7 +20,8 @@ number of rows, chunks a bounded number of events.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from echoframe.operators.series import (
     COPIES,
     SIMULTANEOUS,
+    Layout,
     choose_layout,
     collapse,
     gather,
@@ -39,29 +42,51 @@ from echoframe.operators.series import (
 WINDOW = "_window"
 
 
-def window_arrays(
+@dataclass
+class Chunked:
+    """Events and responses in their chunks; a response wants ranks (_lo, _hi] of its group."""
+
+    rows: DataFrame
+    group: list[str]
+    y_cols: list[str]
+    plan: Layout
+    width: int
+
+    def chunk(self):
+        return Window.partitionBy(*self.group, "_chunk").orderBy("_n").rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def offsets(self) -> tuple[Column, Column]:
+        """First position (from 0) and length of a response's range in its chunk's arrays.
+
+        Ranks in a chunk are consecutive, so a range of ranks is a slice.
+        """
+        low = F.greatest(F.col("_lo"), F.lit(0))
+        before = F.greatest((F.col("_chunk") - 2) * self.width, F.lit(0))
+        return (low - before).cast("int"), (F.col("_hi") - low).cast("int")
+
+    def restore(self, out: DataFrame, names: Sequence[str]) -> DataFrame:
+        if self.plan.kind == "blocks":
+            out = repeated(out)
+        return out.select(*[_q(c) for c in self.y_cols], *[_q(n) for n in names])
+
+
+def chunked(
     X: DataFrame,
     Y: DataFrame,
     series: Sequence[str],
     values: Sequence[str] = (),
     history: int | None = 128,
     future: int = 0,
-    cutoff: float | None = None,
     time: str = "time",
     response_time: str | None = None,
     tie: Sequence[str] = (),
-    into: str = WINDOW,
     inclusive: bool = True,
     layout: str = "auto",
     at_most: int | None = None,
     blocks: int | None = None,
-) -> DataFrame:
-    """``Y`` with an array column of its window's events ``{time, rank, <values>}``, oldest first.
-
-    ``tie`` names the column that tells events of equal time apart (default: their values, in which
-    case identical events may be many).  ``series`` may be empty.
-    ``inclusive=False`` keeps only events strictly before the response (history windows only).
-    """
+) -> Chunked:
+    """Steps 1-3 of the plan above."""
     history, future = int(history or 0), int(future or 0)
     if history + future < 1:
         raise ValueError("history or future must be positive")
@@ -143,24 +168,84 @@ def window_arrays(
             F.when(F.col("_kind") == 0, F.array(own, own + 1)).otherwise(F.array(own))
         ).alias("_chunk"),
     )
+    return Chunked(rows, group, y_cols, plan, width)
+
+
+def window_arrays(
+    X: DataFrame,
+    Y: DataFrame,
+    series: Sequence[str],
+    values: Sequence[str] = (),
+    history: int | None = 128,
+    future: int = 0,
+    cutoff: float | None = None,
+    response_time: str | None = None,
+    into: str = WINDOW,
+    **kw,
+) -> DataFrame:
+    """``Y`` with an array column of its window's events ``{time, rank, <values>}``, oldest first.
+
+    ``tie`` names the column that tells events of equal time apart (default: their values, in which
+    case identical events may be many).  ``series`` may be empty.
+    ``inclusive=False`` keeps only events strictly before the response (history windows only).
+    """
+    ch = chunked(X, Y, series, values, history, future, response_time=response_time, **kw)
     ranked = F.when(F.col("_kind") == 0, F.struct(
         F.col("_x.time").alias("time"), F.col("_n").alias("rank"),
         *[F.col("_x").getField(v).alias(v) for v in values]))
-    chunk = Window.partitionBy(*group, "_chunk").orderBy("_n").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.select("*", F.collect_list(ranked).over(chunk).alias("_c")).where("_kind != 0")
-
-    wanted = F.filter("_c", lambda e: (e["rank"] > F.col("_lo")) & (e["rank"] <= F.col("_hi")))
-    out = rows.select("_y.*", wanted.alias(into))
-    if plan.kind == "blocks":
-        out = repeated(out)
-    out = out.select(*[_q(c) for c in y_cols], into)
+    rows = ch.rows.select("*", F.collect_list(ranked).over(ch.chunk()).alias("_c")).where("_kind != 0")
+    first, length = ch.offsets()
+    out = ch.restore(rows.select("_y.*", F.slice("_c", first + 1, length).alias(into)), [into])
     if cutoff:
-        out = out.withColumn(into, F.filter(into, lambda e: F.abs(
-            F.col(response_time).cast("double") - e["time"]) <= F.lit(float(cutoff))))
+        at = _q(response_time or kw.get("time", "time")).cast("double")
+        out = out.withColumn(into, F.filter(into, lambda e: F.abs(at - e["time"]) <= F.lit(float(cutoff))))
     return out
 
 
+def window_sums(
+    X: DataFrame,
+    Y: DataFrame,
+    series: Sequence[str],
+    terms: dict[str, tuple[str, Callable[[Column], Column]]],
+    history: int | None = 128,
+    future: int = 0,
+    cutoff: float | None = None,
+    response_time: str | None = None,
+    **kw,
+) -> DataFrame:
+    """``Y`` plus, per term, the sum over its window of weight(delay) * value.
+
+    Times and values of a chunk are plain arrays of doubles.  A response unfolds into positions of
+    its range and is summed up again in the same stage, all of it generated code; the grouping keys
+    contain the partitioning keys, so nothing is shuffled for it.
+    """
+    values = list(dict.fromkeys(v for v, _ in terms.values()))
+    ch = chunked(X, Y, series, values, history, future, response_time=response_time, **kw)
+    is_event = F.col("_kind") == 0
+    arrays = {"_at": F.col("_x.time"), **{f"_v{i}": F.col("_x").getField(v) for i, v in enumerate(values)}}
+    rows = ch.rows.select(
+        *ch.group, "_kind", "_y", "_lo", "_hi", "_chunk",
+        *[F.collect_list(F.when(is_event, c)).over(ch.chunk()).alias(n) for n, c in arrays.items()],
+    ).where("_kind != 0").withColumn("_rid", F.monotonically_increasing_id())
+    first, length = ch.offsets()
+    unfolded = rows.select(
+        *ch.group, "_rid", "_y", *arrays,
+        F.explode_outer(F.when(length > 0, F.sequence(first, first + length - 1))).alias("_i"),
+    )
+    at = F.col("_y").getField(response_time or kw.get("time", "time")).cast("double")
+    delays = unfolded.select(
+        *ch.group, "_rid", "_y", (at - F.get("_at", F.col("_i"))).alias("_d"),
+        *[F.get(f"_v{i}", F.col("_i")).alias(f"_v{i}") for i in range(len(values))])
+    sums = []
+    for name, (value, weight) in terms.items():
+        part = weight(F.col("_d")) * F.col(f"_v{values.index(value)}")
+        if cutoff:
+            part = F.when(F.abs("_d") <= F.lit(float(cutoff)), part)
+        sums.append(F.coalesce(F.sum(part), F.lit(0.0)).alias(name))
+    out = delays.groupBy(*ch.group, "_rid", "_y").agg(*sums)
+    return ch.restore(out.select("_y.*", *[_q(n) for n in terms]), list(terms))
+
+
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
