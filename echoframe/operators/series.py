@@ -120,14 +120,24 @@ def collapse(df: DataFrame) -> DataFrame:
     return df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias(COPIES))
 
 
-def repeated(df: DataFrame, count: str = COPIES, index: str = "_copy", piece: int = 100_000) -> DataFrame:
+PIECE = 100_000
+
+
+def most_copies(laid: "Laid", count: str = COPIES) -> int:
+    """Longest run of identical rows in a laid-out (hence already written) table."""
+    return laid.df.agg(F.max(count)).first()[0] or 0
+
+
+def repeated(df: DataFrame, most: int, count: str = COPIES, index: str = "_copy", piece: int = PIECE) -> DataFrame:
     """Undo :func:`collapse`: every row ``count`` times, numbered from 1.
 
-    A long run is unfolded in pieces spread over tasks.
+    Where the longest run exceeds a piece, rows are first split into pieces spread over tasks.
     """
+    if most <= piece:
+        return df.withColumn(index, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count))))
     pieces = df.withColumn("_piece", F.explode(F.sequence(
         F.lit(0).cast("long"), F.floor((F.col(count) - 1) / piece))))
-    spread = pieces.where("_piece = 0").unionByName(pieces.where("_piece > 0").repartition("_piece"))
+    spread = pieces.repartition(*[F.col(f"`{c}`") for c in pieces.columns])
     first = F.col("_piece") * piece + 1
     last = F.least(first + (piece - 1), F.col(count))
     return spread.withColumn(index, F.explode(F.sequence(first, last))).drop("_piece")
@@ -237,7 +247,7 @@ def prefix_sum(df: DataFrame, series: Sequence[str], order: Sequence[str],
     out = gather(laid.df, laid.group, plan).select(
         "*", *[F.sum(c).over(w).alias(f"_run_{m}") for m, c in run.items()])
     carry = block_carries(laid, {f"_carry_{m}": c for m, c in run.items()})
-    out = repeated(out.join(F.broadcast(carry), laid.group, "left"))
+    out = repeated(out.join(F.broadcast(carry), laid.group, "left"), most_copies(laid))
     # The k-th of n copies has seen n - k fewer of them than the run's end.
     return out.select(*[F.col(f"`{c}`") for c in kept], *[
         (F.col(f"_run_{m}") + F.coalesce(f"_carry_{m}", F.lit(0))
@@ -283,8 +293,8 @@ def spillover(df: DataFrame, series: Sequence[str], order: Sequence[str], lags:
     out = with_halo(laid, before=deepest).select(
         "*", *[F.lag(c, n, 0.0).over(w).alias(f"{c}S{n}") for c, n in lags.items()]
     ).where("_halo = 0")
-    if not laid.cut:
+    if not laid.cut or (most := most_copies(laid)) <= deepest:
         return out.select(*kept, *names)
     rest = out.where(f"_nth = {deepest} and {COPIES} > {deepest}").withColumn(COPIES, F.col(COPIES) - deepest)
-    rest = repeated(rest).select(*kept, *[F.col(f"`{c}`").alias(f"{c}S{n}") for c, n in lags.items()])
+    rest = repeated(rest, most).select(*kept, *[F.col(f"`{c}`").alias(f"{c}S{n}") for c, n in lags.items()])
     return out.select(*kept, *names).unionByName(rest)

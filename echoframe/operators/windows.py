@@ -34,6 +34,7 @@ from echoframe.operators.series import (
     collapse,
     gather,
     lay_out,
+    most_copies,
     prefix_sum,
     repeated,
     with_halo,
@@ -51,6 +52,7 @@ class Chunked:
     y_cols: list[str]
     plan: Layout
     width: int
+    copies: int
 
     def chunk(self):
         return Window.partitionBy(*self.group, "_chunk").orderBy("_n").rowsBetween(
@@ -67,7 +69,7 @@ class Chunked:
 
     def restore(self, out: DataFrame, names: Sequence[str]) -> DataFrame:
         if self.plan.kind == "blocks":
-            out = repeated(out)
+            out = repeated(out, self.copies)
         return out.select(*[_q(c) for c in self.y_cols], *[_q(n) for n in names])
 
 
@@ -168,7 +170,8 @@ def chunked(
             F.when(F.col("_kind") == 0, F.array(own, own + 1)).otherwise(F.array(own))
         ).alias("_chunk"),
     )
-    return Chunked(rows, group, y_cols, plan, width)
+    copies = most_copies(laid, f"_y.{COPIES}") if laid.cut else 1
+    return Chunked(rows, group, y_cols, plan, width, copies)
 
 
 def window_arrays(
@@ -228,13 +231,13 @@ def window_sums(
         *[F.collect_list(F.when(is_event, c)).over(ch.chunk()).alias(n) for n, c in arrays.items()],
     ).where("_kind != 0").withColumn("_rid", F.monotonically_increasing_id())
     first, length = ch.offsets()
+    at = F.col("_y").getField(response_time or kw.get("time", "time")).cast("double")
     unfolded = rows.select(
-        *ch.group, "_rid", "_y", *arrays,
+        *ch.group, "_rid", "_y", at.alias("_ty"), *arrays,
         F.explode_outer(F.when(length > 0, F.sequence(first, first + length - 1))).alias("_i"),
     )
-    at = F.col("_y").getField(response_time or kw.get("time", "time")).cast("double")
     delays = unfolded.select(
-        *ch.group, "_rid", "_y", (at - F.get("_at", F.col("_i"))).alias("_d"),
+        *ch.group, "_rid", "_y", (F.col("_ty") - F.get("_at", F.col("_i"))).alias("_d"),
         *[F.get(f"_v{i}", F.col("_i")).alias(f"_v{i}") for i in range(len(values))])
     sums = []
     for name, (value, weight) in terms.items():

@@ -53,8 +53,9 @@ def test_copies_in_ordered_operations(spark, layout):
 
 def test_collapse_and_repeat(spark):
     sdf = spark.createDataFrame([(1,)] * 25 + [(2,)], "k int")
-    out = repeated(collapse(sdf), piece=4)
-    assert {(r.k, r._copy) for r in out.collect()} == {(1, i) for i in range(1, 26)} | {(2, 1)}
+    for piece in (4, 100):
+        out = repeated(collapse(sdf), 25, piece=piece)
+        assert {(r.k, r._copy) for r in out.collect()} == {(1, i) for i in range(1, 26)} | {(2, 1)}
 
 
 @pytest.mark.parametrize("layout", LAYOUTS, ids=IDS)
