@@ -65,7 +65,9 @@ class Chunked:
         """
         low = F.greatest(F.col("_lo"), F.lit(0))
         before = F.greatest((F.col("_chunk") - 2) * self.width, F.lit(0))
-        return (low - before).cast("int"), (F.col("_hi") - low).cast("int")
+        # Bounded below so that Spark may evaluate them on events too, ahead of the row filter.
+        return (F.greatest(low - before, F.lit(0)).cast("int"),
+                F.greatest(F.col("_hi") - low, F.lit(0)).cast("int"))
 
     def restore(self, out: DataFrame, names: Sequence[str]) -> DataFrame:
         if self.plan.kind == "blocks":
