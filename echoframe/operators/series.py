@@ -111,12 +111,20 @@ def gather(df: DataFrame, group: Sequence[str], layout: Layout) -> DataFrame:
 COPIES = "_copies"
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """Columns that can be grouped and hashed: those without maps or variants."""
+    return [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+
+
 def collapse(df: DataFrame) -> DataFrame:
     """Identical rows as one row and a count.
 
     Range partitioning cannot separate rows that are equal in every column; counted before the
-    shuffle, any number of copies is one row.
+    shuffle, any number of copies is one row.  A table with columns that cannot be grouped is left as
+    it is.
     """
+    if len(hashable(df)) < len(df.columns):
+        return df.withColumn(COPIES, F.lit(1).cast("long"))
     return df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias(COPIES))
 
 
@@ -240,7 +248,7 @@ def prefix_sum(df: DataFrame, series: Sequence[str], order: Sequence[str],
         return laid.df.select(*[F.col(f"`{c}`") for c in kept],
                               *[F.sum(f"_m_{m}").over(w).alias(m) for m in measures])
     rows = collapse(rows)
-    rows = rows.withColumn("_spread", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    rows = rows.withColumn("_spread", F.xxhash64(*[F.col(f"`{c}`") for c in hashable(rows)]))
     laid = lay_out(rows, series, [*order, "_spread"], plan)
     run = {m: F.col(f"_m_{m}") * F.col(COPIES) for m in measures}
     w = _rows_so_far(laid)
@@ -283,7 +291,7 @@ def spillover(df: DataFrame, series: Sequence[str], order: Sequence[str], lags:
         # Of many copies only the first `deepest` reach back beyond themselves, and only as many are
         # seen by later rows; the others see their own value.
         rows = collapse(df)
-        spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        spread = F.xxhash64(*[F.col(f"`{c}`") for c in hashable(df)])
         rows = rows.select(*kept, COPIES, spread.alias("_spread"), F.explode(F.sequence(
             F.lit(1), F.least(F.lit(deepest), F.col(COPIES)).cast("int"))).alias("_nth"))
         order += ["_spread", "_nth"]

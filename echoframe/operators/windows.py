@@ -33,6 +33,7 @@ from echoframe.operators.series import (
     choose_layout,
     collapse,
     gather,
+    hashable,
     lay_out,
     most_copies,
     prefix_sum,
@@ -126,13 +127,14 @@ def chunked(
     behind = inclusive and history > 0
     shift = (SIMULTANEOUS if behind else -SIMULTANEOUS) if inclusive else 0.0
     at = F.col(response_time).cast("double")
+    spread = [_q(c) for c in hashable(Y)]
     if plan.kind == "blocks":
         Y = collapse(Y)
     responses = Y.select(
         *series,
         (at + shift).alias("_t"),
         F.lit(1 if behind else -1).alias("_kind"),
-        (F.xxhash64(*[_q(c) for c in y_cols]) if plan.kind == "blocks" else F.lit(0).cast("long")).alias("_tie"),
+        (F.xxhash64(*spread) if plan.kind == "blocks" else F.lit(0).cast("long")).alias("_tie"),
         F.lit(1).alias("_nth"),
         F.struct(*[_q(c) for c in Y.columns if c in y_cols or c == COPIES]).alias("_y"),
     )
@@ -247,7 +249,11 @@ def window_sums(
         if cutoff:
             part = F.when(F.abs("_d") <= F.lit(float(cutoff)), part)
         sums.append(F.coalesce(F.sum(part), F.lit(0.0)).alias(name))
-    out = delays.groupBy(*ch.group, "_rid", "_y").agg(*sums)
+    whole = len(hashable(unfolded.select("_y.*"))) == len(rows.schema["_y"].dataType.names)
+    if whole:
+        out = delays.groupBy(*ch.group, "_rid", "_y").agg(*sums)
+    else:
+        out = delays.groupBy(*ch.group, "_rid").agg(F.first("_y").alias("_y"), *sums)
     return ch.restore(out.select("_y.*", *[_q(n) for n in terms]), list(terms))
 
 

@@ -163,3 +163,20 @@ def test_one_shuffle_for_windows(spark, data):
     out = convolve(Y, [Source(X, [Conv("f", "v", K.Exp(1.0))], tie=["id"])], ["s"], 128, layout="series")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("layout", LAYOUTS, ids=["series", "blocks"])
+def test_responses_with_map_columns(spark, layout):
+    X = frame(spark, [(1, float(t), 1.0) for t in range(6)])
+    Y = spark.createDataFrame([(1, 5.0, {"a": 1})], "s int, time double, m map<string, int>")
+    w = window_arrays(X, Y, ["s"], ["v"], 3, **layout).first()
+    assert [e.time for e in w[WINDOW]] == [3.0, 4.0, 5.0] and w.m == {"a": 1}
+    assert convolve(Y, [Source(X, [Conv("f", "v", K.Exp(1.0))])], ["s"], 3, **layout).first().f > 1
+
+
+def test_long_form_of_future_windows(spark):
+    """Unfolding a window must not meet ranges of rows that are no responses."""
+    X = frame(spark, [(1, float(t), 1.0) for t in range(40)])
+    Y = frame(spark, [(1, float(t) + 0.5) for t in range(40)], "s int, time double")
+    got = pairs(window_arrays(X, Y, ["s"], ["v"], 3, 2)).groupBy("time").count()
+    assert {r.time: r["count"] for r in got.collect()}[20.5] == 5
