@@ -180,7 +180,7 @@ def _held_out(spark, sf):
 def predict_rows(spark, sf):
     fitted, feats = _held_out(spark, sf)
     out = fitted.predict(feats)
-    return rounded(out.select("event_id", "part", F.col("CDRpreds").alias("pred"), F.col("CDRloglik").alias("loglik")))
+    return rounded(out.select("event_id", "part", F.col("pred").alias("pred"), F.col("loglik").alias("loglik")))
 
 
 @query(f"""WITH {_PARTS} SELECT part, count(*) AS n, round(avg((y - pred) ** 2), 4) AS mse, round(avg(abs(y - pred)), 4) AS mae,

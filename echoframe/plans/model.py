@@ -287,8 +287,8 @@ class FittedModel:
             out[name] = solve(self.grams[response], keep, response, self.model.intercept)
         return out
 
-    def predict(self, table: DataFrame, response: str | None = None, into: str = "CDRpreds",
-                loglik: str = "CDRloglik", obs: str = "CDRobs", keep: Sequence[str] | None = None) -> DataFrame:
+    def predict(self, table: DataFrame, response: str | None = None, into: str = "pred",
+                loglik: str = "loglik", obs: str = "obs", keep: Sequence[str] | None = None) -> DataFrame:
         """Prediction, observation and normal log-density per row of a feature table."""
         response = response or self.model.responses[0]
         fit = self.fits[response]
@@ -299,7 +299,7 @@ class FittedModel:
         return out.withColumn(loglik, distributions.normal(F.col(obs), F.col(into), F.lit(sigma)))
 
     def evaluate(self, table: DataFrame, response: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-        return metrics(self.predict(table, response), "CDRobs", "CDRpreds", by, loglik="CDRloglik")
+        return metrics(self.predict(table, response), "obs", "pred", by, loglik="loglik")
 
 
 def convolve_inputs(model: Model, X, Y: DataFrame, kernels: dict[str, Kernel] | None = None) -> DataFrame:

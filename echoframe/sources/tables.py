@@ -110,7 +110,7 @@ def write_results(df: DataFrame, path: str, keys: Sequence[str] = ("model",), mo
 # How result files are named - optional two-step prefix, kind, response, file, partition.
 RESULT_FILE = (
     r"(LM_2STEP_)?"
-    r"(CDRpreds|squared_error|losses_mse|mse_losses|loglik|preds_table|preds|obs|output)"
+    r"([A-Z]+preds|squared_error|losses_mse|mse_losses|loglik|preds_table|preds|obs|output)"
     r"(?:_(.+?))?(?:_f([0-9]+))?_([^_]*)\.(csv|txt)$"
 )
 # model[.CV<factor>~<fold>][.m<member>]
@@ -128,7 +128,7 @@ def parse_result_path(path: str) -> dict | None:
     return {
         "path": path,
         "predtype": "2step" if m.group(1) else "direct",
-        "filetype": "table" if kind in ("CDRpreds", "preds_table", "output") else
+        "filetype": "table" if kind in ("preds_table", "output") or re.match("[A-Z]+preds$", kind) else
         ("loglik" if kind == "loglik" else "mse"),
         "response": m.group(3) or "y",
         "file": int(m.group(4) or 0),
@@ -139,12 +139,13 @@ def parse_result_path(path: str) -> dict | None:
     }
 
 
-def read_results(spark: SparkSession, paths: Sequence[str], metric: str = "mse", obs: str = "CDRobs",
-                 pred: str = "CDRpreds", loglik: str = "CDRloglik") -> DataFrame:
+def read_results(spark: SparkSession, paths: Sequence[str], metric: str = "mse", obs: str | None = None,
+                 pred: str | None = None, loglik: str | None = None) -> DataFrame:
     """Prediction tables of many models, folds and members as one table with a ``value`` per row.
 
     One read serves all files; what a file is comes from its name inside the query.  Folds of one
-    member simply share its keys, so concatenating them is the union itself.
+    member simply share its keys, so concatenating them is the union itself.  Columns not named are
+    found by how they end: ``obs``, ``preds`` and ``loglik``.
     """
     found = [p for p in map(parse_result_path, paths) if p and p["filetype"] == "table"]
     if not found:
@@ -152,16 +153,18 @@ def read_results(spark: SparkSession, paths: Sequence[str], metric: str = "mse",
     # Columns are taken by their header names; all files of a run are written with the same ones.
     raw = spark.read.options(sep=" ", header=True, ignoreLeadingWhiteSpace=True, nullValue="nan").csv(
         [p["path"] for p in found])
+    ending = lambda end: next((c for c in raw.columns if c.endswith(end)), end)
+    obs, pred, loglik = obs or ending("obs"), pred or ending("preds"), loglik or ending("loglik")
     raw = raw.withColumns({c: F.col(c).cast("double") for c in (obs, pred, loglik) if c in raw.columns})
     file = F.input_file_name()
     name = F.regexp_extract(file, r"([^/]+)$", 1)
     folder = F.regexp_extract(file, r"([^/]+)/[^/]+$", 1)
     part = lambda c, pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
     value = {
-        "mse": F.pow(F.col(obs) - F.col(pred), 2.0),
-        "loglik": F.col(loglik),
-        "corr": F.col(pred),
-    }[metric]
+        "mse": lambda: F.pow(F.col(obs) - F.col(pred), 2.0),
+        "loglik": lambda: F.col(loglik),
+        "corr": lambda: F.col(pred),
+    }[metric]()
     return raw.select(
         F.regexp_extract(folder, MODEL_DIR, 1).alias("model"),
         part(folder, MODEL_DIR, 2).alias("fold"),

@@ -216,7 +216,7 @@ def test_dirac_model_is_plain_regression(spark, xy):
     names = fit.ablated("y", ["a"])
     assert set(names) == {"model", "model!a"} and names["model!a"].r2 < names["model"].r2
     pred = fit.predict(fit.features(X, Y))
-    assert pred.select(F.sum("CDRloglik")).first()[0] == pytest.approx(fit.fits["y"].loglik, rel=1e-6)
+    assert pred.select(F.sum("loglik")).first()[0] == pytest.approx(fit.fits["y"].loglik, rel=1e-6)
 
 
 def test_lcg_amplitudes_are_linear(spark):

@@ -47,11 +47,11 @@ def test_partitioned_sink(spark, tmp_path):
 def test_reading_results(spark, tmp_path):
     def put(folder, name, rows):
         (tmp_path / folder).mkdir(exist_ok=True)
-        (tmp_path / folder / name).write_text("CDRobs CDRpreds CDRloglik\n" + "\n".join(" ".join(map(str, r)) for r in rows))
+        (tmp_path / folder / name).write_text("Mobs Mpreds Mloglik\n" + "\n".join(" ".join(map(str, r)) for r in rows))
         return str(tmp_path / folder / name)
 
     paths = [
-        put("m", "CDRpreds_y_f0_dev.csv", [(1, 2, -1), (3, 3, -2)]),
+        put("m", "Mpreds_y_f0_dev.csv", [(1, 2, -1), (3, 3, -2)]),
         put("m.CVfold~a.m1", "output_y_f0_test.csv", [(1, 0, -1)]),
         put("m.CVfold~b.m1", "output_y_f0_test.csv", [(5, 2, -4)]),
         put("m!x", "LM_2STEP_preds_table_y_train.csv", [(1, 1, 0)]),
