@@ -1,0 +1,8 @@
+"""Event-response analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers carry their code with them, so that workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
