@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.catalog.base import table
-from echoframe.llm import decontaminate, sharding
+from echoframe.llm import decontaminate, language, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,3 +80,59 @@ def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return found.select(F.col("key").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         comma_sha256(names).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def spans_sql(kinds: list[tuple[str, str, str]], base: int) -> str:
+    """CTEs ``span`` (doc_id, s, e, k, kind) and ``digest``; each kind is (name, regex, condition on match ``m``)."""
+    each = " UNION ALL ".join(f"""
+SELECT doc_id, s, s + length(m) AS e, {k} AS k, '{kind}' AS kind FROM (
+  SELECT doc_id, ms[i] AS m, list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT doc_id, regexp_extract_all(t, {p}) AS ms, string_split_regex(t, {p}) AS gs FROM txt)))
+WHERE {cond}""" for k, (kind, pattern, cond) in enumerate(kinds) for p in ["'" + pattern.replace("'", "''") + "'"])
+    counts = ", ".join(f"count(*) FILTER (k = {k}) AS n_{kind}" for k, (kind, _, _) in enumerate(kinds[:base]))
+    mark = "kind || ':' || s::BIGINT || ':' || e::BIGINT"
+    return f"""txt AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), span AS ({each}),
+digest AS (SELECT doc_id, {counts}, sha256(coalesce(string_agg({mark}, ',' ORDER BY s, k) FILTER (k < {base}), '')) AS base_sha256,
+  string_agg({mark}, ',' ORDER BY s, k) AS spans FROM span GROUP BY doc_id)"""
+
+
+WORDS_ASSIGNED = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+ASSIGN_SQL = rf"""({WORDS_ASSIGNED})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+SECRET_SQL = spans_sql([
+    ("assign", ASSIGN_SQL, "length(regexp_extract(m, '" + ASSIGN_SQL.replace("'", "''") + "', 2)) >= 8"),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 16"), ("hex", "[0-9a-f]+", "length(m) >= 32"),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"), ("github", "gh[pousr]_[A-Za-z0-9]{36,}", "true"),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", "true")], 3)
+
+
+@query(f"""WITH {SECRET_SQL}
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM txt LEFT JOIN digest USING (doc_id)""")
+def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in every document, found behind a trigram index."""
+    found = secrets.find_secrets(table(spark, sf, "documents"), "doc_id", "text")
+    return spans_digest(found, ("assign", "access", "hex"))
+
+
+def spans_digest(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
+    def of(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    count = [of(k) for k in base]
+    return found.select(F.col("key").alias("doc_id"), *count, F.sha2(secrets.joined("spans", base), 256).alias("base_sha256"),
+                        secrets.joined("spans").alias("spans"))
+
+
+def held_out(key: str):
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1
+
+
+@query()
+def op9_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document by a network that learned from two thirds of them."""
+    docs = table(spark, sf, "documents")
+    network = language.fit(docs, "doc_id", "text", "lang", ~held_out("doc_id"))
+    return language.predict(docs, "doc_id", "text", network).select(
+        F.col("key").alias("doc_id"), F.coalesce(held_out("key"), F.lit(False)).alias("held_out"), "lang_pred", "score")
