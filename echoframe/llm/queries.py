@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.catalog.base import table
-from echoframe.llm import decontaminate, language, secrets, sharding
+from echoframe.llm import decontaminate, language, near, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +136,10 @@ def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     network = language.fit(docs, "doc_id", "text", "lang", ~held_out("doc_id"))
     return language.predict(docs, "doc_id", "text", network).select(
         F.col("key").alias("doc_id"), F.coalesce(held_out("key"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of documents linked by five-word shingles of Jaccard similarity 0.8 or more."""
+    return near.near_duplicates(table(spark, sf, "documents"), "doc_id", "text").select(
+        F.col("key").alias("doc_id"), "class_id", "copy_of", "n_links")
