@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.catalog.base import table
-from echoframe.llm import decontaminate, language, near, secrets, sharding
+from echoframe.llm import decontaminate, language, near, packing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -143,3 +143,18 @@ def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     """Classes of documents linked by five-word shingles of Jaccard similarity 0.8 or more."""
     return near.near_duplicates(table(spark, sf, "documents"), "doc_id", "text").select(
         F.col("key").alias("doc_id"), "class_id", "copy_of", "n_links")
+
+
+def public_tokenizer() -> dict[str, str]:
+    """The tokenizer that the box offers; its files are read where they lie."""
+    import public_tokenizers
+
+    return {"definition": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"),
+            "pattern": public_tokenizers.PATTERN}
+
+
+@query()
+def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    pieces = packing.pack(table(spark, sf, "documents"), "doc_id", "text", **public_tokenizer(), with_ids=False)
+    return pieces.withColumnRenamed("key", "doc_id")
