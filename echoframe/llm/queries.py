@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.catalog.base import table
-from echoframe.llm import decontaminate, language, near, packing, secrets, sharding
+from echoframe.llm import decontaminate, fingerprint, language, near, packing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -158,3 +158,9 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     pieces = packing.pack(table(spark, sf, "documents"), "doc_id", "text", **public_tokenizer(), with_ids=False)
     return pieces.withColumnRenamed("key", "doc_id")
+
+
+@query()
+def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Order MinHash of every document and of its text edited with the next one's."""
+    return fingerprint.with_successors(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
