@@ -56,9 +56,9 @@ def _number_occurrences(h: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 def _slots(g: np.ndarray, h: np.ndarray, text: np.ndarray, place: np.ndarray, texts: int):
     """Fingerprints (texts x SLOTS) from k-mers, and how many of each slot's tuple were there."""
-    slot = text * SLOTS + (g >> np.uint64(58)).astype(np.int64)
-    order = np.lexsort((g, slot))
-    slot = slot[order]
+    # The slot is in the hash's first bits: sorting by text and hash sorts by slot, too.
+    order = np.argsort((text.astype(np.uint64) << np.uint64(40)) | (g >> np.uint64(24)), kind="stable")
+    slot = (text * SLOTS + (g >> np.uint64(58)).astype(np.int64))[order]
     begin = np.searchsorted(slot, np.arange(texts * SLOTS))
     rank = np.arange(len(slot)) - begin[slot]
     chosen, slot = order[rank < TUPLE], slot[rank < TUPLE]
@@ -95,7 +95,9 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     out, there = _slots(g[low], h[low], text[low], place[low], len(texts))
     short = np.flatnonzero((bound < 1) & (there < TUPLE).any(axis=1))
     if len(short):
-        again = np.isin(text, short)
+        again = np.zeros(len(texts), bool)
+        again[short] = True
+        again = np.flatnonzero(again[text])
         number = np.searchsorted(short, text[again])
         out[short] = _slots(g[again], h[again], number, place[again], len(short))[0]
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.catalog.base import table
-from echoframe.llm import decontaminate, fingerprint, language, near, packing, secrets, sharding
+from echoframe.llm import decontaminate, fingerprint, language, near, packing, personal, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -116,12 +116,12 @@ def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return spans_digest(found, ("assign", "access", "hex"))
 
 
-def spans_digest(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
-    def of(kind):
-        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+def spans_digest(found: DataFrame, base: tuple[str, ...], of: str = "spans") -> DataFrame:
+    def count_of(kind):
+        return F.size(F.filter(of, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    count = [of(k) for k in base]
-    return found.select(F.col("key").alias("doc_id"), *count, F.sha2(secrets.joined("spans", base), 256).alias("base_sha256"),
+    count = [count_of(k) for k in base]
+    return found.select(F.col("key").alias("doc_id"), *count, F.sha2(secrets.joined(of, base), 256).alias("base_sha256"),
                         secrets.joined("spans").alias("spans"))
 
 
@@ -164,3 +164,11 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Order MinHash of every document and of its text edited with the next one's."""
     return fingerprint.with_successors(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+@query()
+def op7_personal(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in every document, by a field trained on a sample of them."""
+    docs = table(spark, sf, "documents")
+    found = personal.find_personal(docs, "doc_id", "text", personal.fit(docs, "doc_id", "text"))
+    return spans_digest(found, personal.KINDS, "stated")
