@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.catalog.base import table
-from echoframe.llm import decontaminate, fingerprint, language, near, packing, personal, secrets, sharding
+from echoframe.llm import chat, decontaminate, fingerprint, language, near, packing, personal, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -172,3 +172,25 @@ def op7_personal(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     found = personal.find_personal(docs, "doc_id", "text", personal.fit(docs, "doc_id", "text"))
     return spans_digest(found, personal.KINDS, "stated")
+
+
+@query("""WITH c AS (SELECT conv_id AS conv, turn, role, text FROM conversations),
+calls AS (SELECT conv, turn, 'c' || turn AS id, text, CASE WHEN turn >= 2 THEN 'c' || (turn - 2) END AS after FROM c WHERE role = 'user'),
+results AS (SELECT conv, turn, 'c' || (turn - 1) AS id, text FROM c WHERE role = 'assistant'),
+both_ AS (SELECT coalesce(k.conv, r.conv) AS conv, coalesce(k.id, r.id) AS id, k.turn AS ct, r.turn AS rt, k.text AS q, r.text AS a, k.after,
+    k.turn IS NOT NULL AS is_call, k.after IS NOT NULL AND NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv = k.conv AND p.id = k.after) AS lost
+  FROM calls k FULL JOIN results r ON k.conv = r.conv AND k.id = r.id),
+told AS (SELECT *, CASE WHEN is_call THEN concat_ws(',', CASE WHEN length(q) = 0 THEN 'text: too short' END, CASE WHEN lost THEN 'names an unknown call' END)
+  ELSE 'result without a call' END AS problems FROM both_)
+SELECT conv AS conv_id, id AS call_id, coalesce(ct, rt) AS turn, CASE WHEN is_call THEN 'reply' END AS name,
+  CASE WHEN is_call THEN row_number() OVER (PARTITION BY conv, is_call ORDER BY ct) - 1 END AS position,
+  is_call AND rt IS NOT NULL AS answered, problems, problems = '' AS valid,
+  '{"arguments":' || CASE WHEN is_call THEN '{' || CASE WHEN after IS NOT NULL THEN '"after":"' || after || '",' ELSE '' END
+    || '"text":' || to_json(q) || ',"turn":' || ct || '}' ELSE 'null' END || ',"id":"' || id || '","name":' || CASE WHEN is_call THEN '"reply"' ELSE 'null' END
+    || ',"result":' || coalesce(to_json(a)::VARCHAR, 'null') || '}' AS record
+FROM told""")
+def op8_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn of a dialogue as a linked, checked and ordered tool call in canonical JSON."""
+    messages = chat.as_protocol(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
+    found = chat.link_tool_calls(messages, "conv", "turn", "text", chat.REPLY)
+    return found.withColumnsRenamed({"conv": "conv_id", "id": "call_id"}).withColumn("problems", F.concat_ws(",", "problems"))
