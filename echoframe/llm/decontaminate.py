@@ -250,3 +250,14 @@ def _merged(found: DataFrame) -> DataFrame:
         (a["n"] + F.greatest(r["ends"] - F.greatest(a["reach"], r["starts"]), F.lit(0))).alias("n")))
     return g.select("key", "n_words", F.array(F.lit(0).cast("long")).alias("starts"),
                     F.array(total["n"]).alias("ends"), "items")
+
+
+def drop_contaminated(docs: DataFrame, key: str, text: str, tests: DataFrame, item: str, test_text: str, most: float = 0.0,
+                      window: int = 10) -> DataFrame:
+    """Rows of ``docs`` of whose words a share of at most ``most`` lies in passages of test items.
+
+    Rows that share a key (a null key too) are dropped together if any of them is hit.
+    """
+    found = decontaminate(docs, key, text, tests, item, test_text, window)
+    hit = found.where(F.col("n_hit") > most * F.col("n_words")).select(F.col("key").alias("_hit")).distinct()
+    return docs.join(hit, F.col(f"`{key}`").eqNullSafe(F.col("_hit")), "left_anti")

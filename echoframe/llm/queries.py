@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.catalog.base import table
-from echoframe.llm import chat, decontaminate, fingerprint, language, near, packing, personal, secrets, sharding
+from echoframe.llm import chat, decontaminate, fingerprint, language, near, packing, personal, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -194,3 +194,13 @@ def op8_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
     messages = chat.as_protocol(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
     found = chat.link_tool_calls(messages, "conv", "turn", "text", chat.REPLY)
     return found.withColumnsRenamed({"conv": "conv_id", "id": "call_id"}).withColumn("problems", F.concat_ws(",", "problems"))
+
+
+@query()
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality and toxicity of every document, by its text and by its source and language there."""
+    found = quality.classify(table(spark, sf, "documents"), "doc_id", "text", F.col("source"), F.col("lang"),
+                             table(spark, sf, "labels"), "doc_id", ["quality", "toxic"])
+    return found.select(
+        F.col("key").alias("doc_id"), F.col("quality_probability").alias("quality_score"), (F.col("quality_probability") >= 0.5).alias("keep"),
+        F.col("toxic_probability").alias("toxic_score"), (F.col("toxic_probability") >= 0.5).alias("toxic"))
