@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +21,15 @@ SHARD_TOKENS = 1_000_000
 QUERY_TERMS, K1, B = 48, 1.2, 0.75
 
 #: Ways of writing that a worker remembers the tokens of.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 class Tokenizer:
     """Ids of whole texts by a byte-level BPE, word by word from memory.
 
-    A single space between two other characters always begins a new word of the vocabulary's pattern, so
-    texts are cut there and each way of writing is encoded once.  Texts with other white space around a
-    space, or with the name of a special token in them, are encoded whole.
+    The pattern that belongs to the ranks begins a new word at a single space between two other characters,
+    so texts are cut there and most ways of writing are encoded once.  Texts with other white space around
+    a space or with the name of a special token in them are encoded whole, as are all without ranks.
     """
 
     def __init__(self, definition: str, ranks: bytes | None, pattern: str | None):
@@ -45,36 +46,58 @@ class Tokenizer:
 
             table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        tokenizer = self
-
-        class Words(dict):
-            def __missing__(self, word):
-                if not word or word[0].isspace() or word[-1].isspace():
-                    raise LookupError
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                self[word] = got = tokenizer.encoded(" " + word)
-                return got
-
-        self.words = Words()
+        self.line_break = self.encoded("\n")
+        self.bare = Words(self, "")
+        self.words = Words(self, " ")
 
     def encoded(self, text: str) -> bytes:
         if self.fast is None or any(s in text for s in self.special):
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.fast.encode_ordinary(text)
-        return np.array(ids, self.kind).tobytes()
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.kind.char, self.fast.encode_ordinary(text)).tobytes()
 
     def __call__(self, text: str) -> bytes:
         first, space, rest = text.partition(" ")
-        if not space or first[-1:].isspace() or not first or any(" " in s and s in text for s in self.special):
+        if not space or self.fast is None or any(s in text for s in self.special):
             return self.encoded(text)
         try:
-            return self.encoded(first) + b"".join(map(self.words.__getitem__, rest.split(" ")))
+            return self.bare[first] + b"".join(map(self.words.__getitem__, rest.split(" ")))
         except LookupError:
             return self.encoded(text)
 
 
+class Words(dict):
+    """Tokens of words seen before, after a space or not.
+
+    A word's end mark and what follows a line break are looked up by themselves: the vocabulary's pattern
+    divides there, too.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, before: str):
+        super().__init__()
+        self.tokenizer, self.before = tokenizer, before
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise LookupError
+        stem = len(word)
+        while stem and not word[stem - 1].isalnum():
+            stem -= 1
+        if "\n" in word:
+            head, _, tail = word.partition("\n")
+            if head and tail and not head[-1].isspace() and not tail[0].isspace():
+                return self[head] + self.tokenizer.line_break + self.tokenizer.bare[tail]
+        elif 0 < stem < len(word):
+            known = word[:stem] in self
+            got = self[word[:stem]] + self.tokenizer.bare[word[stem:]]
+            if known and len(self) < REMEMBERED:
+                self[word] = got
+            return got
+        got = self.tokenizer.encoded(self.before + word)
+        if len(self) < REMEMBERED:
+            self[word] = got
+        return got
+
+
 def tokenize(df: DataFrame, key: str, text: str, definition: str, ranks: str | None = None, pattern: str | None = None,
              end: int = 1) -> DataFrame:
     """at (place of the row), key, n and the ids of every text, ``end`` last, as little-endian binary.
