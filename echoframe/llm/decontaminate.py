@@ -259,5 +259,6 @@ def drop_contaminated(docs: DataFrame, key: str, text: str, tests: DataFrame, it
     Rows that share a key (a null key too) are dropped together if any of them is hit.
     """
     found = decontaminate(docs, key, text, tests, item, test_text, window)
-    hit = found.where(F.col("n_hit") > most * F.col("n_words")).select(F.col("key").alias("_hit")).distinct()
-    return docs.join(hit, F.col(f"`{key}`").eqNullSafe(F.col("_hit")), "left_anti")
+    hit = found.where(F.col("n_hit") > most * F.col("n_words")).select(F.col("key").alias("hit")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("id"))
+    return rows.join(hit, F.col("id").eqNullSafe(F.col("hit")), "left_anti").select("row.*")

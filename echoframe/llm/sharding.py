@@ -36,8 +36,9 @@ def shard(df: DataFrame, shards: int, size: Column) -> DataFrame:
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    df = df.withColumn("_size", F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).cast("long"))
-    rows = checkpointed(df.drop("shard", "slot").withColumn("_at", F.monotonically_increasing_id()))
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]).alias("row")
+    size = F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).cast("long").alias("_size")
+    rows = checkpointed(df.select(kept, size, F.monotonically_increasing_id().alias("_at")))
     rows = rows.withColumn("_part", F.shiftright("_at", PLACE_BITS))
     totals = sorted(tuple(r) for r in rows.groupBy("_part").agg(F.sum("_size"), F.count("*")).collect())
     whole = max(1, sum(b for _, b, _ in totals))
@@ -86,7 +87,5 @@ def _placed(rows: DataFrame, parts: list[tuple[int, int]], begins: dict[int, int
         i = k
     places = rows.sparkSession.createDataFrame(table, TABLE.replace("part", "_part", 1))
     here = F.element_at(F.filter("begins", lambda x: x["at"] <= F.col("_at")), -1)
-    return (rows.join(places, "_part").withColumn("_here", here)
-            .withColumn("shard", F.col("_here.shard"))
-            .withColumn("slot", F.col("rows_before") + F.col("_at").bitwiseAND(mask) - F.col("_here.row"))
-            .drop("_part", "_at", "_size", "_here", "rows_before", "begins"))
+    slot = F.col("rows_before") + F.col("_at").bitwiseAND(mask) - F.col("_here.row")
+    return rows.join(places, "_part").withColumn("_here", here).select("row.*", F.col("_here.shard").alias("shard"), slot.alias("slot"))
