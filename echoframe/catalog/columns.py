@@ -9,6 +9,8 @@ from echoframe.functions import transforms as T
 from echoframe.operators import filters, partition
 from echoframe.operators.series import prefix_sum, running_count, spillover
 from echoframe.operators.windows import pairs, window_arrays
+from echoframe.session import fresh_folder
+from echoframe.sources import tables as S
 from echoframe.sources.tables import prepare_events
 
 # ---------------------------------------------------------------- sources
@@ -46,12 +48,73 @@ def composite_key(spark, sf):
   SELECT event_type, value FROM events WHERE event_type = 'click'
   UNION ALL SELECT event_type, value FROM events WHERE event_type = 'view') GROUP BY event_type""")
 def concat_tables(spark, sf):
-    ev = table(spark, sf, "events").select("event_type", "value")
-    both = ev.where("event_type = 'click'").unionByName(
-        ev.where("event_type = 'view'"), allowMissingColumns=True)
+    """Two files whose columns stand in another order, read as one table."""
+    ev, at = table(spark, sf, "events"), fresh_folder(spark, "concat")
+    ev.where("event_type = 'click'").select("event_type", "value").write.options(sep=" ", header=True).csv(f"{at}/a")
+    ev.where("event_type = 'view'").select("value", "event_id", "event_type").write.options(sep=" ", header=True).csv(f"{at}/b")
+    both = S.read_table(spark, [f"{at}/a", f"{at}/b"], "event_type string, value double")
     return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query("""SELECT o_custkey::VARCHAR AS o_custkey, 1.0::DOUBLE AS rate, count(*) AS n, round(sum(o_totalprice), 2) AS price,
+  max(trial)::DOUBLE AS trial, sum(CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderkey END)::BIGINT AS shipping FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS trial FROM orders) GROUP BY 1""")
+def read_column_files(spark, sf):
+    """Event files of two clocks, two parts each, with nan for missing values; the first clock's table."""
+    at, o = fresh_folder(spark, "columns"), orders_series(spark, sf)
+    o = o.withColumn("shipping", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderkey").cast("int")))
+    for i in (0, 1):
+        part = o.where(F.col("o_orderkey") % 2 == i)
+        S.write_partitions(part.select("o_custkey", "time", "o_totalprice", "shipping", F.lit("x").alias("part")), f"{at}/x{i}")
+        S.write_partitions(part.select("time", "o_custkey", F.lit("x").alias("part")), f"{at}/z{i}")
+        S.write_partitions(part.select("o_custkey", "time", "o_orderkey", F.lit("y").alias("part")), f"{at}/y{i}")
+    schema = "o_custkey string, time double, o_totalprice double, shipping int"
+    X, _ = S.read_tabular_data(spark, [f"{at}/x{i}/part=x;{at}/z{i}/part=x" for i in (0, 1)], [f"{at}/y{i}/part=y" for i in (0, 1)],
+                               ["o_custkey"], x_schemas=[schema, "o_custkey string, time double"])
+    return X[0].groupBy("o_custkey", "rate").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price"), F.max("trial").alias("trial"),
+        F.sum("shipping").alias("shipping"))
+
+
+@query("""SELECT part, count(*) AS n, round(sum(o_totalprice), 2) AS total, count(*) FILTER (o_orderstatus != 'F') AS known
+FROM (SELECT *, CASE WHEN o_custkey % 4 <= 1 THEN 'train' WHEN o_custkey % 4 = 2 THEN 'dev' ELSE 'test' END AS part FROM orders)
+WHERE part != 'test' GROUP BY part""")
+def partition_sink_roundtrip(spark, sf):
+    """Written by part with nan for missing values, then read by a list of parts."""
+    o = table(spark, sf, "orders").withColumn("part", F.get(F.lit(["train", "dev", "test"]), partition.part_of(F.col("o_custkey"))))
+    at = fresh_folder(spark, "parts")
+    S.write_partitions(o.select("o_orderkey", "o_totalprice", F.when(F.col("o_orderstatus") != "F", F.col("o_orderkey")).alias("known"), "part"), at)
+    paths = {p: [f"{at}/part={p}"] for p in ("train", "dev", "test")}
+    frames = [S.read_table(spark, S.partition_paths(p, paths), "o_orderkey long, o_totalprice double, known long").withColumn("part", F.lit(p))
+              for p in S.partition_names("train-dev")]
+    return frames[0].unionByName(frames[1]).groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.count("known").alias("known"))
+
+
+@query("""WITH l AS (SELECT l_orderkey % 3 AS fold, l_extendedprice / 1000 AS obs, l_quantity * 1.5 AS pred FROM lineitem)
+SELECT 'mse' AS metric, 'wide' AS model, fold::VARCHAR AS fold, '1' AS member, count(*) AS n, round(sum((obs - pred) ** 2), 3) AS total FROM l GROUP BY fold
+UNION ALL SELECT 'mse', 'plain', NULL, NULL, count(*), round(sum((obs - pred + 1) ** 2), 3) FROM l
+UNION ALL SELECT 'loglik', 'plain', NULL, NULL, count(*), round(-sum((obs - pred) ** 2), 3) FROM l
+UNION ALL SELECT 'loss', 'losses', NULL, NULL, count(*), round(sum(abs(obs - pred)), 3) FROM l
+UNION ALL SELECT 'corr', 'wide', fold::VARCHAR, '1', count(*), round(sum(pred), 3) FROM l GROUP BY fold
+UNION ALL SELECT 'corr', 'plain', NULL, NULL, count(*), round(sum(pred - 1), 3) FROM l""")
+def results_roundtrip(spark, sf):
+    """Results of three models (folds and a member; likelihoods; losses only) written one by one and read by metric."""
+    at = fresh_folder(spark, "results")
+    li = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 3).alias("f"), (F.col("l_extendedprice") / 1000).alias("obs"),
+                                             (F.col("l_quantity") * 1.5).alias("pred"))
+    S.write_results(li.drop("f").withColumn("loglik", -F.pow(F.col("obs") - F.col("pred"), 2)).withColumn("pred", F.col("pred") - 1), at,
+                    {"model": "plain", "kind": "direct", "response": "y", "partition": "dev"})
+    S.write_results(li, at, {"model": "wide", "kind": "direct", "fold": F.col("f"), "member": "1", "response": "y", "partition": "dev"})
+    S.write_results(li.select(F.abs(F.col("obs") - F.col("pred")).alias("loss")), at, {"model": "losses", "partition": "dev"})
+    out = None
+    for metric in S.METRICS:
+        one = S.read_results(spark, at, metric).groupBy("model", "fold", "member").agg(
+            F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total")).withColumn("metric", F.lit(metric))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---------------------------------------------------------------- filters
 
 _LI = "l_orderkey, l_linenumber, l_quantity, l_extendedprice"
@@ -168,7 +231,17 @@ def dummies(spark, sf):
 
 @query("""SELECT DISTINCT o_orderpriority AS level FROM orders""")
 def distinct_levels(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_orderpriority").alias("level")).distinct()
+    return spark.createDataFrame([(v,) for v in T.levels(table(spark, sf, "orders"), "o_orderpriority")], "level string")
+
+
+@query("""SELECT o_orderkey, (CASE WHEN k = 'b c' THEN 1.0 ELSE 0.0 END)::DOUBLE AS "k_b_c", (CASE WHEN k = 'b-c' THEN 1.0 ELSE 0.0 END)::DOUBLE AS "k_b_c_2",
+  (CASE WHEN k = 'b_c' THEN 1.0 ELSE 0.0 END)::DOUBLE AS "k_b_c_3"
+FROM (SELECT o_orderkey, ['a', 'b c', 'b-c', 'b_c'][1 + o_custkey % 4] AS k FROM orders)""")
+def dummies_clash(spark, sf):
+    """Levels whose names differ in characters only that a column name cannot have."""
+    o = table(spark, sf, "orders").withColumn("k", F.get(F.lit(["a", "b c", "b-c", "b_c"]), (F.col("o_custkey") % 4).cast("int")))
+    out, names = T.dummies(o, "k")
+    return out.select("o_orderkey", *names)
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(l_quantity * coalesce(CASE WHEN l_tax > 0.02 THEN l_tax END, 1), 6) AS qt,

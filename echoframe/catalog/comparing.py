@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from echoframe.catalog.base import EV, inputs, pairs_sql, query, rounded, table
 from echoframe.catalog.fitting import FEATS, OLS2, features
+from echoframe.catalog.windows import _phi
 from echoframe.operators import compare, irf, partition, regress
 from echoframe.operators.windows import WINDOW, pairs, window_arrays
 
@@ -72,13 +75,16 @@ def principal_components(spark, sf):
 
 
 @query("""WITH e AS (SELECT value - (SELECT avg(value) FROM events) AS e FROM events),
-s AS (SELECT avg(e) AS m, stddev_pop(e) AS sd, count(*) AS n FROM e)
-SELECT row_number() OVER (ORDER BY e) AS rank, round(e, 6) AS empirical FROM e""")
+s AS (SELECT avg(e) AS m, stddev_pop(e) AS sd, count(*) AS n FROM e),
+r AS (SELECT e, row_number() OVER (ORDER BY e) AS rank, m, sd, n FROM e, s)
+SELECT rank, round(e, 6) AS empirical, round(m + sd * list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(0, 44), lambda i: 4.0 / 2 ** i)),
+  lambda z, step: z + step * sign((rank - 0.5) / n - """ + _phi("z") + """)), 5) AS theoretical FROM r""")
 def error_quantiles(spark, sf):
-    """Sorted errors (their normal quantiles are checked in the tests: SQL has no inverse normal)."""
+    """Sorted errors beside normal quantiles, which SQL finds by halving steps."""
     mean = table(spark, sf, "events").agg(F.avg("value")).first()[0]
     errors = table(spark, sf, "events").select((F.col("value") - F.lit(mean)).alias("e"))
-    return rounded(compare.quantile_table(errors, "e").select("rank", "empirical"))
+    out = compare.quantile_table(errors, "e")
+    return out.select("rank", F.round("empirical", 6).alias("empirical"), F.round("theoretical", 5).alias("theoretical"))
 
 
 @query("""WITH l AS (SELECT o_orderpriority, o_orderstatus, avg(o_totalprice) / 1000 AS a FROM orders GROUP BY 1, 2)
@@ -275,6 +281,16 @@ def likelihood_ratio(spark, sf):
     return spark.createDataFrame([(round(stat, 5), round(p, 6))], "stat double, p double")
 
 
+@query(f"""WITH {FEATS}, {OLS2}, s AS (SELECT 400 + n * (ln(yy) - ln(mse)) AS stat FROM o)
+SELECT round(stat, 5) AS stat, round(-stat / 2, 6) AS log_p FROM s""")
+def likelihood_ratio_large(spark, sf):
+    """A statistic far out, where one minus the distribution function would be 0."""
+    g = regress.gram(features(spark, sf), ["a", "b", "y"])
+    small, large = regress.solve(g, [], "y"), regress.solve(g, ["a", "b"], "y")
+    stat, p = regress.likelihood_ratio(small.loglik, large.loglik + 200, 2)
+    return spark.createDataFrame([(round(stat, 5), round(math.log(p), 6))], "stat double, log_p double")
+
+
 @query("""WITH t AS (SELECT event_type, user_id, exp(-avg(value) / 12) AS p FROM events GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY p) AS k, count(*) OVER (PARTITION BY event_type) AS m FROM t),
 h AS (SELECT *, p * m * list_sum(list_transform(range(1, m + 1), lambda i: 1.0 / i)) / k AS raw FROM r)

@@ -188,20 +188,23 @@ def _phi(z: str) -> str:
             f"* list_sum(list_transform(range(0, 120), lambda k: {term})))")
 
 
-_SKEW = K.SkewNormal(12.0, 24.0, 2.0).normaliser()
+# The mass above 0 by Simpson's rule, as the kernel's own sum is a trapezoid.
+_SKEW = f"""(SELECT list_sum(list_transform(range(0, 4001), lambda i: CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+  * exp(-0.5 * ((i * 0.066 - 12.0) / 24.0) ** 2) / sqrt(2 * pi()) / 12.0 * {_phi('greatest(-8, least(8, 2.0 * (i * 0.066 - 12.0) / 24.0))')})) * 0.066 / 3 + 4 * 1.1920928955078125e-07)"""
 
 
 @query(conv_sql(f"2 / 24.0 * exp(-0.5 * ((d - 12.0) / 24.0) ** 2) / sqrt(2 * pi()) * "
-                f"{_phi('greatest(-8, least(8, 2.0 * (d - 12.0) / 24.0))')} / {_SKEW!r} * v"))
+                f"{_phi('greatest(-8, least(8, 2.0 * (d - 12.0) / 24.0))')} / {_SKEW} * v"))
 def convolve_skew_normal(spark, sf):
     return _conv(spark, sf, K.SkewNormal(12.0, 24.0, 2.0))
 
 
-_EMG = K.EMG(6.0, 4.0, 0.1).normaliser()
+# One minus the distribution function at 0: Phi(u) - exp(v^2 / 2 - v u) Phi(u - v), u = -6 / 4, v = 0.1 * 4.
+_EMG = f"(1 - {_phi('(-1.5)')} + exp(0.08 + 0.6) * {_phi('(-1.9)')} + 4 * 1.1920928955078125e-07)"
 
 
 @query(conv_sql(f"0.1 * exp(-0.1 * (d - 6.0 - 0.5 * 0.1 * 16.0)) * "
-                f"{_phi('greatest(-8, least(8, (d - 6.0 - 0.1 * 16.0) / 4.0))')} / {_EMG!r} * v"))
+                f"{_phi('greatest(-8, least(8, (d - 6.0 - 0.1 * 16.0) / 4.0))')} / {_EMG} * v"))
 def convolve_emg(spark, sf):
     return _conv(spark, sf, K.EMG(6.0, 4.0, 0.1))
 
@@ -353,3 +356,30 @@ def eucldist2d(spark, sf):
     return _vectors(spark, sf, "eucldist2D")
 
 
+
+
+# A normal delay around 0 of sd 50 with an exponential of rate 1: beta * sigma is 50, so exp(lead) alone overflows.
+# The scaled tail by its continued fraction, innermost first.
+_STEEP_W = "((50.0 - d / 50.0) / sqrt(2.0))"
+_STEEP = (f"(exp(-0.5 * (d / 50.0) ** 2) / sqrt(pi()) / list_reduce(list_prepend({_STEEP_W}, list_transform(range(40, 0, -1), "
+          f"lambda k: k / 2.0)), lambda f, a: {_STEEP_W} + a / f) * 0.5)")
+
+
+@query(conv_sql(f"{_STEEP} * 2 * v", history=8, cutoff=72.0))
+def convolve_emg_steep(spark, sf):
+    X, Y = inputs(spark, sf)
+    kernel = K.EMG(0.0, 50.0, 1.0)
+    out = convolve(Y, [Source(X, [Conv("conv", "value", kernel)], tie=["event_id"])], ["user_id"], 8, cutoff=72.0)
+    return rounded(out.select("event_id", (F.col("conv") * kernel.normaliser() * 2).alias("conv")))
+
+
+@query(f"""WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time, event_id) AS rank FROM x),
+{pairs_sql(3)} SELECT q.event_id, x_id, rank, rank AS rank_in_blocks FROM q JOIN r ON r.event_id = q.x_id""")
+def window_ranks(spark, sf):
+    """Positions of events in their series, from whole series and from blocks."""
+    X, Y = inputs(spark, sf)
+    X = X.withColumn("x_id", F.col("event_id"))
+    ranks = [pairs(window_arrays(X, Y, ["user_id"], ["x_id"], 3, tie=["event_id"], layout=kind, blocks=blocks)).select(
+        "event_id", "x_id", F.col("event_rank").cast("long").alias(name))
+        for kind, blocks, name in (("series", None, "rank"), ("blocks", 7, "rank_in_blocks"))]
+    return ranks[0].join(ranks[1], ["event_id", "x_id"], "full_outer")

@@ -52,8 +52,25 @@ def erfc(x: Column) -> Column:
     return F.when(a <= 0.5, inner).when(x > 0, upper).otherwise(F.lit(2.0) - upper)
 
 
-def normal_cdf(x: Column) -> Column:
-    return F.lit(0.5) * erfc(-x / math.sqrt(2.0))
+def erfcx(x: Column) -> Column:
+    """``exp(x^2) erfc(x)`` of a non-negative column, where ``erfc`` itself may vanish."""
+    sq = x * x
+    inner = F.exp(sq) * (F.lit(1.0) - x * _horner(ERF_P, sq) / _horner(ERF_Q, sq))
+    middle = _horner(ERFC_P, x) / _horner(ERFC_Q, x)
+    inv = F.lit(1.0) / sq
+    far = (F.lit(1.0 / math.sqrt(math.pi)) - inv * _horner(TAIL_P, inv) / _horner(TAIL_Q, inv)) / x
+    return F.when(x <= 0.5, inner).when(x <= 4.0, middle).otherwise(far)
+
+
+def erfcx_scalar(x: float) -> float:
+    """The same of a number; beyond 20 by its asymptotic series."""
+    if x < 20.0:
+        return math.exp(x * x) * math.erfc(x)
+    total, term = 1.0, 1.0
+    for k in range(1, 8):
+        term *= -(2 * k - 1) / (2 * x * x)
+        total += term
+    return total / (x * math.sqrt(math.pi))
 
 
 def normal_cdf_scalar(x: float) -> float:
@@ -83,9 +100,19 @@ def gamma_cdf(x: float, shape: float, rate: float) -> float:
             term *= z / k
             total += term
         return scale * total
-    return 1.0 - scale * _lentz(
-        lambda i: z + 1 - shape + 2 * i, lambda i: -i * (i - shape)
-    )
+    return 1.0 - scale * _gamma_fraction(z, shape)
+
+
+def gamma_sf(x: float, shape: float, rate: float) -> float:
+    """Regularised upper incomplete gamma function, without cancellation in the tail."""
+    z = rate * x
+    if z < shape + 1:
+        return 1.0 - gamma_cdf(x, shape, rate)
+    return math.exp(shape * math.log(z) - z - math.lgamma(shape)) * _gamma_fraction(z, shape)
+
+
+def _gamma_fraction(z: float, shape: float) -> float:
+    return _lentz(lambda i: z + 1 - shape + 2 * i, lambda i: -i * (i - shape))
 
 
 def beta_cdf(x: float, a: float, b: float) -> float:
@@ -124,14 +151,18 @@ def _lentz(b, a, tol: float = 1e-16, limit: int = 10_000) -> float:
 
 
 def chi2_sf(x: float, df: float) -> float:
-    return 1.0 - gamma_cdf(x, df / 2.0, 0.5)
+    return gamma_sf(x, df / 2.0, 0.5)
 
 
 class ColumnMath:
     """The functions a kernel may use, on Spark columns."""
 
     exp, log, sqrt, abs = F.exp, F.log, F.sqrt, F.abs
-    erfc = staticmethod(erfc)
+    erfc, erfcx = staticmethod(erfc), staticmethod(erfcx)
+
+    @staticmethod
+    def pick(cond: Column, yes: Column, no: Column) -> Column:
+        return F.when(cond, yes).otherwise(no)
 
     @staticmethod
     def floor_at(x: Column, low: float) -> Column:
@@ -143,6 +174,11 @@ class ArrayMath:
 
     exp, log, sqrt, abs = np.exp, np.log, np.sqrt, np.abs
     erfc = staticmethod(np.vectorize(math.erfc, otypes=[float]))
+    erfcx = staticmethod(np.vectorize(erfcx_scalar, otypes=[float]))
+
+    @staticmethod
+    def pick(cond, yes, no):
+        return np.where(cond, yes, no)
 
     @staticmethod
     def floor_at(x, low: float):

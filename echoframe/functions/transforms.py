@@ -141,14 +141,6 @@ def identifier(text: str) -> str:
     return re.sub(r"\W|^(?=\d)", "_", text)
 
 
-def scope_name(text: str) -> str:
-    return re.sub(r"[^A-Za-z0-9_.\-/]", ".", text)
-
-
-def clean_columns(df: DataFrame) -> DataFrame:
-    return df.toDF(*[identifier(c) for c in df.columns])
-
-
 MAX_LEVELS = 10_000
 
 
@@ -160,10 +152,22 @@ def levels(df: DataFrame, column: str, at_most: int = MAX_LEVELS) -> list:
     return sorted(r[0] for r in rows)
 
 
-def dummies(df: DataFrame, column: str, known_levels: Sequence | None = None) -> tuple[DataFrame, list[str]]:
-    """Treatment coding: an indicator per level but the first."""
-    values = list(levels(df, column) if known_levels is None else known_levels)
-    names = {identifier(f"{column}_{v}"): v for v in values[1:]}
+def dummies(df: DataFrame, column: str, known_levels: Sequence | None = None,
+            at_most: int = MAX_LEVELS) -> tuple[DataFrame, list[str]]:
+    """Treatment coding: an indicator per level but the first.
+
+    Levels whose names clash once they are cleaned are numbered in order: ``_2``, ``_3``.  A column of more
+    than ``at_most`` levels is refused; code it by :func:`echoframe.operators.partition.level_codes`.
+    """
+    values = list(levels(df, column, at_most) if known_levels is None else known_levels)
+    names: dict[str, object] = {}
+    for v in values[1:]:
+        name = plain = identifier(f"{column}_{v}")
+        again = 1
+        while name in names or name in df.columns:
+            again += 1
+            name = f"{plain}_{again}"
+        names[name] = v
     coded = df.withColumns({
         n: F.when(F.col(column) == F.lit(v), 1.0).otherwise(0.0) for n, v in names.items()
     })

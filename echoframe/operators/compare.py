@@ -263,13 +263,19 @@ def permutation_sums(df: DataFrame, a: Sequence[str], b: Sequence[str], row_id:
             "total": sums.ravel(),
         })
 
-    keyed = df.select(*[F.col(f"`{x}`").cast("double").alias(n) for x, n in zip([*a, *b], cells)], F.col(row_id).cast("long").alias("_key"))
+    keyed = df.select(*[F.col(f"`{x}`").cast("double").alias(n) for x, n in zip([*a, *b], cells)], row_key(df, row_id).alias("_key"))
     return (
         keyed.mapInPandas(step, "iteration int, slot int, total double")
         .groupBy("iteration", "slot").agg(F.sum("total").alias("total"))
     )
 
 
+def row_key(df: DataFrame, row_id: str) -> Column:
+    """A whole number that names a row: the id itself, or a hash of an id that is none."""
+    whole = df.schema[row_id].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.col(row_id).cast("long") if whole else F.xxhash64(F.col(row_id))
+
+
 _ENSEMBLE = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}
 
 

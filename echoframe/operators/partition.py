@@ -39,14 +39,17 @@ def part_of(split: Column, modulus: int = 4, parts: int = 3) -> Column:
     return F.when(residue <= modulus - parts, 0).otherwise(residue - (modulus - parts)).cast("int")
 
 
-PARTS = ("train", "dev", "test")
+#: Usual names of two and of three parts; more are numbered.
+PARTS = {2: ("train", "test"), 3: ("train", "dev", "test")}
 
 
 def modular_partition(df: DataFrame, columns: Sequence[str], modulus: int = 4, parts: int = 3,
-                      names: Sequence[str] = PARTS, into: str = "part", **layout) -> DataFrame:
+                      names: Sequence[str] | None = None, into: str = "part", **layout) -> DataFrame:
     df = split_id(df, columns, **layout)
     index = part_of(F.col("splitID"), modulus, parts)
-    names = list(names) if len(names) == parts else [str(i) for i in range(parts)]
+    names = list(names or PARTS.get(parts) or map(str, range(parts)))
+    if len(names) != parts:
+        raise ValueError(f"{parts} parts need as many names")
     return df.withColumn(into, F.get(F.lit(names), index))
 
 

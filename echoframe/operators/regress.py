@@ -720,7 +720,3 @@ def likelihood_ratio(loglik_small: float, loglik_large: float, df: int) -> tuple
     """Statistic and tail probability of a likelihood-ratio test."""
     stat = 2.0 * (loglik_large - loglik_small)
     return stat, chi2_sf(max(stat, 0.0), df)
-
-
-def two_sided_p(z: float) -> float:
-    return 2.0 * normal_cdf_scalar(-abs(z))

@@ -29,10 +29,6 @@ SIMULTANEOUS = 1.1920929e-07
 BLOCK = "_blk"
 
 
-def key_columns(df: DataFrame, series: Sequence[str]) -> list[Column]:
-    return [F.col(s) for s in series]
-
-
 @dataclass(frozen=True)
 class Layout:
     """How series are cut, and into how many pieces (None: as the session's shuffles are)."""
@@ -155,7 +151,7 @@ def block_carries(laid: Laid, measures: dict[str, Column], fold=F.sum) -> DataFr
     """Sums (or minima) of ``measures`` over all earlier blocks of the same series.
 
     One row per later block of a series that spans several: at most one per range partition, since
-    a boundary cuts one series only.  That bound makes the result safe to broadcast.
+    a boundary cuts one series only.
     """
     per_block = laid.df.groupBy(*laid.group).agg(*[fold(c).alias(m) for m, c in measures.items()])
     w = Window.partitionBy(*laid.series).orderBy(BLOCK)
@@ -183,7 +179,7 @@ def with_halo(laid: Laid, before: int, after: int = 0, where: Column | None = No
         .where("_pieces > 1").drop("_pieces")
     )
     rows = laid.df if where is None else laid.df.where(where)
-    rows = rows.join(F.broadcast(pieces), laid.group, "left_semi")
+    rows = rows.join(pieces, laid.group, "left_semi")
     out = base
     for need, sign in ((before, -1), (after, 1)):
         if not need:
@@ -255,7 +251,7 @@ def prefix_sum(df: DataFrame, series: Sequence[str], order: Sequence[str],
     out = gather(laid.df, laid.group, plan).select(
         "*", *[F.sum(c).over(w).alias(f"_run_{m}") for m, c in run.items()])
     carry = block_carries(laid, {f"_carry_{m}": c for m, c in run.items()})
-    out = repeated(out.join(F.broadcast(carry), laid.group, "left"), most_copies(laid))
+    out = repeated(out.join(carry, laid.group, "left"), most_copies(laid))
     # The k-th of n copies has seen n - k fewer of them than the run's end.
     return out.select(*[F.col(f"`{c}`") for c in kept], *[
         (F.col(f"_run_{m}") + F.coalesce(f"_carry_{m}", F.lit(0))
@@ -270,7 +266,7 @@ def prefix_min(df: DataFrame, series: Sequence[str], order: Sequence[str], value
     out = laid.df.withColumn(into, F.min(value).over(_rows_so_far(laid)))
     if laid.cut:
         carry = block_carries(laid, {"_carry": F.col(value)}, fold=F.min)
-        out = out.join(F.broadcast(carry), laid.group, "left").withColumn(
+        out = out.join(carry, laid.group, "left").withColumn(
             into, F.least(into, "_carry")).drop("_carry")
     return out.drop(BLOCK)
 

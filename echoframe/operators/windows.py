@@ -30,6 +30,7 @@ from echoframe.operators.series import (
     COPIES,
     SIMULTANEOUS,
     Layout,
+    block_carries,
     choose_layout,
     collapse,
     gather,
@@ -90,8 +91,9 @@ def chunked(
     layout: str = "auto",
     at_most: int | None = None,
     blocks: int | None = None,
+    ranks: bool = False,
 ) -> Chunked:
-    """Steps 1-3 of the plan above."""
+    """Steps 1-3 of the plan above.  With ``ranks``, ``_g`` is an event's position in its whole series."""
     history, future = int(history or 0), int(future or 0)
     if history + future < 1:
         raise ValueError("history or future must be positive")
@@ -116,12 +118,15 @@ def chunked(
         ties.alias("_tie"),
         event.alias("_x"),
     )
-    nth = F.lit(1)
+    nth, counts_for = F.lit(1), F.lit(1).cast("long")
     if plan.kind == "blocks" and not tie:
-        # A window cannot hold more than `width` of any number of identical events.
+        # A window cannot hold more than `width` of any number of identical events: the first `future` and the
+        # last `history`.  One of those kept counts for all between, which are not.
         events = collapse(events)
         nth = F.explode(F.sequence(F.lit(1), F.least(F.lit(width), F.col(COPIES)).cast("int")))
-    events = events.select("*", nth.alias("_nth")).drop(COPIES)
+        counts_for = F.when(F.col("_nth") == max(1, future), F.greatest(F.col(COPIES) - width, F.lit(0)) + 1).otherwise(1)
+    events = events.select("*", nth.alias("_nth"))
+    events = (events.withColumn("_for", counts_for) if ranks else events).drop(COPIES)
     # A response sorts behind every event up to its time plus the tolerance; where only later events
     # matter (or simultaneous ones do not), it sorts before the events of its own time.
     behind = inclusive and history > 0
@@ -155,7 +160,18 @@ def chunked(
         counts.append(F.expr(
             f"coalesce(sum(1 - abs(_kind)) over (partition by {keys} order by _t "
             f"range between unbounded preceding and {below!r}D preceding), 0)").alias("_m"))
+    if ranks:
+        stands = F.when(F.col("_kind") == 0, F.col("_for")).otherwise(0)
+        copied = F.when(F.col("_halo") == -1, F.col("_for")).otherwise(0)
+        upto = F.sum(stands).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+        counts += [(upto - stands + 1 if future else upto).alias("_g"),
+                   F.sum(copied).over(Window.partitionBy(*group)).alias("_copied")]
     rows = rows.select("*", *counts).where("_kind = 0 or _halo = 0")
+    if ranks and laid.cut:
+        # Events of earlier blocks, of which a block sees the last few as copies.
+        carry = block_carries(laid, {"_carry": F.when(F.col("_kind") == 0, F.col("_for")).otherwise(0)})
+        rows = rows.join(carry, group, "left").withColumn(
+            "_g", F.col("_g") - F.col("_copied") + F.coalesce("_carry", F.lit(0)))
 
     # The rank range (lo, hi] a response wants, and the chunk that covers it.
     lo, hi = F.col("_n") - history, F.col("_n")
@@ -168,7 +184,7 @@ def chunked(
     rows = rows.withColumn("_end", end).withColumn("_own", F.expr(f"(_end + {width} - 1) div {width}"))
     own = F.col("_own")
     rows = rows.select(
-        *group, "_kind", "_x", "_y", "_n",
+        *group, "_kind", "_x", "_y", "_n", *(["_g"] if ranks else []),
         lo.alias("_lo"), hi.alias("_hi"),
         F.explode(
             F.when(F.col("_kind") == 0, F.array(own, own + 1)).otherwise(F.array(own))
@@ -196,9 +212,9 @@ def window_arrays(
     case identical events may be many).  ``series`` may be empty.
     ``inclusive=False`` keeps only events strictly before the response (history windows only).
     """
-    ch = chunked(X, Y, series, values, history, future, response_time=response_time, **kw)
+    ch = chunked(X, Y, series, values, history, future, response_time=response_time, ranks=True, **kw)
     ranked = F.when(F.col("_kind") == 0, F.struct(
-        F.col("_x.time").alias("time"), F.col("_n").alias("rank"),
+        F.col("_x.time").alias("time"), F.col("_g").alias("rank"),
         *[F.col("_x").getField(v).alias(v) for v in values]))
     rows = ch.rows.select("*", F.collect_list(ranked).over(ch.chunk()).alias("_c")).where("_kind != 0")
     first, length = ch.offsets()

@@ -139,8 +139,9 @@ class Model:
         for m in members:
             base, ops = parse_ops(m)
             if not ops and table.schema[base].dataType.typeName() in ("string", "boolean"):
-                known = stats.setdefault(f"levels:{base}", levels(table, base))
-                table, coded = dummies(table, base, known)
+                if f"levels:{base}" not in stats:
+                    stats[f"levels:{base}"] = levels(table, base)
+                table, coded = dummies(table, base, stats[f"levels:{base}"])
             else:
                 moments: dict[str, Moments] = stats.setdefault("moments", {})
                 table, coded = apply_ops(table, [m], stats=moments), [m]
@@ -302,12 +303,6 @@ class FittedModel:
         return metrics(self.predict(table, response), "obs", "pred", by, loglik="loglik")
 
 
-def convolve_inputs(model: Model, X, Y: DataFrame, kernels: dict[str, Kernel] | None = None) -> DataFrame:
-    """The table of convolved predictors on its own, with the response columns kept."""
-    compiled = model.compile(X, model.prepared(Y))
-    return compiled.with_kernels(kernels or {}).features()
-
-
 def two_step(table: DataFrame, features: Sequence[str], response: str) -> tuple[LinearFit, DataFrame]:
     """Regress on standardised convolved columns."""
     names = [f"z({f})" for f in features]
@@ -324,4 +319,4 @@ def baseline_merge(X: DataFrame, Y: DataFrame, on: Sequence[str] | None = None)
     return X.join(Y, on=on, how="inner")
 
 
-__all__ = ["C", "Model", "Compiled", "FittedModel", "convolve_inputs", "two_step", "baseline_merge"]
+__all__ = ["C", "Model", "Compiled", "FittedModel", "two_step", "baseline_merge"]

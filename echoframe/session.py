@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ def build_session(master: str | None = None, app: str = "echoframe", **conf: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         # Plans here are built from many small columns; recording a call site for each is costly.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -27,20 +29,30 @@ def build_session(master: str | None = None, app: str = "echoframe", **conf: str
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only in local mode, where it is not set, a private one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="echoframe-ckpt-", dir=os.environ.get("TMPDIR")))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own, not yet there, that every machine can reach."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Only where neither the setting nor a checkpoint folder exists (local tests) is a
-    private folder made.
+    private folder made.  ``build_session`` lets Spark delete the files once their table is gone.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(shared)
-    elif sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="echoframe-ckpt-", dir=os.environ.get("TMPDIR")))
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

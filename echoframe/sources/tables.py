@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,14 +25,18 @@ def read_table(spark: SparkSession, paths: str | Sequence[str], schema: StructTy
         return spark.read.option("mergeSchema", len(paths) > 1).parquet(*paths)
     reader = spark.read.options(sep=sep, header=True, ignoreLeadingWhiteSpace=True,
                                 ignoreTrailingWhiteSpace=True, nullValue="nan")
-    if schema is not None:
-        return reader.schema(schema).csv(paths)
-    reader = reader.options(inferSchema=True)
-    out = None
-    for p in paths:
-        df = reader.csv(p)
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    # Files of one header are read together; columns of different headers meet by name, never by place.
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        by_header.setdefault(tuple(reader.csv(path).columns), []).append(path)
+    if schema is None:
+        frames = [reader.options(inferSchema=True).csv(own) for own in by_header.values()]
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
+    fields = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    frames = [reader.csv(own).select(*[
+        (F.col(f"`{f.name}`") if f.name in header else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+        for header, own in by_header.items()]
+    return reduce(lambda x, y: x.unionByName(y), frames)
 
 
 def split_column_files(spec: str | Sequence) -> list[list[str]]:
@@ -97,81 +101,41 @@ def write_partitions(df: DataFrame, path: str, part: str = "part", fmt: str = "c
         writer.format(fmt).save(path)
 
 
-def convolved_name(response: str, param: str, part: str, file: int | None = None) -> str:
-    middle = f"_file{file}" if file is not None else ""
-    return f"X_conv_{response}_{param}{middle}_{part}.csv"
-
-
-def write_results(df: DataFrame, path: str, keys: Sequence[str] = ("model",), mode: str = "append") -> None:
-    """Predictions, losses or convolved predictors as one table partitioned by its keys."""
-    df.write.mode(mode).partitionBy(*keys).parquet(path)
-
-
-# How result files are named - optional two-step prefix, kind, response, file, partition.
-RESULT_FILE = (
-    r"(LM_2STEP_)?"
-    r"([A-Z]+preds|squared_error|losses_mse|mse_losses|loglik|preds_table|preds|obs|output)"
-    r"(?:_(.+?))?(?:_f([0-9]+))?_([^_]*)\.(csv|txt)$"
-)
-# model[.CV<factor>~<fold>][.m<member>]
-MODEL_DIR = r"^(.+?)(?:\.CV[^.~]+~([^.~]+))?(?:\.m(\d+))?$"
-
-
-def parse_result_path(path: str) -> dict | None:
-    """What a result file's name says about it."""
-    folder, _, name = path.rpartition("/")
-    m = re.match(RESULT_FILE, name)
-    if not m:
-        return None
-    kind = m.group(2)
-    model = re.match(MODEL_DIR, folder.rpartition("/")[2])
-    return {
-        "path": path,
-        "predtype": "2step" if m.group(1) else "direct",
-        "filetype": "table" if kind in ("preds_table", "output") or re.match("[A-Z]+preds$", kind) else
-        ("loglik" if kind == "loglik" else "mse"),
-        "response": m.group(3) or "y",
-        "file": int(m.group(4) or 0),
-        "partition": m.group(5),
-        "model": model.group(1),
-        "fold": model.group(2),
-        "member": model.group(3),
-    }
-
-
-def read_results(spark: SparkSession, paths: Sequence[str], metric: str = "mse", obs: str | None = None,
-                 pred: str | None = None, loglik: str | None = None) -> DataFrame:
-    """Prediction tables of many models, folds and members as one table with a ``value`` per row.
-
-    One read serves all files; what a file is comes from its name inside the query.  Folds of one
-    member simply share its keys, so concatenating them is the union itself.  Columns not named are
-    found by how they end: ``obs``, ``preds`` and ``loglik``.
+#: What tells the rows of one result from those of another: folders of the result table, in this order.
+RESULT_KEYS = ("model", "kind", "fold", "member", "response", "partition")
+
+
+def write_results(df: DataFrame, path: str, keys: dict[str, str | Column | None], mode: str = "append") -> None:
+    """Add rows (predictions, losses, likelihoods, convolved predictors) to the result table at ``path``.
+
+    ``keys`` gives the values of RESULT_KEYS, as strings or as columns of ``df``; those left out are null
+    (a model without folds or members).  The table is Parquet, one folder for each combination.
+    """
+    unknown = set(keys) - set(RESULT_KEYS)
+    if unknown:
+        raise ValueError(f"no such keys: {sorted(unknown)}")
+    values = {k: keys.get(k) for k in RESULT_KEYS}
+    out = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in RESULT_KEYS], *[
+        (v if isinstance(v, Column) else F.lit(v)).cast("string").alias(k) for k, v in values.items()])
+    out.write.mode(mode).partitionBy(*RESULT_KEYS).parquet(path)
+
+
+#: How a result row is valued: observation and prediction, or a column of its own.
+METRICS = {
+    "mse": lambda: F.pow(F.col("obs") - F.col("pred"), 2.0),
+    "loss": lambda: F.col("loss"),
+    "loglik": lambda: F.col("loglik"),
+    "corr": lambda: F.col("pred"),
+}
+
+
+def read_results(spark: SparkSession, path: str, metric: str = "mse",
+                 columns: str = "obs double, pred double, loglik double, loss double") -> DataFrame:
+    """The result table with a ``value`` for each row by ``metric``; rows without that value are left out.
+
+    Folds of a model share its other keys, so their rows already stand together.  ``columns`` are
+    the table's own; those that no file has are null.  Keys stay strings (``01`` is not 1).
     """
-    found = [p for p in map(parse_result_path, paths) if p and p["filetype"] == "table"]
-    if not found:
-        raise ValueError("no prediction tables among the paths")
-    # Columns are taken by their header names; all files of a run are written with the same ones.
-    raw = spark.read.options(sep=" ", header=True, ignoreLeadingWhiteSpace=True, nullValue="nan").csv(
-        [p["path"] for p in found])
-    ending = lambda end: next((c for c in raw.columns if c.endswith(end)), end)
-    obs, pred, loglik = obs or ending("obs"), pred or ending("preds"), loglik or ending("loglik")
-    raw = raw.withColumns({c: F.col(c).cast("double") for c in (obs, pred, loglik) if c in raw.columns})
-    file = F.input_file_name()
-    name = F.regexp_extract(file, r"([^/]+)$", 1)
-    folder = F.regexp_extract(file, r"([^/]+)/[^/]+$", 1)
-    part = lambda c, pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
-    value = {
-        "mse": lambda: F.pow(F.col(obs) - F.col(pred), 2.0),
-        "loglik": lambda: F.col(loglik),
-        "corr": lambda: F.col(pred),
-    }[metric]()
-    return raw.select(
-        F.regexp_extract(folder, MODEL_DIR, 1).alias("model"),
-        part(folder, MODEL_DIR, 2).alias("fold"),
-        part(folder, MODEL_DIR, 3).alias("member"),
-        F.when(part(name, RESULT_FILE, 1).isNotNull(), "2step").otherwise("direct").alias("predtype"),
-        F.coalesce(part(name, RESULT_FILE, 3), F.lit("y")).alias("response"),
-        F.coalesce(part(name, RESULT_FILE, 4), F.lit("0")).cast("int").alias("file"),
-        F.regexp_extract(name, RESULT_FILE, 5).alias("partition"),
-        F.col(obs).alias("obs"), value.alias("value"),
-    )
+    keys = ", ".join(f"{k} string" for k in RESULT_KEYS)
+    table = spark.read.schema(f"{columns}, {keys}").parquet(path)
+    return table.withColumn("value", METRICS[metric]()).where("value is not null")

@@ -73,3 +73,26 @@ def test_composition_of_exponentials():
     t = np.linspace(0.5, 10, 20)
     exact = (np.exp(-0.5 * t) - np.exp(-2.0 * t)) / 1.5
     assert np.allclose(k.on_grid(t), exact, rtol=5e-3)
+
+
+@pytest.mark.parametrize("kernel", [K.EMG(0.0, 50.0, 1.0), K.EMG(40.0, 2.0, 20.0), K.EMG(6.0, 4.0, 0.1)])
+def test_steep_emg(spark, kernel):
+    t = np.linspace(0, 400, 200_001)
+    assert np.trapezoid(kernel.on_grid(t), t) == pytest.approx(1.0, abs=1e-3)
+    some = [0.0, 0.1, 10.0, 40.0, 50.0, 300.0]
+    df = spark.createDataFrame([(x,) for x in some], "t double").select(kernel.column(F.col("t")).alias("k"), "t").orderBy("t")
+    assert np.allclose([r.k for r in df.collect()], kernel.on_grid(np.array(some)), rtol=1e-9, atol=1e-15)
+
+
+def test_reach_is_required(spark):
+    with pytest.raises(ValueError):
+        K.Composed(first=K.Exp(1.0), second=K.Exp(2.0))
+    df = spark.createDataFrame([(9.0,), (11.0,)], "t double")
+    k = K.Composed(first=K.Exp(1.0), second=K.Exp(2.0), reach=10.0)
+    assert df.where("t < 10").select(k.column(F.col("t"))).first()[0] > 0
+    with pytest.raises(Exception, match="reach"):
+        df.select(k.column(F.col("t"))).collect()
+
+
+def test_far_tail():
+    assert chi2_sf(75.0, 2) == pytest.approx(5.175555005801869e-17) and chi2_sf(70.0, 2) == pytest.approx(6.305116760146985e-16)

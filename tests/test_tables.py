@@ -39,31 +39,37 @@ def test_partitioned_sink(spark, tmp_path):
     S.write_partitions(df, str(tmp_path / "out"))
     text = next((tmp_path / "out" / "part=dev").glob("*.csv")).read_text().split()
     assert text == ["v", "nan"]
-    assert S.convolved_name("y", "mu", "dev", 1) == "X_conv_y_mu_file1_dev.csv"
-    S.write_results(df.withColumn("model", F.lit("m")), str(tmp_path / "res"))
+    S.write_results(df, str(tmp_path / "res"), {"model": "m", "partition": F.col("part")})
     assert spark.read.parquet(str(tmp_path / "res")).where("model = 'm'").count() == 2
+    with pytest.raises(ValueError):
+        S.write_results(df, str(tmp_path / "res"), {"fol": "a"})
+
+
+def test_columns_meet_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("time x\n1 10\n")
+    (tmp_path / "b.csv").write_text("x time z\n20 2 5\n")
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    for schema in (None, "time double, x int, z int"):
+        got = {(r.time, r.x, r.z) for r in S.read_table(spark, paths, schema).collect()}
+        assert got == {(1.0, 10, None), (2.0, 20, 5)}
 
 
 def test_reading_results(spark, tmp_path):
-    def put(folder, name, rows):
-        (tmp_path / folder).mkdir(exist_ok=True)
-        (tmp_path / folder / name).write_text("Mobs Mpreds Mloglik\n" + "\n".join(" ".join(map(str, r)) for r in rows))
-        return str(tmp_path / folder / name)
+    at = str(tmp_path / "results")
+
+    def put(keys, rows, columns="obs double, pred double, loglik double, n_obs int"):
+        S.write_results(spark.createDataFrame(rows, columns), at, keys)
 
-    paths = [
-        put("m", "Mpreds_y_f0_dev.csv", [(1, 2, -1), (3, 3, -2)]),
-        put("m.CVfold~a.m1", "output_y_f0_test.csv", [(1, 0, -1)]),
-        put("m.CVfold~b.m1", "output_y_f0_test.csv", [(5, 2, -4)]),
-        put("m!x", "LM_2STEP_preds_table_y_train.csv", [(1, 1, 0)]),
-        str(tmp_path / "notes.txt"),
-    ]
-    df = S.read_results(spark, paths)
-    got = {(r.model, r.fold, r.member, r.predtype, r.response, r.file, r.partition, r.value) for r in df.collect()}
-    assert ("m", None, None, "direct", "y", 0, "dev", 1.0) in got
-    assert ("m", "a", "1", "direct", "y", 0, "test", 1.0) in got and ("m", "b", "1", "direct", "y", 0, "test", 9.0) in got
-    assert ("m!x", None, None, "2step", "y", 0, "train", 0.0) in got
-    assert df.where("model = 'm' and member = '1'").count() == 2
-    assert S.read_results(spark, paths, "loglik").agg(F.sum("value")).first()[0] == -8.0
+    put({"model": "m", "kind": "direct", "response": "y", "partition": "dev"}, [(1.0, 2.0, -1.0, 9), (3.0, 3.0, -2.0, 9)])
+    put({"model": "m", "fold": "01", "member": "1", "response": "y", "partition": "test"}, [(1.0, 0.0, -1.0, 9)])
+    put({"model": "m", "fold": "b", "member": "1", "response": "y", "partition": "test"}, [(5.0, 2.0, -4.0, 9)])
+    put({"model": "x", "kind": "2step", "partition": "train"}, [(4.0,)], "loss double")
+    df = S.read_results(spark, at)
+    got = {(r.model, r.kind, r.fold, r.member, r.response, r.partition, r.value) for r in df.collect()}
+    assert got == {("m", "direct", None, None, "y", "dev", 1.0), ("m", "direct", None, None, "y", "dev", 0.0),
+                   ("m", None, "01", "1", "y", "test", 1.0), ("m", None, "b", "1", "y", "test", 9.0)}
+    assert S.read_results(spark, at, "loglik").agg(F.sum("value")).first()[0] == -8.0
+    assert [(r.model, r.value) for r in S.read_results(spark, at, "loss").collect()] == [("x", 4.0)]
 
 
 def test_metrics(spark):

@@ -180,3 +180,18 @@ def test_long_form_of_future_windows(spark):
     Y = frame(spark, [(1, float(t) + 0.5) for t in range(40)], "s int, time double")
     got = pairs(window_arrays(X, Y, ["s"], ["v"], 3, 2)).groupBy("time").count()
     assert {r.time: r["count"] for r in got.collect()}[20.5] == 5
+
+
+@pytest.mark.parametrize("blocks", [2, 5, 9])
+@pytest.mark.parametrize("tie", [[], ["id"]])
+def test_ranks_in_both_layouts(spark, blocks, tie):
+    """An event's position in its series, whatever the layout; identical events count each."""
+    rows = [(s, float(t // 3), 1.0, i) for s in (1, 2) for i, t in enumerate(range(40))]
+    X = spark.createDataFrame(rows + [(1, 5.0, 1.0, 100)] * 12, "s int, time double, v double, id long")
+    X = X if tie else X.drop("id")
+    Y = frame(spark, [(s, float(t) + 0.5) for s in (1, 2) for t in range(0, 13, 2)], "s int, time double")
+    got = []
+    for layout in ({"layout": "series"}, {"layout": "blocks", "blocks": blocks}):
+        w = pairs(window_arrays(X, Y, ["s"], ["v"], 4, 2, tie=tie, **layout))
+        got.append(sorted((r.s, r.time, r.event_time, r.event_rank) for r in w.collect()))
+    assert got[0] == got[1]
