@@ -155,19 +155,17 @@ def with_successors(df: DataFrame, key: str, text: str) -> DataFrame:
     edges = np.array(cuts, np.int64)
 
     @F.pandas_udf("long")
-    def range_of(keys: pd.Series) -> pd.Series:
+    def twice_range(keys: pd.Series) -> pd.Series:
+        """Twice the range of a key, and one more if the range begins with it."""
         known = keys.notna().to_numpy()
-        place = np.searchsorted(edges, keys.fillna(0).astype("int64").to_numpy(), "right")
-        return pd.Series(np.where(known, place, 0))
+        keys = keys.fillna(0).astype("int64").to_numpy()
+        place = np.searchsorted(edges, keys, "right")
+        begins = np.append(edges, 0)[place - 1] == keys
+        return pd.Series(np.where(known, 2 * place + (begins & (place > 0)), 0))
 
+    rows = rows.withColumn("spot", twice_range("key")).withColumn("range", F.shiftright("spot", 1))
+    begins = F.col("spot") % 2 == 1
     first = F.col("key").isNull() if nulls else F.col("key") == F.lit(least)
-    begins = F.col("key").isin(cuts) if len(cuts) <= 16 else F.col("range") > 0
-    if len(cuts) > 16:
-        table = rows.sparkSession.createDataFrame([(i + 1, c) for i, c in enumerate(cuts)], "range long, begin long")
-        rows = rows.withColumn("range", range_of("key")).join(table, "range", "left")
-        begins = F.col("key") == F.col("begin")
-    else:
-        rows = rows.withColumn("range", range_of("key"))
     spot = lambda r, ahead: F.struct(r.alias("range"), F.lit(ahead).alias("ahead"))
     spots = F.array_compact(F.array(spot(F.col("range"), 0), F.when(begins, spot(F.col("range") - 1, 1)),
                                     F.when(first, spot(F.lit(len(cuts)).cast("long"), 1))))
