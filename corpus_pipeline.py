@@ -38,7 +38,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by their kinds; n_chars follows the text."""
-    return secrets.redact(docs, "text").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return secrets.redact(docs, "text").withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
