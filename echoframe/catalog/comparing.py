@@ -238,9 +238,16 @@ def permutation_p(spark, sf):
                                  "n long, a double, b double, diff double, p double")
 
 
-@query()
+@query(f"""WITH {_ERRS}, w AS (SELECT event_id, [e0, e0 * 1.01, e1, e1 * 0.99] AS cells, unnest(range(0, 100)) AS it FROM e),
+{_mix_sql('event_id::UHUGEINT + (it + 1)::UHUGEINT * 13787848793156543929::UHUGEINT', 'h', 'w')},
+c AS (SELECT event_id, it, cells, bits AS seed, unnest(range(1, 5)) AS cell FROM h),
+{_mix_sql('seed + cell::UHUGEINT * 11400714819323198485::UHUGEINT', 'kk', 'c')},
+moved AS (SELECT it, cells[cell] AS v, row_number() OVER (PARTITION BY event_id, it ORDER BY bits, cell) AS slot FROM kk),
+sums AS (SELECT it, slot, sum(v) AS total FROM moved GROUP BY it, slot)
+SELECT it::INTEGER AS iteration, round((avg(total) FILTER (slot <= 2) - avg(total) FILTER (slot > 2)) / (SELECT count(*) FROM e), 4) AS diff
+FROM sums GROUP BY it""")
 def permutation_ensemble(spark, sf):
-    """Two members per model: cells of a row are reordered over four columns (no SQL form)."""
+    """Two members per model: cells of a row are reordered over four columns, by a hash of row, iteration and cell."""
     e = _errors(spark, sf).withColumn("e0b", F.col("e0") * 1.01).withColumn("e1b", F.col("e1") * 0.99)
     r = compare.permutation_test(e, ["e0", "e0b"], ["e1", "e1b"], "event_id", n_iter=100, agg="median")
     return rounded(r.diffs, 4)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from echoframe.catalog.base import EV, events, inputs, orders_series, pairs_sql, query, rounded, table
@@ -110,14 +111,16 @@ def kernel_recovery(spark, sf):
     return spark.createDataFrame(rows, "n long, beta double, coef double, intercept double")
 
 
-@query()
+@query(f"""WITH {EV} SELECT count(*) AS n, true AS converged, 0.0::DOUBLE AS gradient, true AS lowest FROM y WHERE y IS NOT NULL""")
 def kernel_fit(spark, sf):
-    """Kernel parameters of two terms for the observed responses (iterative: no SQL form)."""
+    """A kernel learned for the observed responses: flat there, and no better a little to either side."""
     X, Y = inputs(spark, sf)
-    fitted = _model().fit(X, Y, learn_kernels=True)
-    rows = [(t, p, float(v)) for t, k in fitted.kernels.items() for p, v in k.params.items()]
-    rows += [(t, "coef", float(v)) for t, v in fitted.fits["y"].coefs.items()]
-    return rounded(spark.createDataFrame(rows, "term string, parameter string, value double"), 4)
+    w = window_arrays(X, Y, ["user_id"], ["value"], 8, tie=["event_id"]).persist()
+    fit = regress.fit_kernels(w, [Conv("a", "value", K.Exp(0.05))], "y")
+    beta = fit.kernels["a"].beta
+    around = [regress.fit_kernels(w, [Conv("a", "value", K.Exp(beta * f))], "y", iterations=0).trace[0] for f in (0.9, 1.1)]
+    row = (int(fit.fit.n), fit.converged, abs(round(float(np.abs(fit.gradient).max()), 2)), bool(fit.trace[-1] <= min(around)))
+    return spark.createDataFrame([row], "n long, converged boolean, gradient double, lowest boolean")
 
 
 @query(f"""WITH {FEATS}, {pairs_sql(8).replace('p AS', 'p2 AS').replace('FROM p ', 'FROM p2 ').replace('q AS', 'q2 AS')},
@@ -132,11 +135,51 @@ def kernels_by_level(spark, sf):
     return rounded(regress.kernels_by_level(w, WINDOW, "y", "value", "grp", {"slow": K.Exp(0.02), "fast": K.Exp(0.2)}))
 
 
-@query()
+@query(f"""WITH {FEATS} SELECT user_id, count(*) AS n, 0.0::DOUBLE AS level_equation, 0.0::DOUBLE AS slope_equation, true AS converged
+FROM f WHERE user_id IS NOT NULL GROUP BY user_id""")
 def random_effects(spark, sf):
-    """By-user intercepts and slopes by expectation-maximisation (iterative: no SQL form)."""
-    fit = regress.mixed(features(spark, sf), ["a"], "y", "user_id", ["intercept", "a"], iterations=8)
-    return rounded(fit.effects, 4)
+    """By-user intercepts and slopes, run to convergence, put into the mixed-model equations.
+
+    For each user the residuals (and residuals times the predictor) must sum to s2 D^-1 u; what is left of that,
+    in units of s2, is the result.
+    """
+    f = features(spark, sf)
+    fit = regress.mixed(f, ["a"], "y", "user_id", ["intercept", "a"])
+    inverse = np.linalg.inv(fit.variance)
+    e = F.col("y") - F.col("pred")
+    sums = fit.predict(f).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(e).alias("e"), F.sum(e * F.col("a")).alias("ea"))
+    joined = sums.join(fit.effects.withColumnRenamed("user_id", "u"), F.col("user_id") == F.col("u"))
+    u0, u1, s2 = F.col("ranef_intercept"), F.col("ranef_a"), fit.sigma**2
+    left = [F.col(c) / s2 - (u0 * float(row[0]) + u1 * float(row[1])) for c, row in zip(("e", "ea"), inverse)]
+    return joined.select("user_id", "n", *[(F.round(x, 5) + 0.0).alias(n) for x, n in zip(left, ("level_equation", "slope_equation"))],
+                         F.lit(fit.converged).alias("converged"))
+
+
+@query(f"""WITH {FEATS}, g AS (SELECT *, user_id % 4 AS fold FROM f),
+s AS (SELECT h.fold, regr_slope(g.y, g.a) AS slope, regr_intercept(g.y, g.a) AS intercept
+  FROM (SELECT DISTINCT fold FROM g) h JOIN g ON g.fold != h.fold GROUP BY h.fold)
+SELECT event_id, fold, round(intercept + slope * a, 6) AS pred FROM g JOIN s USING (fold)""")
+def crossval_predictions(spark, sf):
+    """Every response predicted by a fit on the users of the other folds."""
+    f = features(spark, sf).withColumn("fold", F.col("user_id") % 4)
+    out, _ = regress.crossval(f, ["a"], "y", "fold")
+    return rounded(out.select("event_id", "fold", "pred"))
+
+
+@query("""WITH l AS (SELECT l_quantity AS q, l_extendedprice / 1000 AS p, l_tax AS t FROM lineitem),
+g AS (SELECT var_pop(q) AS qq, var_pop(p) AS pp, covar_pop(q, p) AS qp, covar_pop(q, t) AS qt, covar_pop(p, t) AS pt, count(*) AS n FROM l),
+b AS (SELECT *, (pp * qt - qp * pt) / (qq * pp - qp * qp) AS bq, (qq * pt - qp * qt) / (qq * pp - qp * qp) AS bp FROM g)
+SELECT n, 70 AS columns, round(bq, 8) AS quantity, round(bp, 8) AS price
+  FROM b""")
+def ols_wide(spark, sf):
+    """Seventy columns, of which 35 repeat each of two: the coefficients share out to those of two columns."""
+    li = table(spark, sf, "lineitem")
+    cols = {f"q{i}": F.col("l_quantity") for i in range(35)} | {f"p{i}": F.col("l_extendedprice") / 1000 for i in range(35)}
+    wide = li.select(*[c.alias(n) for n, c in cols.items()], "l_tax")
+    g = regress.gram(wide, [*cols, "l_tax"])
+    fit = regress.solve(g, list(cols), "l_tax")
+    row = (int(fit.n), len(cols), round(sum(fit.coefs[f"q{i}"] for i in range(35)), 8), round(sum(fit.coefs[f"p{i}"] for i in range(35)), 8))
+    return spark.createDataFrame([row], "n long, columns int, quantity double, price double")
 
 
 @query("""WITH e AS (SELECT user_id, avg(value) - (SELECT avg(value) FROM events WHERE event_type = 'click') AS effect

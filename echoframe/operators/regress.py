@@ -8,6 +8,7 @@ of features, never as the data.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -22,8 +23,10 @@ from echoframe.functions.special import chi2_sf, normal_cdf_scalar, normal_quant
 from echoframe.operators.convolve import Conv, weighted_sum
 from echoframe.session import checkpointed
 
-# Beyond this many columns the pairwise aggregation gives way to pyspark.ml's row-wise solver.
+# Beyond this many columns products are summed by matrix batches rather than by one aggregate for each pair.
 WIDE = 60
+# Levels of a grouping factor whose statistics one task of a pass reads.
+LEVELS = 50_000
 
 
 @dataclass
@@ -52,7 +55,11 @@ def _doubles(exprs: dict[str, Column]) -> list[Column]:
 
 
 def gram(df: DataFrame, columns: Sequence[str] | dict[str, Column], weight: str | None = None) -> Gram:
-    """Means and covariances of ``columns`` in one pass over complete rows."""
+    """Means and covariances of ``columns`` over complete rows, at any width.
+
+    Few unweighted columns are one aggregation in generated code.  Otherwise means come first, and
+    each task then sums products of centred columns batch by batch.  Both give the same numbers.
+    """
     exprs = columns if isinstance(columns, dict) else {c: F.col(f"`{c}`") for c in columns}
     names = list(exprs)
     k = len(names)
@@ -61,22 +68,82 @@ def gram(df: DataFrame, columns: Sequence[str] | dict[str, Column], weight: str
     # Incomplete rows are blanked inside the aggregates: a filter would be pushed below the projection
     # and compute every (possibly costly) column a second time.
     complete = F.expr(" and ".join(f"_{i} is not null and not isnan(_{i})" for i in range(k)))
+    if weight is not None or k > WIDE:
+        return _wide_gram(flat, names, complete, weight is not None)
     x = [F.when(complete, F.col(f"_{i}")) for i in range(k)]
-    if weight is None:
-        aggs = [F.count(x[0]).alias("n")] + [F.avg(x[i]).alias(f"m{i}") for i in range(k)]
-        aggs += [F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
-        row = flat.agg(*aggs).first()
-        mean = np.array([row[f"m{i}"] for i in range(k)], dtype=float)
-        cov = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
-        return Gram(names, float(row["n"]), mean, cov)
-    w = F.when(complete, F.col("_w"))
-    aggs = [F.sum(w).alias("n")] + [F.sum(w * x[i]).alias(f"m{i}") for i in range(k)]
-    aggs += [F.sum(w * x[i] * x[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
+    aggs = [F.count(x[0]).alias("n")] + [F.avg(x[i]).alias(f"m{i}") for i in range(k)]
+    aggs += [F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
     row = flat.agg(*aggs).first()
-    n = row["n"]
-    mean = np.array([row[f"m{i}"] for i in range(k)]) / n
-    second = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / n
-    return Gram(names, float(n), mean, second - np.outer(mean, mean))
+    return _as_gram(names, row)
+
+
+def _as_gram(names: list[str], row) -> Gram:
+    k = len(names)
+    mean = np.array([row[f"m{i}"] for i in range(k)], dtype=float)
+    cov = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
+    return Gram(names, float(row["n"]), mean, cov)
+
+
+def _wide_gram(flat: DataFrame, names: list[str], complete: Column, weighted: bool) -> Gram:
+    """Centred on means of a first pass; a task sends k rows of k sums."""
+    k = len(names)
+    w = F.when(complete, F.col("_w") if weighted else F.lit(1.0))
+    row = flat.agg(F.sum(w).alias("n"), *[F.sum(w * F.col(f"_{i}")).alias(f"m{i}") for i in range(k)]).first()
+    n = float(row["n"] or 0.0)
+    mean = np.array([row[f"m{i}"] if row[f"m{i}"] is not None else np.nan for i in range(k)], dtype=float) / n if n else np.full(k, np.nan)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, k))
+        for pdf in batches:
+            x = pdf.iloc[:, :k].to_numpy(dtype=float)
+            v = pdf.iloc[:, k].to_numpy(dtype=float) if weighted else np.ones(len(x))
+            ok = ~np.isnan(x).any(axis=1) & ~np.isnan(v)
+            d = x[ok] - mean
+            total += d.T @ (d * v[ok, None])
+        yield pd.DataFrame({"i": np.arange(k, dtype=np.int32), "v": list(total)})
+
+    sums = [F.sum(F.get("v", F.lit(j))).alias(f"s{j}") for j in range(k)]
+    got = flat.mapInPandas(products, "i int, v array<double>").groupBy("i").agg(*sums).collect()
+    cov = np.zeros((k, k))
+    for r in got:
+        cov[r["i"]] = [r[f"s{j}"] for j in range(k)]
+    return Gram(names, n, mean, cov / max(n, 1e-300))
+
+
+def gram_by(df: DataFrame, columns: Sequence[str], by: str) -> dict:
+    """The Gram of every group of ``by`` (a setting with few values, such as a fold), in one aggregation."""
+    names, k = list(columns), len(columns)
+    flat = df.where(F.col(f"`{by}`").isNotNull()).select(
+        F.col(f"`{by}`").alias("_by"), *_doubles({f"_{i}": F.col(f"`{c}`") for i, c in enumerate(names)}))
+    complete = F.expr(" and ".join(f"_{i} is not null and not isnan(_{i})" for i in range(k)))
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(f"_{i}").alias(f"m{i}") for i in range(k)]
+    aggs += [F.covar_pop(f"_{i}", f"_{j}").alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
+    return {r["_by"]: _as_gram(names, r) for r in flat.where(complete).groupBy("_by").agg(*aggs).collect()}
+
+
+def merged(grams: Sequence[Gram]) -> Gram:
+    """The Gram of all rows together."""
+    n = sum(g.n for g in grams)
+    mean = sum(g.n * g.mean for g in grams) / n
+    cov = sum(g.n * (g.cov + np.outer(g.mean - mean, g.mean - mean)) for g in grams) / n
+    return Gram(grams[0].names, n, mean, cov)
+
+
+def crossval(df: DataFrame, features: Sequence[str], response: str, fold: str, into: str = "pred",
+             **penalties) -> tuple[DataFrame, dict]:
+    """Every row's prediction by a fit on the other folds, and the fits.
+
+    One aggregation makes the sums of each fold; a fold's training sums are those of all others, so no
+    row is copied or read again.  Rows of a null fold get no prediction.
+    """
+    by_fold = gram_by(df, [*features, response], fold)
+    if len(by_fold) < 2:
+        raise ValueError("cross-validation needs two folds at least")
+    fits = {f: solve(merged([g for o, g in by_fold.items() if o != f]), features, response, **penalties) for f in sorted(by_fold)}
+    pred = F.lit(None).cast("double")
+    for f, fit in fits.items():
+        pred = F.when(F.col(f"`{fold}`") == F.lit(f), linear_predictor(fit.coefs, fit.intercept)).otherwise(pred)
+    return df.withColumn(into, pred), fits
 
 
 def linear_predictor(coefs: dict[str, float], intercept: float) -> Column:
@@ -170,24 +237,8 @@ def _descend(A, c, p1, p2, rounds: int = 10_000, tol: float = 1e-13) -> np.ndarr
 
 def ols(df: DataFrame, features: Sequence[str], response: str, intercept: bool = True,
         weight: str | None = None, l2=0.0, l1=0.0) -> LinearFit:
-    """Linear regression; a very wide design goes to pyspark.ml instead of pairwise sums."""
-    if len(features) <= WIDE:
-        return solve(gram(df, [*features, response], weight), features, response, intercept, l2, l1)
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    if isinstance(l1, dict) or isinstance(l2, dict):
-        raise ValueError("penalties per feature need a design of at most %d columns" % WIDE)
-    total = l1 + l2
-    lr = LinearRegression(featuresCol="_f", labelCol=response, fitIntercept=intercept, regParam=total,
-                          elasticNetParam=l1 / total if total else 0.0,
-                          **({"weightCol": weight} if weight else {}))
-    table = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="skip").transform(df)
-    m = lr.fit(table)
-    mse, n = m.summary.meanSquaredError, m.summary.numInstances
-    return LinearFit(response, dict(zip(features, map(float, m.coefficients))), float(m.intercept),
-                     math.sqrt(mse), n, m.summary.r2, -0.5 * n * (math.log(2 * math.pi * mse) + 1),
-                     np.full((len(features) + intercept,) * 2, np.nan), intercept)
+    """Linear regression from sums of products, at any width."""
+    return solve(gram(df, [*features, response], weight), features, response, intercept, l2, l1)
 
 
 # ---------------------------------------------------------------- other families
@@ -293,6 +344,7 @@ class MixedFit:
     effects: DataFrame
     level: str
     loglik_trace: list[float]
+    converged: bool = True
 
     def predict(self, df: DataFrame, into: str = "pred") -> DataFrame:
         """Population prediction plus the level's deviations; an unseen level gets none."""
@@ -347,9 +399,13 @@ def _posterior(A, b, beta, D, s2, z):
 
 
 def mixed(df: DataFrame, features: Sequence[str], response: str, level: str,
-          random: Sequence[str] = ("intercept",), correlated: bool = True, iterations: int = 25,
-          tol: float = 1e-7) -> MixedFit:
-    """Linear model with by-level intercepts and slopes, by expectation-maximisation.
+          random: Sequence[str] = ("intercept",), correlated: bool = True, iterations: int = 600,
+          tol: float = 1e-10) -> MixedFit:
+    """Linear model with by-level intercepts and slopes, by accelerated expectation-maximisation.
+
+    Two steps and the way they change give a longer one; where that lowers the likelihood the second
+    step is taken instead.  Ends when the likelihood gains less than ``tol`` of itself; ``converged``
+    tells, and a fit that runs out of ``iterations`` warns.
 
     Rows are reduced once to per-level sufficient statistics, which later passes read; each pass sends
     one small row of sums per task to the driver.  ``random`` names features or ``intercept``;
@@ -363,6 +419,8 @@ def mixed(df: DataFrame, features: Sequence[str], response: str, level: str,
                       F.count(F.lit(1)).cast("double").alias("levels")).toPandas()
     A, b, yy, n = _unpack(first, k)
     A, b, yy, n, n_levels = A[0], b[0], float(yy[0]), float(n[0]), float(first["levels"][0])
+    # Every pass reads the statistics again: in as few tasks as they fill.
+    stats = stats.coalesce(max(1, math.ceil(n_levels / LEVELS)))
     beta = np.linalg.lstsq(A, b, rcond=None)[0]
     s2 = max((yy - beta @ b) / n, 1e-12)
     D = np.eye(q) * s2 / 10
@@ -397,19 +455,44 @@ def mixed(df: DataFrame, features: Sequence[str], response: str, level: str,
 
         return step
 
-    for _ in range(iterations):
+    def pack(beta, D, s2):
+        return np.concatenate([beta, D.ravel(), [s2]])
+
+    def unpack(v):
+        return v[:k], v[k:k + q * q].reshape(q, q), float(v[-1])
+
+    def em(v):
+        """The likelihood at ``v`` and the parameters after one step from it."""
+        beta, D, s2 = unpack(v)
         out = stats.mapInPandas(partials(beta, D, s2), schema)
         row = np.array(out.agg(*[F.sum(f"v{i}") for i in range(width)]).first(), dtype=float)
-        cut = np.cumsum([q * q, 1, k * k, k])
-        second, rss, XVX, XVy, ll = np.split(row, cut)
-        trace.append(float(ll[0]))
+        second, rss, XVX, XVy, ll = np.split(row, np.cumsum([q * q, 1, k * k, k]))
         D = second.reshape(q, q) / n_levels
-        D = D if correlated else np.diag(np.diag(D))
-        D = D + np.eye(q) * 1e-12
-        s2 = max(float(rss[0]) / n, 1e-12)
+        D = (D if correlated else np.diag(np.diag(D))) + np.eye(q) * 1e-12
         beta = np.linalg.lstsq(XVX.reshape(k, k), XVy, rcond=None)[0]
-        if len(trace) > 1 and abs(trace[-1] - trace[-2]) < tol * abs(trace[-1]):
-            break
+        return float(ll[0]), pack(beta, D, max(float(rss[0]) / n, 1e-12))
+
+    v, safe, used, converged = pack(beta, D, s2), None, 0, False
+    while used < iterations and not converged:
+        ll, one = em(v)
+        if safe is not None and ll < trace[-1]:
+            v = safe
+            ll, one = em(v)
+            used += 1
+        converged = bool(trace) and abs(ll - trace[-1]) < tol * abs(ll)
+        trace.append(ll)
+        ll, two = em(one)
+        trace.append(ll)
+        used += 2
+        r, change = one - v, (two - one) - (one - v)
+        length = -max(1.0, np.linalg.norm(r) / max(np.linalg.norm(change), 1e-300))
+        far = v - 2 * length * r + length**2 * change
+        beta, D, s2 = unpack(far)
+        inside = s2 > 0 and np.linalg.eigvalsh((D + D.T) / 2).min() > 0
+        v, safe = (far if inside else two), two
+    beta, D, s2 = unpack(safe)
+    if not converged:
+        warnings.warn(f"mixed model not converged after {used} passes", stacklevel=2)
 
     def effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -422,7 +505,7 @@ def mixed(df: DataFrame, features: Sequence[str], response: str, level: str,
     kind = stats.schema[level].dataType.simpleString()
     table = stats.mapInPandas(effects, ", ".join([f"`{level}` {kind}"] + [f"`ranef_{r}` double" for r in random]))
     return MixedFit(response, dict(zip(features, map(float, beta[1:]))), float(beta[0]), math.sqrt(s2), D,
-                    list(random), table, level, trace)
+                    list(random), table, level, trace, converged)
 
 
 @dataclass
@@ -487,6 +570,8 @@ class KernelFit:
     trace: list[float]
     cov: np.ndarray | None = None
     params: list[tuple[str, str]] = field(default_factory=list)
+    gradient: np.ndarray | None = None  # at the end, in units in which 1 is a clear slope
+    converged: bool = True
 
 
 def candidate_scores(windowed: DataFrame, window: str, response: str, value: str,
@@ -539,8 +624,8 @@ def fit_kernels(
     others: Sequence[str] = (),
     irf_ids: dict[str, str] | None = None,
     trainable: dict[str, Sequence[str]] | None = None,
-    iterations: int = 25,
-    tol: float = 1e-6,
+    iterations: int = 200,
+    tol: float = 1e-10,
 ) -> KernelFit:
     """Kernel parameters and coefficients by damped Gauss-Newton on the windowed table.
 
@@ -600,7 +685,7 @@ def fit_kernels(
         return G @ g.cov @ G.T, G @ g.cov @ resid
 
     u = np.array([_to_free(kernels[o], p, kernels[o].params[p]) for o, p in free])
-    damping, rejected = 1e-4, 0
+    damping, converged = 1e-4, not free
     try:
         g, best, mse = moments_at(u)
         H, rhs = normal_equations(g, best)
@@ -608,28 +693,33 @@ def fit_kernels(
         for _ in range(iterations if free else 0):
             damped = H + damping * np.diag(np.diag(H)) + 1e-300 * np.eye(len(H))
             step = np.clip(np.linalg.lstsq(damped, rhs, rcond=1e-12)[0][len(features):], -2.0, 2.0)
-            if np.abs(step).max() < tol:
+            if np.abs(step).max() < math.sqrt(tol):
+                converged = True
                 break
             g2, fit2, mse2 = moments_at(u + step)
             if not mse2 < trace[-1]:
                 damping *= 30
-                rejected += 1
-                if rejected > 4:
+                # No shorter step lowers the error either: it is as low as it can be told.
+                if damping > 1e12:
+                    converged = True
                     break
                 continue
-            rejected = 0
             gain = (trace[-1] - mse2) / max(trace[-1], 1e-300)
             u, g, best, damping = u + step, g2, fit2, damping / 10
             H, rhs = normal_equations(g, best)
             trace.append(mse2)
             if gain < tol:
+                converged = True
                 break
     finally:
         data.unpersist()
     best.response = response
     cov = np.linalg.pinv(H) * trace[-1] / g.n
     final = at(u)
-    return KernelFit({t.name: final[owner[t.name]] for t in terms}, best, trace, cov, free)
+    if not converged and iterations:
+        warnings.warn(f"kernels not converged after {iterations} steps", stacklevel=2)
+    scale = np.sqrt(np.maximum(np.diag(H), 1e-300) * max(trace[-1], 1e-300))
+    return KernelFit({t.name: final[owner[t.name]] for t in terms}, best, trace, cov, free, rhs / scale, converged)
 
 
 def kernels_by_level(windowed: DataFrame, window: str, response: str, value: str, level: str,
