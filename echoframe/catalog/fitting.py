@@ -215,8 +215,7 @@ def _held_out(spark, sf):
     X, Y = inputs(spark, sf)
     Y = modular_partition(Y, ["user_id"]).drop("splitID")
     model = Model(["y"], [C("value", EXP)], ["user_id"], history=8, tie=["event_id"])
-    fitted = model.fit(X, Y.where("part = 'train'"))
-    return fitted, fitted.features(X, Y)
+    return model.fit_split(X, Y, F.col("part") == "train")
 
 
 @query(f"WITH {_PARTS} SELECT event_id, part, round(pred, 6) AS pred, round(ll, 6) AS loglik FROM r")

@@ -291,6 +291,8 @@ def permutation_test(df: DataFrame, a: Sequence[str] | str, b: Sequence[str] | s
     if mode not in ("mse", "loglik", "corr") or n_tails not in (1, 2):
         raise ValueError(f"unknown mode {mode!r} or tails {n_tails!r}")
     columns = list(dict.fromkeys([*a, *b]))
+    # A number or two for each row, written once: what made them is not run again for the resampling.
+    df = checkpointed(df.select(F.col(f"`{row_id}`"), *[F.col(f"`{c}`") for c in columns if c != row_id]))
     row = df.agg(F.count(F.lit(1)).alias("_n"),
                  *[F.sum(F.col(f"`{c}`").cast("double")).alias(c) for c in columns]).first()
     n = row["_n"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from echoframe.functions.kernels import DiracDelta, Kernel, check_causal
 from echoframe.functions.transforms import zero_filled
-from echoframe.operators.series import SIMULTANEOUS, prefix_sum
+from echoframe.operators.series import SIMULTANEOUS, choose_layout, prefix_sum
 from echoframe.operators.windows import WINDOW, window_arrays, window_sums
 
 
@@ -61,7 +61,11 @@ def convolve(
 
     Missing predictor values contribute 0, as do events outside the window.
     """
+    sizing = {k: window_args.pop(k) for k in ("layout", "at_most", "blocks") if k in window_args}
+    # Tables are measured as they came, before windows are attached to them.
+    plans = [choose_layout([src.X, Y], list(series), **sizing) for src in sources]
     for i, src in enumerate(sources):
+        window_args["plan"] = plans[i]
         check_causal([t.kernel for t in src.terms if not isinstance(t.kernel, DiracDelta)], future)
         values = list(dict.fromkeys(t.value for t in src.terms))
         X = src.X.withColumns({v: zero_filled(src.X, v) for v in values})

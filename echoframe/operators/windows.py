@@ -92,6 +92,7 @@ def chunked(
     at_most: int | None = None,
     blocks: int | None = None,
     ranks: bool = False,
+    plan: Layout | None = None,
 ) -> Chunked:
     """Steps 1-3 of the plan above.  With ``ranks``, ``_g`` is an event's position in its whole series."""
     history, future = int(history or 0), int(future or 0)
@@ -104,7 +105,7 @@ def chunked(
     y_cols = list(Y.columns)
     if not series:
         X, Y, series = X.withColumn("_all", F.lit(0)), Y.withColumn("_all", F.lit(0)), ["_all"]
-    plan = choose_layout([X, Y], series, layout, at_most, blocks)
+    plan = plan or choose_layout([X, Y], series, layout, at_most, blocks)
     width = history + future
 
     known = [F.col(s).isNotNull() for s in series]

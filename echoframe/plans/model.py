@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoframe.functions import distributions
@@ -201,6 +201,22 @@ class Model:
         return FittedModel(self, compiled, fits, g, kernels)
 
 
+    def fit_split(self, X, Y: DataFrame, train: Column, l1=0.0, l2=0.0) -> tuple["FittedModel", DataFrame]:
+        """Fit on the rows of ``train``; also the features of all rows, from the same windows.
+
+        Statistics of transforms come from training rows.  The table is kept in memory or on disk, as it is
+        read for the fit and again by what scores it; unpersist it when done.
+        """
+        response_stats: dict[str, Moments] = {}
+        stats: dict = {"response": response_stats}
+        compiled = self.compile(X, self.prepared(Y.where(train), response_stats), stats)
+        whole = self.compile(X, self.prepared(Y, response_stats), stats)
+        table = whole.features().persist(StorageLevel.MEMORY_AND_DISK)
+        g = {r: gram(table.where(train), [*whole.features_of, r]) for r in self.responses}
+        fits = {r: solve(g[r], list(whole.features_of), r, self.intercept, l2, l1) for r in self.responses}
+        return FittedModel(self, compiled, fits, g, {}), table
+
+
 @dataclass
 class Compiled:
     model: Model
