@@ -155,6 +155,30 @@ def random_effects(spark, sf):
                          F.lit(fit.converged).alias("converged"))
 
 
+@query("""WITH l AS (SELECT ln(l_extendedprice) AS y, l_quantity AS q FROM lineitem),
+o AS (SELECT count(*) AS n, regr_slope(y, q) AS b, regr_intercept(y, q) AS a, var_pop(y) - covar_pop(y, q) ** 2 / var_pop(q) AS v, sum(y) AS t FROM l)
+SELECT n, round(b, 5) AS slope, round(a, 4) AS intercept, round(sqrt(v), 4) AS sigma, round((-0.5 * n * (ln(2 * pi() * v) + 1) - t) / n, 6) AS loglik FROM o""")
+def fit_lognormal(spark, sf):
+    """Log-normal prices by quantity: the search agrees with the closed form."""
+    fit = regress.fit_likelihood(table(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice", "lognormal")
+    return spark.createDataFrame([(fit.n, round(fit.coefs["l_quantity"], 5), round(fit.intercept, 4), round(fit.shape["sigma"], 4),
+                                   round(fit.loglik / fit.n, 6))], "n long, slope double, intercept double, sigma double, loglik double")
+
+
+_FAMILIES = ("normal", "lognormalv2")
+
+
+@query(" UNION ALL ".join(f"SELECT '{f}' AS family, count(*) AS n, 0.0::DOUBLE AS gradient, true AS converged FROM lineitem" for f in _FAMILIES))
+def fit_families(spark, sf):
+    """Where the search ends, the score equations hold."""
+    li = table(spark, sf, "lineitem").withColumn("price", F.col("l_extendedprice") / 1000)
+    rows = []
+    for family in _FAMILIES:
+        fit = regress.fit_likelihood(li, ["l_quantity"], "price", family)
+        rows.append((family, fit.n, abs(round(float(np.abs(fit.gradient).max()), 3)), fit.converged))
+    return spark.createDataFrame(rows, "family string, n long, gradient double, converged boolean")
+
+
 @query(f"""WITH {FEATS}, g AS (SELECT *, user_id % 4 AS fold FROM f),
 s AS (SELECT h.fold, regr_slope(g.y, g.a) AS slope, regr_intercept(g.y, g.a) AS intercept
   FROM (SELECT DISTINCT fold FROM g) h JOIN g ON g.fold != h.fold GROUP BY h.fold)

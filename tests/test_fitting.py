@@ -269,3 +269,58 @@ def test_manipulation_settings(spark):
     steps, refs, ranges = irf.manipulation_settings(df, ["x", "d"], "mean", indicators=["d"])
     assert refs == {"x": 50.0, "d": 0.0} and steps["d"] == 1.0 and steps["x"] == pytest.approx(29.3, abs=0.1)
     assert ranges["x"] == pytest.approx((5.0, 95.0), abs=1.0)
+
+
+@pytest.mark.parametrize("family,shape", [("johnsonsu", {"sigma": 2.0, "skewness": -0.5, "tailweight": 1.5}), ("exgaussian", {"sigma": 0.5, "beta": 0.5}),
+                                          ("exgaussianinvrate", {"sigma": 0.5, "beta": 2.0}), ("sinharcsinh", {"sigma": 1.0, "skewness": 0.3, "tailweight": 1.3})])
+def test_families_are_recovered(spark, family, shape):
+    rng = np.random.default_rng(4)
+    n = 6000
+    x, z = rng.normal(size=n), rng.normal(size=n)
+    if family == "johnsonsu":
+        noise = shape["sigma"] * np.sinh((z - shape["skewness"]) / shape["tailweight"])
+    elif family == "sinharcsinh":
+        scale = shape["sigma"] * 2 / np.sinh(np.arcsinh(2.0) * shape["tailweight"])
+        noise = scale * np.sinh((np.arcsinh(z) + shape["skewness"]) * shape["tailweight"])
+    else:
+        noise = shape["sigma"] * z + rng.exponential(2.0, n)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, 1.0 + 0.7 * x + noise)], "x double, y double")
+    fit = regress.fit_likelihood(df, ["x"], "y", family)
+    assert fit.converged and fit.coefs["x"] == pytest.approx(0.7, abs=0.1) and fit.intercept == pytest.approx(1.0, abs=0.3)
+    for k, v in shape.items():
+        assert fit.shape[k] == pytest.approx(v, rel=0.2, abs=0.1), k
+    assert fit.score(df).agg({"loglik": "sum"}).first()[0] == pytest.approx(fit.loglik, rel=1e-6)
+
+
+def test_wide_and_narrow_sums_agree(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [tuple(map(float, r)) for r in rng.normal(size=(300, 3)) + [1e6, 0, 5]]
+    df = spark.createDataFrame([*rows, (1.0, None, 2.0)], "a double, b double, y double")
+    narrow = regress.ols(df, ["a", "b"], "y", l2=0.5)
+    monkeypatch.setattr(regress, "WIDE", 1)
+    wide = regress.ols(df, ["a", "b"], "y", l2=0.5)
+    assert wide.n == narrow.n == 300 and wide.coefs == pytest.approx(narrow.coefs) and wide.sigma == pytest.approx(narrow.sigma)
+    assert np.allclose(wide.cov, narrow.cov)
+
+
+def test_converged_mixed_model(spark):
+    rng = np.random.default_rng(2)
+    u = rng.normal(size=40)
+    df = spark.createDataFrame([(g, float(2 + u[g] + rng.normal())) for g in range(40) for _ in range(10)], "g int, y double")
+    fit = regress.mixed(df, [], "y", "g")
+    y = df.toPandas()
+    within = float(((y.y - y.groupby("g").y.transform("mean")) ** 2).sum()) / (40 * 9)
+    between = 10 * float(((y.groupby("g").y.mean() - y.y.mean()) ** 2).sum()) / 40
+    assert fit.converged and fit.sigma**2 == pytest.approx(within, rel=1e-3)
+    assert fit.variance[0, 0] == pytest.approx((between - within) / 10, rel=1e-2)
+
+
+def test_folds_are_not_copied(spark):
+    df = spark.createDataFrame([(float(i % 7), float(i % 5), i % 3) for i in range(90)], "x double, y double, f int")
+    out, fits = regress.crossval(df, ["x"], "y", "f")
+    for fold, fit in fits.items():
+        rest = regress.ols(df.where(f"f <> {fold}"), ["x"], "y")
+        assert fit.coefs == pytest.approx(rest.coefs) and fit.n == rest.n == 60
+    assert out.count() == 90
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
