@@ -13,9 +13,10 @@ from echoframe.session import checkpointed
 
 WORDS, SIMILARITY = 5, 0.8
 
-#: Tries of the forest, and the longest and shortest prefix of their keys.  Two sets of similarity 0.8 share a
-#: prefix of 5 in one of 20 tries with probability 0.9996.
-TREES, LONGEST, SHORTEST = 20, 9, 5
+#: Tries of the forest, and the lengths to which prefixes of their keys are shortened.  Two sets of
+#: similarity 0.8 share a prefix of 5 in one of 20 tries with probability 0.9996.
+TREES, LENGTHS = 20, (9, 7, 5)
+LONGEST = LENGTHS[0]
 
 #: Estimated share of the links found at which prefixes are not shortened further.
 RECALL = 0.9995
@@ -49,12 +50,12 @@ def _digests(h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
-    """at (place of the row), key, digest a and b and number n of the shingles, and their MinHash values."""
+    """at (place of the row), key, h (hash of the text), digest a and b and number n of the shingles, MinHash values."""
     factors = _multipliers(TREES * LONGEST)
 
     def rows(batches):
         for b in batches:
-            for lo, hi, h, before in _sets(b.column(2)):
+            for lo, hi, h, before in _sets(b.column(3)):
                 n, some = np.diff(before), np.flatnonzero(np.diff(before))
                 least = np.zeros((hi - lo, len(factors)), np.uint32)
                 for i, f in enumerate(factors if len(some) else ()):
@@ -62,12 +63,12 @@ def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
                 a, c = _digests(h, before)
                 sig = pa.array([r.tobytes() for r in least], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(a), pa.array(c), pa.array(n), sig],
-                    names=["at", "key", "a", "b", "n", "sig"])
+                    [*(b.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(a), pa.array(c), pa.array(n), sig],
+                    names=["at", "key", "h", "a", "b", "n", "sig"])
 
     schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("key", df.schema[key].dataType),
-                           *[T.StructField(x, T.LongType()) for x in "abn"], T.StructField("sig", T.BinaryType())])
-    return df.select(F.monotonically_increasing_id().alias("at"), F.col(f"`{key}`"),
+                           T.StructField("h", T.LongType()), *[T.StructField(x, T.LongType()) for x in "abn"], T.StructField("sig", T.BinaryType())])
+    return df.select(F.monotonically_increasing_id().alias("at"), F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`")),
                      F.col(f"`{text}`").cast("string")).mapInArrow(rows, schema)
 
 
@@ -109,19 +110,21 @@ def components(edges: DataFrame) -> DataFrame:
     Every round takes the least label among the neighbours, then that label's own label; rounds grow with
     the logarithm of the longest chain.
     """
-    both = checkpointed(edges.select(F.col("node").alias("x"), F.col("leader").alias("y"))
-                        .union(edges.select(F.col("leader").alias("x"), F.col("node").alias("y"))))
-    labels = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).withColumnRenamed("x", "node")
+    pairs = edges.select(F.explode(F.array(F.struct(F.col("node").alias("x"), F.col("leader").alias("y")),
+                                           F.struct(F.col("leader").alias("x"), F.col("node").alias("y")),
+                                           F.struct(F.col("node").alias("x"), F.col("node").alias("y")),
+                                           F.struct(F.col("leader").alias("x"), F.col("leader").alias("y")))).alias("e"))
+    pairs = checkpointed(pairs.select("e.*").distinct())
+    labels, last = checkpointed(pairs.groupBy("x").agg(F.min("y").alias("root")).withColumnRenamed("x", "node")), None
     while True:
-        labels = checkpointed(labels)
-        near = (both.join(labels.select(F.col("node").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("near")))
-        low = labels.join(near, labels.node == near.x).select("node", F.col("root").alias("was"), F.least("root", "near").alias("low"))
+        # Labels only ever fall, so a round that leaves their sum as it was has changed none.
+        total = labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).head()[0]
+        if total == last:
+            return labels
+        low = pairs.join(labels, pairs.y == labels.node).groupBy("x").agg(F.min("root").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
-        labels = low.join(jump, "low").select("node", "was", F.least("low", "far").alias("root"))
-        labels = checkpointed(labels)
-        if labels.where("was <> root").isEmpty():
-            return labels.select("node", "root")
-        labels = labels.select("node", "root")
+        labels = checkpointed(low.join(jump, "low").select(F.col("x").alias("node"), F.least("low", "far").alias("root")))
+        last = total
 
 
 def _wanted_sets(df: DataFrame, key: str, text: str, cells: DataFrame) -> DataFrame:
@@ -210,7 +213,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = SIMIL
     different shingle sets instead: copy_of (the two classes' keys, ``one`` and ``two``) and similarity.
 
     1. One scan makes signatures; equal sets become one node.
-    2. Nodes are put into tries by their signatures.  Prefixes are shortened one value at a time until
+    2. Nodes are put into tries by their signatures.  Prefixes are shortened step by step until
        the estimated share of links found reaches RECALL, or the shortest length is reached.
     3. Nodes that share a prefix form cells (connected by stars, so a large group costs no pairs).
     4. A second scan makes the sets of nodes in cells only; a cell is compared in one task, or, if it
@@ -220,12 +223,17 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = SIMIL
     keys without a name: they take part, and come out as null.  Repeated rows are copies of each other.
     An empty table gives no rows.
     """
+    found = _classes(df, key, text, threshold, list_pairs)
+    return found if list_pairs else found.drop("h")
+
+
+def _classes(df: DataFrame, key: str, text: str, threshold: float, list_pairs: bool) -> DataFrame:
     rows = checkpointed(signatures(df, key, text))
     classes = checkpointed(rows.where("n > 0").groupBy("a", "b", "n").agg(
         F.min("at").alias("node"), F.min("key").alias("key"), F.count("*").alias("size"), F.first("sig").alias("sig")))
-    for depth in range(LONGEST, SHORTEST - 1, -1):
+    for depth in LENGTHS:
         edges = checkpointed(_candidates(classes, depth))
-        if depth == SHORTEST or _found_share(edges, classes, depth) >= RECALL:
+        if depth == LENGTHS[-1] or _found_share(edges, classes, depth) >= RECALL:
             break
     cells = components(edges)
     sizes = cells.groupBy("root").agg(F.count("*").alias("members"))
@@ -258,8 +266,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = SIMIL
     names = linked.groupBy("root").agg(F.min("key").alias("class_id"))
     named = classes.select("node", "a", "b", "n", F.col("key").alias("copy_of"), "size").join(
         links.join(names, "root").select("node", "links", "class_id"), "node", "left").drop("node")
-    return rows.select("key", "a", "b", "n").join(named, ["a", "b", "n"], "left").select(
-        "key", F.when(F.col("n") > 0, F.col("copy_of")).otherwise(F.col("key")).alias("copy_of"),
+    return rows.select("key", "h", "a", "b", "n").join(named, ["a", "b", "n"], "left").select(
+        "key", "h", F.when(F.col("n") > 0, F.col("copy_of")).otherwise(F.col("key")).alias("copy_of"),
         F.coalesce("class_id", "copy_of", "key").alias("class_id"),
         F.coalesce(F.col("size") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"))
 
@@ -269,9 +277,10 @@ def deduplicate(df: DataFrame, key: str, text: str, threshold: float = SIMILARIT
 
     Rows without words are kept.  Of repeated rows one stays.
     """
-    kept = near_duplicates(df, key, text, threshold).where(F.col("key").eqNullSafe(F.col("class_id")))
-    # A key may name several rows: only those with the shingles of a kept class stay, once each.
-    kept = kept.select(F.col("key").alias("_kept")).distinct()
-    out = df.join(kept, F.col(f"`{key}`").eqNullSafe(F.col("_kept")), "left_semi")
-    first = F.row_number().over(Window.partitionBy(F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"))).orderBy(F.lit(0)))
-    return out.withColumn("_first", first).where("_first = 1").drop("_first")
+    kept = _classes(df, key, text, threshold, False).where(F.col("key").eqNullSafe(F.col("class_id")))
+    # A key may name several rows: the hash tells which of them stays.
+    kept = kept.select(F.col("key").alias("kept"), F.col("h").alias("kept_h")).distinct()
+    rows = df.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
+    out = rows.join(kept, F.col("id").eqNullSafe(F.col("kept")) & (F.col("h") == F.col("kept_h")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("id", "h").orderBy(F.lit(0)))
+    return out.withColumn("first", first).where("first = 1").select("row.*")
