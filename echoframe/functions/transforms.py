@@ -164,7 +164,7 @@ def dummies(df: DataFrame, column: str, known_levels: Sequence | None = None,
     for v in values[1:]:
         name = plain = identifier(f"{column}_{v}")
         again = 1
-        while name in names or name in df.columns:
+        while name in names:
             again += 1
             name = f"{plain}_{again}"
         names[name] = v
