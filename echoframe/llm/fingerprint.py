@@ -171,7 +171,8 @@ def with_successors(df: DataFrame, key: str, text: str) -> DataFrame:
                                     F.when(first, spot(F.lit(len(cuts)).cast("long"), 1))))
     dealt = rows.select("key", "text", F.explode(spots).alias("spot")).select(
         "spot.range", "spot.ahead", "key", "text", F.xxhash64("text").alias("h"))
-    ordered = (dealt.repartition(len(cuts) + 1, "range").sortWithinPartitions("range", "ahead", "key", "h").drop("h"))
+    ordered = (dealt.repartitionById(len(cuts) + 1, F.col("range").cast("int"))
+               .sortWithinPartitions("range", "ahead", "key", "h").drop("h"))
 
     def read(batches):
         held = None
