@@ -17,7 +17,7 @@ UNKNOWN = "und"
 WINDOW = 256
 
 #: Filter widths, filters of each width, and windows worked on at once (each takes about 40 KB).
-WIDTHS, FILTERS, BATCH = (2, 3, 4), 8, 2048
+WIDTHS, FILTERS, BATCH = (2, 3, 4), 8, 512
 
 #: Training windows of each language; what the driver holds is bounded by it.
 TRAINING_WINDOWS = 1500
