@@ -507,7 +507,7 @@ def _posterior(A, b, beta, D, s2, z):
 
 def mixed(df: DataFrame, features: Sequence[str], response: str, level: str,
           random: Sequence[str] = ("intercept",), correlated: bool = True, iterations: int = 600,
-          tol: float = 1e-10) -> MixedFit:
+          tol: float = 1e-8) -> MixedFit:
     """Linear model with by-level intercepts and slopes, by accelerated expectation-maximisation.
 
     Two steps and the way they change give a longer one; where that lowers the likelihood the second
