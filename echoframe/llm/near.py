@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -13,13 +15,12 @@ from echoframe.session import checkpointed
 
 WORDS, SIMILARITY = 5, 0.8
 
-#: Tries of the forest, and the lengths to which prefixes of their keys are shortened.  Two sets of
-#: similarity 0.8 share a prefix of 5 in one of 20 tries with probability 0.9996.
-TREES, LENGTHS = 20, (9, 7, 5)
-LONGEST = LENGTHS[0]
+#: Least number of tries of the forest, and the probability with which two sets just as similar as the
+#: threshold must meet in one of them.  It holds for each pair, whatever the other documents are.
+TREES, RECALL = 20, 0.9995
 
-#: Estimated share of the links found at which prefixes are not shortened further.
-RECALL = 0.9995
+#: Values of a prefix at most: longer ones part no more pairs.
+LONGEST = 9
 
 #: Sets compared with each other in one task; larger cells are compared block by block.
 BLOCK = 400
@@ -40,6 +41,19 @@ def _sets(column):
         yield lo, hi, *shingles(h, before, WORDS)
 
 
+def forest(threshold: float) -> tuple[int, int]:
+    """Tries and the longest prefixes in them that find a pair of similarity ``threshold`` with probability RECALL.
+
+    For 0.8 these are 20 tries and 5 values (0.9996); a threshold too low for 20 tries gets more of them.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError(f"threshold {threshold}: must be above 0 and at most 1")
+    if threshold == 1:
+        return TREES, LONGEST
+    trees = max(TREES, math.ceil(math.log1p(-RECALL) / math.log1p(-threshold)))
+    return trees, max(1, min(LONGEST, int(math.log(1 - (1 - RECALL) ** (1 / trees)) / math.log(threshold))))
+
+
 def _digests(h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two sums over each text's shingles: equal for equal texts, whatever the order."""
     out = []
@@ -49,9 +63,9 @@ def _digests(h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
-def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
-    """at (place of the row), key, h (hash of the text), digest a and b and number n of the shingles, MinHash values."""
-    factors = _multipliers(TREES * LONGEST)
+def signatures(df: DataFrame, key: str, text: str, values: int) -> DataFrame:
+    """at (place of the row), key, h (hash of the text), digest a and b and number n of the shingles, ``values`` MinHash values."""
+    factors = _multipliers(values)
 
     def rows(batches):
         for b in batches:
@@ -72,38 +86,17 @@ def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
                      F.col(f"`{text}`").cast("string")).mapInArrow(rows, schema)
 
 
-def _candidates(classes: DataFrame, depth: int) -> DataFrame:
+def _candidates(classes: DataFrame, trees: int, depth: int) -> DataFrame:
     """(node, leader) for every node that shares a prefix of ``depth`` values with a smaller one.
 
     The leaders of a trie node's members are one and the same: the links form a star.
     """
-    prefix = [F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * t * LONGEST, 4 * depth)) for t in range(TREES)]
+    prefix = [F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * t * depth, 4 * depth)) for t in range(trees)]
     entries = classes.select("node", F.explode(F.array(*prefix)).alias("prefix"))
     groups = entries.groupBy("prefix").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1")
     return entries.join(groups, "prefix").where("node <> leader").select("node", "leader").distinct()
 
 
-def _found_share(edges: DataFrame, classes: DataFrame, depth: int) -> float:
-    """Estimated share of the true links that have a prefix of ``depth`` in common.
-
-    A link of similarity s is found with probability p = 1 - (1 - s^depth)^trees, so each one found stands
-    for 1 / p links.
-    """
-    def rows(batches):
-        for b in batches:
-            one, two = (np.frombuffer(b"".join(x.to_pylist()), np.uint32).reshape(b.num_rows, -1) for x in b.columns)
-            s = (one == two).mean(axis=1)
-            s = s[s >= SIMILARITY - 0.05]
-            p = 1 - (1 - s**depth) ** TREES
-            yield pa.RecordBatch.from_arrays([pa.array([float(len(s))]), pa.array([float((1 / p).sum())])], names=["found", "there"])
-
-    one = classes.select("node", F.col("sig").alias("one"))
-    two = classes.select(F.col("node").alias("leader"), F.col("sig").alias("two"))
-    got = (edges.join(one, "node").join(two, "leader").select("one", "two")
-           .mapInArrow(rows, "found double, there double").agg(F.sum("found"), F.sum("there")).head())
-    return got[0] / got[1] if got[1] else 1.0
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node that each node of ``edges`` (node, leader) is connected with.
 
@@ -213,8 +206,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = SIMIL
     different shingle sets instead: copy_of (the two classes' keys, ``one`` and ``two``) and similarity.
 
     1. One scan makes signatures; equal sets become one node.
-    2. Nodes are put into tries by their signatures.  Prefixes are shortened step by step until
-       the estimated share of links found reaches RECALL, or the shortest length is reached.
+    2. Nodes are put into tries by their signatures.  Prefixes are so short that a pair of similarity
+       ``threshold`` has one in common with probability RECALL, however many other pairs there are.
     3. Nodes that share a prefix form cells (connected by stars, so a large group costs no pairs).
     4. A second scan makes the sets of nodes in cells only; a cell is compared in one task, or, if it
        is larger than BLOCK, block against block.  Every similarity that counts is exact.
@@ -228,14 +221,11 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = SIMIL
 
 
 def _classes(df: DataFrame, key: str, text: str, threshold: float, list_pairs: bool) -> DataFrame:
-    rows = checkpointed(signatures(df, key, text))
+    trees, depth = forest(threshold)
+    rows = checkpointed(signatures(df, key, text, trees * depth))
     classes = checkpointed(rows.where("n > 0").groupBy("a", "b", "n").agg(
         F.min("at").alias("node"), F.min("key").alias("key"), F.count("*").alias("size"), F.first("sig").alias("sig")))
-    for depth in LENGTHS:
-        edges = checkpointed(_candidates(classes, depth))
-        if depth == LENGTHS[-1] or _found_share(edges, classes, depth) >= RECALL:
-            break
-    cells = components(edges)
+    cells = components(_candidates(classes, trees, depth))
     sizes = cells.groupBy("root").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     cells = checkpointed(cells.join(sizes, "root").select("node", F.col("root").alias("cell"), blocks.alias("blocks"))

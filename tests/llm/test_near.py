@@ -44,6 +44,33 @@ def test_against_all_pairs(spark, families, block, monkeypatch):
     assert {tuple(sorted((r["one"], r["two"]))) for r in got.collect()} == {tuple(sorted((rep[a], rep[b]))) for a, b in pairs}
 
 
+@pytest.mark.parametrize("threshold", [1.0, 0.95, 0.8, 0.5, 0.2])
+def test_forest_holds_at_the_threshold(threshold):
+    trees, depth = near.forest(threshold)
+    assert 1 - (1 - threshold**depth) ** trees >= near.RECALL
+    assert depth == near.LONGEST or 1 - (1 - threshold ** (depth + 1)) ** trees < near.RECALL
+
+
+def test_easy_links_hide_no_hard_ones(spark):
+    """A large group of lightly edited copies takes no links from pairs that are just similar enough."""
+    rng, texts = random.Random(9), {}
+    base = [f"w{i}" for i in range(200)]
+    for k in range(2500):
+        w = list(base)
+        w[rng.randrange(200)] = f"v{k}"
+        texts[k] = " ".join(w)
+    for k in range(100):
+        w = [f"p{k}x{i}" for i in range(184)]
+        texts[5000 + 2 * k] = " ".join(w)
+        for i in (20, 60, 100, 140):
+            w[i] = "changed"
+        texts[5001 + 2 * k] = " ".join(w)
+    got = result(near.near_duplicates(table(spark, texts), "doc_id", "text"))
+    # 160 of 200 shingles are shared: the similarity is the threshold.
+    assert sum(got[5001 + 2 * k] == (5000 + 2 * k, 1) for k in range(100)) >= 99
+    assert all(got[k] == (0, 2499) for k in range(2500))
+
+
 def test_documents(docs, texts):
     want, _ = plain(texts)
     got = result(near.near_duplicates(docs, "doc_id", "text"))
