@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 
@@ -20,6 +21,9 @@ SHARD_TOKENS = 1_000_000
 #: A seed document asks for its rarest terms; fixed values of the usual ranking formula.
 QUERY_TERMS, K1, B = 48, 1.2, 0.75
 
+#: A line break that the vocabulary's pattern makes a word of its own.
+LONE_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
+
 #: Ways of writing that a worker remembers the tokens of.
 REMEMBERED = 400_000
 
@@ -83,9 +87,9 @@ class Words(dict):
         while stem and not word[stem - 1].isalnum():
             stem -= 1
         if "\n" in word:
-            head, _, tail = word.partition("\n")
-            if head and tail and not head[-1].isspace() and not tail[0].isspace():
-                return self[head] + self.tokenizer.line_break + self.tokenizer.bare[tail]
+            first, *rest = LONE_BREAK.split(word)
+            if rest:
+                return self.tokenizer.line_break.join([self[first], *map(self.tokenizer.bare.__getitem__, rest)])
         elif 0 < stem < len(word):
             known = word[:stem] in self
             got = self[word[:stem]] + self.tokenizer.bare[word[stem:]]

@@ -72,6 +72,15 @@ def test_texts_of_all_kinds(ranks, tokenizer):
             assert np.frombuffer(t(text), t.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("end", ["", "\n\nb", "\n c", "."])
+def test_many_lines(tokenizer, end):
+    """A list of words, a column of numbers: one word for each line, and no space or empty line for long."""
+    files = public_tokenizer()
+    t = packing.Tokenizer(open(files["definition"]).read(), open(files["ranks"], "rb").read(), files["pattern"])
+    text = "a list\n" + "\n".join(f"w{i % 5000}." if i % 3 else str(i) for i in range(100_000)) + end
+    assert np.frombuffer(t(text), t.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_neighbours_follow_their_seed():
     """Of two topics that alternate, windows hold one."""
     ids = np.concatenate([np.full(10, i % 2) + np.arange(10) * 2 for i in range(40)])
