@@ -18,8 +18,11 @@ from echoframe.session import checkpointed
 #: Tokens of a shard of the index; each is packed by itself and leaves at most one window unfilled.
 SHARD_TOKENS = 1_000_000
 
-#: A seed document asks for its rarest terms; fixed values of the usual ranking formula.
-QUERY_TERMS, K1, B = 48, 1.2, 0.75
+#: Fixed values of the usual ranking formula.
+K1, B = 1.2, 0.75
+
+#: Terms in more than this share of a shard's documents are summed as a matrix, others by their postings.
+COMMON = 0.25
 
 #: A line break that the vocabulary's pattern makes a word of its own.
 LONE_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
@@ -179,20 +182,29 @@ class Shard:
         doc, term = np.divmod(own, size)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / average))
         self.first = np.searchsorted(doc, np.arange(len(length) + 1))
-        self.term, self.idf, self.n = term, idf, len(length)
+        self.term, self.n = term, len(length)
         order = np.argsort(term, kind="stable")
         self.docs, self.weight = doc[order], weight[order]
         counts = np.bincount(term, minlength=size)
         self.counts, self.start = counts, np.cumsum(counts) - counts
+        # Common terms have so many postings that the matrix takes at most four times their memory.
+        common = np.flatnonzero(counts > max(COMMON * self.n, 1))
+        self.column = np.full(size, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.n))
+        row, at = expand(self.start[common], counts[common])
+        self.matrix[row, self.docs[at]] = self.weight[at]
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with ``seed``, best first."""
+        """Unused documents that share a term with ``seed``, best first by all of its terms."""
         own = self.term[self.first[seed]:self.first[seed + 1]]
         own = own[self.counts[own] > 1]
-        if len(own) > QUERY_TERMS:
-            own = own[np.argpartition(-self.idf[own], QUERY_TERMS)[:QUERY_TERMS]]
-        _, at = expand(self.start[own], self.counts[own])
-        score = np.bincount(self.docs[at], self.weight[at], minlength=self.n)
+        column = self.column[own]
+        rare = own[column < 0]
+        _, at = expand(self.start[rare], self.counts[rare])
+        asked = np.zeros(len(self.matrix))
+        asked[column[column >= 0]] = 1
+        score = np.bincount(self.docs[at], self.weight[at], minlength=self.n) + asked @ self.matrix
         score[used] = 0
         some = np.flatnonzero(score)
         return some[np.argsort(-score[some], kind="stable")]

@@ -90,3 +90,22 @@ def test_neighbours_follow_their_seed():
     for doc, _, _, sequence, _ in pieces:
         by[sequence].add(doc % 2)
     assert [len(by[s]) for s in range(4)] == [1] * 4
+
+
+def test_neighbours_by_all_terms():
+    """The ranking is that of all shared terms, however many a seed has."""
+    rng, size = np.random.default_rng(3), 600
+    chance = np.linspace(0.02, 0.9, size)
+    docs = [np.repeat(t, rng.integers(1, 4, len(t))) for t in (np.flatnonzero(rng.random(size) < chance) for _ in range(60))]
+    before = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    idf, average = np.log(1 + 1 / np.linspace(0.05, 0.9, size)), before[-1] / 60
+    index = packing.Shard(np.concatenate(docs), before, idf, average)
+    used = np.arange(60) % 7 == 0
+    for seed in range(60):
+        score = {}
+        for k, d in enumerate(docs):
+            tf = np.bincount(d, minlength=size)
+            w = idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / average))
+            score[k] = w[np.unique(docs[seed])].sum()
+        want = sorted((k for k in score if not used[k] and score[k]), key=lambda k: -score[k])
+        assert index.neighbours(seed, used).tolist() == want
