@@ -29,13 +29,20 @@ class Rule:
     group: int = 0
 
 
+#: A private key from its header to its END line, or, where that is missing, to the end of its base64 lines.
+#: Line breaks may be written out as in JSON.
+PEM = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+       r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----"
+       r"|(?:(?:\s|\\[rn])+(?:Proc-Type|DEK-Info):[^\r\n\\]*)*"
+       r"(?:(?:(?:\s|\\[rn])+[A-Za-z0-9+/]{20,}={0,2})+(?:(?:\r?\n|(?:\\r)?\\n)[A-Za-z0-9+/]+={0,2}(?=\s|\\|\Z))?)?)")
+
 # The three rules that the contract states, then common published token formats.
 RULES = (
     Rule("assign", r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2),
     Rule("access", r"AKIA[A-Z0-9]+", 16),
     # Runs of at least 32: the same spans as runs of any length, kept if they have 32 characters.
     Rule("hex", r"[0-9a-f]{32,}", 32),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )

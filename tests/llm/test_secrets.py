@@ -62,3 +62,31 @@ def test_redact(spark, odd, none):
     rows = s.redact(odd, "text").collect()
     assert len(rows) == len(ODD_ROWS) and all(r[c] == c for r in rows for c in CLASHING)
     assert s.redact(none, "text").collect() == []
+
+
+KEY = [c * 64 for c in "GHJ"] + ["Kk+/" * 5 + "=="]
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize("text,want", [
+    ("a\n" + "\n".join([BEGIN, *KEY, END]) + "\nb", "a\n<pem>\nb"),
+    ("\r\n".join([BEGIN, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", "", *KEY, END, "b"]), "<pem>\r\nb"),
+    ('{"k": "' + "\\n".join([BEGIN, *KEY, END]) + '\\n"}', '{"k": "<pem>\\n"}'),
+    (" ".join([BEGIN, *KEY, END, "b"]), "<pem> b"),
+    ("\n".join([BEGIN, *KEY, "", "some more words"]), "<pem>\n\nsome more words"),
+    ("\n".join([BEGIN, *KEY[:2], "short", "and words"]), "<pem>\nand words"),
+    ("\\n".join([BEGIN, *KEY[:2], KEY[0][:30]]), "<pem>"),
+    ("\n".join([BEGIN, *KEY[:2], BEGIN, *KEY, END, BEGIN, "b"]), "<pem>\n<pem>\n<pem>\nb"),
+    (f"the line {BEGIN} is a header", "the line <pem> is a header")])
+def test_no_line_of_a_private_key_stays(spark, text, want):
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    assert s.redact(df, "text").head()["text"] == want
+    spans = s.find_secrets(df, "id", "text").head()["spans"]
+    pem = [text[x["start"]:x["end"]] for x in spans if x["kind"] == "pem"]
+    assert pem and len(pem) == want.count("<pem>")
+
+
+def test_private_keys_have_a_query():
+    assert s.trigrams(s.trigram_query(s.PEM)) >= s.trigrams(s.trigram_query("-----BEGIN ")) and s.trigram_query(s.PEM) is not True
+    long = (BEGIN + "\n" + (KEY[0] + "\n") * 20_000) * 2
+    assert [m.end() - m.start() for m in re.finditer(s.PEM, long)] == [len(long) // 2 - 1] * 2
