@@ -23,7 +23,7 @@ def calls_and_results(messages: DataFrame, conversation: str, turn: str, text: s
     A call is an element of ``tool_calls`` (id, name, arguments as an object or as JSON text), a result a
     message with ``tool_call_id`` and ``content``.  Other messages, and those without conversation or turn,
     have neither.  Of rows with one identifier in a conversation the earliest counts; ``copies`` says
-    how many there are.
+    how many there are, and ``further`` holds the others' contents in order.
     """
     m = messages.select(F.col(f"`{conversation}`").alias("conv"), F.col(f"`{turn}`").cast("long").alias("turn"),
                         F.try_parse_json(F.col(f"`{text}`").cast("string")).alias("body"))
@@ -39,8 +39,9 @@ def calls_and_results(messages: DataFrame, conversation: str, turn: str, text: s
 
     def earliest(df: DataFrame, *columns: str) -> DataFrame:
         first = F.min(F.struct("turn", "place", *columns)).alias("first")
-        return df.where("id is not null").groupBy("conv", "id").agg(first, F.count("*").alias("copies")).select(
-            "conv", "id", "first.*", "copies")
+        return df.where("id is not null").groupBy("conv", "id").agg(
+            first, F.count("*").alias("copies"), F.array_sort(F.collect_list(F.struct("turn", "place", *columns))).alias("all")).select(
+            "conv", "id", "first.*", "copies", F.expr("slice(all, 2, size(all))").alias("further"))
 
     return earliest(made, "name", "arguments"), earliest(came, "content")
 
@@ -116,7 +117,8 @@ def _positions(df: DataFrame, keys: list[str]) -> DataFrame:
             .withColumn("position", (F.col("before") + F.col("own")).cast("long")).drop("part", "head", "own", "before"))
 
 
-def link_tool_calls(messages: DataFrame, conversation: str, turn: str, text: str, schemas: dict[str, dict]) -> DataFrame:
+def link_tool_calls(messages: DataFrame, conversation: str, turn: str, text: str, schemas: dict[str, dict],
+                    every: bool = False) -> DataFrame:
     """One row for each tool call, and for each result without one.
 
     Columns: conv, id, turn, name, position (a topological order of the conversation's calls: after all
@@ -131,10 +133,14 @@ def link_tool_calls(messages: DataFrame, conversation: str, turn: str, text: str
     calls the order of turns is topological already; only other conversations are ordered round by round.
 
     Messages that are null, empty, plain text or without conversation or turn have no rows.  Repeated
-    identifiers make one row, with a problem.  Long texts stay whole.
+    identifiers make one row, with a problem; the contents of the others are in its record as
+    ``further_calls`` and ``further_results``.  Long texts stay whole.
+
+    With ``every``, nothing is left out: calls without identifier, conversation or turn are rows with a problem,
+    and each message that neither calls nor answers is a row without name whose record has its content and role.
     """
     calls, results = calls_and_results(messages, conversation, turn, text)
-    results = results.select("conv", "id", F.col("turn").alias("result_turn"), "content", F.col("copies").alias("result_copies"))
+    results = results.select("conv", "id", F.col("turn").alias("result_turn"), "content", F.col("copies").alias("result_copies"), F.col("further").alias("result_further"))
     linked = checkpointed(calls.join(results, ["conv", "id"], "full_outer").withColumn("is_call", F.col("turn").isNotNull())
                           .withColumn("needs", F.when(F.col("is_call"), _references(schemas)).otherwise(F.array().cast("array<string>"))))
     own = linked.where("is_call")
@@ -164,26 +170,70 @@ def link_tool_calls(messages: DataFrame, conversation: str, turn: str, text: str
         F.when(F.col("copies") > 1, F.lit("identifier repeated")), F.when(F.col("result_copies") > 1, F.lit("several results")),
         F.when(F.col("is_call") & (F.col("result_turn") <= F.col("turn")), F.lit("result before its call"))))
     problems = F.concat(F.when(F.col("is_call"), _problems(schemas)).otherwise(F.array().cast("array<string>")), more)
-    part = lambda k, v: F.concat(F.lit(f'"{k}":'), F.coalesce(v, F.lit("null")))
-    string = lambda c: F.to_json(F.col(c).try_cast("string").cast("variant")) if isinstance(c, str) else c
-    record = F.concat(F.lit("{"), F.concat_ws(",", part("arguments", F.col("arguments")), part("id", string("id")), part("name", string("name")),
-                                              part("result", F.col("content"))), F.lit("}"))
-    return out.withColumn("problems", problems).select(
+    call_json = lambda c: _object(arguments=c["arguments"], name=_string(c["name"]))
+    record = _object(arguments=F.col("arguments"), further_calls=_array("further", call_json),
+                     further_results=_array("result_further", lambda c: F.coalesce(c["content"], F.lit("null"))),
+                     id=_string(F.col("id")), name=_string(F.col("name")), result=F.col("content"))
+    linked = out.withColumn("problems", problems).select(
         "conv", "id", F.coalesce("turn", "result_turn").alias("turn"), "name", "position", answered.alias("answered"), "problems",
         (F.size("problems") == 0).alias("valid"), record.alias("record"))
+    return linked.unionByName(_unlinked(messages, conversation, turn, text, schemas)) if every else linked
+
+
+def _string(c: Column) -> Column:
+    return F.to_json(c.try_cast("string").cast("variant"))
+
+
+def _object(**parts: Column) -> Column:
+    """Canonical JSON of an object; parts ``further_...`` are left out where they are null."""
+    each = [F.concat(F.lit(f'"{k}":'), v if k.startswith("further_") else F.coalesce(v, F.lit("null"))) for k, v in parts.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *each), F.lit("}"))
+
+
+def _array(items: str, to_json) -> Column:
+    """JSON of an array, null if it is empty."""
+    return F.when(F.size(items) > 0, F.concat(F.lit("["), F.array_join(F.transform(items, to_json), ","), F.lit("]")))
+
+
+def _unlinked(messages: DataFrame, conversation: str, turn: str, text: str, schemas: dict[str, dict]) -> DataFrame:
+    """Rows of what cannot be linked: calls and results without identifier or place, and all other messages."""
+    m = messages.select(F.col(f"`{conversation}`").alias("conv"), F.col(f"`{turn}`").cast("long").alias("turn"), F.col(f"`{text}`").cast("string").alias("text"))
+    m = m.withColumn("body", F.try_parse_json("text"))
+    m = m.withColumn("calls", F.try_variant_get("body", "$.tool_calls", "array<variant>"))
+    placed = F.col("conv").isNotNull() & F.col("turn").isNotNull()
+    lost = F.when(~placed, F.lit("no conversation or turn"))
+    given = F.try_variant_get("call", "$.arguments", "variant")
+    as_text = F.try_parse_json(F.try_variant_get("call", "$.arguments", "string"))
+    made = m.select("conv", "turn", F.explode("calls").alias("call")).select(
+        "conv", "turn", F.try_variant_get("call", "$.id", "string").alias("id"), F.try_variant_get("call", "$.name", "string").alias("name"),
+        F.to_json(F.when(F.schema_of_variant(given) == "STRING", as_text).otherwise(given)).alias("arguments"))
+    made = made.where(F.col("id").isNull() | ~placed).select(
+        "conv", "id", "turn", "name",
+        F.concat(_problems(schemas), F.array_compact(F.array(F.when(F.col("id").isNull(), F.lit("no identifier")), lost))).alias("problems"),
+        _object(arguments=F.col("arguments"), id=_string(F.col("id")), name=_string(F.col("name")), result=F.lit(None).cast("string")).alias("record"))
+    m = m.withColumns({"id": F.try_variant_get("body", "$.tool_call_id", "string"), "role": F.try_variant_get("body", "$.role", "string")})
+    content = F.coalesce(F.to_json(F.try_variant_get("body", "$.content", "variant")), _string(F.col("text")))
+    rest = m.where((F.coalesce(F.size("calls"), F.lit(0)) <= 0) & (F.col("id").isNull() | ~placed)).select(
+        "conv", "id", "turn", F.lit(None).cast("string").alias("name"),
+        F.array_compact(F.array(F.when(F.col("id").isNull() & (F.col("role") == "tool"), F.lit("no identifier")), lost)).alias("problems"),
+        _object(content=content, id=_string(F.col("id")), role=_string(F.col("role"))).alias("record"))
+    return made.unionByName(rest).select("conv", "id", "turn", "name", F.lit(None).cast("long").alias("position"), F.lit(False).alias("answered"),
+                                         "problems", (F.size("problems") == 0).alias("valid"), "record")
 
 
 def as_protocol(turns: DataFrame, conversation: str, turn: str, role: str, text: str) -> DataFrame:
     """A plain dialogue in the form of tool messages: each user turn calls ``reply``, the next turn answers.
 
-    A call names the user's call two turns before; a turn of any role but user and assistant is no message.
+    A call names the user's call two turns before; a turn of any other role neither calls nor
+    answers: its message has its role and content.
     """
     t, number = F.col(f"`{turn}`").cast("long"), lambda n: F.concat(F.lit("c"), (F.col(f"`{turn}`").cast("long") - n).cast("string"))
     call = F.to_json(F.struct(F.array(F.struct(
         F.struct(F.when(t >= 2, number(2)).alias("after"), F.col(f"`{text}`").alias("text"), t.alias("turn")).alias("arguments"),
         number(0).alias("id"), F.lit("reply").alias("name"))).alias("tool_calls")))
     result = F.to_json(F.struct(F.col(f"`{text}`").alias("content"), number(1).alias("tool_call_id")))
-    body = F.when(F.col(f"`{role}`") == "user", call).when(F.col(f"`{role}`") == "assistant", result)
+    body = F.when(F.col(f"`{role}`") == "user", call).when(F.col(f"`{role}`") == "assistant", result).otherwise(
+        F.to_json(F.struct(F.col(f"`{text}`").alias("content"), F.col(f"`{role}`").alias("role"))))
     return turns.select(F.col(f"`{conversation}`").alias("conv"), t.alias("turn"), body.alias("text"))
 
 

@@ -190,7 +190,7 @@ SELECT conv AS conv_id, id AS call_id, coalesce(ct, rt) AS turn, CASE WHEN is_ca
     || ',"result":' || coalesce(to_json(a)::VARCHAR, 'null') || '}' AS record
 FROM told""")
 def op8_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
-    """Every turn of a dialogue as a linked, checked and ordered tool call in canonical JSON."""
+    """Every user and assistant turn of a dialogue as a linked, checked and ordered tool call in canonical JSON."""
     messages = chat.as_protocol(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
     found = chat.link_tool_calls(messages, "conv", "turn", "text", chat.REPLY)
     return found.withColumnsRenamed({"conv": "conv_id", "id": "call_id"}).withColumn("problems", F.concat_ws(",", "problems"))

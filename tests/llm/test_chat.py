@@ -67,6 +67,36 @@ def test_repeated_and_early(spark):
     assert got[1, "b"]["problems"] == ["several results"] and json.loads(got[1, "b"]["record"])["result"] == 1
 
 
+def test_contents_of_repeated_identifiers_stay(spark):
+    got = linked(spark, [(1, 0, call(("a", "search", {"q": "xx"}))), (1, 1, call(("a", "search", {"q": "yy"}))), (1, 2, result("a", "r1")),
+                         (1, 3, result("a", None)), (1, 4, result("a", {"z": 1}))])
+    record = json.loads(got[1, "a"]["record"])
+    assert record["arguments"] == {"q": "xx"} and record["further_calls"] == [{"arguments": {"q": "yy"}, "name": "search"}]
+    assert record["result"] == "r1" and record["further_results"] == [None, {"z": 1}]
+
+
+def test_every_message_has_a_row(spark):
+    rows = [(1, 0, '{"tool_calls": [null, {"name": "search", "arguments": {"q": "xx"}}]}'), (1, 1, '{"role": "tool", "content": 5}'), (1, 2, "plain"),
+            (1, 3, None), (None, 4, result("r", 1)), (1, None, call(("c", "search", {"q": "xx"}))), (1, 6, call(("ok", "search", {"q": "xx"})))]
+    df = spark.createDataFrame(rows, "conv long, turn long, text string")
+    got = sorted((r["turn"] if r["turn"] is not None else 99, r["id"] or "", r["problems"], json.loads(r["record"]))
+                 for r in chat.link_tool_calls(df, "conv", "turn", "text", SCHEMAS, every=True).collect() if r["turn"] != 0)
+    assert [g[:3] for g in got] == [(1, "", ["no identifier"]), (2, "", []), (3, "", []), (4, "r", ["no conversation or turn"]), (6, "ok", []),
+                                    (99, "c", ["no conversation or turn"])]
+    assert got[0][3]["content"] == 5 and got[1][3]["content"] == "plain" and got[3][3]["content"] == 1 and got[5][3]["arguments"] == {"q": "xx"}
+    both = chat.link_tool_calls(df.where("turn = 0"), "conv", "turn", "text", SCHEMAS, every=True).collect()
+    assert len(both) == 2 and all("no identifier" in r["problems"] and not r["valid"] for r in both)
+
+
+def test_every_turn_of_a_dialogue(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    messages = chat.as_protocol(turns, "conv_id", "turn", "role", "text")
+    every = chat.link_tool_calls(messages, "conv", "turn", "text", chat.REPLY, every=True)
+    got = sorted((r["conv"], r["turn"], json.loads(r["record"])["content"]) for r in every.collect() if r["id"] is None)
+    want = sorted(tuple(r) for r in turns.where("role not in ('user', 'assistant')").select("conv_id", "turn", "text").collect())
+    assert got == want and len(want) == 24
+
+
 def test_long_conversation_in_parts(spark, monkeypatch):
     monkeypatch.setattr(chat, "TURNS", 10)
     got = linked(spark, [(1, t, call((f"c{t}", "search", {"q": "xx"}))) for t in range(0, 200, 3)])
