@@ -217,7 +217,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = SIMIL
     An empty table gives no rows.
     """
     found = _classes(df, key, text, threshold, list_pairs)
-    return found if list_pairs else found.drop("h")
+    return found if list_pairs else found.drop("at", "h", "n", "root")
 
 
 def _classes(df: DataFrame, key: str, text: str, threshold: float, list_pairs: bool) -> DataFrame:
@@ -255,22 +255,26 @@ def _classes(df: DataFrame, key: str, text: str, threshold: float, list_pairs: b
     linked = links.join(classes.select("node", "key"), "node")
     names = linked.groupBy("root").agg(F.min("key").alias("class_id"))
     named = classes.select("node", "a", "b", "n", F.col("key").alias("copy_of"), "size").join(
-        links.join(names, "root").select("node", "links", "class_id"), "node", "left").drop("node")
-    return rows.select("key", "h", "a", "b", "n").join(named, ["a", "b", "n"], "left").select(
-        "key", "h", F.when(F.col("n") > 0, F.col("copy_of")).otherwise(F.col("key")).alias("copy_of"),
+        links.join(names, "root").select("node", "links", "class_id", "root"), "node", "left").withColumn(
+        "root", F.coalesce("root", "node")).drop("node")
+    return rows.select("at", "key", "h", "a", "b", "n").join(named, ["a", "b", "n"], "left").select(
+        "at", "key", "h", "n", "root", F.when(F.col("n") > 0, F.col("copy_of")).otherwise(F.col("key")).alias("copy_of"),
         F.coalesce("class_id", "copy_of", "key").alias("class_id"),
         F.coalesce(F.col("size") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"))
 
 
 def deduplicate(df: DataFrame, key: str, text: str, threshold: float = SIMILARITY) -> DataFrame:
-    """Rows of ``df``, one of each class of near duplicates: that with the least key.
+    """Rows of ``df``, one of each class of near duplicates: of those with the least key the first.
 
-    Rows without words are kept.  Of repeated rows one stays.
+    Rows without words are all kept.  Of repeated rows one stays.  Keys may be null or repeated: a null key
+    is chosen only where a class has no other.
     """
-    kept = _classes(df, key, text, threshold, False).where(F.col("key").eqNullSafe(F.col("class_id")))
-    # A key may name several rows: the hash tells which of them stays.
-    kept = kept.select(F.col("key").alias("kept"), F.col("h").alias("kept_h")).distinct()
-    rows = df.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
+    found = _classes(df, key, text, threshold, False).where((F.col("n") > 0) & F.col("key").eqNullSafe(F.col("class_id")))
+    kept = found.groupBy("root").agg(F.min(F.struct("at", "key", "h")).alias("first")).select(
+        F.col("first.key").alias("kept"), F.col("first.h").alias("kept_h"))
+    has_words = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
+    rows = df.where(has_words).select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
+    # The text's hash tells rows of one key apart; rows of one key and text are copies of each other.
     out = rows.join(kept, F.col("id").eqNullSafe(F.col("kept")) & (F.col("h") == F.col("kept_h")), "left_semi")
     first = F.row_number().over(Window.partitionBy("id", "h").orderBy(F.lit(0)))
-    return out.withColumn("first", first).where("first = 1").select("row.*")
+    return out.withColumn("first", first).where("first = 1").select("row.*").unionByName(df.where(~has_words))

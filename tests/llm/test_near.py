@@ -91,6 +91,17 @@ def test_odd_rows(spark, odd, none):
     assert near.deduplicate(none, "doc_id", "text").columns == none.columns
 
 
+def test_survivors_of_null_and_repeated_keys(spark):
+    w = [f"w{i}" for i in range(100)]
+    texts = {n: " ".join([*w[:50], n, *w[51:]]) for n in "abc"}
+    other = {n: " ".join(["z" + x for x in w[:50]] + [n] + ["z" + x for x in w[51:]]) for n in "de"}
+    rows = [(None, texts["a"], "1"), (None, texts["b"], "2"), (None, texts["c"], "3"), (7, other["d"], "4"), (7, other["e"], "5"), (None, other["d"], "6"),
+            *[(None, t, str(n)) for n, t in enumerate((None, None, "", "", "!!!", "!!!"), 7)], (9, "é", "13"), (9, "é", "14"), (9, "é.", "15")]
+    got = [r["more"] for r in near.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, more string"), "doc_id", "text").collect()]
+    assert len(got) == len(set(got)) == 9 and set(got) >= {str(n) for n in range(7, 13)}
+    assert [len(set(got) & x) for x in ({"1", "2", "3"}, {"4", "5"}, {"13", "14", "15"})] == [1, 1, 1]
+
+
 def test_chain_of_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100), (102, 101)], "node long, leader long")
     got = {r["node"]: r["root"] for r in near.components(edges).collect()}
