@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.catalog.base import table
-from echoframe.llm import chat, decontaminate, fingerprint, language, near, packing, personal, quality, secrets, sharding
+from echoframe.llm import chat, decontaminate, fingerprint, language, near, negatives, packing, personal, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -204,3 +204,19 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         F.col("key").alias("doc_id"), F.col("quality_probability").alias("quality_score"), (F.col("quality_probability") >= 0.5).alias("keep"),
         F.col("toxic_probability").alias("toxic_score"), (F.col("toxic_probability") >= 0.5).alias("toxic"))
+
+
+@query("""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY rank <= 3""")
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of other labels nearly as close to an anchor as its positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf, "embeddings"), "vec_id", "embedding", label, F.col("id") % 50 == 0)
