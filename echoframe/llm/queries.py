@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.catalog.base import table
-from echoframe.llm import chat, decontaminate, fingerprint, language, near, negatives, packing, personal, quality, secrets, sharding
+from echoframe.llm import align, chat, decontaminate, fingerprint, language, near, negatives, packing, personal, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -220,3 +220,13 @@ def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of other labels nearly as close to an anchor as its positives."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(table(spark, sf, "embeddings"), "vec_id", "embedding", label, F.col("id") % 50 == 0)
+
+
+@query()
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every document by two vocabularies, cut into groups and linked."""
+    import public_tokenizers
+
+    own = public_tokenizer()
+    return align.align(table(spark, sf, "documents"), "doc_id", "text", own["definition"], own["ranks"], own["pattern"],
+                       public_tokenizers.path("piece_bpe_32k.model"), with_groups=False).withColumnRenamed("key", "doc_id")
