@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echoframe.llm import packing
-from echoframe.llm.arrays import Arrays, mounted_folder, shard_bits, store
+from echoframe.llm.arrays import Arrays, mounted_folder, shards_for, store
 from echoframe.llm.text import expand, mix, process_wide
 from echoframe.session import checkpointed
 
@@ -261,13 +261,13 @@ def stretches(batches, column: int):
 
 
 def document_counts(found: DataFrame, width: int) -> DataFrame:
-    """hash, id (of A) and n of every pair that some document links: the number of documents that do."""
+    """key (a hash), id (of A) and n of every pair that some document links: the number of documents that do."""
     def count(batches):
         def out():
             pair, n = combined(held)
             first = pair // width
             return pa.RecordBatch.from_arrays([pa.array(mix(pair.astype(np.uint64)).view(np.int64)), pa.array(first), pa.array(n)],
-                                              names=["hash", "id", "n"])
+                                              names=["key", "id", "n"])
 
         held, size = [], 0
         for b in stretches(batches, 0):
@@ -285,7 +285,7 @@ def document_counts(found: DataFrame, width: int) -> DataFrame:
         if held:
             yield out()
 
-    return found.select("n_pairs", "pairs").mapInArrow(count, "hash long, id long, n long").groupBy("hash", "id").agg(F.sum("n").alias("n"))
+    return found.select("n_pairs", "pairs").mapInArrow(count, "key long, id long, n long").groupBy("key", "id").agg(F.sum("n").alias("n"))
 
 
 def combined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -326,8 +326,11 @@ def align(df: DataFrame, key: str, text: str, definition: str, ranks: str | None
     found = checkpointed(aligned(df, key, text, definition, ranks, pattern, model, with_groups))
     counts = document_counts(found, width)
     top = F.max("n").over(Window.partitionBy("id"))
-    counts = checkpointed(counts.select("hash", "n", (F.col("n") == top).cast("byte").alias("best")))
-    made, written = store(counts, "hash", [("n", "<i8"), ("best", "u1")], mounted_folder(df.sparkSession, "pairs"), shard_bits(counts.count()))
+    counts = checkpointed(counts.select("key", "n", (F.col("n") == top).cast("byte").alias("best")))
+    shards = shards_for(counts.count())
+    # The leading half of a key times the number of shards, as in ``shard_of``.
+    shard = F.shiftright(F.shiftrightunsigned("key", 32) * shards, 32).cast("int")
+    made, written = store(counts.withColumn("shard", shard), [("n", "<i8"), ("best", "u1")], mounted_folder(df.sparkSession, "pairs"), shards)
     written.count()
     return found.mapInArrow(_looked_up(made, with_groups), T.StructType(
         [found.schema["key"], *[T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")],

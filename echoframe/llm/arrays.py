@@ -39,20 +39,24 @@ def mounted_folder(spark: SparkSession, name: str) -> str:
 
 @dataclass(frozen=True)
 class Arrays:
-    """Where sorted arrays lie: ``2 ** bits`` shards, the names and types of their values."""
+    """Where sorted arrays lie: the number of shards, the names and types of their values."""
 
     folder: str
-    bits: int
+    shards: int
     columns: tuple[tuple[str, str], ...]
 
-    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """Which of ``keys`` (unsigned, any order) there are, and their values, 0 for the others."""
-        order = np.argsort(keys, kind="stable")
-        asked = keys[order]
-        shard = asked >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(asked), np.uint64)
+    def __call__(self, keys: np.ndarray, shard: np.ndarray | None = None, before: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Which of ``keys`` (unsigned, any order) there are, and their values, 0 for the others.
+
+        ``shard`` is that of each key if it isn't ``shard_of`` them.  With ``before``, the numbers of keys before
+        each shard, ``rank`` is a key's place among all.
+        """
+        shard = shard_of(keys, self.shards) if shard is None else shard
+        order = np.lexsort((keys, shard))
+        asked, shard = keys[order], shard[order]
         edges = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(asked)])) if len(asked) else np.zeros(1, np.int64)
         found = np.zeros(len(keys), bool)
-        values = {name: np.zeros(len(keys), kind) for name, kind in self.columns}
+        values = {name: np.zeros(len(keys), kind) for name, kind in (*self.columns, *((("rank", "i8"),) if before is not None else ()))}
         for lo, hi in zip(edges[:-1], edges[1:]):
             have = self._mapped(int(shard[lo]))
             if have is None:
@@ -63,6 +67,8 @@ class Arrays:
             found[place] = True
             for name, _ in self.columns:
                 values[name][place] = have[name][at[hit]]
+            if before is not None:
+                values["rank"][place] = at[hit] + before[shard[lo]]
         return found, values
 
     def _mapped(self, shard: int):
@@ -78,6 +84,16 @@ class Arrays:
         return kept[name]
 
 
+def shards_for(rows: int) -> int:
+    """Shards for about so many keys."""
+    return max(1, -(-rows // SHARD_KEYS))
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of evenly spread keys, by their leading bits: later shards have larger keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+
+
 def _put(path: str, data: np.ndarray):
     own = f"{path}.{uuid.uuid4().hex}"
     with open(own, "wb") as f:
@@ -85,63 +101,52 @@ def _put(path: str, data: np.ndarray):
     os.replace(own, path)
 
 
-def shard_bits(rows: int) -> int:
-    """Leading bits of a key that tell its shard, for about so many keys."""
-    return max(0, (max(rows, 1) - 1) // SHARD_KEYS).bit_length()
-
+def _combined(rows: tuple, combine: int | None) -> tuple:
+    """Rows of sorted keys with the value at ``combine`` summed over equal keys."""
+    if combine is None or not len(rows[0]):
+        return rows
+    first = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))
+    return tuple(np.add.reduceat(v, first) if i == combine else v[first] for i, v in enumerate(rows))
 
-def sharded(df: DataFrame, key: str, bits: int) -> DataFrame:
-    """``df`` with the rows of a shard in one partition, in the (unsigned) order of their keys."""
-    shard = F.shiftrightunsigned(key, 64 - bits).cast("int") if bits else F.lit(0)
-    return df.withColumn("_shard", shard).repartitionById(1 << bits, F.col("_shard")).sortWithinPartitions(
-        "_shard", F.col(key).bitwiseXOR(F.lit(-(1 << 63)))).drop("_shard")
 
+def store(df: DataFrame, columns: Sequence[tuple[str, str]], folder: str, shards: int, combine: str | None = None,
+          also: Callable | None = None, also_schema: str = "shard int, n long") -> tuple[Arrays, DataFrame]:
+    """Sorted arrays of ``df`` (shard, a key as a long, and value columns), and rows that tell of their shards.
 
-def store(df: DataFrame, key: str, columns: Sequence[tuple[str, str]], folder: str, bits: int, combine: str | None = None,
-          also: Callable | None = None, also_schema: str = "") -> tuple[Arrays, DataFrame]:
-    """Sorted arrays of ``df``'s columns (long ``key`` and numbers), and the rows that tell of their shards.
-
-    Nothing is written before the returned rows are computed.  With ``combine``, that column is summed over
-    equal keys.  ``also`` makes rows of ``also_schema`` from a stretch of a shard's keys and values; without
-    it the rows are (shard, n).  A shard is held by its task, other rows are read as a stream.
+    Nothing is written before those rows are computed, and it is written again whenever they are.  With
+    ``combine``, that column is summed over equal keys.  ``also`` makes rows of ``also_schema`` from a shard's
+    number, keys and values; without it they are (shard, n).  A task holds one shard; rows are read as a stream.
     """
-    made = Arrays(folder, bits, tuple(columns))
     names = [n for n, _ in columns]
+    summed = None if combine is None else 1 + names.index(combine)
 
-    def finish(parts):
-        keys = np.concatenate([p[0] for p in parts])
-        values = [np.concatenate([p[1 + i] for p in parts]) for i in range(len(names))]
-        if combine is not None and len(keys):
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            values = [np.add.reduceat(v, first) if n == combine else v[first] for n, v in zip(names, values)]
-            keys = keys[first]
-        shard = int(keys[0] >> np.uint64(64 - bits)) if bits else 0
+    def finish(shard, parts):
+        keys, *values = _combined(tuple(np.concatenate(p) for p in zip(*parts)), summed)
         os.makedirs(folder, exist_ok=True)
         for (name, kind), v in zip(columns, values):
             _put(f"{folder}/{shard}.{name}", v.astype(kind))
         # The keys come last: a shard with keys is whole.
         _put(f"{folder}/{shard}.key", keys.astype("<u8"))
-        return [pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64())], names=["shard", "n"])] \
-            if also is None else also(keys, dict(zip(names, values)))
+        if also is not None:
+            return also(shard, keys, dict(zip(names, values)))
+        return [pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64())], names=["shard", "n"])]
 
     def write(batches):
-        parts = []
+        now, parts = None, []
         for b in batches:
-            keys = b.column(0).to_numpy().view(np.uint64)
-            rows = (keys, *(b.column(1 + i).to_numpy() for i in range(len(names))))
-            shard = keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
-            lo = 0
-            while lo < len(keys):
-                hi = int(np.searchsorted(shard, shard[lo], "right"))
-                own = parts[0][0][0] >> np.uint64(64 - bits) if parts and bits else shard[lo]
-                if parts and own != shard[lo]:
-                    yield from finish(parts)
+            shard = b.column(0).to_numpy()
+            rows = (b.column(1).to_numpy().view(np.uint64), *(b.column(2 + i).to_numpy() for i in range(len(names))))
+            edges = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)])) if len(shard) else [0]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if now != shard[lo] and parts:
+                    yield from finish(now, parts)
                     parts = []
-                parts.append(tuple(r[lo:hi] for r in rows))
-                lo = hi
+                now = int(shard[lo])
+                parts.append(_combined(tuple(r[lo:hi] for r in rows), summed))
         if parts:
-            yield from finish(parts)
-
-    rows = sharded(df.select(key, *names), key, bits)
-    return made, rows.mapInArrow(write, also_schema or "shard int, n long")
+            yield from finish(now, parts)
 
+    # Longs are signed: turning the first bit sorts them as unsigned.
+    rows = df.select("shard", "key", *names).repartitionById(shards, F.col("shard")).sortWithinPartitions(
+        "shard", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
+    return Arrays(folder, shards, tuple(columns)), rows.mapInArrow(write, also_schema)

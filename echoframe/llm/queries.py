@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.catalog.base import table
-from echoframe.llm import align, chat, decontaminate, fingerprint, language, near, negatives, packing, personal, quality, secrets, sharding
+from echoframe.llm import align, chat, decontaminate, fingerprint, kneser, language, near, negatives, packing, personal, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -230,3 +230,47 @@ def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
     own = public_tokenizer()
     return align.align(table(spark, sf, "documents"), "doc_id", "text", own["definition"], own["ranks"], own["pattern"],
                        public_tokenizers.path("piece_bpe_32k.model"), with_groups=False).withColumnRenamed("key", "doc_id")
+
+
+LM_SQL = r"""doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(crc32_text % 10 = 0, false) AS held_out, list_append(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS w FROM keyed),
+tok AS (SELECT r, doc_id, held_out, unnest(range(1, len(w) + 1)) AS i, unnest(list_prepend('', w[:-2])) AS v, unnest(w) AS w FROM doc),
+uni AS (SELECT w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY w),
+whole AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM uni),
+bi AS (SELECT v, w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY v, w),
+cont AS (SELECT w, count(*) AS a FROM bi GROUP BY w),
+counts AS (SELECT 2 AS k, count(*) FILTER (c = 1) AS n1, count(*) FILTER (c = 2) AS n2, count(*) FILTER (c = 3) AS n3, count(*) FILTER (c = 4) AS n4 FROM bi
+  UNION ALL SELECT 1, count(*) FILTER (a = 1), count(*) FILTER (a = 2), count(*) FILTER (a = 3), count(*) FILTER (a = 4) FROM cont),
+ds AS (SELECT k, CASE WHEN ok THEN least(greatest(1 - 2 * y * n2 / n1, 0), 1) ELSE 0.5 END AS d1, CASE WHEN ok THEN least(greatest(2 - 3 * y * n3 / n2, 0), 2) ELSE 1.0 END AS d2,
+  CASE WHEN ok THEN least(greatest(3 - 4 * y * n4 / n3, 0), 3) ELSE 1.5 END AS d3
+  FROM (SELECT *, n1 / (n1 + 2 * n2) AS y, n1 > 0 AND n2 > 0 AND n3 > 0 AS ok FROM counts)),
+one AS (SELECT sum(a) AS kinds, sum(CASE WHEN a = 1 THEN d1 WHEN a = 2 THEN d2 ELSE d3 END) / sum(a) AS rest FROM cont, (SELECT * FROM ds WHERE k = 1)),
+p1 AS (SELECT w, greatest(a - CASE WHEN a = 1 THEN d1 WHEN a = 2 THEN d2 ELSE d3 END, 0) / kinds AS p FROM cont, one, (SELECT * FROM ds WHERE k = 1)),
+ctx AS (SELECT v, sum(c) AS total, sum(CASE WHEN c = 1 THEN d1 WHEN c = 2 THEN d2 ELSE d3 END) / sum(c) AS rest FROM bi, (SELECT * FROM ds WHERE k = 2) GROUP BY v),
+p2 AS (SELECT v, w, greatest(c - CASE WHEN c = 1 THEN d1 WHEN c = 2 THEN d2 ELSE d3 END, 0) AS seen FROM bi, (SELECT * FROM ds WHERE k = 2)),
+each_ AS (SELECT r, doc_id, held_out, uni.c, log10((coalesce(uni.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (whole.v + 1))) AS base,
+  coalesce(p1.p, 0) + one.rest / (whole.v + 1) AS low, total, coalesce(seen, 0) AS seen, ctx.rest AS rest
+  FROM tok, whole, one LEFT JOIN uni ON uni.w = tok.w LEFT JOIN p1 ON p1.w = tok.w LEFT JOIN ctx ON ctx.v = tok.v LEFT JOIN p2 ON p2.v = tok.v AND p2.w = tok.w)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, (SELECT n FROM whole)::BIGINT AS train_tokens, round(sum(base), 6) AS base_score,
+  round(sum(log10(CASE WHEN total IS NULL THEN low ELSE seen / total + rest * low END)), 6) AS score
+FROM each_ GROUP BY r, doc_id"""
+
+KEY_CRC_SQL = """steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+keyed AS (SELECT doc_id, text, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+    regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]))) AS crc32_text
+  FROM documents, steps)"""
+
+
+@query(f"WITH {KEY_CRC_SQL}, {LM_SQL}")
+def op11_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Log-probability of every document by word pairs counted in nine tenths of them."""
+    docs = table(spark, sf, "documents")
+
+    def held(key):
+        return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 10 == 0, F.lit(False))
+
+    model = kneser.fit(docs, "text", ~held("doc_id"))
+    return kneser.score(docs, "doc_id", "text", model).select(
+        F.col("key").alias("doc_id"), held("key").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))

@@ -83,8 +83,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _piece(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    low = WORD[data]
+def _piece(data: np.ndarray, firsts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    low = table[data]
     inside = low > 0
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
@@ -103,18 +103,21 @@ def _piece(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix(h), starts, ends
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end byte of every word, and the number of words before each text."""
+def words(data: np.ndarray, at: np.ndarray, table: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end byte of every word, and the number of words before each text.
+
+    ``table`` has what each byte counts as in a word, 0 for those between words.
+    """
     hashes, starts, ends = [], [], []
     lo, n = 0, len(data)
     firsts = at[:-1][at[:-1] < n]
     while lo < n:
         hi = min(lo + CHUNK, n)
-        while hi < n and WORD[data[hi]] and WORD[data[hi - 1]]:  # never cut in a word
-            stop = np.flatnonzero(WORD[data[hi:hi + 4096]] == 0)
+        while hi < n and table[data[hi]] and table[data[hi - 1]]:  # never cut in a word
+            stop = np.flatnonzero(table[data[hi:hi + 4096]] == 0)
             hi = hi + int(stop[0]) if len(stop) else min(hi + 4096, n)
         here = firsts[np.searchsorted(firsts, lo):np.searchsorted(firsts, hi)] - lo
-        h, s, e = _piece(data[lo:hi], here)
+        h, s, e = _piece(data[lo:hi], here, table)
         hashes.append(h)
         starts.append(s + lo)
         ends.append(e + lo)
