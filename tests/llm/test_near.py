@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from echoframe.llm import near
 from tests.llm.conftest import CLASHING
@@ -106,3 +108,56 @@ def test_chain_of_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100), (102, 101)], "node long, leader long")
     got = {r["node"]: r["root"] for r in near.components(edges).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in (100, 101, 102))
+
+
+def edges(spark, texts, threshold=0.8):
+    trees, depth = near.forest(threshold)
+    rows = near.signatures(table(spark, texts), "doc_id", "text", trees, depth).withColumnRenamed("at", "node")
+    return near.candidates(rows.select("node", "prefixes", "sketch").cache(), trees, depth, threshold).cache()
+
+
+def test_shared_templates_make_no_cells(spark):
+    """Documents that have a passage in common, but are not similar, are not even compared."""
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(100)]
+    texts = {k: " ".join(template + [f"w{rng.randrange(10**7)}" for _ in range(115)]) for k in range(2000)}
+    assert edges(spark, texts).count() <= 5
+    assert all(n == 0 for _, n in result(near.near_duplicates(table(spark, texts), "doc_id", "text")).values())
+
+
+def test_prefixes_are_shortened(spark):
+    """Copies meet at the longest prefixes, pairs at the threshold at short ones; a leader stands for its copies."""
+    rng, texts = random.Random(7), {}
+    base = [f"w{i}" for i in range(200)]
+    for k in range(300):
+        w = list(base)
+        w[rng.randrange(200)] = f"v{k}"
+        texts[k] = " ".join(w)
+    found = edges(spark, texts)
+    assert found.agg(F.max("length")).head()[0] == near.LONGEST
+    few = near.contracted(near.contracted(found)).collect()
+    assert len(few) < 1.5 * 300 and len({r["node"] for r in few}) == 299
+    assert {r["root"] for r in near.components(found).collect()} == {r["root"] for r in near.components(near.contracted(found)).collect()} == {0}
+    hard = {}
+    for k in range(150):
+        w = [f"p{k}x{i}" for i in range(184)]
+        hard[2 * k] = " ".join(w)
+        for i in (20, 60, 100, 140):
+            w[i] = "changed"
+        hard[2 * k + 1] = " ".join(w)
+    got = edges(spark, hard).collect()
+    short = Counter(r["length"] for r in got)
+    assert sum(short.values()) >= 149 and len(short) >= 3
+
+
+def test_hot_prefixes_are_dealt_out(spark, families, monkeypatch):
+    monkeypatch.setattr(near, "HOT", 8)
+    want, _ = plain(families)
+    assert result(near.near_duplicates(table(spark, families), "doc_id", "text")) == want
+
+
+def test_survivor_among_rows_equal_in_key_and_text(spark):
+    rows = [(1, "one two three four five six", str(n)) for n in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    first = {near.deduplicate(df.repartition(n), "doc_id", "text").collect()[0]["more"] for n in (1, 3, 7)}
+    assert len(first) == 1
