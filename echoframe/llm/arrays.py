@@ -1,4 +1,4 @@
-"""Sorted arrays of hashes in the shared folder, mapped into memory by the workers that look things up.
+"""Sorted arrays of hashes in the shared folder, mapped into memory by the workers that look things up; filters of hashes.
 
 Keys are 64-bit hashes, evenly spread, so their leading bits tell the shard.  A shard is one file for the keys
 and one for each value, in key order.  Files are written under another name and put in place at once: a task
@@ -15,8 +15,9 @@ from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.llm.text import process_wide
@@ -150,3 +151,33 @@ def store(df: DataFrame, columns: Sequence[tuple[str, str]], folder: str, shards
     rows = df.select("shard", "key", *names).repartitionById(shards, F.col("shard")).sortWithinPartitions(
         "shard", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
     return Arrays(folder, shards, tuple(columns)), rows.mapInArrow(write, also_schema)
+
+
+#: Bits of the filters below: 1 MB is sent to every task.
+FILTER_BITS = 23
+
+
+def place_of(*columns: str) -> Column:
+    """Place in a filter, by the hash of some columns."""
+    return F.xxhash64(*columns).bitwiseAND((1 << FILTER_BITS) - 1)
+
+
+def marked(places: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """Function that tells which of some places may be among ``places`` (column p).  A full filter lets all pass."""
+    marks = (places.groupBy(F.shiftright("p", 5).alias("word"))
+             .agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 AS int)))").alias("bits")).collect())
+    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    for word, mark in marks:
+        bits[word] = mark
+    return lambda p: (bits[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
+
+
+def suspects(rows: DataFrame, columns: Sequence[str], of: DataFrame) -> Column:
+    """Whether a row's ``columns`` may be among those of ``of`` (same names): all that are, and a few others."""
+    found = marked(of.select(place_of(*columns).alias("p")))
+
+    @F.pandas_udf("boolean")
+    def suspected(p: pd.Series) -> pd.Series:
+        return pd.Series(found(p.to_numpy()))
+
+    return suspected(place_of(*columns))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from echoframe.llm.arrays import suspects
 from echoframe.llm.text import chunks, expand, utf8, words
 from echoframe.session import checkpointed
 
@@ -24,9 +25,9 @@ def word_list(text) -> list[int]:
 
 
 class Phrases:
-    """The distinct windows of a block of test items, as term numbers, and the items of each."""
+    """The distinct windows of a block of test items, as numbers of terms in ``vocabulary``, and the items of each."""
 
-    def __init__(self, items: list[tuple], window: int):
+    def __init__(self, items: list[tuple], window: int, vocabulary: np.ndarray):
         found: dict[tuple, set] = {}
         for item, text in items:
             w = word_list(text)
@@ -34,7 +35,7 @@ class Phrases:
                 found.setdefault(tuple(w[i:i + window]), set()).add(item)
         self.items = sorted({i for of in found.values() for i in of})
         number = {item: n for n, item in enumerate(self.items)}
-        self.vocabulary = np.unique(np.array([t for w in found for t in w] or [0], np.uint64))
+        self.vocabulary = vocabulary
         self.length = np.array([len(w) for w in found], np.int64)
         self.terms = np.full((len(found), window), -1, np.int64)
         for row, w in zip(self.terms, found):
@@ -48,6 +49,16 @@ class Phrases:
         self.order = np.argsort(weight, axis=1, kind="stable")
 
 
+def vocabulary_of(tests: DataFrame, text: str) -> np.ndarray:
+    """Sorted hashes of the words of all tests; the driver and each task hold 8 bytes for each different word."""
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(words(*utf8(b.column(0)))[0]).view(np.int64))], names=["word"])
+
+    found = tests.select(F.col(f"`{text}`").cast("string")).mapInArrow(rows, "word long").distinct().toArrow()
+    return np.sort(found["word"].to_numpy().view(np.uint64)) if len(found) else np.zeros(1, np.uint64)
+
+
 def build_index(docs: DataFrame, key: str, text: str, vocabulary: np.ndarray) -> DataFrame:
     """Postings of the words in ``vocabulary``: one row for each stretch of about 1 MB of texts.
 
@@ -203,9 +214,9 @@ def decontaminate(docs: DataFrame, key: str, text: str, tests: DataFrame, item:
     found).  ``slop`` over 0 adds proximity matches: the rarest word in place and every other one at most
     so many places off.
 
-    Texts are read and split once; the index of test words is checkpointed, then read for the words'
-    counts and for the search.  Test items are taken in blocks of about 200,000 words, each sent to every
-    task; hits of several blocks are merged by document.
+    Texts are read and split once, whatever the number of test items: postings of all test words are
+    checkpointed, then read for the words' counts and for the search.  Windows are searched for in blocks of about
+    200,000 words of items, each sent to every task; hits of several blocks are merged by document.
 
     Null texts have no words.  Items with a null id or without words are never found.  Repeated rows of
     documents get a row each, repeated items count once.  Empty tables give no hits or no rows.
@@ -219,15 +230,15 @@ def decontaminate(docs: DataFrame, key: str, text: str, tests: DataFrame, item:
     tests = tests.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
     item_type = tests.schema["item"].dataType
     if blocks > 1:
-        docs = checkpointed(docs.select(F.struct(F.monotonically_increasing_id().alias("at"), F.col(f"`{key}`").alias("key")).alias("key"),
-                                        F.col(f"`{text}`").alias("text")))
+        docs = docs.select(F.struct(F.monotonically_increasing_id().alias("at"), F.col(f"`{key}`").alias("key")).alias("key"),
+                           F.col(f"`{text}`").alias("text"))
         key, text = "key", "text"
-    found = []
+    vocabulary = vocabulary_of(tests, "text")
+    index = checkpointed(build_index(docs, key, text, vocabulary))
+    counts, found = term_counts(index, len(vocabulary)), []
     for b in range(blocks):
-        items = [tuple(r) for r in tests.where(F.col("block") == b).select("item", "text").collect()]
-        phrases = Phrases(items, window)
-        index = checkpointed(build_index(docs, key, text, phrases.vocabulary))
-        phrases.rarest_first(term_counts(index, len(phrases.vocabulary)))
+        phrases = Phrases([tuple(r) for r in tests.where(F.col("block") == b).select("item", "text").collect()], window, vocabulary)
+        phrases.rarest_first(counts)
         found.append(search(index, phrases, item_type, slop))
     out = found[0]
     if blocks > 1:
@@ -256,9 +267,14 @@ def drop_contaminated(docs: DataFrame, key: str, text: str, tests: DataFrame, it
                       window: int = 10) -> DataFrame:
     """Rows of ``docs`` of whose words a share of at most ``most`` lies in passages of test items.
 
-    Rows that share a key (a null key too) are dropped together if any of them is hit.
+    Each row is judged by its own text, whatever its key; null texts stay.  Texts are told by two hashes, and
+    only those rows cross the network whose text may be one of the contaminated.
     """
-    found = decontaminate(docs, key, text, tests, item, test_text, window)
-    hit = found.where(F.col("n_hit") > most * F.col("n_words")).select(F.col("key").alias("hit")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("id"))
-    return rows.join(hit, F.col("id").eqNullSafe(F.col("hit")), "left_anti").select("row.*")
+    own = F.col(f"`{text}`").cast("string")
+    told = F.struct(F.xxhash64(own).alias("h"), F.xxhash64(F.lit(1), own).alias("g"))
+    found = decontaminate(docs.select(told.alias("told"), own.alias("text")), "told", "text", tests, item, test_text, window)
+    hit = checkpointed(found.where(F.col("n_hit") > most * F.col("n_words")).select("key.h", "key.g").distinct())
+    rows = docs.select(F.struct("*").alias("row"), told.alias("told")).select("row", "told.h", "told.g")
+    rows = rows.withColumn("some", suspects(rows, ("h", "g"), hit))
+    return rows.where(~F.col("some")).select("row.*").unionByName(
+        rows.where("some").join(hit, ["h", "g"], "left_anti").select("row.*"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echoframe.llm.text import utf8
+from echoframe.llm.text import mix, utf8
 
 UNKNOWN = "und"
 
@@ -132,35 +132,41 @@ def fit(df: DataFrame, key: str, text: str, label: str, usable: Column,
         per_language: int = TRAINING_WINDOWS) -> Network | None:
     """Train on about ``per_language`` windows of each language among ``usable`` rows with a label.
 
-    Windows are drawn by a hash of the row's key and the window's place, so the same rows give the same
-    network.  None if no usable row has a label and a text.
+    Windows are drawn by a hash of the row's key and text and of the window's place, so the same rows give the same
+    network, and one key for many rows draws like many keys.  Rows equal in key and text count once.  A language
+    of which nothing is drawn so is drawn from again, without chance.  At most twice as many windows as asked for
+    reach the driver.  None if no usable row has a label and a text.
     """
+    own = F.col(f"`{text}`").cast("string")
     rows = df.where(usable & F.col(f"`{label}`").isNotNull()).select(
-        F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{label}`").cast("string").alias("label"),
-        F.col(f"`{text}`").cast("string").alias("text"))
+        F.xxhash64(F.col(f"`{key}`"), own).alias("key"), F.col(f"`{label}`").cast("string").alias("label"),
+        own.alias("text"))
     made = F.ceil(F.octet_length("text") / WINDOW)
     # One row for each language.
     counts = rows.groupBy("label").agg(F.sum(made).alias("n")).where("n > 0").orderBy("label").collect()
     if not counts:
         return None
-    share = {r["label"]: min(1.0, per_language / r["n"]) for r in counts}
-
-    def draw(batches):
-        from echoframe.llm.text import mix
-
-        for b in batches:
-            data, at = utf8(b.column(2))
-            start, end, text_no = windows(data, at)
-            base = np.array([hash_of(k) for k in b.column(0).to_pylist()], np.uint64)
-            u = mix(base[text_no] + start.astype(np.uint64) - at[:-1][text_no].astype(np.uint64))
-            part = np.array([share.get(x, 0.0) for x in b.column(1).to_pylist()])
-            keep = np.flatnonzero(u.astype(np.float64) / 2.0**64 < part[text_no])
-            m = matrix(data, start[keep], end[keep])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(1).take(pa.array(text_no[keep])), pa.array(u[keep].astype(np.int64)),
-                 pa.array([r.tobytes() for r in m], pa.binary())], names=["label", "u", "window"])
-
-    drawn = rows.mapInArrow(draw, "label string, u long, window binary").collect()
+    def drawn_by(share: dict[str, float]) -> list:
+        def draw(batches):
+            for b in batches:
+                data, at = utf8(b.column(2))
+                start, end, text_no = windows(data, at)
+                base = b.column(0).to_numpy().view(np.uint64)
+                u = mix(base[text_no] + start.astype(np.uint64) - at[:-1][text_no].astype(np.uint64))
+                part = np.array([share.get(x, 0.0) for x in b.column(1).to_pylist()])
+                keep = np.flatnonzero(u.astype(np.float64) / 2.0**64 < part[text_no])
+                m = matrix(data, start[keep], end[keep])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(1).take(pa.array(text_no[keep])), pa.array(u[keep].astype(np.int64)),
+                     pa.array([r.tobytes() for r in m], pa.binary())], names=["label", "u", "window"])
+
+        got = rows.where(F.col("label").isin(*share)).mapInArrow(draw, "label string, u long, window binary")
+        return got.dropDuplicates(["label", "u"]).orderBy("u", "label", "window").limit(2 * per_language * len(share)).collect()
+
+    drawn = drawn_by({r["label"]: min(1.0, per_language / r["n"]) for r in counts})
+    missing = {r["label"] for r in counts} - {r["label"] for r in drawn}
+    if missing:
+        drawn += drawn_by(dict.fromkeys(missing, 1.0))
     drawn.sort(key=lambda r: (r["u"], r["label"], r["window"]))
     languages = [r["label"] for r in counts]
     number = {x: i for i, x in enumerate(languages)}
@@ -170,13 +176,6 @@ def fit(df: DataFrame, key: str, text: str, label: str, usable: Column,
     return train(m, np.array([number[r["label"]] for r in drawn]), languages)
 
 
-def hash_of(key: str | None) -> int:
-    import zlib
-
-    b = (key or "").encode()
-    return zlib.crc32(b) << 32 | zlib.crc32(b[::-1] + b"#")
-
-
 def _reader(network: Network | None):
     """Function from a string column to its languages and scores."""
     def read(column):

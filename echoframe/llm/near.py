@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from echoframe.llm.arrays import marked, place_of, suspects
 from echoframe.llm.text import chunks, expand, mix, shingles, utf8, words
 from echoframe.session import checkpointed
 
@@ -33,9 +33,6 @@ HOT = 2000
 #: Sets compared with each other in one task; larger cells are compared block by block.
 BLOCK = 400
 
-#: Bits of the filter that spares documents without candidates the shuffle: 1 MB is sent to every task.
-FILTER_BITS = 23
-
 
 def _multipliers(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -286,25 +283,14 @@ def components(edges: DataFrame) -> DataFrame:
         last = total
 
 
-def _filter(places: DataFrame):
-    """Function that tells which of some places are among ``places`` (column p, below 2 ** FILTER_BITS)."""
-    marks = (places.groupBy(F.shiftright("p", 5).alias("word"))
-             .agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 AS int)))").alias("bits")).collect())
-    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    for word, mark in marks:
-        bits[word] = mark
-    return lambda p: (bits[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
-
-
 def _wanted_sets(df: DataFrame, key: str, text: str, cells: DataFrame) -> DataFrame:
     """key, a, b, n and shingles of the documents whose key may be in ``cells``."""
-    place = F.xxhash64("key").bitwiseAND((1 << FILTER_BITS) - 1)
-    marked = _filter(cells.select(place.alias("p")))
+    found = marked(cells.select(place_of("key").alias("p")))
     kind = df.schema[key].dataType
 
     def rows(batches):
         for b in batches:
-            b = b.filter(pa.array(marked(b.column(2).to_numpy())))
+            b = b.filter(pa.array(found(b.column(2).to_numpy())))
             for lo, hi, h, before in _sets(b.column(1)):
                 a, c = _digests(h, before)
                 own = pa.array([np.unique(h[x:y]).tobytes() for x, y in zip(before[:-1], before[1:])], pa.binary())
@@ -315,7 +301,7 @@ def _wanted_sets(df: DataFrame, key: str, text: str, cells: DataFrame) -> DataFr
     schema = T.StructType([T.StructField("key", kind), *[T.StructField(x, T.LongType()) for x in "abn"],
                            T.StructField("set", T.BinaryType())])
     return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).select(
-        "key", "text", place.alias("p")).mapInArrow(rows, schema)
+        "key", "text", place_of("key").alias("p")).mapInArrow(rows, schema)
 
 
 LINKED = "node long, links long, root long, partners array<struct<node: long, similarity: double>>"
@@ -447,18 +433,11 @@ def deduplicate(df: DataFrame, key: str, text: str, threshold: float = SIMILARIT
     kept = found.where(F.col("key").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("at", "key", "h")).alias("first")).select(
         F.col("first.key").alias("key"), F.col("first.h").alias("h"))
     # The text's hash tells rows of one key apart; rows of one key and text are copies of each other.
-    in_classes = checkpointed(found.select("key", "h").distinct())
-    dropped = in_classes.exceptAll(kept.distinct()).select(F.col("key").alias("gone"), F.col("h").alias("gone_h"))
+    in_classes = checkpointed(found.select(F.col("key").alias("id"), "h").distinct())
+    dropped = in_classes.exceptAll(kept.distinct()).select(F.col("id").alias("gone"), F.col("h").alias("gone_h"))
     has_words = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
-    place = F.xxhash64("id", "h").bitwiseAND((1 << FILTER_BITS) - 1)
-    marked = _filter(in_classes.select(F.xxhash64("key", "h").bitwiseAND((1 << FILTER_BITS) - 1).alias("p")))
-
-    @F.pandas_udf("boolean")
-    def suspected(p: pd.Series) -> pd.Series:
-        return pd.Series(marked(p.to_numpy()))
-
     rows = df.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), has_words.alias("some"))
-    rows = rows.withColumn("some", F.col("some") & suspected(place))
+    rows = rows.withColumn("some", F.col("some") & suspects(rows, ("id", "h"), in_classes))
     # Rows of no class of several stay where they lie; only the others cross the network.
     out = rows.where("some").join(dropped, F.col("id").eqNullSafe(F.col("gone")) & (F.col("h") == F.col("gone_h")), "left_anti")
     first = F.row_number().over(Window.partitionBy("id", "h").orderBy(F.xxhash64("row")))

@@ -98,15 +98,18 @@ def train(shapes: np.ndarray, of: np.ndarray, bucket: np.ndarray, y: np.ndarray,
 
 
 def fit(labelled: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> Classifier | None:
-    """Train on about ``sample`` labelled rows (label 0 or 1), drawn by a hash of their key; None without any."""
+    """Train on ``sample`` labelled rows (label 0 or 1) at most; None without any.
+
+    Rows are drawn by a hash of their key and text, so one key for many draws like many keys; rows equal in key,
+    text and label count once.
+    """
+    own = F.col(f"`{text}`").cast("string")
     rows = labelled.where(F.col(f"`{label}`").isin(0, 1)).select(
-        F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").cast("string").alias("text"),
+        F.xxhash64(F.col(f"`{key}`"), own).alias("key"), own.alias("text"),
         F.col(f"`{label}`").cast("double").alias("label"))
     n = rows.count()
     if not n:
         return None
-    drawn = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < min(1.0, sample / n) * (1 << 20))
-
     def look(batches):
         for b in batches:
             for lo, hi, shapes, of, bucket in _look(b.column(1)):
@@ -117,10 +120,14 @@ def fit(labelled: DataFrame, key: str, text: str, label: str, sample: int = SAMP
                     pa.array([bucket[x:y].astype(np.int32).tobytes() for x, y in zip(edges[:-1], edges[1:])], pa.binary())],
                     names=["key", "label", "shapes", "buckets"])
 
-    got = drawn.mapInArrow(look, "key string, label double, shapes binary, buckets binary").collect()
-    if not got:
-        return None
-    got.sort(key=lambda r: (r["key"] or "", r["label"], bytes(r["shapes"])))
+    def drawn(share: float) -> list:
+        chosen = rows.where(F.pmod("key", F.lit(1 << 20)) < share * (1 << 20))
+        seen = chosen.mapInArrow(look, "key long, label double, shapes binary, buckets binary")
+        return seen.dropDuplicates(["key", "label"]).orderBy("key", "label").limit(sample).collect()
+
+    # Somewhat more than wanted, of which the first are taken; all of them if chance leaves none.
+    got = drawn(min(1.0, 1.2 * sample / n)) or drawn(1.0)
+    got.sort(key=lambda r: (r["key"], r["label"], bytes(r["shapes"])))
     own = [np.frombuffer(r["buckets"], np.int32) for r in got]
     return train(np.array([np.frombuffer(r["shapes"]) for r in got]), np.repeat(np.arange(len(got)), [len(b) for b in own]),
                  np.concatenate(own).astype(np.int64), np.array([r["label"] for r in got]))

@@ -99,10 +99,13 @@ digest AS (SELECT doc_id, {counts}, sha256(coalesce(string_agg({mark}, ',' ORDER
 
 WORDS_ASSIGNED = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
 ASSIGN_SQL = rf"""({WORDS_ASSIGNED})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+PEM_SQL = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
+           r"|(?:(?:\s|\\[rn])+(?:Proc-Type|DEK-Info):[^\r\n\\]*)*"
+           r"(?:(?:(?:\s|\\[rn])+[A-Za-z0-9+/]{20,}={0,2})+(?:(?:\r?\n|(?:\\r)?\\n)[A-Za-z0-9+/]+={0,2})?)?)")
 SECRET_SQL = spans_sql([
     ("assign", ASSIGN_SQL, "length(regexp_extract(m, '" + ASSIGN_SQL.replace("'", "''") + "', 2)) >= 8"),
     ("access", "AKIA[A-Z0-9]+", "length(m) >= 16"), ("hex", "[0-9a-f]+", "length(m) >= 32"),
-    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"), ("github", "gh[pousr]_[A-Za-z0-9]{36,}", "true"),
+    ("pem", PEM_SQL, "true"), ("github", "gh[pousr]_[A-Za-z0-9]{36,}", "true"),
     ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", "true")], 3)
 
 
@@ -188,11 +191,13 @@ SELECT conv AS conv_id, id AS call_id, coalesce(ct, rt) AS turn, CASE WHEN is_ca
   '{"arguments":' || CASE WHEN is_call THEN '{' || CASE WHEN after IS NOT NULL THEN '"after":"' || after || '",' ELSE '' END
     || '"text":' || to_json(q) || ',"turn":' || ct || '}' ELSE 'null' END || ',"id":"' || id || '","name":' || CASE WHEN is_call THEN '"reply"' ELSE 'null' END
     || ',"result":' || coalesce(to_json(a)::VARCHAR, 'null') || '}' AS record
-FROM told""")
+FROM told
+UNION ALL SELECT conv, NULL, turn, NULL, NULL, false, '', true, '{"content":' || to_json(text) || ',"id":null,"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}'
+FROM c WHERE role IS NULL OR role NOT IN ('user', 'assistant')""")
 def op8_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
-    """Every user and assistant turn of a dialogue as a linked, checked and ordered tool call in canonical JSON."""
+    """Every turn of a dialogue: calls linked with their results, checked and ordered, and all other messages, in canonical JSON."""
     messages = chat.as_protocol(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
-    found = chat.link_tool_calls(messages, "conv", "turn", "text", chat.REPLY)
+    found = chat.link_tool_calls(messages, "conv", "turn", "text", chat.REPLY, every=True)
     return found.withColumnsRenamed({"conv": "conv_id", "id": "call_id"}).withColumn("problems", F.concat_ws(",", "problems"))
 
 

@@ -41,9 +41,24 @@ def test_no_rows(spark, none, odd):
 def test_drop(spark, odd):
     tests = spark.createDataFrame(ITEMS, "item_id long, text string")
     left = d.drop_contaminated(odd, "doc_id", "text", tests, "item_id", "text").collect()
-    assert sorted(str(r["doc_id"]) for r in left) == ["1", "2", "4", "7"]
+    # The row without key and text is clean, though another row without key is not.
+    assert sorted(str(r["doc_id"]) for r in left) == ["1", "2", "4", "7", "None"]
     assert all(r[c] == c for r in left for c in CLASHING)
 
 
 def test_words_of_items():
     assert len(d.word_list("A b-c 9é")) == len(words("A b-c 9é")) == 4
+
+
+def test_rows_are_dropped_by_their_own_text(spark, monkeypatch):
+    """A shared or null key takes no clean row with it; many blocks of tests read the corpus once."""
+    passage = "these ten words are the passage of a hidden test item"
+    rows = [(None, f"so {passage} there"), (None, "a clean text"), (None, None), (1, passage), (1, "clean too"), (1, "clean too"), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"{passage} {i}" if i == 3 else f"word{i} " * 12) for i in range(40)], "item_id int, text string")
+    for words in (d.BLOCK_WORDS, 20):
+        monkeypatch.setattr(d, "BLOCK_WORDS", words)
+        left = d.drop_contaminated(docs, "doc_id", "text", items, "item_id", "text")
+        assert sorted((str(r["doc_id"]), r["text"] or "") for r in left.collect()) == sorted(
+            [("None", "a clean text"), ("None", ""), ("1", "clean too"), ("1", "clean too"), ("2", "")])
+        assert left.columns == docs.columns

@@ -57,3 +57,14 @@ def test_odd_rows(spark, odd, none, network):
 def test_nothing_to_learn_from(odd, none):
     assert lg.fit(none, "doc_id", "text", "lang", F.lit(True)) is None
     assert {r["lang_pred"] for r in lg.predict(odd, "doc_id", "text", None).collect()} == {"und"}
+
+
+def test_one_key_for_all_rows(spark, monkeypatch):
+    """A shared key draws neither everything nor nothing; copies of one row neither."""
+    rows = [(102, f"some words of text number {i}", "en") for i in range(4000)] + [(59, f"quelques mots du texte {i}", "fr") for i in range(4000)]
+    rows += [(None, "immer derselbe Text", "de")] * 2000
+    seen = []
+    monkeypatch.setattr(lg, "train", lambda m, y, languages, **kw: seen.append((len(m), languages, sorted(set(y.tolist())))))
+    lg.fit(spark.createDataFrame(rows, "k long, text string, lang string"), "k", "text", "lang", F.lit(True), per_language=200)
+    n, languages, labels = seen[0]
+    assert languages == ["de", "en", "fr"] and labels == [0, 1, 2] and 300 < n <= 1200

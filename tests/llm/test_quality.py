@@ -79,3 +79,12 @@ def test_addresses(spark):
     df = spark.createDataFrame([("http://www.A.org/x/y?z",), ("https://b.org",), ("no address",), (None,)], "u string")
     got = [tuple(r) for r in df.select(q.host_of(F.col("u")), q.path_of(F.col("u"))).collect()]
     assert got == [("a.org", "x"), ("b.org", ""), (None, ""), (None, "")]
+
+
+def test_one_key_for_all_rows(spark, monkeypatch):
+    rows = [(1, f"some words of text number {i}", i % 2) for i in range(5000)]
+    seen = []
+    monkeypatch.setattr(q, "train", lambda s, of, at, y: seen.append(len(y)))
+    q.fit(spark.createDataFrame(rows, "k long, text string, label int"), "k", "text", "label", sample=300)
+    q.fit(spark.createDataFrame([(1, "the same", 1)] * 5000, "k long, text string, label int"), "k", "text", "label", sample=300)
+    assert 200 < seen[0] <= 300 and seen[1] == 1
