@@ -6,14 +6,12 @@ as the next stage's docs.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.llm import decontaminate, language, near, packing, secrets
 from echoframe.llm.queries import public_tokenizer
+from echoframe.session import fresh_folder, remove_folder
 
 #: Share of a document's words in benchmark passages from which it is dropped.
 CONTAMINATED = 0.0
@@ -61,13 +59,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder.
 
-    Stages are written under spark.checkpoint.dir, which all machines share; where it is not set (tests on
-    one machine), under the warehouse.
+    Stages are written under the folder in spark.checkpoint.dir, which all machines share; a stage's input is deleted
+    once its output is there, so that one copy stays, the result.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    home = os.path.join(shared, f"corpus-{uuid.uuid4().hex}")
+    home = fresh_folder(spark, "corpus")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{number}")
         docs = spark.read.parquet(f"{home}/{number}")
+        if number:
+            remove_folder(spark, f"{home}/{number - 1}")
     return docs
