@@ -20,6 +20,7 @@ from echoframe.functions.special import (
     ArrayMath,
     ColumnMath,
     beta_cdf,
+    digamma,
     erfcx_scalar,
     gamma_cdf,
     normal_cdf_scalar,
@@ -49,9 +50,29 @@ class Kernel:
     def shape(self, x, m):
         raise NotImplementedError
 
+    def slope(self, x, m, param: str):
+        """Derivative of the shape by a parameter, in closed form."""
+        raise NotImplementedError(f"{type(self).__name__} has no derivative by {param}")
+
     def normaliser(self) -> float:
         return 1.0
 
+    def normaliser_slope(self, param: str) -> float:
+        """Derivative of the normaliser, a number that depends on parameters only: differences of four points."""
+        v = self.params[param]
+        low, high = self.bounds.get(param, (None, None))
+        h = 1e-3 * max(abs(v), 1e-2)
+        for edge in (low, high):
+            h = h if edge is None else min(h, abs(v - edge) / 4)
+        at = [self.with_params(**{param: v + k * h}).normaliser() for k in (-2, -1, 1, 2)]
+        return (8 * (at[2] - at[1]) - (at[3] - at[0])) / (12 * h)
+
+    def derivative(self, t, m, param: str):
+        """Derivative of the whole kernel by a parameter, on columns (``ColumnMath``) or grids (``ArrayMath``)."""
+        z, dz = self.normaliser(), self.normaliser_slope(param)
+        out = self.slope(t, m, param) * (1.0 / z)
+        return out - self.shape(t, m) * (dz / z**2) if dz else out
+
     def column(self, t: Column) -> Column:
         return self.shape(t, ColumnMath) * F.lit(1.0 / self.normaliser())
 
@@ -88,6 +109,9 @@ class Exp(Kernel):
     def shape(self, x, m):
         return m.exp(x * -self.beta) * self.beta
 
+    def slope(self, x, m, param):
+        return m.exp(x * -self.beta) * (x * -self.beta + 1.0)
+
     def normaliser(self):
         return 1.0 if self.support_ub is None else -math.expm1(-self.beta * self.support_ub) + EPSILON
 
@@ -103,6 +127,12 @@ def _gamma_pdf(x, m, shape: float, rate: float):
     return m.exp(m.log(x) * (shape - 1.0) - x * rate + log_scale)
 
 
+def _gamma_slopes(x, m, shape: float, rate: float):
+    """The gamma density and its derivatives by shape, rate and place."""
+    f = _gamma_pdf(x, m, shape, rate)
+    return f, f * (m.log(x) + (math.log(rate) - digamma(shape))), f * (x * -1.0 + shape / rate), f * ((shape - 1.0) / x - rate)
+
+
 @dataclass(frozen=True)
 class Gamma(Kernel):
     alpha: float = 2.0
@@ -112,6 +142,10 @@ class Gamma(Kernel):
     def shape(self, x, m):
         return _gamma_pdf(m.floor_at(x, 0.0) + EPSILON, m, self.alpha, self.beta)
 
+    def slope(self, x, m, param):
+        _, by_alpha, by_beta, _ = _gamma_slopes(m.floor_at(x, 0.0) + EPSILON, m, self.alpha, self.beta)
+        return by_alpha if param == "alpha" else by_beta
+
     def normaliser(self):
         return 1.0 if self.support_ub is None else gamma_cdf(self.support_ub, self.alpha, self.beta) + EPSILON
 
@@ -137,6 +171,10 @@ class ShiftedGamma(Kernel):
     def shape(self, x, m):
         return _gamma_pdf(m.floor_at(x, 0.0) - self.delta, m, self.alpha, self.beta)
 
+    def slope(self, x, m, param):
+        _, by_alpha, by_beta, by_place = _gamma_slopes(m.floor_at(x, 0.0) - self.delta, m, self.alpha, self.beta)
+        return {"alpha": by_alpha, "beta": by_beta, "delta": by_place * -1.0}[param]
+
     def normaliser(self):
         top = 1.0 if self.support_ub is None else gamma_cdf(
             self.support_ub - self.delta, self.alpha, self.beta)
@@ -169,6 +207,10 @@ class Normal(Kernel):
         z = (x - self.mu) / self.sigma
         return m.exp(z * z * -0.5) / (self.sigma * ROOT_2PI)
 
+    def slope(self, x, m, param):
+        z = (x - self.mu) / self.sigma
+        return self.shape(x, m) * (z if param == "mu" else z * z - 1.0) * (1.0 / self.sigma)
+
     def normaliser(self):
         low = 0.0 if self.support_lb is None else self.cdf(self.support_lb)
         high = 1.0 if self.support_ub is None else self.cdf(self.support_ub)
@@ -195,6 +237,15 @@ class SkewNormal(Kernel):
         phi = m.exp(z * z * -0.5) / ROOT_2PI
         return phi * m.erfc(z * (-self.alpha / math.sqrt(2.0))) / self.sigma
 
+    def slope(self, x, m, param):
+        z = (x - self.mu) / self.sigma
+        phi = m.exp(z * z * -0.5) / ROOT_2PI
+        lean = phi * m.exp(z * z * (-0.5 * self.alpha**2)) * math.sqrt(2.0 / math.pi)
+        if param == "alpha":
+            return lean * z * (1.0 / self.sigma)
+        by_z = lean * (self.alpha / self.sigma) - self.shape(x, m) * z
+        return by_z * (-1.0 / self.sigma) if param == "mu" else (by_z * z + self.shape(x, m)) * (-1.0 / self.sigma)
+
     def normaliser(self):
         reach = 12.0 * self.sigma
         low = self.mu - reach if self.support_lb is None else max(self.support_lb, self.mu - reach)
@@ -233,6 +284,15 @@ class EMG(Kernel):
         after = m.exp(m.floor_at(lead * -1.0, 0.0) * -1.0) * m.erfc(late)
         return m.pick(z > 0.0, before, after) * (0.5 * self.beta)
 
+    def slope(self, x, m, param):
+        f, u = self.shape(x, m), (x - self.mu) * (1.0 / self.sigma)
+        bell = m.exp(u * u * -0.5) * (1.0 / (self.sigma * ROOT_2PI))
+        if param == "mu":
+            return (f - bell) * self.beta
+        if param == "beta":
+            return f * ((x - self.mu) * -1.0 + (1.0 / self.beta + self.beta * self.sigma**2)) - bell * (self.beta * self.sigma**2)
+        return f * (self.beta**2 * self.sigma) - bell * (u * (1.0 / self.sigma) + self.beta) * (self.beta * self.sigma)
+
     def cdf(self, x: float) -> float:
         u = (x - self.mu) / self.sigma
         v = self.beta * self.sigma
@@ -257,12 +317,23 @@ class BetaPrime(Kernel):
         log_beta = math.lgamma(self.alpha) + math.lgamma(self.beta) - math.lgamma(self.alpha + self.beta)
         return m.exp(m.log(x) * (self.alpha - 1.0) - m.log(x + 1.0) * (self.alpha + self.beta) - log_beta)
 
+    def _slopes(self, x, m, param):
+        f, both = self._density(x, m), digamma(self.alpha + self.beta)
+        if param == "alpha":
+            return f * (m.log(x) - m.log(x + 1.0) + (both - digamma(self.alpha)))
+        if param == "beta":
+            return f * (m.log(x + 1.0) * -1.0 + (both - digamma(self.beta)))
+        return f * ((self.alpha + self.beta) / (x + 1.0) - (self.alpha - 1.0) / x)
+
     def cdf(self, x: float) -> float:
         return beta_cdf(x / (1.0 + x), self.alpha, self.beta)
 
     def shape(self, x, m):
         return self._density(m.floor_at(x, 0.0) + EPSILON, m)
 
+    def slope(self, x, m, param):
+        return self._slopes(m.floor_at(x, 0.0) + EPSILON, m, param)
+
     def normaliser(self):
         return 1.0 if self.support_ub is None else self.cdf(self.support_ub) + EPSILON
 
@@ -275,6 +346,9 @@ class ShiftedBetaPrime(BetaPrime):
     def shape(self, x, m):
         return self._density(m.floor_at(x, 0.0) - self.delta, m)
 
+    def slope(self, x, m, param):
+        return self._slopes(m.floor_at(x, 0.0) - self.delta, m, param)
+
     def normaliser(self):
         high = 1.0 if self.support_ub is None else self.cdf(self.support_ub - self.delta)
         return high - self.cdf(-self.delta) + EPSILON
@@ -296,6 +370,16 @@ class DoubleGamma(Kernel):
         x = m.floor_at(x, 0.0) + EPSILON
         return _gamma_pdf(x, m, a1, b1) - _gamma_pdf(x, m, a2, b2) * c
 
+    def slope(self, x, m, param):
+        a1, a2, b1, b2, c = self.parts()
+        # The five numbers are sums of parameters and constants: a step of 1 tells how each depends on one.
+        moved = self.with_params(**{param: self.params[param] + 1.0}).parts()
+        d = [round(after - before, 9) for after, before in zip(moved, (a1, a2, b1, b2, c))]
+        x = m.floor_at(x, 0.0) + EPSILON
+        main, main_a, main_b, _ = _gamma_slopes(x, m, a1, b1)
+        under, under_a, under_b, _ = _gamma_slopes(x, m, a2, b2)
+        return main_a * d[0] + main_b * d[2] - (under_a * d[1] + under_b * d[3]) * c - under * d[4]
+
     def normaliser(self):
         a1, a2, b1, b2, c = self.parts()
         if self.support_ub is None:
@@ -399,6 +483,9 @@ class LCG(Kernel):
             total = part if total is None else total + part
         return total
 
+    def slope(self, x, m, param):
+        return self._normals()[int(param[1:]) - 1].shape(x, m)
+
     def normaliser(self):
         mass = sum(v * (n.normaliser() - EPSILON) for n, v in zip(self._normals(), self.amplitudes))
         return mass + EPSILON

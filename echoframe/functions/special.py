@@ -86,6 +86,18 @@ def normal_quantile(p: float) -> float:
     return 0.5 * (lo + hi)
 
 
+def digamma(x: float) -> float:
+    """Derivative of the logarithm of the gamma function, for positive x."""
+    total = 0.0
+    while x < 10.0:
+        total -= 1.0 / x
+        x += 1.0
+    y = 1.0 / (x * x)
+    # Bernoulli numbers over twice their index.
+    series = y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y * (1 / 132 - y * 691 / 32760)))))
+    return total + math.log(x) - 0.5 / x - series
+
+
 def gamma_cdf(x: float, shape: float, rate: float) -> float:
     """Regularised lower incomplete gamma function at ``rate * x``."""
     z = rate * x

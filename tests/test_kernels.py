@@ -96,3 +96,23 @@ def test_reach_is_required(spark):
 
 def test_far_tail():
     assert chi2_sf(75.0, 2) == pytest.approx(5.175555005801869e-17) and chi2_sf(70.0, 2) == pytest.approx(6.305116760146985e-16)
+
+
+def test_derivatives(spark):
+    """Closed forms against differences of the whole kernel, on grids and on columns, with and without bounds of the support."""
+    from echoframe.functions.special import ArrayMath, ColumnMath, digamma
+
+    assert digamma(1.0) == pytest.approx(-0.5772156649015329, abs=1e-13) and digamma(0.25) == pytest.approx(-4.227453533376265, abs=1e-12)
+    t = np.array([0.05, 0.4, 1.0, 2.5, 7.0])
+    grid = spark.createDataFrame([(float(x),) for x in t], "t double").coalesce(1)
+    cases = [K.Exp(0.7), K.Exp(0.7, support_ub=5.0), K.Gamma(2.3, 0.8), K.Gamma(1.4, 0.8, support_ub=6.0), K.ShiftedGamma(2.2, 0.9, -0.7), K.Normal(1.0, 0.8),
+             K.Normal(1.0, 0.8, support_lb=None), K.SkewNormal(0.8, 1.1, 1.7), K.EMG(0.9, 0.6, 1.3), K.BetaPrime(2.5, 3.1), K.ShiftedBetaPrime(2.5, 3.1, -0.4),
+             K.HRFDoubleGamma1(1.2), K.HRFDoubleGamma2(5.5, 1.2), K.HRFDoubleGamma3(5.5, 1.2, 0.2), K.HRFDoubleGamma4(5.5, 14.0, 1.2, 0.2),
+             K.HRFDoubleGamma5(5.5, 14.0, 1.2, 0.9, 0.2), K.HRFSingleGamma(5.0, 1.1), K.LCG((0.0, 1.0), (0.5, 0.5), (0.3, 0.6)), K.GammaShapeGT1(1.5, 1.0, support_ub=4.0)]
+    for k in cases:
+        for p, v in k.params.items():
+            h = 1e-5
+            want = (k.with_params(**{p: v + h}).on_grid(t) - k.with_params(**{p: v - h}).on_grid(t)) / (2 * h)
+            assert k.derivative(t, ArrayMath, p) == pytest.approx(want, rel=2e-6, abs=2e-8), (k, p)
+            got = [r[0] for r in grid.select(k.derivative(F.col("t"), ColumnMath, p)).collect()]
+            assert got == pytest.approx(want, rel=2e-6, abs=2e-8), (k, p)
