@@ -15,7 +15,6 @@ from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,8 +175,8 @@ def suspects(rows: DataFrame, columns: Sequence[str], of: DataFrame) -> Column:
     """Whether a row's ``columns`` may be among those of ``of`` (same names): all that are, and a few others."""
     found = marked(of.select(place_of(*columns).alias("p")))
 
-    @F.pandas_udf("boolean")
-    def suspected(p: pd.Series) -> pd.Series:
-        return pd.Series(found(p.to_numpy()))
+    @F.arrow_udf("boolean")
+    def suspected(p: pa.Array) -> pa.Array:
+        return pa.array(found(p.to_numpy()))
 
     return suspected(place_of(*columns))
