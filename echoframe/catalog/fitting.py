@@ -111,16 +111,90 @@ def kernel_recovery(spark, sf):
     return spark.createDataFrame(rows, "n long, beta double, coef double, intercept double")
 
 
-@query(f"""WITH {EV} SELECT count(*) AS n, true AS converged, 0.0::DOUBLE AS gradient, true AS lowest FROM y WHERE y IS NOT NULL""")
+@query(f"""WITH {FEATS}, {OLS2}, names AS (SELECT unnest(['Exp(value).beta', 'Gamma(value).alpha', 'Gamma(value).beta']) AS parameter)
+SELECT parameter, n, round(0.5 * n * ln(mse), 3) AS loss_before, true AS better, 0.0::DOUBLE AS gradient, true AS converged FROM o, names""")
 def kernel_fit(spark, sf):
-    """A kernel learned for the observed responses: flat there, and no better a little to either side."""
+    """The kernels of both terms learned for the observed responses, from those of the other queries: flat in every parameter."""
     X, Y = inputs(spark, sf)
-    w = window_arrays(X, Y, ["user_id"], ["value"], 8, tie=["event_id"]).persist()
-    fit = regress.fit_kernels(w, [Conv("a", "value", K.Exp(0.05))], "y")
-    beta = fit.kernels["a"].beta
-    around = [regress.fit_kernels(w, [Conv("a", "value", K.Exp(beta * f))], "y", iterations=0).trace[0] for f in (0.9, 1.1)]
-    row = (int(fit.fit.n), fit.converged, abs(round(float(np.abs(fit.gradient).max()), 2)), bool(fit.trace[-1] <= min(around)))
-    return spark.createDataFrame([row], "n long, converged boolean, gradient double, lowest boolean")
+    learned = _model().fit(X, Y, learn_kernels=True).learned
+    rows = [(f"{o}.{p}", int(learned.moments.n), round(learned.trace[0], 3), bool(learned.trace[-1] <= learned.trace[0]),
+             abs(round(float(g), 2)), learned.converged) for (o, p), g in zip(learned.parameters, learned.gradient)]
+    return spark.createDataFrame(rows, "parameter string, n long, loss_before double, better boolean, gradient double, converged boolean")
+
+
+def _recovered(spark, learned, response, names):
+    """Learned numbers, and the variance of what they were learned from."""
+    fit, g = learned.fits[response], learned.moments
+    at = g.names.index(response)
+    values = {f"{o}.{p}": v for (o, p), v in zip(learned.parameters, learned.values)} | {"intercept": fit.intercept} | fit.coefs
+    rows = [(names.get(k, k), float(round(v, 4)), int(fit.n), float(round(g.cov[at, at], 5)), learned.converged) for k, v in values.items()]
+    return spark.createDataFrame(rows, "parameter string, value double, n long, variance double, converged boolean")
+
+
+def _planted_sql(made: str, values: dict[str, float], extra: str = "") -> str:
+    rows = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in values.items())
+    return f"""WITH {EV}, c AS (SELECT * FROM x WHERE x.event_type = 'click'), w AS (SELECT * FROM x WHERE x.event_type = 'view'),
+pc AS (SELECT y.event_id, y.time - c.time AS d, c.value AS v FROM y JOIN c ON c.user_id = y.user_id AND c.time <= y.time + 1.1920929e-07
+  QUALIFY row_number() OVER (PARTITION BY y.event_id ORDER BY c.time DESC, c.event_id DESC) <= 8),
+pw AS (SELECT y.event_id, y.time - w.time AS d, w.value AS v FROM y JOIN w ON w.user_id = y.user_id AND w.time <= y.time + 1.1920929e-07
+  QUALIFY row_number() OVER (PARTITION BY y.event_id ORDER BY w.time DESC, w.event_id DESC) <= 8),
+gc AS (SELECT event_id, sum(0.05 * exp(-0.05 * d) * v) AS e, sum({_GAM} * v) AS g FROM pc GROUP BY event_id),
+gw AS (SELECT event_id, sum(0.05 * exp(-0.05 * d) * v) AS e, sum({_GAM} * v) AS g FROM pw GROUP BY event_id),
+f AS (SELECT y.*, coalesce(gc.e, 0) AS ce, coalesce(gc.g, 0) AS cg, coalesce(gw.e, 0) AS we, coalesce(gw.g, 0) AS wg FROM y
+  LEFT JOIN gc USING (event_id) LEFT JOIN gw USING (event_id)),
+m AS (SELECT count(*) AS n, round(var_pop({made}), 5) AS variance FROM f)
+SELECT parameter, value, n, variance, true AS converged FROM m, (VALUES {rows}) AS p(parameter, value)"""
+
+
+def _two_tables(spark, sf):
+    """Clicks and views as event tables of their own, with their own predictors."""
+    X, Y = inputs(spark, sf)
+    clicks = X.where("event_type = 'click'").withColumnRenamed("value", "c")
+    views = X.where("event_type = 'view'").withColumnRenamed("value", "w")
+    return [clicks.select("event_id", "user_id", "time", "c"), views.select("event_id", "user_id", "time", "w")], Y
+
+
+def _made(model, X, Y, made):
+    """Responses made of a model's true features."""
+    return model.compile(X, Y).features().withColumn("made", made).select(*Y.columns, "made")
+
+
+@query(_planted_sql("2 * ce + 1.5 * wg + 3", {"c.beta": 0.05, "w.alpha": 2.0, "w.beta": 0.1, "c": 2.0, "w": 1.5, "intercept": 3.0}))
+def kernel_recovery_two_sources(spark, sf):
+    """Responses made of clicks by one kernel and views by another: the search returns both, from other ones."""
+    X, Y = _two_tables(spark, sf)
+    model = lambda a, b: Model(["made"], [C("c", a), C("w", b)], ["user_id"], history=8, tie=["event_id"])
+    Y = _made(model(EXP, GAM), X, Y, F.col("`Exp(c)`") * 2 + F.col("`Gamma(w)`") * 1.5 + 3)
+    learned = model(K.Exp(0.1), K.Gamma(1.6, 0.15)).fit(X, Y, learn_kernels=True).learned
+    return _recovered(spark, learned, "made", {"Exp(c).beta": "c.beta", "Gamma(w).alpha": "w.alpha", "Gamma(w).beta": "w.beta", "Exp(c)": "c", "Gamma(w)": "w"})
+
+
+@query(_planted_sql("2 * (ce + we) + 0.5 * wg + 3", {"shared.beta": 0.05, "w.beta": 0.1, "both": 2.0, "w": 0.5, "intercept": 3.0}))
+def kernel_recovery_tied(spark, sf):
+    """Clicks and views share one kernel and one coefficient; of the third term's kernel the shape is held."""
+    X, Y = _two_tables(spark, sf)
+    model = lambda a, b, **kw: Model(["made"], [
+        C("c", a, coef_id="both", irf_id="shared"), C("w", a, coef_id="both", irf_id="shared"), C("w", b, trainable=("beta",))],
+        ["user_id"], history=8, tie=["event_id"])
+    Y = _made(model(EXP, GAM), X, Y, F.col("both") * 2 + F.col("`Gamma(w)`") * 0.5 + 3)
+    learned = model(K.Exp(0.09), K.Gamma(2.0, 0.14)).fit(X, Y, learn_kernels=True).learned
+    return _recovered(spark, learned, "made", {"Gamma(w).beta": "w.beta", "Gamma(w)": "w"})
+
+
+@query(_planted_sql("ce + 0.25 * ce * wg + 0.02 * wg * time + 3", {"c.beta": 0.05, "w.alpha": 2.0, "w.beta": 0.1, "c": 1.0, "product": 0.25, "by_time": 0.02, "w": 0.0,
+                                                                  "intercept": 3.0}))
+def kernel_recovery_products(spark, sf):
+    """Kernels learned through products of convolved terms with each other and with a column of the responses."""
+    X, Y = _two_tables(spark, sf)
+    model = lambda a, b: Model(["made"], [C("c", a), C("w", b)], ["user_id"], history=8, tie=["event_id"],
+                               products=[("Exp(c)", "Gamma(w)"), ("Gamma(w)", "time")])
+    c, w = F.col("`Exp(c)`"), F.col("`Gamma(w)`")
+    Y = _made(model(EXP, GAM), X, Y, c + c * w * 0.25 + w * F.col("time") * 0.02 + 3)
+    learned = model(K.Exp(0.07), K.Gamma(1.8, 0.12)).fit(X, Y, learn_kernels=True).learned
+    out = _recovered(spark, learned, "made", {"Exp(c).beta": "c.beta", "Gamma(w).alpha": "w.alpha", "Gamma(w).beta": "w.beta", "Exp(c)": "c", "Gamma(w)": "w",
+                                              "Exp(c):Gamma(w)": "product", "Gamma(w):time": "by_time"})
+    # The column of the responses itself enters as a feature and gets no weight; nor does the second kernel alone.
+    return out.where("parameter <> 'time'").withColumn("value", F.col("value") + 0.0).withColumn("value", F.when(F.abs("value") < 5e-4, 0.0).otherwise(F.col("value")))
 
 
 @query(f"""WITH {FEATS}, {pairs_sql(8).replace('p AS', 'p2 AS').replace('FROM p ', 'FROM p2 ').replace('q AS', 'q2 AS')},

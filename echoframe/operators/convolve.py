@@ -6,16 +6,17 @@ shuffle beyond the one that brought events and responses together.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoframe.functions.kernels import DiracDelta, Kernel, check_causal
 from echoframe.functions.transforms import zero_filled
 from echoframe.operators.series import SIMULTANEOUS, choose_layout, prefix_sum
-from echoframe.operators.windows import WINDOW, window_arrays, window_sums
+from echoframe.operators.windows import WINDOW, Chunked, ManyChunked, chunk_sums, chunked, chunked_many, window_arrays, window_sums
 
 
 @dataclass(frozen=True)
@@ -61,23 +62,19 @@ def convolve(
 
     Missing predictor values contribute 0, as do events outside the window.
     """
+    if not keep_windows:
+        return prepare(Y, sources, series, history, future, cutoff, response_time, **window_args).sums()
     sizing = {k: window_args.pop(k) for k in ("layout", "at_most", "blocks") if k in window_args}
     # Tables are measured as they came, before windows are attached to them.
-    plans = [choose_layout([src.X, Y], list(series), **sizing) for src in sources]
+    plan = choose_layout([*[src.X for src in sources], Y], list(series), **sizing)
     for i, src in enumerate(sources):
-        window_args["plan"] = plans[i]
         check_causal([t.kernel for t in src.terms if not isinstance(t.kernel, DiracDelta)], future)
         values = list(dict.fromkeys(t.value for t in src.terms))
         X = src.X.withColumns({v: zero_filled(src.X, v) for v in values})
-        if not keep_windows:
-            Y = window_sums(
-                X, Y, series, {t.name: (t.value, t.kernel.column) for t in src.terms}, history, future,
-                cutoff, response_time=response_time, time=src.time, tie=src.tie, **window_args)
-            continue
         into = WINDOW if len(sources) == 1 else f"{WINDOW}{i}"
         Y = window_arrays(
             X, Y, series, values, history, future, cutoff, time=src.time,
-            response_time=response_time, tie=src.tie, into=into, **window_args,
+            response_time=response_time, tie=src.tie, into=into, plan=plan, **window_args,
         )
         Y = Y.withColumns({
             t.name: weighted_sum(into, response_time, t.value, t.kernel) for t in src.terms
@@ -85,6 +82,96 @@ def convolve(
     return Y
 
 
+@dataclass
+class Prepared:
+    """Events and responses laid out for kernel-weighted sums; kernels may change from one call to the next."""
+
+    sources: Sequence[Source]
+    values: list[list[str]]
+    cutoff: float | None
+    response_time: str
+    chunks: ManyChunked | Chunked | None
+    again: Callable | None = None
+
+    def sums(self, extra: Sequence[tuple[str, int, str, Callable[[Column], Column]]] = (), kernels: dict[str, Kernel] | None = None) -> DataFrame:
+        """The responses with a column per term, its kernel taken from ``kernels`` if named there, and per extra
+        term (name, source, value, weight)."""
+        return self.tables(extra, kernels)[0]
+
+    def tables(self, extra=(), kernels: dict[str, Kernel] | None = None) -> list[DataFrame]:
+        kernels = kernels or {}
+        terms = [(t.name, i, t.value, kernels.get(t.name, t.kernel).column) for i, src in enumerate(self.sources) for t in src.terms]
+        terms += list(extra)
+        if isinstance(self.chunks, ManyChunked):
+            return self.chunks.sums(terms, self.cutoff)
+        if self.chunks is not None:
+            return [chunk_sums(self.chunks, self.values[0], {n: (v, w) for n, _, v, w in terms}, self.response_time, self.cutoff)]
+        return self.again(terms)
+
+    def persist(self) -> "Prepared":
+        """Keep the laid-out tables (events twice, responses once for each source; no pairs) for several calls."""
+        if self.chunks is not None:
+            self.chunks.rows.persist(StorageLevel.MEMORY_AND_DISK)
+        return self
+
+    def unpersist(self) -> None:
+        if self.chunks is not None:
+            self.chunks.rows.unpersist()
+
+
+def prepare(
+    Y: DataFrame | Sequence[DataFrame],
+    sources: Sequence[Source],
+    series: Sequence[str],
+    history: int | None = 128,
+    future: int = 0,
+    cutoff: float | None = None,
+    response_time: str = "time",
+    layout: str = "auto",
+    at_most: int | None = None,
+    blocks: int | None = None,
+    **window_args,
+) -> Prepared:
+    """Lay events and responses out once.
+
+    All tables are measured together.  While whole series fit a task, any number of event and response tables
+    takes one exchange; series that must be cut into blocks take one for each event table.
+    """
+    tables = [Y] if isinstance(Y, DataFrame) else list(Y)
+    plan = choose_layout([*[src.X for src in sources], *tables], list(series), layout, at_most, blocks)
+    for src in sources:
+        check_causal([t.kernel for t in src.terms if not isinstance(t.kernel, DiracDelta)], future)
+    values = [list(dict.fromkeys(t.value for t in src.terms)) for src in sources]
+    filled = [src.X.withColumns({v: zero_filled(src.X, v) for v in vs}) for src, vs in zip(sources, values)]
+    if plan.kind == "series" and (len(sources) > 1 or len(tables) > 1) and not window_args:
+        chunks = chunked_many([(x, vs, src.time, src.tie) for x, vs, src in zip(filled, values, sources)],
+                              [(y, response_time) for y in tables], series, history, future, plan)
+        return Prepared(sources, values, cutoff, response_time, chunks)
+    if len(sources) == 1 and len(tables) == 1:
+        src = sources[0]
+        chunks = chunked(filled[0], tables[0], series, values[0], history, future, time=src.time, response_time=response_time,
+                         tie=src.tie, plan=plan, **window_args)
+        return Prepared(sources, values, cutoff, response_time, chunks)
+
+    def again(terms) -> list[DataFrame]:
+        out = []
+        for y in tables:
+            for i, src in enumerate(sources):
+                own = {n: (v, w) for n, s, v, w in terms if s == i}
+                y = window_sums(filled[i], y, series, own, history, future, cutoff, response_time=response_time, time=src.time,
+                                tie=src.tie, plan=plan, **window_args)
+            out.append(y)
+        return out
+
+    return Prepared(sources, values, cutoff, response_time, None, again)
+
+
+def convolve_many(Ys: Sequence[DataFrame], sources: Sequence[Source], series: Sequence[str], history: int | None = 128, future: int = 0,
+                  cutoff: float | None = None, response_time: str = "time", **window_args) -> list[DataFrame]:
+    """Several response tables, each with its own columns and one per term of every source."""
+    return prepare(Ys, sources, series, history, future, cutoff, response_time, **window_args).tables()
+
+
 def convolve_exponential(
     Y: DataFrame,
     X: DataFrame,

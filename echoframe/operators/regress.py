@@ -702,7 +702,7 @@ def _free(kernel: Kernel, trainable: Sequence[str] | None) -> list[str]:
     return [p for p in kernel.params if trainable is None or p in trainable]
 
 
-def _to_free(kernel: Kernel, p: str, v: float) -> float:
+def to_free(kernel: Kernel, p: str, v: float) -> float:
     """Bounded parameters are searched on a log scale from their bound."""
     low, high = kernel.bounds.get(p, (None, None))
     if low is not None:
@@ -712,7 +712,7 @@ def _to_free(kernel: Kernel, p: str, v: float) -> float:
     return v
 
 
-def _from_free(kernel: Kernel, p: str, u: float) -> float:
+def from_free(kernel: Kernel, p: str, u: float) -> float:
     low, high = kernel.bounds.get(p, (None, None))
     u = min(max(u, -50.0), 50.0) if (low is not None or high is not None) else u
     if low is not None:
@@ -758,7 +758,7 @@ def fit_kernels(
     def at(u: np.ndarray) -> dict[str, Kernel]:
         out = dict(kernels)
         for i, (o, p) in enumerate(free):
-            out[o] = out[o].with_params(**{p: _from_free(kernels[o], p, u[i])})
+            out[o] = out[o].with_params(**{p: from_free(kernels[o], p, u[i])})
         return out
 
     def columns(u: np.ndarray) -> dict[str, Column]:
@@ -791,7 +791,7 @@ def fit_kernels(
         G = np.vstack([np.eye(len(g.names))[g.index(features)], J])
         return G @ g.cov @ G.T, G @ g.cov @ resid
 
-    u = np.array([_to_free(kernels[o], p, kernels[o].params[p]) for o, p in free])
+    u = np.array([to_free(kernels[o], p, kernels[o].params[p]) for o, p in free])
     damping, converged = 1e-4, not free
     try:
         g, best, mse = moments_at(u)

@@ -245,6 +245,12 @@ def window_sums(
     """
     values = list(dict.fromkeys(v for v, _ in terms.values()))
     ch = chunked(X, Y, series, values, history, future, response_time=response_time, **kw)
+    return chunk_sums(ch, values, terms, response_time or kw.get("time", "time"), cutoff)
+
+
+def chunk_sums(ch: Chunked, values: Sequence[str], terms: dict[str, tuple[str, Callable[[Column], Column]]],
+               response_time: str, cutoff: float | None = None) -> DataFrame:
+    """The sums over chunks made with ``values``: kernels are only needed here."""
     is_event = F.col("_kind") == 0
     arrays = {"_at": F.col("_x.time"), **{f"_v{i}": F.col("_x").getField(v) for i, v in enumerate(values)}}
     rows = ch.rows.select(
@@ -252,7 +258,7 @@ def window_sums(
         *[F.collect_list(F.when(is_event, c)).over(ch.chunk()).alias(n) for n, c in arrays.items()],
     ).where("_kind != 0").withColumn("_rid", F.monotonically_increasing_id())
     first, length = ch.offsets()
-    at = F.col("_y").getField(response_time or kw.get("time", "time")).cast("double")
+    at = F.col("_y").getField(response_time).cast("double")
     unfolded = rows.select(
         *ch.group, "_rid", "_y", at.alias("_ty"), *arrays,
         F.explode_outer(F.when(length > 0, F.sequence(first, first + length - 1))).alias("_i"),
@@ -260,12 +266,7 @@ def window_sums(
     delays = unfolded.select(
         *ch.group, "_rid", "_y", (F.col("_ty") - F.get("_at", F.col("_i"))).alias("_d"),
         *[F.get(f"_v{i}", F.col("_i")).alias(f"_v{i}") for i in range(len(values))])
-    sums = []
-    for name, (value, weight) in terms.items():
-        part = weight(F.col("_d")) * F.col(f"_v{values.index(value)}")
-        if cutoff:
-            part = F.when(F.abs("_d") <= F.lit(float(cutoff)), part)
-        sums.append(F.coalesce(F.sum(part), F.lit(0.0)).alias(name))
+    sums = [_weighted(F.col(f"_v{values.index(value)}"), weight, cutoff).alias(name) for name, (value, weight) in terms.items()]
     whole = len(hashable(unfolded.select("_y.*"))) == len(rows.schema["_y"].dataType.names)
     if whole:
         out = delays.groupBy(*ch.group, "_rid", "_y").agg(*sums)
@@ -274,6 +275,123 @@ def window_sums(
     return ch.restore(out.select("_y.*", *[_q(n) for n in terms]), list(terms))
 
 
+def _weighted(value: Column, weight: Callable[[Column], Column], cutoff: float | None, only: Column | None = None) -> Column:
+    part = weight(F.col("_d")) * value
+    if cutoff:
+        within = F.abs("_d") <= F.lit(float(cutoff))
+        only = within if only is None else only & within
+    return F.coalesce(F.sum(part if only is None else F.when(only, part)), F.lit(0.0))
+
+
+@dataclass
+class ManyChunked:
+    """Events of several tables and responses of several tables in their chunks, after one exchange."""
+
+    rows: DataFrame
+    group: list[str]
+    y_cols: list[list[str]]
+    width: int
+    values: list[list[str]]
+
+    def sums(self, terms: Sequence[tuple[str, int, str, Callable[[Column], Column]]], cutoff: float | None = None) -> list[DataFrame]:
+        """Each response table with a column per term (name, source, value, weight)."""
+        is_event = F.col("_kind") == 0
+        chunk = Window.partitionBy(*self.group, "_src", "_chunk").orderBy("_n").rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing)
+        flat = [f"_v{s}_{i}" for s, vs in enumerate(self.values) for i in range(len(vs))]
+        tables = [f"_y{r}" for r in range(len(self.y_cols))]
+        # Values of other sources are null and leave their arrays empty.
+        rows = self.rows.select(
+            *self.group, "_kind", "_src", "_chunk", "_lo", "_hi", "_rid", "_ty", "_r", *tables,
+            *[F.collect_list(F.when(is_event, F.col(c))).over(chunk).alias(f"{c}s") for c in ("_t", *flat)]).where("_kind != 0")
+        low = F.greatest(F.col("_lo"), F.lit(0))
+        first = F.greatest(low - F.greatest((F.col("_chunk") - 2) * self.width, F.lit(0)), F.lit(0)).cast("int")
+        length = F.greatest(F.col("_hi") - low, F.lit(0)).cast("int")
+        whole = all(len(hashable(rows.select(f"{t}.*"))) == len(cols) for t, cols in zip(tables, self.y_cols))
+        keys = [*self.group, "_rid", "_r", *(tables if whole else [])]
+        unfolded = rows.select(
+            *self.group, "_rid", "_r", *tables, "_src", "_ty", "_ts", *[f"{c}s" for c in flat],
+            F.explode_outer(F.when(length > 0, F.sequence(first, first + length - 1))).alias("_i"))
+        delays = unfolded.select(
+            *self.group, "_rid", "_r", *tables, "_src", (F.col("_ty") - F.get("_ts", F.col("_i"))).alias("_d"),
+            *[F.get(f"{c}s", F.col("_i")).alias(c) for c in flat])
+        names = [n for n, *_ in terms]
+        sums = [_weighted(F.col(f"_v{s}_{self.values[s].index(value)}"), weight, cutoff, F.col("_src") == s).alias(name)
+                for name, s, value, weight in terms]
+        out = delays.groupBy(*keys).agg(*([] if whole else [F.first(t, ignorenulls=True).alias(t) for t in tables]), *sums)
+        return [out.where(F.col("_r") == r).select(f"_y{r}.*", *[_q(n) for n in names]) for r in range(len(tables))]
+
+
+def chunked_many(
+    sources: Sequence[tuple[DataFrame, Sequence[str], str, Sequence[str]]],
+    responses: Sequence[tuple[DataFrame, str]],
+    series: Sequence[str],
+    history: int | None = 128,
+    future: int = 0,
+    plan: Layout | None = None,
+) -> ManyChunked:
+    """Steps 1-3 of the plan above for several event tables (table, values, time, tie) and response tables (table, time).
+
+    All tables are one tagged union, so there is one exchange; events are ranked within their own table.  A
+    response enters the chunk that covers its range once for each event table.  Whole series are window groups.
+    """
+    history, future = int(history or 0), int(future or 0)
+    if history + future < 1:
+        raise ValueError("history or future must be positive")
+    series, width = list(series), history + future
+    if not series:
+        sources = [(x.withColumn("_all", F.lit(0)), *rest) for x, *rest in sources]
+        responses = [(y.withColumn("_all", F.lit(0)), t) for y, t in responses]
+        y_cols, series = [[c for c in y.columns if c != "_all"] for y, _ in responses], ["_all"]
+    else:
+        y_cols = [list(y.columns) for y, _ in responses]
+    known, parts = _all([F.col(s).isNotNull() for s in series]), []
+    for s, (x, values, time, tie) in enumerate(sources):
+        by_itself = len(tie) == 1 and x.schema[tie[0]].dataType.typeName() in ("long", "integer", "short")
+        ties = F.col(tie[0]).cast("long") if by_itself else F.xxhash64(*[_q(c) for c in list(tie) or list(values) or [time]])
+        parts.append(x.where(known).where(F.col(time).isNotNull()).select(
+            *series, F.col(time).cast("double").alias("_t"), F.lit(0).alias("_kind"), ties.alias("_tie"), F.lit(s).alias("_s"),
+            *[_q(v).cast("double").alias(f"_v{s}_{i}") for i, v in enumerate(values)]))
+    behind = history > 0
+    for r, (y, time) in enumerate(responses):
+        at = F.col(time).cast("double")
+        parts.append(y.select(
+            *series, (at + (SIMULTANEOUS if behind else -SIMULTANEOUS)).alias("_t"), F.lit(1 if behind else -1).alias("_kind"),
+            F.lit(0).cast("long").alias("_tie"), F.lit(r).alias("_r"), at.alias("_ty"), F.struct(*[_q(c) for c in y_cols[r]]).alias(f"_y{r}")))
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part, allowMissingColumns=True)
+    rows = gather(both, series, plan or Layout("series"))
+    ordered, per_series = Window.partitionBy(*series).orderBy("_t", "_kind", "_tie"), Window.partitionBy(*series)
+    keys, below, own, ranges = ", ".join(f"`{g}`" for g in series), math.nextafter(2 * SIMULTANEOUS, 1.0), [], []
+    columns = []
+    for s in range(len(sources)):
+        mine = F.when((F.col("_kind") == 0) & (F.col("_s") == s), 1).otherwise(0)
+        columns.append(F.sum(mine).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_n{s}"))
+        if future and history:
+            columns.append(F.expr(
+                f"coalesce(sum(case when _kind = 0 and _s = {s} then 1 else 0 end) over (partition by {keys} order by _t "
+                f"range between unbounded preceding and {below!r}D preceding), 0)").alias(f"_m{s}"))
+        if future:
+            columns.append(F.sum(mine).over(per_series).alias(f"_all{s}"))
+    rows = rows.select("*", *columns, F.monotonically_increasing_id().alias("_rid"))
+    to_chunk = lambda n: ((n + (width - 1)) / width).cast("long")
+    for s in range(len(sources)):
+        n, hi = F.col(f"_n{s}"), F.col(f"_n{s}")
+        if future:
+            hi = F.greatest(n, F.col(f"_m{s}") + future) if history else n + future
+            hi = F.least(hi, F.col(f"_all{s}"))
+        place = lambda c, lo, hi, s=s: F.struct(F.lit(s).alias("_src"), c.alias("_chunk"), lo.cast("long").alias("_lo"), hi.cast("long").alias("_hi"))
+        ranges.append(place(to_chunk(hi), n - history, hi))
+        own.append(F.when(F.col("_s") == s, F.array(place(to_chunk(n), n, n), place(to_chunk(n) + 1, n, n))))
+    rank = F.coalesce(*[F.when(F.col("_s") == s, F.col(f"_n{s}")) for s in range(len(sources))])
+    spread = F.explode(F.when(F.col("_kind") == 0, F.coalesce(*own)).otherwise(F.array(*ranges))).alias("_place")
+    values = [c for c in rows.columns if c.startswith("_v") and c[2].isdigit()]
+    rows = rows.select(*series, "_kind", "_t", "_ty", "_r", "_rid", *values, *[f"_y{r}" for r in range(len(responses))], rank.alias("_n"), spread)
+    rows = rows.select(*[c for c in rows.columns if c != "_place"], "_place.*")
+    return ManyChunked(rows, series, y_cols, width, [list(v) for _, v, _, _ in sources])
+
+
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 

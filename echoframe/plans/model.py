@@ -38,11 +38,11 @@ from echoframe.operators.regress import (
     Gram,
     LinearFit,
     crossed,
-    fit_kernels,
     gram,
     linear_predictor,
     solve,
 )
+from echoframe.plans.learning import Learned, learn
 
 
 @dataclass(frozen=True)
@@ -184,10 +184,11 @@ class Model:
         stats: dict = {"response": response_stats}
         Y = self.prepared(Y, response_stats)
         compiled = self.compile(X, Y, stats)
-        kernels: dict[str, Kernel] = {}
         if learn_kernels:
-            kernels = compiled.learn(self.responses[0])
-            compiled = compiled.with_kernels(kernels)
+            learned = compiled.learn(self.responses)
+            g = dict.fromkeys(self.responses, learned.moments)
+            fits = {r: solve(g[r], list(compiled.features_of), r, self.intercept, l2, l1) for r in self.responses}
+            return FittedModel(self, compiled.with_kernels(learned.kernels), fits, g, learned.kernels, learned)
         table = compiled.features()
         several = len(self.responses) > 1
         if several:
@@ -198,8 +199,7 @@ class Model:
             if several:
                 table.unpersist()
         fits = {r: solve(g[r], list(compiled.features_of), r, self.intercept, l2, l1) for r in self.responses}
-        return FittedModel(self, compiled, fits, g, kernels)
-
+        return FittedModel(self, compiled, fits, g, {})
 
     def fit_split(self, X, Y: DataFrame, train: Column, l1=0.0, l2=0.0) -> tuple["FittedModel", DataFrame]:
         """Fit on the rows of ``train``; also the features of all rows, from the same windows.
@@ -247,6 +247,11 @@ class Compiled:
         out = self.Y
         if any(self.convs):
             out = convolve(out, self.sources(), m.series, m.history, m.future, m.cutoff, response_time=m.time)
+        return self.finished(out)
+
+    def finished(self, out: DataFrame) -> DataFrame:
+        """Convolved responses with the features made of several columns."""
+        m = self.model
         out = out.withColumns({c.name: zero_filled(out, c.value) for c in self.aligned if c.value in out.columns})
         tied = {g: cs for g, cs in self.features_of.items() if cs != [g]}
         for g, cs in tied.items():
@@ -261,19 +266,9 @@ class Compiled:
             out = out.withColumn(":".join(p), value)
         return out
 
-    def learn(self, response: str) -> dict[str, Kernel]:
-        """Kernel parameters of the event terms, from one windowed table."""
-        live = [cs for cs in self.convs if cs]
-        if len(live) != 1:
-            raise ValueError("kernel shapes are learned for one event table at a time")
-        m = self.model
-        table = convolve(self.Y, self.sources(), m.series, m.history, m.future, m.cutoff,
-                         response_time=m.time, keep_windows=True)
-        table = table.withColumns({c.name: zero_filled(table, c.value) for c in self.aligned})
-        fitted = fit_kernels(table, live[0], response, response_time=m.time,
-                             others=[c.name for c in self.aligned], irf_ids=self.irf_ids,
-                             trainable=self.trainable)
-        return fitted.kernels
+    def learn(self, responses: Sequence[str], **kw) -> Learned:
+        """Kernel parameters of all event terms, for all responses together."""
+        return learn(self, responses, **kw)
 
     def with_kernels(self, kernels: dict[str, Kernel]) -> "Compiled":
         convs = [[replace(c, kernel=kernels.get(c.name, c.kernel)) for c in cs] for cs in self.convs]
@@ -287,6 +282,7 @@ class FittedModel:
     fits: dict[str, LinearFit]
     grams: dict[str, Gram]
     kernels: dict[str, Kernel]
+    learned: Learned | None = None
 
     def features(self, X, Y: DataFrame) -> DataFrame:
         """Features of other data, transformed by the statistics of the training data."""
