@@ -12,6 +12,7 @@ from echoframe.functions.transforms import dummies, moments
 from echoframe.operators import irf, regress
 from echoframe.operators.compare import metrics
 from echoframe.operators.convolve import Conv, Source, convolve, weighted_sum
+from echoframe.operators.likelihood import fit_likelihood
 from echoframe.operators.partition import modular_partition
 from echoframe.operators.windows import WINDOW, window_arrays
 from echoframe.plans.model import C, Model, baseline_merge, two_step
@@ -234,23 +235,49 @@ o AS (SELECT count(*) AS n, regr_slope(y, q) AS b, regr_intercept(y, q) AS a, va
 SELECT n, round(b, 5) AS slope, round(a, 4) AS intercept, round(sqrt(v), 4) AS sigma, round((-0.5 * n * (ln(2 * pi() * v) + 1) - t) / n, 6) AS loglik FROM o""")
 def fit_lognormal(spark, sf):
     """Log-normal prices by quantity: the search agrees with the closed form."""
-    fit = regress.fit_likelihood(table(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice", "lognormal")
+    fit = fit_likelihood(table(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice", "lognormal")
     return spark.createDataFrame([(fit.n, round(fit.coefs["l_quantity"], 5), round(fit.intercept, 4), round(fit.shape["sigma"], 4),
                                    round(fit.loglik / fit.n, 6))], "n long, slope double, intercept double, sigma double, loglik double")
 
 
-_FAMILIES = ("normal", "lognormalv2")
+_FAMILIES = ("normal", "lognormal", "lognormalv2", "johnsonsu", "sinharcsinh", "exgaussian", "exgaussianinvrate")
+# Values with a roughly normal part, made of their ids, added to their skewed one.
+_NOISY = "value + 200 + 0.04 * ((event_id * 7919) % 1000 + (event_id * 104729) % 1000 + (event_id * 1299709) % 1000)"
+_CLOSED = f"""l AS (SELECT {_NOISY} AS p, ln({_NOISY}) AS lp, CASE WHEN event_type = 'view' THEN 1.0 ELSE 0.0 END AS q FROM events),
+o AS (SELECT count(*) AS n, var_pop(p) - covar_pop(p, q) ** 2 / var_pop(q) AS v, var_pop(lp) - covar_pop(lp, q) ** 2 / var_pop(q) AS lv, avg(lp) AS m FROM l)"""
 
 
-@query(" UNION ALL ".join(f"SELECT '{f}' AS family, count(*) AS n, 0.0::DOUBLE AS gradient, true AS converged FROM lineitem" for f in _FAMILIES))
+@query(f"WITH {_CLOSED} " + " UNION ALL ".join(
+    f"SELECT '{f}' AS family, n, 0.0::DOUBLE AS gradient, true AS converged, "
+    + {"normal": "round(-0.5 * (ln(2 * pi() * v) + 1), 5)", "lognormal": "round(-0.5 * (ln(2 * pi() * lv) + 1) - m, 5)"}.get(f, "NULL") + " AS loglik FROM o"
+    for f in _FAMILIES))
 def fit_families(spark, sf):
-    """Where the search ends, the score equations hold."""
-    li = table(spark, sf, "lineitem").withColumn("price", F.col("l_extendedprice") / 1000)
+    """A skewed response under every family: where the search ends, the score equations hold; likelihoods where SQL can say them."""
+    ev = table(spark, sf, "events").select(F.expr(_NOISY).alias("r"), F.when(F.col("event_type") == "view", 1.0).otherwise(0.0).alias("g"))
     rows = []
     for family in _FAMILIES:
-        fit = regress.fit_likelihood(li, ["l_quantity"], "price", family)
-        rows.append((family, fit.n, abs(round(float(np.abs(fit.gradient).max()), 3)), fit.converged))
-    return spark.createDataFrame(rows, "family string, n long, gradient double, converged boolean")
+        fit = fit_likelihood(ev, ["g"], "r", family)
+        rows.append((family, fit.n, abs(round(float(np.abs(fit.gradient).max()), 2)), fit.converged,
+                     round(fit.loglik / fit.n, 5) if family in ("normal", "lognormal") else None))
+    return spark.createDataFrame(rows, "family string, n long, gradient double, converged boolean, loglik double")
+
+
+_SCALED = """SELECT '{family}' AS family, round(avg({y}) FILTER (g = 0), 4) AS mean0, round(avg({y}) FILTER (g = 1) - avg({y}) FILTER (g = 0), 4) AS mean1,
+  round(ln(stddev_pop({y}) FILTER (g = 0)), 4) AS scale0, round(ln(stddev_pop({y}) FILTER (g = 1)) - ln(stddev_pop({y}) FILTER (g = 0)), 4) AS scale1,
+  count(*) AS n, true AS converged FROM e"""
+
+
+@query("WITH e AS (SELECT value AS v, ln(value) AS lv, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS g FROM events) "
+       + _SCALED.format(family="normal", y="v") + " UNION ALL " + _SCALED.format(family="lognormal", y="lv"))
+def scale_models(spark, sf):
+    """Location and scale both by a predictor, fitted together: in two groups these are the groups' means and deviations."""
+    ev = table(spark, sf, "events").withColumn("g", F.when(F.col("event_type") == "view", 1.0).otherwise(0.0))
+    rows = []
+    for family in ("normal", "lognormal"):
+        fit = fit_likelihood(ev, ["g"], "value", family, by={"sigma": ["g"]}, tol=1e-10)
+        scale, by = fit.by["sigma"]
+        rows.append((family, fit.intercept, fit.coefs["g"], scale, by["g"], fit.n, fit.converged))
+    return rounded(spark.createDataFrame(rows, "family string, mean0 double, mean1 double, scale0 double, scale1 double, n long, converged boolean"), 4)
 
 
 @query(f"""WITH {FEATS}, g AS (SELECT *, user_id % 4 AS fold FROM f),

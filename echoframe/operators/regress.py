@@ -18,7 +18,6 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoframe.functions.distributions import DISTRIBUTIONS
 from echoframe.functions.kernels import Kernel
 from echoframe.functions.special import chi2_sf, normal_cdf_scalar, normal_quantile
 from echoframe.operators.convolve import Conv, weighted_sum
@@ -147,6 +146,12 @@ def crossval(df: DataFrame, features: Sequence[str], response: str, fold: str, i
     return df.withColumn(into, pred), fits
 
 
+def upright(H: np.ndarray) -> np.ndarray:
+    """A symmetric matrix, near units, with all eigenvalues clearly positive."""
+    values, vectors = np.linalg.eigh((H + H.T) / 2)
+    return (vectors * np.maximum(np.abs(values), 1e-6)) @ vectors.T
+
+
 def linear_predictor(coefs: dict[str, float], intercept: float) -> Column:
     out = F.lit(float(intercept))
     for name, b in coefs.items():
@@ -312,112 +317,6 @@ def fit_family(df: DataFrame, features: Sequence[str], response: str, family: st
     raise ValueError(f"no link for family {family!r}")
 
 
-@dataclass
-class LikelihoodFit:
-    """Maximum likelihood of a response distribution whose location is linear in the features."""
-
-    family: str
-    response: str
-    coefs: dict[str, float]
-    intercept: float
-    shape: dict[str, float]
-    loglik: float
-    n: int
-    gradient: np.ndarray
-    converged: bool
-
-    def parameters(self) -> dict:
-        return {"mu": linear_predictor(self.coefs, self.intercept), **self.shape}
-
-    def score(self, df: DataFrame, into: str = "loglik") -> DataFrame:
-        """Log-likelihood of every row."""
-        density, names, _ = DISTRIBUTIONS[self.family]
-        have = self.parameters()
-        return df.withColumn(into, density(F.col(f"`{self.response}`").cast("double"), *[have[p] for p in names]))
-
-
-#: Shape parameters that are positive (searched on a log scale), and where the search for each begins, in units of
-#: the response's standard deviation s.
-POSITIVE = ("sigma", "tailweight", "beta")
-STARTS = {"sigma": lambda s: s, "skewness": lambda s: 0.0, "tailweight": lambda s: 1.0, "beta": lambda s: 1.0 / s}
-
-
-def fit_likelihood(df: DataFrame, features: Sequence[str], response: str, family: str,
-                   iterations: int = 100, tol: float = 1e-10) -> LikelihoodFit:
-    """Fit any continuous distribution with a location by scoring steps.
-
-    A step is two aggregations: sums of the rows' scores and of their products, then the likelihood at
-    several lengths of the step they give.  Scores are central differences of the log-density.
-    """
-    density, names, _ = DISTRIBUTIONS[family]
-    if names[0] != "mu":
-        raise ValueError(f"{family!r} has no location; see fit_family")
-    features = list(features)
-    y = F.col("_y")
-    data = df.select(F.col(f"`{response}`").cast("double").alias("_y"), *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
-    ok = F.col("_y").isNotNull() & ~F.isnan("_y")
-    for f in features:
-        ok = ok & F.col(f"`{f}`").isNotNull() & ~F.isnan(F.col(f"`{f}`"))
-    if family == "lognormal":
-        ok = ok & (y > 0)
-    data = data.where(ok).persist(StorageLevel.MEMORY_AND_DISK)
-    target = F.log(y) if family == "lognormal" else y
-    start = ols(data.withColumn("_t", target), features, "_t")
-    shape = names[1:]
-    sd = start.sigma
-    u = np.array([start.intercept, *start.coefs.values(), *[
-        math.log(STARTS[p](sd)) if p in POSITIVE else STARTS[p](sd) for p in shape]])
-    if family == "exgaussianinvrate":
-        u[-1] = -u[-1]
-    if family.startswith("exgaussian"):
-        # Half of the variance in either part.
-        u[0] -= sd * math.sqrt(0.5)
-        u[1 + len(features)] += 0.5 * math.log(0.5)
-    head = 1 + len(features)
-    # Steps of the differences: parameters by what they shift, all in units of the response's spread.
-    size = data.agg(*[F.stddev_samp(f"`{f}`") for f in features]).first() if features else []
-    spread = np.array([sd, *[sd / (x or 1.0) for x in size], *[1.0] * len(shape)])
-
-    def loglik(v) -> Column:
-        mu = F.lit(float(v[0]))
-        for f, b in zip(features, v[1:head]):
-            mu = mu + F.col(f"`{f}`") * F.lit(float(b))
-        have = [float(math.exp(x)) if p in POSITIVE else float(x) for p, x in zip(shape, v[head:])]
-        return density(y, mu, *have)
-
-    converged = False
-    try:
-        for _ in range(iterations):
-            scores = {"ll": loglik(u)}
-            for i in range(len(u)):
-                e = np.zeros(len(u))
-                e[i] = 1e-4 * spread[i]
-                scores[f"g{i}"] = (loglik(u + e) - loglik(u - e)) / (2e-4 * spread[i])
-            g = gram(data, scores)
-            slope = g.mean[1:]
-            H = g.cov[1:, 1:] + np.outer(slope, slope)
-            step = np.linalg.lstsq(H, slope, rcond=1e-12)[0]
-            decrement = float(slope @ step)
-            if decrement < tol:
-                converged = True
-                break
-            step[head:] = np.clip(step[head:], -0.5, 0.5)
-            sizes = (2.0, 1.0, 0.5, 0.2, 0.05, 0.005)
-            lls = data.agg(*[F.avg(loglik(u + s * step)).alias(f"s{i}") for i, s in enumerate(sizes)]).first()
-            lls = [x if x is not None and math.isfinite(x) else -math.inf for x in lls]
-            best = int(np.argmax(lls))
-            if lls[best] <= g.mean[0]:
-                break
-            u = u + sizes[best] * step
-    finally:
-        data.unpersist()
-    if not converged:
-        warnings.warn(f"{family} not converged", stacklevel=2)
-    values = {p: float(math.exp(x)) if p in POSITIVE else float(x) for p, x in zip(shape, u[head:])}
-    return LikelihoodFit(family, response, dict(zip(features, map(float, u[1:head]))), float(u[0]), values,
-                         float(g.mean[0] * g.n), int(g.n), slope / np.sqrt(np.maximum(np.diag(H), 1e-300)), converged)
-
-
 def distributional(df: DataFrame, features: Sequence[str], response: str,
                    scale_features: Sequence[str], rounds: int = 2) -> tuple[LinearFit, LinearFit]:
     """Mean and log-variance models in alternation, on the same feature table.

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from echoframe.functions.kernels import DiracDelta, Kernel
 from echoframe.functions.special import ColumnMath
 from echoframe.operators.convolve import prepare
-from echoframe.operators.regress import Gram, LinearFit, from_free, gram, solve, to_free
+from echoframe.operators.regress import Gram, LinearFit, from_free, gram, solve, to_free, upright
 
 if TYPE_CHECKING:
     from echoframe.plans.model import Compiled
@@ -143,7 +143,7 @@ def learn(compiled: "Compiled", responses: Sequence[str], iterations: int = 100,
         bend = np.zeros((len(free), len(free)))
         for _ in range(iterations if free else 0):
             unit = np.sqrt(np.maximum(np.diag(now.curvature), 1e-300))
-            H, down = _upright((now.curvature + bend) / np.outer(unit, unit)), now.slope / unit
+            H, down = upright((now.curvature + bend) / np.outer(unit, unit)), now.slope / unit
             promise = float(down @ np.linalg.solve(H, down))
             if promise < tol or now.exact:
                 converged = True
@@ -181,12 +181,6 @@ def learn(compiled: "Compiled", responses: Sequence[str], iterations: int = 100,
     return Learned({c.name: ks[owner[c.name]] for _, c in convs}, now.fits, now.moments, free, values, cov, gradient, trace, converged)
 
 
-def _upright(H: np.ndarray) -> np.ndarray:
-    """A symmetric matrix, near units, with all eigenvalues clearly positive."""
-    values, vectors = np.linalg.eigh((H + H.T) / 2)
-    return (vectors * np.maximum(np.abs(values), 1e-6)) @ vectors.T
-
-
 def _by_free(kernel: Kernel, p: str, v: float) -> float:
     """Derivative of a parameter by what the search moves."""
     low, high = kernel.bounds.get(p, (None, None))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from echoframe.functions import distributions as D
 from echoframe.functions import kernels as K
+from echoframe.operators.likelihood import fit_likelihood
 from echoframe.operators import compare, irf, regress
 from echoframe.operators.convolve import Conv, weighted_sum
 from echoframe.operators.partition import ensemble_predictions, nested_models, softmax
@@ -285,7 +286,7 @@ def test_families_are_recovered(spark, family, shape):
     else:
         noise = shape["sigma"] * z + rng.exponential(2.0, n)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, 1.0 + 0.7 * x + noise)], "x double, y double")
-    fit = regress.fit_likelihood(df, ["x"], "y", family)
+    fit = fit_likelihood(df, ["x"], "y", family)
     assert fit.converged and fit.coefs["x"] == pytest.approx(0.7, abs=0.1) and fit.intercept == pytest.approx(1.0, abs=0.3)
     for k, v in shape.items():
         assert fit.shape[k] == pytest.approx(v, rel=0.2, abs=0.1), k
@@ -324,3 +325,51 @@ def test_folds_are_not_copied(spark):
     assert out.count() == 90
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_no_response_is_lost(spark):
+    """Impossible responses are an error; a steep mean is fitted to all rows, not to those it suits."""
+    rng = np.random.default_rng(5)
+    x = rng.uniform(0, 1, 2000)
+    mean, sd = 6.0 - 5.9 * x, 0.2
+    var = np.log1p(sd**2 / mean**2)
+    y = np.exp(np.log(mean) - var / 2 + np.sqrt(var) * rng.normal(size=2000))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    fit = fit_likelihood(df, ["x"], "y", "lognormalv2")
+    assert fit.n == 2000 and fit.converged and fit.intercept + fit.coefs["x"] > 0
+    assert fit.intercept == pytest.approx(6.0, abs=0.05) and fit.coefs["x"] == pytest.approx(-5.9, abs=0.05)
+    bad = df.unionByName(spark.createDataFrame([(0.5, -1.0)] * 200, "x double, y double"))
+    for family in ("lognormal", "lognormalv2", "exponential"):
+        if family != "exponential":
+            with pytest.raises(ValueError, match="200 of 2200"):
+                fit_likelihood(bad, ["x"], "y", family)
+
+
+@pytest.mark.parametrize("family", ["normal", "johnsonsu", "sinharcsinh", "exgaussian", "exgaussianinvrate", "lognormal"])
+def test_every_parameter_by_features(spark, family):
+    """All parameters depend on a feature: the score equations hold, and planted dependences come back."""
+    rng = np.random.default_rng(6)
+    n = 8000
+    x, z = rng.normal(size=n), rng.normal(size=n)
+    sigma = np.exp(0.2 + 0.3 * x)
+    y = {"johnsonsu": lambda: 1 + x + sigma * np.sinh((z - 0.4) / np.exp(0.3)),
+         "sinharcsinh": lambda: 1 + x + sigma * 2 / np.sinh(np.arcsinh(2.0) * 1.2) * np.sinh((np.arcsinh(z) + 0.3) * 1.2),
+         "exgaussian": lambda: 1 + x + sigma * z + rng.exponential(np.exp(0.5), n), "exgaussianinvrate": lambda: 1 + x + sigma * z + rng.exponential(np.exp(0.5), n),
+         "lognormal": lambda: np.exp(1 + x + sigma * z), "normal": lambda: 1 + x + sigma * z}[family]()
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    names = D.DISTRIBUTIONS[family][1]
+    fit = fit_likelihood(df, ["x"], "y", family, by={p: ["x"] for p in names[1:]})
+    assert fit.converged and fit.n == n and np.abs(fit.gradient).max() < 0.01 and not fit.shape
+    assert fit.coefs["x"] == pytest.approx(1.0, abs=0.2) and fit.by["sigma"][1]["x"] == pytest.approx(0.3, abs=0.12)
+    assert fit.score(df).agg({"loglik": "sum"}).first()[0] == pytest.approx(fit.loglik, rel=1e-6)
+
+
+def test_families_without_a_location(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=5000)
+    rows = [(float(a), float(rng.exponential(np.exp(0.5 - 0.4 * a))), float(rng.uniform() < 1 / (1 + np.exp(-0.3 - a)))) for a in x]
+    df = spark.createDataFrame(rows, "x double, y double, b double")
+    fit = fit_likelihood(df, ["x"], "y", "exponential")
+    assert fit.converged and fit.intercept == pytest.approx(-0.5, abs=0.06) and fit.coefs["x"] == pytest.approx(0.4, abs=0.06)
+    fit = fit_likelihood(df, ["x"], "b", "bernoulli")
+    assert fit.converged and fit.intercept == pytest.approx(0.3, abs=0.12) and fit.coefs["x"] == pytest.approx(1.0, abs=0.12)
