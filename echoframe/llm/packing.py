@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ COMMON = 0.25
 #: A line break that the vocabulary's pattern makes a word of its own.
 LONE_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
 
-#: Ways of writing that a worker remembers the tokens of.
-REMEMBERED = 400_000
+#: Ways of writing that a worker remembers the tokens of: as many as fit a dictionary before it doubles.
+REMEMBERED = 340_000
 
 
 class Tokenizer:
@@ -40,11 +42,11 @@ class Tokenizer:
     """
 
     def __init__(self, definition: str, ranks: bytes | None, pattern: str | None):
-        from tokenizers import Tokenizer as Definition
-
-        self.whole = Definition.from_str(definition)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self.definition, parsed = definition, json.loads(definition)
+        self.special = [t["content"] for t in parsed.get("added_tokens", ())]
+        ids = [*parsed["model"]["vocab"].values(), *(t["id"] for t in parsed.get("added_tokens", ()))]
+        self.kind = np.dtype("<u2" if max(ids) < 1 << 16 else "<u4")
+        del parsed, ids
         self.fast = None
         if ranks:
             import base64
@@ -57,6 +59,13 @@ class Tokenizer:
         self.bare = Words(self, "")
         self.words = Words(self, " ")
 
+    @cached_property
+    def whole(self):
+        """The tokenizer as defined; only texts that the ranks cannot encode need it, and its 40 MB."""
+        from tokenizers import Tokenizer as Definition
+
+        return Definition.from_str(self.definition)
+
     def encoded(self, text: str) -> bytes:
         if self.fast is None or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
