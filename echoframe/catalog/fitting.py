@@ -280,6 +280,17 @@ def scale_models(spark, sf):
     return rounded(spark.createDataFrame(rows, "family string, mean0 double, mean1 double, scale0 double, scale1 double, n long, converged boolean"), 4)
 
 
+@query(f"""WITH {FEATS}, l AS (SELECT event_id, ln(y) AS ly, y, a FROM f),
+s AS (SELECT regr_slope(ly, a) AS b, regr_intercept(ly, a) AS c, (regr_syy(ly, a) - regr_slope(ly, a) * regr_sxy(ly, a)) / count(*) AS v FROM l)
+SELECT event_id, round(exp(c + b * a + v / 2), 2) AS pred, round(-0.5 * ln(2 * pi() * v) - (ly - c - b * a) ** 2 / (2 * v) - ly, 4) AS loglik FROM l, s""")
+def model_family(spark, sf):
+    """A model with log-normal responses: expected values and densities by its own family."""
+    X, Y = inputs(spark, sf)
+    fitted = Model(["y"], [C("value", EXP)], ["user_id"], history=8, tie=["event_id"], family="lognormal").fit(X, Y)
+    out = fitted.predict(fitted.features(X, Y))
+    return out.select("event_id", F.round("pred", 2).alias("pred"), F.round("loglik", 4).alias("loglik"))
+
+
 @query(f"""WITH {FEATS}, g AS (SELECT *, user_id % 4 AS fold FROM f),
 s AS (SELECT h.fold, regr_slope(g.y, g.a) AS slope, regr_intercept(g.y, g.a) AS intercept
   FROM (SELECT DISTINCT fold FROM g) h JOIN g ON g.fold != h.fold GROUP BY h.fold)

@@ -77,7 +77,7 @@ class LikelihoodFit:
         return df.withColumn(into, self.expected())
 
 
-def fit_likelihood(df: DataFrame, features: Sequence[str], response: str, family: str, iterations: int = 100, tol: float = 1e-8,
+def fit_likelihood(df: DataFrame, features: Sequence[str], response: str, family: str, iterations: int = 100, tol: float = 1e-10,
                    by: dict[str, Sequence[str]] | None = None) -> LikelihoodFit:
     """Fit a distribution whose parameters are linear in features by block scoring.
 
@@ -168,7 +168,16 @@ def fit_likelihood(df: DataFrame, features: Sequence[str], response: str, family
             unit = np.sqrt(np.maximum(np.diag(now[2]), 1e-300))
             H, up = upright((now[2] + bend) / np.outer(unit, unit)), now[1] / unit
             if float(up @ np.linalg.solve(H, up)) < tol:
-                converged = True
+                # The last two steps are too short to be told by the likelihood, but not by the parameters.
+                converged, last = True, np.linalg.solve(H, up) / unit
+                then, _ = look(u + last)
+                if then is not None:
+                    miss = now[1] - then[1] - (then[2] + bend) @ last
+                    if abs(miss @ last) > 1e-8 * np.linalg.norm(miss) * np.linalg.norm(last):
+                        bend = bend + np.outer(miss, miss) / (miss @ last)
+                    u, now = u + last, then
+                    H = upright((now[2] + bend) / np.outer(unit, unit))
+                    u = u + np.linalg.solve(H, now[1] / unit) / unit
                 break
             step = np.linalg.solve(H + damping * np.eye(len(u)), up) / unit
             step = step * min(1.0, min([1.0 / abs(s) for (p, _), s in zip(slots, step) if p in POSITIVE and s] or [1.0]))

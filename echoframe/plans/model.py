@@ -32,6 +32,7 @@ from echoframe.functions.transforms import (
 from echoframe.operators.compare import metrics
 from echoframe.operators.convolve import Conv, Source, convolve
 from echoframe.operators.filters import apply_filters, valid_responses
+from echoframe.operators.likelihood import LikelihoodFit, fit_likelihood
 from echoframe.operators.partition import ablation_family
 from echoframe.operators.regress import (
     CrossedFit,
@@ -65,6 +66,12 @@ class C:
 
 @dataclass(frozen=True)
 class Model:
+    """What is predicted from what.
+
+    ``family`` is the distribution of the responses; its first parameter is linear in all features, ``by`` names
+    features of its other parameters (which are constants otherwise).
+    """
+
     responses: Sequence[str]
     terms: Sequence[C]
     series: Sequence[str]
@@ -78,6 +85,8 @@ class Model:
     time: str = "time"
     tie: Sequence[str] = ()
     name: str = "model"
+    family: str = "normal"
+    by: dict[str, Sequence[str]] = field(default_factory=dict)
 
     # ------------------------------------------------------------ compiling terms
 
@@ -187,8 +196,12 @@ class Model:
         if learn_kernels:
             learned = compiled.learn(self.responses)
             g = dict.fromkeys(self.responses, learned.moments)
+            if self.family != "normal" or self.by:
+                return self._by_likelihood(compiled.with_kernels(learned.kernels), learned)
             fits = {r: solve(g[r], list(compiled.features_of), r, self.intercept, l2, l1) for r in self.responses}
             return FittedModel(self, compiled.with_kernels(learned.kernels), fits, g, learned.kernels, learned)
+        if self.family != "normal" or self.by:
+            return self._by_likelihood(compiled, None)
         table = compiled.features()
         several = len(self.responses) > 1
         if several:
@@ -201,6 +214,15 @@ class Model:
         fits = {r: solve(g[r], list(compiled.features_of), r, self.intercept, l2, l1) for r in self.responses}
         return FittedModel(self, compiled, fits, g, {})
 
+    def _by_likelihood(self, compiled: "Compiled", learned: Learned | None) -> "FittedModel":
+        """Fits by the declared family, all from one feature table; kernels are those of the normal model if learned."""
+        table = compiled.features().persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            fits = {r: fit_likelihood(table, list(compiled.features_of), r, self.family, by=self.by) for r in self.responses}
+        finally:
+            table.unpersist()
+        return FittedModel(self, compiled, fits, {}, learned.kernels if learned else {}, learned)
+
     def fit_split(self, X, Y: DataFrame, train: Column, l1=0.0, l2=0.0) -> tuple["FittedModel", DataFrame]:
         """Fit on the rows of ``train``; also the features of all rows, from the same windows.
 
@@ -279,7 +301,7 @@ class Compiled:
 class FittedModel:
     model: Model
     compiled: Compiled
-    fits: dict[str, LinearFit]
+    fits: dict[str, LinearFit | LikelihoodFit]
     grams: dict[str, Gram]
     kernels: dict[str, Kernel]
     learned: Learned | None = None
@@ -293,6 +315,8 @@ class FittedModel:
 
     def ablated(self, response: str, ablatable: Sequence[str]) -> dict[str, LinearFit]:
         """Every ablated variant from the sufficient statistics already gathered: no further pass."""
+        if response not in self.grams:
+            raise ValueError(f"models of family {self.model.family!r} are fitted again without a term, not ablated from sums")
         out = {}
         for name, drop in self.model.ablations(ablatable).items():
             keep = [f for f in self.compiled.features_of
@@ -305,6 +329,9 @@ class FittedModel:
         """Prediction, observation and normal log-density per row of a feature table."""
         response = response or self.model.responses[0]
         fit = self.fits[response]
+        if isinstance(fit, LikelihoodFit):
+            cols = [F.col(f"`{c}`") for c in (keep if keep is not None else table.columns)]
+            return table.select(*cols, F.col(f"`{response}`").cast("double").alias(obs), fit.expected().alias(into), fit.density().alias(loglik))
         sigma = max(fit.sigma * math.sqrt(max(fit.n - len(fit.coefs) - 1, 1) / fit.n), 1e-150)
         cols = [F.col(f"`{c}`") for c in (keep if keep is not None else table.columns)]
         out = table.select(*cols, F.col(f"`{response}`").cast("double").alias(obs),
