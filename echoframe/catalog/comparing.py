@@ -226,14 +226,14 @@ def permutation_differences(spark, sf):
 
 
 @query(f"""WITH {_ERRS}, s AS (SELECT avg(e0) AS a, avg(e1) AS b, count(*) AS n FROM e),
-w AS (SELECT event_id, e0, e1, unnest(range(1, 9)) AS word FROM e),
+w AS (SELECT event_id, e0, e1, unnest(range(1, 158)) AS word FROM e),
 {_mix_sql('event_id::UHUGEINT + word::UHUGEINT * 11400714819323198485::UHUGEINT', 'h', 'w')},
 i AS (SELECT e0, e1, word, bits, unnest(range(0, 64)) AS bit FROM h),
 d AS (SELECT (word - 1) * 64 + bit AS it, avg(CASE WHEN (bits // (2 ** bit)::UHUGEINT) % 2 = 1 THEN e1 - e0 ELSE e0 - e1 END) AS diff FROM i GROUP BY 1)
 SELECT n, round(a, 4) AS a, round(b, 4) AS b, round(a - b, 4) AS diff,
-  round(((SELECT count(*) FROM d WHERE it < 500 AND abs(d.diff) > abs(a - b)) + 1) / 501.0, 6) AS p FROM s""")
+  round(((SELECT count(*) FROM d WHERE it < 10000 AND abs(d.diff) > abs(a - b)) + 1) / 10001.0, 6) AS p FROM s""")
 def permutation_p(spark, sf):
-    r = compare.permutation_test(_errors(spark, sf), "e0", "e1", "event_id", n_iter=500)
+    r = compare.permutation_test(_errors(spark, sf), "e0", "e1", "event_id", n_iter=10_000)
     return spark.createDataFrame([(r.n, round(r.a, 4), round(r.b, 4), round(r.diff, 4), round(r.p, 6))],
                                  "n long, a double, b double, diff double, p double")
 
@@ -265,6 +265,22 @@ def pooled_scores(spark, sf):
                                                     F.sum("e1").alias("e1")), 4)
 
 
+@query(f"""WITH {_ERRS}, g AS (SELECT event_id * 2 + event_id % 2 AS id, e0, e1, event_id % 2 AS exp FROM e),
+sd AS (SELECT exp, stddev_pop(v) AS sd FROM (SELECT exp, e0 AS v FROM g UNION ALL SELECT exp, e1 FROM g) GROUP BY exp),
+z AS (SELECT id, e0 / sd AS e0, e1 / sd AS e1 FROM g JOIN sd USING (exp)), s AS (SELECT avg(e0) AS a, avg(e1) AS b, count(*) AS n FROM z),
+w AS (SELECT id, e0, e1, unnest(range(1, 158)) AS word FROM z),
+{_mix_sql('id::UHUGEINT + word::UHUGEINT * 11400714819323198485::UHUGEINT', 'h', 'w')},
+i AS (SELECT e0, e1, word, bits, unnest(range(0, 64)) AS bit FROM h),
+d AS (SELECT (word - 1) * 64 + bit AS it, avg(CASE WHEN (bits // (2 ** bit)::UHUGEINT) % 2 = 1 THEN e1 - e0 ELSE e0 - e1 END) AS diff FROM i GROUP BY 1)
+SELECT n, round(a - b, 6) AS diff, round(((SELECT count(*) FROM d WHERE it < 10000 AND abs(d.diff) > abs(a - b)) + 1) / 10001.0, 6) AS p FROM s""")
+def pooled_permutation_p(spark, sf):
+    """Two experiments on one scale, tested together in ten thousand shuffles."""
+    e = _errors(spark, sf)
+    pooled = compare.pooled_scores({f"exp{i}": e.where(F.col("event_id") % 2 == i) for i in (0, 1)}, "e0", "e1", "event_id")
+    r = compare.permutation_test(pooled, "e0", "e1", "_row", n_iter=10_000)
+    return spark.createDataFrame([(r.n, round(r.diff, 6), round(r.p, 6))], "n long, diff double, p double")
+
+
 _TAIL = ("(1 - 2 * exp(-0.5 * {z} * {z}) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda k: "
          "exp((2 * k + 1) * ln({z} + 1e-300) - (lgamma(k + 1.5) - lgamma(0.5) + (k + 1) * ln(2.0))))))")
 

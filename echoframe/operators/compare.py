@@ -226,12 +226,16 @@ class PermutationResult:
     diffs: DataFrame | None
 
 
+#: Iterations of a pair whose signs are unpacked at a time: a multiple of 64.
+BLOCK = 1024
+
+
 def permutation_sums(df: DataFrame, a: Sequence[str], b: Sequence[str], row_id: str,
                      n_iter: int, seed: int = 0) -> DataFrame:
     """Column sums after shuffling the cells of every row, for each of ``n_iter`` shuffles.
 
-    Tasks keep running sums, one row per (iteration, column), so nothing of size rows x iterations
-    exists anywhere.  The shuffle of a row is a function of its id, the iteration and the seed.
+    Tasks keep running sums, one row per (iteration, column), and unpack the signs of a block of iterations for a
+    stretch of rows at a time, so nothing of size rows x iterations exists anywhere.  The shuffle of a row is a function of its id, the iteration and the seed.
     """
     cells = [f"_c{i}" for i in range(len(a) + len(b))]
     c = len(cells)
@@ -246,12 +250,15 @@ def permutation_sums(df: DataFrame, a: Sequence[str], b: Sequence[str], row_id:
                 for at in range(0, len(v), 2048):
                     rows, ids = v[at: at + 2048], key[at: at + 2048]
                     if pair:
-                        words = np.arange(1, -(-n_iter // 64) + 1, dtype=np.uint64) * _GOLDEN
-                        bits = _mix(ids[:, None] + words[None, :])
-                        flip = np.unpackbits(bits.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, :n_iter]
-                        moved = (rows[:, 1] - rows[:, 0]) @ flip.astype(float)
-                        sums[:, 0] += rows[:, 0].sum() + moved
-                        sums[:, 1] += rows[:, 1].sum() - moved
+                        # Signs are one bit each until a block of them is summed.
+                        for low in range(0, n_iter, BLOCK):
+                            high = min(low + BLOCK, n_iter)
+                            words = np.arange(low // 64 + 1, -(-high // 64) + 1, dtype=np.uint64) * _GOLDEN
+                            bits = _mix(ids[:, None] + words[None, :])
+                            flip = np.unpackbits(bits.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, :high - low]
+                            moved = (rows[:, 1] - rows[:, 0]) @ flip.astype(float)
+                            sums[low:high, 0] += rows[:, 0].sum() + moved
+                            sums[low:high, 1] += rows[:, 1].sum() - moved
                     else:
                         slots = np.arange(1, c + 1, dtype=np.uint64) * _GOLDEN
                         for it in range(n_iter):
@@ -272,8 +279,11 @@ def permutation_sums(df: DataFrame, a: Sequence[str], b: Sequence[str], row_id:
 
 def row_key(df: DataFrame, row_id: str) -> Column:
     """A whole number that names a row: the id itself, or a hash of an id that is none."""
-    whole = df.schema[row_id].dataType.typeName() in ("byte", "short", "integer", "long")
-    return F.col(row_id).cast("long") if whole else F.xxhash64(F.col(row_id))
+    return F.col(row_id).cast("long") if whole(df, row_id) else F.xxhash64(F.col(row_id))
+
+
+def whole(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long")
 
 
 _ENSEMBLE = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}
@@ -321,7 +331,8 @@ def pooled_scores(experiments: dict[str, DataFrame], a: str, b: str, row_id: str
     """Rows of several experiments on one scale, ready for :func:`permutation_test`.
 
     For ``mse`` both columns are divided by the joint population sd of the two within the experiment;
-    for ``corr`` predictions become products of standard scores.  Row ids are made unique.
+    for ``corr`` predictions become products of standard scores.  Row ids are made unique: whole ones by a place
+    for each experiment, others by a hash.
     """
     out = None
     for i, (name, df) in enumerate(experiments.items()):
@@ -336,7 +347,7 @@ def pooled_scores(experiments: dict[str, DataFrame], a: str, b: str, row_id: str
             cols = {c: F.col(c) for c in (a, b)}
         part = df.select(
             F.lit(name).alias("experiment"),
-            F.xxhash64(F.lit(name), F.col(row_id)).alias("_row"),
+            (F.col(row_id).cast("long") * len(experiments) + i if whole(df, row_id) else F.xxhash64(F.lit(name), F.col(row_id))).alias("_row"),
             *[c.cast("double").alias(n) for n, c in cols.items()])
         out = part if out is None else out.unionByName(part)
     return out
