@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from echoframe.catalog.base import EV, events, inputs, orders_series, pairs_sql, query, rounded, table
 from echoframe.functions import distributions as D
 from echoframe.functions import kernels as K
-from echoframe.functions.transforms import dummies, moments
+from echoframe.functions.transforms import dummies, level_moments, moments
 from echoframe.operators import irf, regress
 from echoframe.operators.compare import metrics
 from echoframe.operators.convolve import Conv, Source, convolve, weighted_sum
@@ -16,6 +16,8 @@ from echoframe.operators.likelihood import fit_likelihood
 from echoframe.operators.partition import modular_partition
 from echoframe.operators.windows import WINDOW, window_arrays
 from echoframe.plans.model import C, Model, baseline_merge, two_step
+from echoframe.session import fresh_folder
+from echoframe.sources.tables import read_rows, write_results
 
 EXP, GAM = K.Exp(0.05), K.Gamma(2.0, 0.1)
 _D = "(greatest(d, 0) + 4 * 1.1920928955078125e-07)"
@@ -280,6 +282,34 @@ def scale_models(spark, sf):
     return rounded(spark.createDataFrame(rows, "family string, mean0 double, mean1 double, scale0 double, scale1 double, n long, converged boolean"), 4)
 
 
+@query(f"""WITH {EV}, {pairs_sql(8)}, sx AS (SELECT avg(value) AS m, stddev_samp(value) AS sd FROM x),
+g AS (SELECT y.event_id, any_value(y.y) AS y, coalesce(sum(0.05 * exp(-0.05 * d) * (v - m) / sd), 0) AS a
+  FROM sx, y LEFT JOIN q ON y.event_id = q.event_id GROUP BY y.event_id),
+t AS (SELECT a, (y - (SELECT avg(y) FROM g)) / (SELECT stddev_samp(y) FROM g) AS z FROM g)
+SELECT count(*) AS n, round(regr_slope(z, a), 6) AS slope, round(regr_intercept(z, a), 6) AS intercept, round(regr_r2(z, a), 6) AS r2 FROM t""")
+def standardised_fit(spark, sf):
+    """A model of standardised predictors and a standardised response."""
+    X, Y = inputs(spark, sf)
+    fit = Model(["z(y)"], [C("z(value)", EXP)], ["user_id"], history=8, tie=["event_id"]).fit(X, Y).fits["z(y)"]
+    return rounded(spark.createDataFrame([(int(fit.n), fit.coefs["Exp(z(value))"], fit.intercept, fit.r2)],
+                                         "n long, slope double, intercept double, r2 double"))
+
+
+@query(f"""WITH {FEATS}, {OLS2} SELECT 'convolved' AS kind, 'a' AS name, count(*) AS n, round(sum(a), 4) AS total FROM f
+UNION ALL SELECT 'convolved', 'b', count(*), round(sum(b), 4) FROM f UNION ALL SELECT 'parameters', 'a', 1, round(ca, 4) FROM o
+UNION ALL SELECT 'parameters', 'b', 1, round(cb, 4) FROM o UNION ALL SELECT 'parameters', 'intercept', 1, round(c0, 4) FROM o""")
+def convolved_sink(spark, sf):
+    """Convolved predictors and parameters written to the result table and read again."""
+    path, feats = fresh_folder(spark, "results"), features(spark, sf)
+    write_results(feats.select("event_id", "a", "b"), path, {"model": "m", "kind": "convolved", "response": "y"})
+    fit = regress.ols(feats, ["a", "b"], "y")
+    write_results(fit.parameter_table(feats), path, {"model": "m", "kind": "parameters", "response": "y"})
+    rows = read_rows(spark, path, "convolved", "event_id long, a double, b double").select(
+        "kind", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("v")) for n in "ab"])).alias("x")).select("kind", "x.*")
+    told = read_rows(spark, path, "parameters", "parameter string, estimate double").select("kind", F.col("parameter").alias("name"), F.col("estimate").alias("v"))
+    return rounded(rows.unionByName(told).groupBy("kind", "name").agg(F.count("*").alias("n"), F.sum("v").alias("total")), 4)
+
+
 @query(f"""WITH {FEATS}, l AS (SELECT event_id, ln(y) AS ly, y, a FROM f),
 s AS (SELECT regr_slope(ly, a) AS b, regr_intercept(ly, a) AS c, (regr_syy(ly, a) - regr_slope(ly, a) * regr_sxy(ly, a)) / count(*) AS v FROM l)
 SELECT event_id, round(exp(c + b * a + v / 2), 2) AS pred, round(-0.5 * ln(2 * pi() * v) - (ly - c - b * a) ** 2 / (2 * v) - ly, 4) AS loglik FROM l, s""")
@@ -573,8 +603,7 @@ def trapezoid_integral(spark, sf):
 SELECT o_custkey, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd FROM l GROUP BY 1""")
 def series_statistics(spark, sf):
     """Per-level statistics that baselines scale by."""
-    return rounded(orders_series(spark, sf).groupBy("o_custkey").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean"), F.stddev_samp("o_totalprice").alias("sd")), 4)
+    return rounded(level_moments(orders_series(spark, sf), ["o_custkey"], "o_totalprice"), 4)
 
 
 @query("""SELECT l_returnflag, count(*) AS n, round(avg((p - q) ** 2), 4) AS mse, round(avg(abs(p - q)), 4) AS mae,

@@ -19,6 +19,7 @@ from echoframe.catalog.base import (
 )
 from echoframe.functions import kernels as K
 from echoframe.operators.convolve import Conv, Source, convolve, convolve_exponential
+from echoframe.operators.convolve import convolve_many as many
 from echoframe.operators.similarity import similarity_pairs
 from echoframe.operators.windows import pairs, window_arrays, window_counts
 
@@ -292,6 +293,28 @@ def convolve_two_sources(spark, sf):
     return rounded(convolve(Y, sources, SERIES, 8).select("event_id", "browse", "rate", "signup"))
 
 
+_MANY = " UNION ALL ".join(f"""SELECT {r} AS response, r.event_id, round(coalesce(sum(0.05 * exp(-0.05 * (r.time - c.time)) * c.value), 0), 6) AS clicks,
+  (SELECT round(coalesce(sum(0.1 * exp(-0.1 * (r.time - w.time)) * w.value), 0), 6) FROM
+    (SELECT * FROM ev WHERE event_type = 'view') w JOIN ranks{r} k ON k.x_id = w.event_id WHERE k.event_id = r.event_id) AS views
+FROM y{r} r LEFT JOIN ranks{r} k ON k.event_id = r.event_id LEFT JOIN (SELECT * FROM ev WHERE event_type = 'click') c ON c.event_id = k.x_id
+GROUP BY r.event_id, r.time""" for r in (0, 1))
+
+
+@query(f"""WITH {EV}, y0 AS (SELECT * FROM ev WHERE event_type = 'purchase'), y1 AS (SELECT * FROM ev WHERE event_type = 'signup'),
+{", ".join(f"""ranks{r} AS (SELECT event_id, x_id FROM (SELECT y.event_id, x.event_id AS x_id,
+  row_number() OVER (PARTITION BY y.event_id, x.event_type ORDER BY x.time DESC, x.event_id DESC) AS back
+  FROM y{r} y JOIN x ON x.user_id = y.user_id AND x.time <= y.time + 1.1920929e-07) WHERE back <= 8)""" for r in (0, 1))}
+{_MANY}""")
+def convolve_many(spark, sf):
+    """Two event tables and two response tables after one exchange, windows ranked within each event table."""
+    ev = events(spark, sf)
+    sources = [Source(ev.where("event_type = 'click'"), [Conv("clicks", "value", K.Exp(0.05))], tie=TIE),
+               Source(ev.where("event_type = 'view'"), [Conv("views", "value", K.Exp(0.1))], tie=TIE)]
+    found = many([ev.where("event_type = 'purchase'"), ev.where("event_type = 'signup'")], sources, SERIES, 8, layout="series")
+    out = [t.select(F.lit(r).alias("response"), "event_id", "clicks", "views") for r, t in enumerate(found)]
+    return rounded(out[0].unionByName(out[1]))
+
+
 @query(f"""WITH {_DAILY} SELECT y.o_orderkey, round(coalesce(sum(CASE WHEN abs(d) <= 1.1920929e-07 THEN v END), 0), 4) AS same_day,
   count(CASE WHEN abs(d) <= 1.1920929e-07 THEN 1 END) AS n
 FROM o y LEFT JOIN p ON y.o_orderkey = p.o_orderkey WHERE y.o_orderstatus = 'F' GROUP BY y.o_orderkey""")

@@ -264,3 +264,14 @@ def display_names(df: DataFrame, column: str, names: dict[str, str], into: str)
     for key in sorted(names, key=lambda k: (-len(k), k)):
         out = out.when(c.contains(key), names[key])
     return df.withColumn(into, out.otherwise(c) if out is not None else c)
+
+
+def level_moments(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """n, mean and sample deviation of ``value`` in every level of ``by``; missing values are left out.
+
+    One aggregation with partial sums before the shuffle.  A level of one value has no deviation.
+    """
+    v = F.col(f"`{value}`").cast("double")
+    v = F.when(~F.isnan(v), v)
+    return df.groupBy(*[F.col(f"`{b}`") for b in by]).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.when(F.count(v) > 1, F.stddev_samp(v)).alias("sd"))

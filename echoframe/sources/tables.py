@@ -120,6 +120,12 @@ def write_results(df: DataFrame, path: str, keys: dict[str, str | Column | None]
     out.write.mode(mode).partitionBy(*RESULT_KEYS).parquet(path)
 
 
+def read_rows(spark: SparkSession, path: str, kind: str, columns: str) -> DataFrame:
+    """Rows of one kind (convolved predictors, parameters, integrals) of the result table, with ``columns`` and the keys."""
+    keys = ", ".join(f"{k} string" for k in RESULT_KEYS)
+    return spark.read.schema(f"{columns}, {keys}").parquet(path).where(F.col("kind") == kind)
+
+
 #: How a result row is valued: observation and prediction, or a column of its own.
 METRICS = {
     "mse": lambda: F.pow(F.col("obs") - F.col("pred"), 2.0),

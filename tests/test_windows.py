@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from echoframe.functions import kernels as K
 from echoframe.functions.transforms import zero_filled
-from echoframe.operators.convolve import Conv, Source, convolve, convolve_exponential
+from echoframe.operators.convolve import Conv, Source, convolve, convolve_exponential, convolve_many
 from echoframe.operators.windows import WINDOW, pairs, window_arrays, window_counts
 
 EPS = 1.1920929e-07
@@ -195,3 +195,23 @@ def test_ranks_in_both_layouts(spark, blocks, tie):
         w = pairs(window_arrays(X, Y, ["s"], ["v"], 4, 2, tie=tie, **layout))
         got.append(sorted((r.s, r.time, r.event_time, r.event_rank) for r in w.collect()))
     assert got[0] == got[1]
+
+
+@pytest.mark.parametrize("history,future", [(3, 0), (2, 3), (0, 2), (7, 1)])
+def test_many_tables_in_one_exchange(spark, history, future):
+    """Several event and response tables at once give what each pair of them gives."""
+    rng = np.random.default_rng(history + 10 * future)
+    frame = lambda n, c: spark.createDataFrame([(int(s) if s < 4 else None, float(t), i, float(v)) for i, (s, t, v) in enumerate(zip(
+        rng.integers(0, 5, n), rng.integers(0, 30, n), rng.normal(size=n)))], f"s int, time double, id long, {c} double")
+    x1, x2, ys = frame(80, "u"), frame(60, "v"), [frame(40, "y"), frame(25, "z")]
+    kernel = (K.Normal(0.0, 4.0, support_lb=None), K.Normal(1.0, 3.0, support_lb=None))
+    sources = [Source(x1, [Conv("a", "u", kernel[0]), Conv("b", "u", kernel[1])], tie=["id"]), Source(x2, [Conv("c", "v", kernel[0])], tie=["id"])]
+    got = convolve_many(ys, sources, ["s"], history, future, cutoff=6.0, layout="series")
+    for y, table in zip(ys, got):
+        for src in sources:
+            names = [t.name for t in src.terms]
+            want = {r["id"]: [r[n] for n in names] for r in convolve(y, [src], ["s"], history, future, cutoff=6.0, layout="series").collect()}
+            have = {r["id"]: [r[n] for n in names] for r in table.collect()}
+            assert set(want) == set(have) and all(have[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    plan = got[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange ") == 1
