@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echoframe.llm.arrays import suspects
-from echoframe.llm.text import chunks, expand, utf8, words
+from echoframe.llm.text import chunks, expand, lean, utf8, words
 from echoframe.session import checkpointed
 
 #: Words of test items searched for at once: what every task is sent grows with it, and nothing else.
@@ -55,7 +55,7 @@ def vocabulary_of(tests: DataFrame, text: str) -> np.ndarray:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(words(*utf8(b.column(0)))[0]).view(np.int64))], names=["word"])
 
-    found = tests.select(F.col(f"`{text}`").cast("string")).mapInArrow(rows, "word long").distinct().toArrow()
+    found = tests.select(F.col(f"`{text}`").cast("string")).mapInArrow(lean(rows), "word long").distinct().toArrow()
     return np.sort(found["word"].to_numpy().view(np.uint64)) if len(found) else np.zeros(1, np.uint64)
 
 
@@ -90,7 +90,7 @@ def build_index(docs: DataFrame, key: str, text: str, vocabulary: np.ndarray) ->
     names = ["keys", "before", "terms", "first", "places"]
     schema = T.StructType([T.StructField("keys", T.ArrayType(kind))]
                           + [T.StructField(n, T.BinaryType()) for n in names[1:]])
-    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).mapInArrow(rows, schema)
+    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).mapInArrow(lean(rows), schema)
 
 
 def term_counts(index: DataFrame, size: int) -> np.ndarray:
@@ -105,7 +105,7 @@ def term_counts(index: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[own])], names=["term", "n"])
 
     out = np.zeros(size, np.int64)
-    got = index.select("terms", "first").mapInArrow(rows, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    got = index.select("terms", "first").mapInArrow(lean(rows), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     for t, n in got.collect():
         out[t] = n
     return out
@@ -202,7 +202,7 @@ def search(index: DataFrame, phrases: Phrases, item_type, slop: int = 0) -> Data
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_kind = to_arrow_type(item_type)
-    return index.mapInArrow(rows, schema)
+    return index.mapInArrow(lean(rows), schema)
 
 
 def decontaminate(docs: DataFrame, key: str, text: str, tests: DataFrame, item: str, test_text: str,

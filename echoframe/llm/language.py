@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echoframe.llm.text import mix, utf8
+from echoframe.llm.text import lean, mix, utf8
 
 UNKNOWN = "und"
 
@@ -160,7 +160,7 @@ def fit(df: DataFrame, key: str, text: str, label: str, usable: Column,
                     [b.column(1).take(pa.array(text_no[keep])), pa.array(u[keep].astype(np.int64)),
                      pa.array([r.tobytes() for r in m], pa.binary())], names=["label", "u", "window"])
 
-        got = rows.where(F.col("label").isin(*share)).mapInArrow(draw, "label string, u long, window binary")
+        got = rows.where(F.col("label").isin(*share)).mapInArrow(lean(draw), "label string, u long, window binary")
         return got.dropDuplicates(["label", "u"]).orderBy("u", "label", "window").limit(2 * per_language * len(share)).collect()
 
     drawn = drawn_by({r["label"]: min(1.0, per_language / r["n"]) for r in counts})
@@ -229,7 +229,7 @@ def predict(df: DataFrame, key: str, text: str, network: Network | None) -> Data
 
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).mapInArrow(rows, schema)
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).mapInArrow(lean(rows), schema)
 
 
 def keep_known(df: DataFrame, text: str, network: Network | None, least: float = 0.4) -> DataFrame:
@@ -241,4 +241,4 @@ def keep_known(df: DataFrame, text: str, network: Network | None, least: float =
             names, scores = read(b.column(place))
             yield b.filter(pa.array((names != UNKNOWN) & (scores >= least)))
 
-    return df.mapInArrow(rows, df.schema)
+    return df.mapInArrow(lean(rows), df.schema)

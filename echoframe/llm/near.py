@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echoframe.llm.arrays import marked, place_of, suspects
-from echoframe.llm.text import chunks, expand, mix, shingles, utf8, words
+from echoframe.llm.text import chunks, expand, lean, mix, shingles, utf8, words
 from echoframe.session import checkpointed
 
 WORDS, SIMILARITY = 5, 0.8
@@ -96,7 +96,7 @@ def signatures(df: DataFrame, key: str, text: str, trees: int, depth: int) -> Da
                            T.StructField("h", T.LongType()), *[T.StructField(x, T.LongType()) for x in "abn"],
                            T.StructField("prefixes", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
     return df.select(F.monotonically_increasing_id().alias("at"), F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`")),
-                     F.col(f"`{text}`").cast("string")).mapInArrow(rows, schema)
+                     F.col(f"`{text}`").cast("string")).mapInArrow(lean(rows), schema)
 
 
 def bounds(threshold: float) -> tuple[float, float]:
@@ -236,7 +236,7 @@ def candidates(classes: DataFrame, trees: int, depth: int, threshold: float) ->
             if edges:
                 yield as_rows(edges)
 
-    found = checkpointed(rows.repartition("prefix", "part").sortWithinPartitions("prefix", "part").mapInArrow(inside, FOUND_SQL))
+    found = checkpointed(rows.repartition("prefix", "part").sortWithinPartitions("prefix", "part").mapInArrow(lean(inside), FOUND_SQL))
     edges = found.where("leader is not null")
     left = found.where("leader is null")
     if not left.isEmpty():
@@ -244,7 +244,7 @@ def candidates(classes: DataFrame, trees: int, depth: int, threshold: float) ->
         both = left.select("prefix", "part", "node", "sketch", other).select(
             "prefix", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "sketch")
         edges = edges.unionByName(both.repartition("prefix", "low", "high").sortWithinPartitions("prefix", "low", "high")
-                                  .mapInArrow(across, FOUND_SQL))
+                                  .mapInArrow(lean(across), FOUND_SQL))
     return edges.groupBy("node", "leader").agg(F.max("length").alias("length"))
 
 
@@ -301,7 +301,7 @@ def _wanted_sets(df: DataFrame, key: str, text: str, cells: DataFrame) -> DataFr
     schema = T.StructType([T.StructField("key", kind), *[T.StructField(x, T.LongType()) for x in "abn"],
                            T.StructField("set", T.BinaryType())])
     return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).select(
-        "key", "text", place_of("key").alias("p")).mapInArrow(rows, schema)
+        "key", "text", place_of("key").alias("p")).mapInArrow(lean(rows), schema)
 
 
 LINKED = "node long, links long, root long, partners array<struct<node: long, similarity: double>>"

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echoframe.llm.text import expand, process_wide
+from echoframe.llm.text import expand, give_back, lean, process_wide
 from echoframe.session import checkpointed
 
 #: Tokens of a shard of the index; each is packed by itself and leaves at most one window unfilled.
@@ -144,7 +144,7 @@ def tokenize(df: DataFrame, key: str, text: str, definition: str, ranks: str | N
     schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("key", df.schema[key].dataType),
                            T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
     return df.select(F.monotonically_increasing_id().alias("at"), F.col(f"`{key}`"),
-                     F.col(f"`{text}`").cast("string")).mapInArrow(rows, schema)
+                     F.col(f"`{text}`").cast("string")).mapInArrow(lean(rows), schema)
 
 
 def _flat(column, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +170,7 @@ def document_counts(tokens: DataFrame, width: int, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[own])], names=["term", "docs"])
 
     out = np.zeros(size, np.int64)
-    for t, n in tokens.select("ids").mapInArrow(rows, "term long, docs long").groupBy("term").agg(F.sum("docs")).collect():
+    for t, n in tokens.select("ids").mapInArrow(lean(rows), "term long, docs long").groupBy("term").agg(F.sum("docs")).collect():
         out[t] = n
     return out
 
@@ -332,5 +332,11 @@ def pack(df: DataFrame, key: str, text: str, definition: str, ranks: str | None
             names=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), *T._parse_datatype_string(PIECES).fields])
-    out = dealt.groupBy("shard").applyInArrow(packed, schema)
+    def lean_packed(group):
+        try:
+            return packed(group)
+        finally:
+            give_back()
+
+    out = dealt.groupBy("shard").applyInArrow(lean_packed, schema)
     return out if with_ids else out.drop("ids")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echoframe.llm.text import chunks, utf8
+from echoframe.llm.text import chunks, lean, utf8
 
 #: Alternatives of a part of a regex that are still written out letter by letter.
 EXACT = 64
@@ -232,7 +232,7 @@ def find_secrets(df: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = R
                 [b.column(0), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values)], names=["key", "spans"])
 
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("spans", SPANS)])
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).mapInArrow(rows, schema)
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).mapInArrow(lean(rows), schema)
 
 
 def redact(df: DataFrame, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -264,7 +264,7 @@ def redact(df: DataFrame, text: str, rules: tuple[Rule, ...] = RULES) -> DataFra
                 b = b.set_column(place, b.schema.field(place), pa.array(texts, column.type))
             yield b
 
-    return df.mapInArrow(rows, df.schema)
+    return df.mapInArrow(lean(rows), df.schema)
 
 
 def joined(spans: str, kinds: tuple[str, ...] = ()) -> Column:
