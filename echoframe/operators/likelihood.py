@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoframe.functions.distributions import DISTRIBUTIONS, LOG_2PI
-from echoframe.functions.special import ArrayMath
+from echoframe.functions.special import erfcx_scalar
 from echoframe.operators.regress import linear_predictor, ols, upright
 
 #: Parameters that are positive: their linear predictors are logarithms.
@@ -235,8 +235,10 @@ def log_density(family: str, y: np.ndarray, p: Sequence[np.ndarray]) -> np.ndarr
     beta = 1.0 / p[2] if family == "exgaussianinvrate" else p[2]
     u, z = (y - mu) / sigma, (mu + beta * sigma**2 - y) / (sigma * math.sqrt(2.0))
     # Where z is large erfc vanishes and the leading factor grows; scaled, what is left is a normal density.
-    above = -0.5 * u * u + np.log(ArrayMath.erfcx(np.maximum(z, 0.0)))
-    below = beta * (mu - y) + 0.5 * (beta * sigma) ** 2 + np.log(ArrayMath.erfc(np.minimum(z, 0.0)))
+    # Made here: a vectorised function that was used before cannot be sent to workers.
+    erfc, erfcx = (np.vectorize(f, otypes=[float]) for f in (math.erfc, erfcx_scalar))
+    above = -0.5 * u * u + np.log(erfcx(np.maximum(z, 0.0)))
+    below = beta * (mu - y) + 0.5 * (beta * sigma) ** 2 + np.log(erfc(np.minimum(z, 0.0)))
     return np.log(beta) - math.log(2.0) + np.where(z > 0, above, below)
 
 

@@ -364,6 +364,15 @@ def test_every_parameter_by_features(spark, family):
     assert fit.score(df).agg({"loglik": "sum"}).first()[0] == pytest.approx(fit.loglik, rel=1e-6)
 
 
+def test_fits_after_error_functions_were_used_here(spark):
+    """What the driver did with error functions before must not keep a fit's functions from the workers."""
+    K.SkewNormal(0.5, 1.0, 2.0).on_grid(np.linspace(0, 1, 5))
+    K.EMG(0.5, 1.0, 2.0).on_grid(np.linspace(0, 1, 5))
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(float(v),) for v in rng.normal(size=800) + rng.exponential(1.0, 800)], "y double")
+    assert fit_likelihood(df, [], "y", "exgaussian").converged and fit_likelihood(df, [], "y", "normal").n == 800
+
+
 def test_families_without_a_location(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=5000)
