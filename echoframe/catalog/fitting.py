@@ -314,9 +314,9 @@ def convolved_sink(spark, sf):
 s AS (SELECT regr_slope(ly, a) AS b, regr_intercept(ly, a) AS c, (regr_syy(ly, a) - regr_slope(ly, a) * regr_sxy(ly, a)) / count(*) AS v FROM l)
 SELECT event_id, round(exp(c + b * a + v / 2), 2) AS pred, round(-0.5 * ln(2 * pi() * v) - (ly - c - b * a) ** 2 / (2 * v) - ly, 4) AS loglik FROM l, s""")
 def model_family(spark, sf):
-    """A model with log-normal responses: expected values and densities by its own family."""
+    """A model with log-normal responses: expected values and densities by its own family, null if a response is not positive."""
     X, Y = inputs(spark, sf)
-    fitted = Model(["y"], [C("value", EXP)], ["user_id"], history=8, tie=["event_id"], family="lognormal").fit(X, Y)
+    fitted = Model(["y"], [C("value", EXP)], ["user_id"], history=8, tie=["event_id"], family="lognormal", impossible="undefined").fit(X, Y)
     out = fitted.predict(fitted.features(X, Y))
     return out.select("event_id", F.round("pred", 2).alias("pred"), F.round("loglik", 4).alias("loglik"))
 

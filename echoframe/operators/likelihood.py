@@ -20,13 +20,20 @@ from echoframe.operators.regress import linear_predictor, ols, upright
 #: Parameters that are positive: their linear predictors are logarithms.
 POSITIVE = ("sigma", "tailweight", "beta")
 
+#: Families of logarithms: no parameters allow a response of 0 or less.
+LOGARITHMIC = ("lognormal", "lognormalv2")
+
 #: Where the search for a constant parameter begins, given the spread s of the response about its mean.
 STARTS = {"sigma": lambda s: s, "skewness": lambda s: 0.0, "tailweight": lambda s: 1.0, "beta": lambda s: 1.0 / s}
 
 
 @dataclass
 class LikelihoodFit:
-    """Coefficients of the first parameter, values of constant ones, and linear predictors of the others."""
+    """Coefficients of the first parameter, values of constant ones, and linear predictors of the others.
+
+    With ``impossible`` responses the likelihood is 0 whatever the parameters: all estimates are NaN, predictions and
+    densities null.
+    """
 
     family: str
     response: str
@@ -38,10 +45,13 @@ class LikelihoodFit:
     gradient: np.ndarray  # in standard errors
     converged: bool
     by: dict[str, tuple[float, dict[str, float]]] = field(default_factory=dict)
+    impossible: int = 0
 
     def parameters(self) -> dict[str, Column]:
         """Every parameter as a column of a table with the features."""
         first = DISTRIBUTIONS[self.family][1][0]
+        if self.impossible:
+            return {p: F.lit(None).cast("double") for p in DISTRIBUTIONS[self.family][1]}
         out = {first: linear_predictor(self.coefs, self.intercept), **{p: F.lit(float(v)) for p, v in self.shape.items()}}
         out |= {p: linear_predictor(b, b0) for p, (b0, b) in self.by.items()}
         for p in [first, *self.by]:
@@ -78,7 +88,7 @@ class LikelihoodFit:
 
 
 def fit_likelihood(df: DataFrame, features: Sequence[str], response: str, family: str, iterations: int = 100, tol: float = 1e-10,
-                   by: dict[str, Sequence[str]] | None = None) -> LikelihoodFit:
+                   by: dict[str, Sequence[str]] | None = None, impossible: str = "error") -> LikelihoodFit:
     """Fit a distribution whose parameters are linear in features by block scoring.
 
     ``features`` belong to the first parameter (the location, where there is one), ``by`` names those of others;
@@ -90,9 +100,12 @@ def fit_likelihood(df: DataFrame, features: Sequence[str], response: str, family
     whatever the number of rows.
 
     Rows with a missing response or feature are left out.  All others count: a point that makes one impossible is
-    refused, and a response that the family does not allow at all is an error.
+    refused, and a response that the family does not allow at all is an error, or with ``impossible="undefined"`` leaves
+    all estimates undefined: no response is left out for the sake of the others.
     """
     density, names, _ = DISTRIBUTIONS[family]
+    if impossible not in ("error", "undefined"):
+        raise ValueError(f"impossible responses are 'error' or 'undefined', not {impossible!r}")
     if family == "categorical":
         raise ValueError("see fit_family for categories")
     design = {p: list(features) if i == 0 else list((by or {}).get(p, ())) for i, p in enumerate(names)}
@@ -107,11 +120,13 @@ def fit_likelihood(df: DataFrame, features: Sequence[str], response: str, family
     number = {f: i for i, f in enumerate(used)}
     slots = [(p, f) for p in names for f in (None, *design[p])]
     try:
-        told = data.agg(F.count("*").alias("n"), F.avg("_y").alias("m"), F.stddev_samp("_y").alias("s"),
+        told = data.agg(F.count("*").alias("n"), F.avg("_y").alias("m"), F.stddev_samp("_y").alias("s"), F.count_if(y <= 0).alias("low"),
                         *[a for i in range(len(used)) for a in (F.avg(f"_x{i}").alias(f"m{i}"), F.stddev_pop(f"_x{i}").alias(f"s{i}"))]).first()
         n = told["n"]
         if not n:
             raise ValueError("no complete rows")
+        if family in LOGARITHMIC and told["low"]:
+            return _undefined(family, response, design, int(n), told["low"], impossible)
         mean = [told[f"m{i}"] for i in range(len(used))]
         sd = [told[f"s{i}"] or 1.0 for i in range(len(used))]
         u, spread = _start(data, slots, number, mean, sd, family, told)
@@ -162,7 +177,7 @@ def fit_likelihood(df: DataFrame, features: Sequence[str], response: str, family
             u = np.where(slopes, 0.0, u)
             now, lost = look(u)
         if now is None:
-            raise ValueError(f"{int(lost)} of {n} responses are impossible under {family!r}")
+            return _undefined(family, response, design, int(n), int(lost), impossible)
         bend, damping, converged = np.zeros((len(u), len(u))), 1e-4, False
         for _ in range(iterations):
             unit = np.sqrt(np.maximum(np.diag(now[2]), 1e-300))
@@ -209,6 +224,17 @@ def fit_likelihood(df: DataFrame, features: Sequence[str], response: str, family
                          {p: found[p] for p in names[1:] if design[p]})
 
 
+def _undefined(family: str, response: str, design: dict[str, list[str]], n: int, lost: int, impossible: str) -> LikelihoodFit:
+    """The fit of data that the family does not allow, unless that is an error.  Nothing is left to search for."""
+    if impossible == "error":
+        raise ValueError(f"{lost} of {n} responses are impossible under {family!r}")
+    first, *others = design
+    nan = {p: dict.fromkeys(fs, math.nan) for p, fs in design.items()}
+    return LikelihoodFit(family, response, nan[first], math.nan, {p: math.nan for p in others if not design[p]}, -math.inf, n,
+                         np.full(sum(1 + len(fs) for fs in design.values()), math.nan), True,
+                         {p: (math.nan, nan[p]) for p in others if design[p]}, lost)
+
+
 def log_density(family: str, y: np.ndarray, p: Sequence[np.ndarray]) -> np.ndarray:
     """The log-densities of ``functions.distributions`` on arrays; not finite where a response is impossible."""
     if family == "exponential":

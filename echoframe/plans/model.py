@@ -69,7 +69,8 @@ class Model:
     """What is predicted from what.
 
     ``family`` is the distribution of the responses; its first parameter is linear in all features, ``by`` names
-    features of its other parameters (which are constants otherwise).
+    features of its other parameters (which are constants otherwise).  Responses that the family does not allow are an
+    error, or with ``impossible="undefined"`` leave estimates NaN, predictions and densities null.
     """
 
     responses: Sequence[str]
@@ -87,6 +88,7 @@ class Model:
     name: str = "model"
     family: str = "normal"
     by: dict[str, Sequence[str]] = field(default_factory=dict)
+    impossible: str = "error"
 
     # ------------------------------------------------------------ compiling terms
 
@@ -218,7 +220,8 @@ class Model:
         """Fits by the declared family, all from one feature table; kernels are those of the normal model if learned."""
         table = compiled.features().persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            fits = {r: fit_likelihood(table, list(compiled.features_of), r, self.family, by=self.by) for r in self.responses}
+            fits = {r: fit_likelihood(table, list(compiled.features_of), r, self.family, by=self.by, impossible=self.impossible)
+                    for r in self.responses}
         finally:
             table.unpersist()
         return FittedModel(self, compiled, fits, {}, learned.kernels if learned else {}, learned)
