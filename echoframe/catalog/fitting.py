@@ -272,16 +272,34 @@ _SCALED = """SELECT '{family}' AS family, round(avg({y}) FILTER (g = 0), 4) AS m
 @query("WITH e AS (SELECT value AS v, ln(value) AS lv, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS g FROM events) "
        + _SCALED.format(family="normal", y="v") + " UNION ALL " + _SCALED.format(family="lognormal", y="lv"))
 def scale_models(spark, sf):
-    """Location and scale both by a predictor, fitted together: in two groups these are the groups' means and deviations."""
+    """Location and scale both by a predictor, fitted together: in two groups these are the groups' means and deviations.
+
+    Values that a family does not allow leave nothing to fit; the row then has what the groups' means and deviations
+    come to, infinite or NaN.
+    """
     ev = table(spark, sf, "events").withColumn("g", F.when(F.col("event_type") == "view", 1.0).otherwise(0.0))
     rows = []
     for family in ("normal", "lognormal"):
-        fit = fit_likelihood(ev, ["g"], "value", family, by={"sigma": ["g"]}, tol=1e-10)
+        fit = fit_likelihood(ev, ["g"], "value", family, by={"sigma": ["g"]}, tol=1e-10, impossible="undefined")
         scale, by = fit.by["sigma"]
-        rows.append((family, fit.intercept, fit.coefs["g"], scale, by["g"], fit.n, fit.converged))
+        found = (fit.intercept, fit.coefs["g"], scale, by["g"])
+        if fit.impossible:
+            found = _two_groups(ev, _ln(F.col("value")) if family == "lognormal" else F.col("value"))
+        rows.append((family, *found, fit.n, fit.converged))
     return rounded(spark.createDataFrame(rows, "family string, mean0 double, mean1 double, scale0 double, scale1 double, n long, converged boolean"), 4)
 
 
+def _ln(c):
+    """The logarithm as the SQL has it: of 0 minus infinity, below NaN."""
+    return F.when(c > 0, F.log(c)).when(c == 0, F.lit(-np.inf)).when(c < 0, F.lit(np.nan))
+
+
+def _two_groups(df, y):
+    """Mean and logarithm of the deviation of ``y`` where ``g`` is 0, and what the rows where it is 1 have more."""
+    told = [f(F.when(F.col("g") == k, y)) for f in (F.avg, lambda c: _ln(F.stddev_pop(c))) for k in (0.0, 1.0)]
+    return tuple(df.agg(*[x for a, b in (told[:2], told[2:]) for x in (a, b - a)]).first())
+
+
 @query(f"""WITH {EV}, {pairs_sql(8)}, sx AS (SELECT avg(value) AS m, stddev_samp(value) AS sd FROM x),
 g AS (SELECT y.event_id, any_value(y.y) AS y, coalesce(sum(0.05 * exp(-0.05 * d) * (v - m) / sd), 0) AS a
   FROM sx, y LEFT JOIN q ON y.event_id = q.event_id GROUP BY y.event_id),

@@ -370,6 +370,15 @@ def test_model_of_responses_its_family_does_not_allow(spark, priced):
     assert told[1:] == ((0, 0) if kind in ("zeros", "negative") else told[:1] * 2)
 
 
+def test_groups_of_responses_their_family_does_not_allow(spark, priced):
+    """Values of 0 leave no log-normal fit; its row is that of the SQL, and the other family's is fitted as ever."""
+    kind, folder, con = priced
+    rows, same, note = same_rows(spark, con, "scale_models", folder)
+    assert same and rows == 2, note
+    told = con.execute(f"SELECT * FROM ({entry.oracle_sql()['scale_models']}) ORDER BY family").fetchall()
+    assert np.isfinite(told[1][1:5]).all() and np.isfinite(told[0][1:5]).all() == (kind == "positive")
+
+
 def test_undefined_fits(spark):
     df = spark.createDataFrame([(float(i % 5), float(i)) for i in range(50)], "x double, y double")
     for family in ("lognormal", "lognormalv2"):
