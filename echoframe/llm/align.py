@@ -48,8 +48,8 @@ def byte_level() -> dict[str, int]:
 class Encoders:
     """Ids of a text by a byte-level BPE (A, of a space and the text) and by a sentence-piece model (B).
 
-    Neither has a token that goes on behind a space (a piece of B with a space inside turns this off), so
-    texts with single spaces between words are encoded word by word, most of them from memory.
+    B has no token that goes on behind a space (a piece with a space inside turns this off), so it encodes
+    texts with single spaces between words word by word, most of them from memory.
     """
 
     def __init__(self, definition: str, ranks: bytes | None, pattern: str | None, model: bytes):
@@ -87,11 +87,7 @@ class Encoders:
             return None
         words = text.split(" ")
         single = self.by_word and "" not in words
-        try:
-            a = b"".join(map(self.a.words.__getitem__, words)) if single and self.a.fast is not None else self.a.encoded(" " + text)
-        except LookupError:
-            a = self.a.encoded(" " + text)
-        a = np.frombuffer(a, self.a.kind).astype(np.int64)
+        a = np.frombuffer(self.a(" " + text), self.a.kind).astype(np.int64)
         b = np.frombuffer(b"".join(map(self._word, words)) if single else self._pieces(text), "<u4").astype(np.int64)
         whole = b" " + text.encode()
         for ids, have in ((a, self.bytes_a), (b, self.bytes_b)):

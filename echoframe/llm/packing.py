@@ -10,6 +10,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,19 +27,25 @@ K1, B = 1.2, 0.75
 #: Terms in more than this share of a shard's documents are summed as a matrix, others by their postings.
 COMMON = 0.25
 
-#: A line break that the vocabulary's pattern makes a word of its own.
-LONE_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
+#: What the pattern of the public ranks calls white space (unlike Python, not the separators 1C to 1F).
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-#: Ways of writing that a worker remembers the tokens of: as many as fit a dictionary before it doubles.
-REMEMBERED = 340_000
+#: White space of several characters with something behind it, for Arrow; and what comes before its last character.
+RUN = f"[{SPACE}][{SPACE}][^{SPACE}]"
+BEFORE_LAST = re.compile(f"[{SPACE}](?=[{SPACE}][^{SPACE}])")
+
+#: The pattern of the public ranks.  Its look-ahead keeps the last white space of a run for what follows.
+LOOKING = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = LOOKING.replace(r"\s+(?!\S)|", "")
 
 
 class Tokenizer:
-    """Ids of whole texts by a byte-level BPE, word by word from memory.
+    """Ids of whole texts by a byte-level BPE.
 
-    The pattern that belongs to the ranks begins a new word at a single space between two other characters,
-    so texts are cut there and most ways of writing are encoded once.  Texts with other white space around
-    a space or with the name of a special token in them are encoded whole, as are all without ranks.
+    Patterns with a look-ahead take a slower engine.  The usual one needs its look-ahead only where white
+    space of several characters has something behind it, so texts are cut there, and the pattern
+    without it gives the same words.  Texts with the name of a special token in them are encoded as
+    defined, as are all without ranks.
     """
 
     def __init__(self, definition: str, ranks: bytes | None, pattern: str | None):
@@ -48,16 +55,15 @@ class Tokenizer:
         self.kind = np.dtype("<u2" if max(ids) < 1 << 16 else "<u4")
         del parsed, ids
         self.fast = None
+        self.cut = pattern == LOOKING
         if ranks:
             import base64
 
             import tiktoken
 
             table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.line_break = self.encoded("\n")
-        self.bare = Words(self, "")
-        self.words = Words(self, " ")
+            self.fast = tiktoken.Encoding("ranks", pat_str=PLAIN if self.cut else pattern, mergeable_ranks=table,
+                                          special_tokens={})
 
     @cached_property
     def whole(self):
@@ -66,52 +72,17 @@ class Tokenizer:
 
         return Definition.from_str(self.definition)
 
-    def encoded(self, text: str) -> bytes:
+    def __call__(self, text: str, run: bool = True) -> bytes:
+        """Ids of a text; ``run`` is False where it is known to have no match of RUN."""
         if self.fast is None or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        return array(self.kind.char, self.fast.encode_ordinary(text)).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        first, space, rest = text.partition(" ")
-        if not space or self.fast is None or any(s in text for s in self.special):
-            return self.encoded(text)
-        try:
-            return self.bare[first] + b"".join(map(self.words.__getitem__, rest.split(" ")))
-        except LookupError:
-            return self.encoded(text)
-
-
-class Words(dict):
-    """Tokens of words seen before, after a space or not.
-
-    A word's end mark and what follows a line break are looked up by themselves: the vocabulary's pattern
-    divides there, too.
-    """
-
-    def __init__(self, tokenizer: Tokenizer, before: str):
-        super().__init__()
-        self.tokenizer, self.before = tokenizer, before
-
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise LookupError
-        stem = len(word)
-        while stem and not word[stem - 1].isalnum():
-            stem -= 1
-        if "\n" in word:
-            first, *rest = LONE_BREAK.split(word)
-            if rest:
-                return self.tokenizer.line_break.join([self[first], *map(self.tokenizer.bare.__getitem__, rest)])
-        elif 0 < stem < len(word):
-            known = word[:stem] in self
-            got = self[word[:stem]] + self.tokenizer.bare[word[stem:]]
-            if known and len(self) < REMEMBERED:
-                self[word] = got
-            return got
-        got = self.tokenizer.encoded(self.before + word)
-        if len(self) < REMEMBERED:
-            self[word] = got
-        return got
+        ends = [m.end() for m in BEFORE_LAST.finditer(text)] if self.cut and run else []
+        if not ends:
+            return array(self.kind.char, self.fast.encode_ordinary(text)).tobytes()
+        ids = array(self.kind.char)
+        for lo, hi in zip([0, *ends], [*ends, len(text)]):
+            ids.extend(self.fast.encode_ordinary(text[lo:hi]))
+        return ids.tobytes()
 
 
 def tokenize(df: DataFrame, key: str, text: str, definition: str, ranks: str | None = None, pattern: str | None = None,
@@ -119,7 +90,7 @@ def tokenize(df: DataFrame, key: str, text: str, definition: str, ranks: str | N
     """at (place of the row), key, n and the ids of every text, ``end`` last, as little-endian binary.
 
     ``definition`` is the path of a ``tokenizers`` file on the driver, ``ranks`` (with ``pattern``) the same
-    vocabulary as ranks, which encodes new words faster.  Null texts have the end only.
+    vocabulary as ranks, which encodes faster.  Null texts have the end only.
     """
     with open(definition) as f:
         body = f.read()
@@ -136,7 +107,9 @@ def tokenize(df: DataFrame, key: str, text: str, definition: str, ranks: str | N
             texts = b.column(2)
             # A thousand texts at a time, so that ids of a batch are not all held twice.
             for lo in range(0, b.num_rows, 1000):
-                ids = [(tokenizer(t) if t else b"") + last for t in texts.slice(lo, 1000).to_pylist()]
+                some = texts.slice(lo, 1000)
+                runs = pc.match_substring_regex(some, RUN).to_pylist()
+                ids = [(tokenizer(t, run) if t else b"") + last for t, run in zip(some.to_pylist(), runs)]
                 n = pa.array([len(x) // tokenizer.kind.itemsize for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 1000), b.column(1).slice(lo, 1000), n, pa.array(ids, pa.binary())],
                                                  names=["at", "key", "n", "ids"])

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -81,6 +82,30 @@ def test_many_lines(tokenizer, end):
     assert np.frombuffer(t(text), t.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_in_one_call(tokenizer):
+    """A text is given to the vocabulary whole, not once for each word that is not yet known."""
+    files = public_tokenizer()
+    t = packing.Tokenizer(open(files["definition"]).read(), open(files["ranks"], "rb").read(), files["pattern"])
+    calls, encode = [], t.fast.encode_ordinary
+    t.fast.encode_ordinary = lambda text: calls.append(text) or encode(text)
+    text = " ".join(f"wört{i}er, x{i}\ny" for i in range(5000))
+    assert np.frombuffer(t(text), t.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(calls) == 1
+
+
+def test_white_space(spark, tokenizer):
+    """Runs of white space of all kinds, by the operator: their last character belongs to what follows."""
+    rng = random.Random(1)
+    parts = [" ", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u200b", "\u2028", "\u3000",
+             "\ufeff", "\0", "a", "the", "é", "日", "1", "²", ".", "!!", "'", "'s", "'ll", "😀", "\u0301"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(3000)] + [" " * 100_000 + "a", "\n" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = packing.tokenize(df, "id", "text", **public_tokenizer()).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert np.frombuffer(r["ids"], "<u2").tolist() == [*tokenizer.encode(texts[r["key"]], add_special_tokens=False).ids, 1]
+
+
 def test_neighbours_follow_their_seed():
     """Of two topics that alternate, windows hold one."""
     ids = np.concatenate([np.full(10, i % 2) + np.arange(10) * 2 for i in range(40)])
